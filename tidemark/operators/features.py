@@ -74,7 +74,7 @@ def derived(stats: DataFrame, rounding: str = "floor", guard: bool = True) -> Da
 
 def _short(points: DataFrame, keys: list[str], rounding: str) -> DataFrame:
     row = F.struct("timestamp", "seq", "value")
-    stats = moments(points, keys, [F.array_sort(F.collect_list(row)).alias("_rows")])
+    stats = moments(points, keys, [F.sort_array(F.collect_list(row)).alias("_rows")])
     times = F.transform("_rows", lambda r: F.unix_micros(r["timestamp"]))
     return (
         stats.withColumn("_k", _kernel(rounding)(F.col("_rows.value"), times))
@@ -83,6 +83,51 @@ def _short(points: DataFrame, keys: list[str], rounding: str) -> DataFrame:
     )
 
 
+def _extents(rounding: str, block: int):
+    """Per block: range, count, mean and squared spread of every derived series, and its share of the gap sum."""
+    fields = ["gaps"] + [f"{n}_{k}" for n in S.SERIES for k in ("n", "lo", "hi", "m", "s")]
+    kind = ", ".join(f"{f} {'long' if f.endswith('_n') else 'double'}" for f in fields)
+
+    @F.pandas_udf(kind)
+    def extents(values: pd.Series, times: pd.Series, first: pd.Series, home: pd.Series, total: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, clock, at, b, n in zip(values, times, first, home, total):
+            begin, end = b * block, min(b * block + block, n)
+            pos = np.arange(at, at + len(x))
+            gaps = S.seconds_part(np.diff(clock) / 1e6, rounding) ** 2
+            row = [float(gaps[(pos[1:] >= begin) & (pos[1:] < end)].sum())]
+            for series in S.block_series(x, at, begin, end, n).values():
+                body = series[1:]
+                if len(body):
+                    row += [len(body), body.min(), body.max(), body.mean(), ((body - body.mean()) ** 2).sum()]
+                else:
+                    row += [0, None, None, 0.0, 0.0]
+            rows.append(row)
+        return pd.DataFrame(rows, columns=fields)
+
+    return extents
+
+
+SUMMARY_TYPE = "kind: string, low: double, high: double, ties: long, inner: long, rising: boolean, at: double, at_ties: long"
+
+
+def _summaries(block: int):
+    @F.pandas_udf(f"array<struct<series: string, {SUMMARY_TYPE}>>")
+    def summaries(values: pd.Series, first: pd.Series, home: pd.Series, total: pd.Series, needs: pd.Series) -> pd.Series:
+        out = []
+        for x, at, b, n, need in zip(values, first, home, total, needs):
+            parts = S.block_series(x, at, b * block, min(b * block + block, n), n)
+            out.append([{"series": name, **S.summarise(part, need[i])} for i, (name, part) in enumerate(parts.items())])
+        return pd.Series(out)
+
+    return summaries
+
+
+@F.pandas_udf("long")
+def _folded(summaries: pd.Series, need: pd.Series) -> pd.Series:
+    return pd.Series([S.fold(s, n) for s, n in zip(summaries, need)])
+
+
 def _long(points: DataFrame, keys: list[str], rounding: str, block: int) -> DataFrame:
     stats = moments(points, keys)
     placed = positions(points.select(*keys, "timestamp", "seq", "value"), keys, ["timestamp", "seq"])
@@ -92,34 +137,12 @@ def _long(points: DataFrame, keys: list[str], rounding: str, block: int) -> Data
         home,
         F.when((inside < S.HALO) & (home > 0), home - 1),
         F.when((inside >= block - S.HALO) & ((home + 1) * block < F.col("total")), home + 1)))
-    blocks = placed.withColumn("block", F.explode(copies))
-    key_type = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in keys)
-
-    def prepare(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("pos")
-        begin, total = int(pdf["block"].iloc[0]) * block, int(pdf["total"].iloc[0])
-        end = min(begin + block, total)
-        return pdf, S.block_series(pdf["value"].to_numpy(), int(pdf["pos"].iloc[0]), begin, end, total), begin, end
-
-    def extents(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, parts, begin, end = prepare(pdf)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        clock = pdf["timestamp"].astype("int64").to_numpy() // _unit(pdf["timestamp"])
-        pos = pdf["pos"].to_numpy()
-        gaps = S.seconds_part(np.diff(clock) / 1e6, rounding) ** 2
-        row["gaps"] = float(gaps[(pos[1:] >= begin) & (pos[1:] < end)].sum())
-        for name, x in parts.items():
-            body = x[1:]
-            some = len(body) > 0
-            row |= {f"{name}_n": len(body), f"{name}_lo": float(body.min()) if some else None,
-                    f"{name}_hi": float(body.max()) if some else None,
-                    f"{name}_m": float(body.mean()) if some else 0.0,
-                    f"{name}_s": float(((body - body.mean()) ** 2).sum()) if some else 0.0}
-        return pd.DataFrame([row])
-
-    extent_type = key_type + ", gaps double, " + ", ".join(
-        f"{n}_n long, {n}_lo double, {n}_hi double, {n}_m double, {n}_s double" for n in S.SERIES)
-    per_block = blocks.groupBy(*keys, "block").applyInPandas(extents, extent_type)
+    row = F.struct("pos", "value", F.unix_micros("timestamp").alias("clock"))
+    packed = placed.withColumn("block", F.explode(copies)).groupBy(*keys, "block").agg(
+        F.first("total").alias("total"), F.sort_array(F.collect_list(row)).alias("rows"))
+    first = F.col("rows")[0]["pos"]
+    per_block = packed.withColumn(
+        "e", _extents(rounding, block)("rows.value", "rows.clock", first, "block", "total")).select(*keys, "block", "e.*")
     ranges = per_block.groupBy(*keys).agg(
         F.sum("gaps").alias("gaps_squared"),
         *[(F.lit(0.1) * (F.max(f"{n}_hi") - F.min(f"{n}_lo"))).alias(f"{n}_need") for n in S.SERIES],
@@ -127,43 +150,23 @@ def _long(points: DataFrame, keys: list[str], rounding: str, block: int) -> Data
     spread = per_block.join(ranges.select(*keys, "diff_mean", "diff2_mean"), keys).groupBy(*keys).agg(*[
         (F.sum(F.col(f"{n}_s") + F.col(f"{n}_n") * F.pow(F.col(f"{n}_m") - F.col(f"{n}_mean"), 2))
          / F.sum(f"{n}_n")).alias(f"{n}_var") for n in ("diff", "diff2")])
-
-    def summaries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, parts, _, _ = prepare(pdf)
-        first = pdf.iloc[0]
-        rows = []
-        for name, x in parts.items():
-            s = S.summarise(x, float(first[f"{name}_need"]))
-            rows.append({k: first[k] for k in keys} | {"series": name, "need": first[f"{name}_need"],
-                                                      "block": first["block"], **s})
-        return pd.DataFrame(rows)
-
-    summary_type = key_type + (", series string, need double, block long, kind string, low double, high double, "
-                               "ties long, inner long, rising boolean, at double, at_ties long")
-    needs = ranges.select(*keys, *[f"{n}_need" for n in S.SERIES])
-    parts = blocks.join(needs, keys).groupBy(*keys, "block").applyInPandas(summaries, summary_type)
-
-    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        row = {k: pdf[k].iloc[0] for k in keys} | {"series": pdf["series"].iloc[0]}
-        row["peaks"] = S.fold(pdf.to_dict("records"), float(pdf["need"].iloc[0]))
-        return pd.DataFrame([row])
-
-    counts = parts.groupBy(*keys, "series").applyInPandas(folded, key_type + ", series string, peaks long")
-    wide = counts.groupBy(*keys).pivot("series", list(S.SERIES)).agg(F.first("peaks"))
+    needs = ranges.select(*keys, F.array(*[f"{n}_need" for n in S.SERIES]).alias("needs"))
+    parts = packed.join(needs, keys).withColumn(
+        "s", F.explode(_summaries(block)("rows.value", first, "block", "total", "needs"))).select(
+        *keys, "block", "needs", "s.*")
+    which = F.array_position(F.array(*[F.lit(n) for n in S.SERIES]), F.col("series")).cast("int") - 1
+    entry = F.struct("block", "kind", "low", "high", "ties", "inner", "rising", "at", "at_ties")
+    counts = parts.groupBy(*keys, "series").agg(
+        F.sort_array(F.collect_list(entry)).alias("chain"), F.first("needs").alias("needs")).withColumn(
+        "peaks", _folded("chain", F.get("needs", which)))
     names = {"raw": "n_peaks", "smooth10": "smooth10_n_peaks", "smooth20": "smooth20_n_peaks",
              "diff": "diff_peaks", "diff2": "diff2_peaks"}
-    for old, new in names.items():
-        wide = wide.withColumnRenamed(old, new)
+    wide = counts.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("series") == old, F.col("peaks"))).alias(new) for old, new in names.items()])
     return (stats.join(wide, keys).join(spread, keys)
             .join(ranges.select(*keys, "gaps_squared"), keys).select(*stats.columns, *KERNEL_FIELDS))
 
 
-def _unit(stamps: pd.Series) -> int:
-    """Ticks per microsecond of a pandas time column."""
-    return {"ns": 1000, "us": 1}[np.datetime_data(stamps.dt.tz_localize(None).dtype)[0]]
-
-
 def segment_features(points: DataFrame, keys: list[str] | None = None, rounding: str = "floor",
                      guard: bool = True, block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """Meta columns and the 18 features, one row per segment. ``longest``: known bound on points per segment."""

@@ -52,12 +52,12 @@ def segment_mixed(points: DataFrame, seconds: int | None = None) -> DataFrame:
     quiet = F.col("_before").isNull() | (silence > gap_limit(F.col("sampling")))
     d = d.withColumn("_mark", F.when(F.col("segment").isNotNull(), F.col("segment").cast("string"))
                      .when(quiet, F.lit("LIVE")))
-    d = carry_forward(d, ["channel"], ORDER, "_mark", "_open", seconds)
+    d = carry_forward(d, ["channel"], ORDER, "_mark", "_declared", seconds)
     d = d.withColumn("_flag", F.when(F.col("segment").isNotNull(),
-                                     ~F.col("_open").eqNullSafe(F.col("segment").cast("string"))).otherwise(quiet))
+                                     ~F.col("_declared").eqNullSafe(F.col("segment").cast("string"))).otherwise(quiet))
     d = run_numbers(d, ["channel"], ORDER, ["_flag"], lambda _, cur: cur["_flag"], seconds=seconds)
-    held = F.coalesce(F.col("_mark"), F.col("_open"))
-    return d.withColumn("open", F.when(held != "LIVE", held)).drop("_at", "_before", "_mark", "_open", "_flag")
+    held = F.coalesce(F.col("_mark"), F.col("_declared"))
+    return d.withColumn("open", F.when(held != "LIVE", held)).drop("_at", "_before", "_mark", "_declared", "_flag")
 
 
 def segment_spans(segmented: DataFrame, keys: list[str]) -> DataFrame:
