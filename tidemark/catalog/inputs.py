@@ -7,7 +7,6 @@ of its channel; such labels check the plumbing, not detection quality.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
@@ -15,6 +14,7 @@ from tidemark.operators.features import derived, moments, segment_features, wind
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.sampling import stratified_split
 from tidemark.schema import FEATURES, PEAK_FEATURES
+from tidemark.session import cut_lineage
 
 PLAIN = [f for f in FEATURES if f not in PEAK_FEATURES]
 RULE_COLUMNS = ["mean", "var", "std", "kurtosis", "skew", "diff_var", "diff2_var", "var_div_len", "len", "duration",
@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Feature cache: the segment tables are computed once per application and read back by later queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
 def event_points(spark: SparkSession, sf: str) -> DataFrame:
     """Declared segments: channel = event type, segment = event type and day."""
     return table(spark, sf, "events").select(

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import series as S
 from tidemark.operators.ordering import largest_group, positions
@@ -123,7 +124,7 @@ def _summaries(block: int):
     return summaries
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _folded(summaries: pd.Series, need: pd.Series) -> pd.Series:
     return pd.Series([S.fold(s, n) for s, n in zip(summaries, need)])
 

@@ -42,15 +42,22 @@ def _bracketed(known: DataFrame, keys: list[str], value: str, probs: dict[str, f
     brackets = sketch.select(*keys, "_n", F.explode(asked).alias("q")).select(*keys, "_n", "q.*")
     spread = known.select(*keys, F.col(value).alias("_v"))
     placed = spread.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).join(brackets, keys)
+    v, c = F.col("_v"), F.col("_c")
     below = placed.groupBy(*keys, "name").agg(
-        F.coalesce(F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_c"))), F.lit(0)).alias("_below"))
-    inside = placed.filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+        F.coalesce(F.sum(F.when(v < F.col("lo"), c)), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(v <= F.col("hi"), c)), F.lit(0)).alias("_reach"),
+        F.max(F.when(v < F.col("lo"), v)).alias("_under"), F.min(F.when(v > F.col("hi"), v)).alias("_over"))
+    inside = placed.filter((v >= F.col("lo")) & (v <= F.col("hi")))
     upto = F.sum("_c").over(W.partitionBy(*keys, "name").orderBy("_v"))
     ranked = inside.withColumn("_upto", upto).join(below, [*keys, "name"])
     at = F.col("p") * (F.col("_n") - 1)
-    last = F.col("_below") + F.col("_upto")
+
     def order_statistic(rank):
-        return F.min(F.when(last > rank, F.col("_v")))
+        found = F.min(F.when(F.col("_below") + F.col("_upto") > rank, v))
+        # one rank outside the bracket is the nearest value outside it
+        return F.when(F.first(rank) < F.first("_below"), F.first("_under")).when(
+            F.first(rank) >= F.first("_reach"), F.first("_over")).otherwise(found)
+
     picked = ranked.groupBy(*keys, "name").agg(
         order_statistic(F.floor(at)).alias("a"), order_statistic(F.ceil(at)).alias("b"),
         F.first(at - F.floor(at)).alias("f"))
