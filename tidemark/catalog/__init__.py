@@ -25,4 +25,4 @@ def entries() -> list[Entry]:
     return found
 
 
-MODULES = ["telemetry", "judging"]
+MODULES = ["telemetry", "judging", "retrieval"]
