@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 INLINE_SPACE = r"[\t\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ANY_SPACE = INLINE_SPACE[:-1] + r"\n]"
+SPACE_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[a-z][a-z0-9_\-]*|\p{Nd}+(?:\.\p{Nd}+)?"
 CJK = r"[\x{4e00}-\x{9fff}]"
 PUNCTUATION = " .,:;-–—_/\\()[]{}<>\"'`~@#$%^&*+=|\t\n"
@@ -25,11 +26,11 @@ def normalise_space(text: Column) -> Column:
     out = F.regexp_replace(out, INLINE_SPACE + "+", " ")
     out = F.regexp_replace(out, " *\n *", "\n")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"\A[ \n]+|[ \n]+\z", "")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{ANY_SPACE}+|{ANY_SPACE}+\z", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
 
 
 def tokens(text: Column) -> Column:
