@@ -179,8 +179,8 @@ def extensions(spark, sf):
     from tidemark.sources.corpus import count_by_extension
 
     folder = scratch(spark)
-    d = I.table(spark, sf, "documents").select(F.concat_ws("\n", F.col("source"), F.substring("text", 1, 0)).alias("value"))
-    d.coalesce(1).write.text(folder + "/kb")
+    d = I.table(spark, sf, "documents").select(F.col("text").alias("value"))
+    d.write.text(folder + "/kb")
     return count_by_extension(spark, folder + "/kb", ("txt", "md", "pdf"))
 
 
