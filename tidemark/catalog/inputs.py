@@ -28,7 +28,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for c, t in df.dtypes:
         if t == "timestamp_ntz":
             df = df.withColumn(c, F.col(c).cast("timestamp"))
-    return df
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Texts of a file with fewer splits than cores are dealt out before regular expressions run over them.
+
+    A corpus of many splits is left as it is, so nothing is shuffled where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}

@@ -33,6 +33,17 @@ def keyword_queries(spark, sf):
     return I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark, sf):
+    """Postings and statistics, built once per application like a stored index."""
+    return (I.stored(spark, sf, "postings", lambda: R.postings(chunks(spark, sf))),
+            I.stored(spark, sf, "index_statistics", lambda: R.index_statistics(chunks(spark, sf))))
+
+
+def keyword_scores(spark, sf):
+    posted, stats = index(spark, sf)
+    return R.bm25(chunks(spark, sf), keyword_queries(spark, sf), posted=posted, stats=stats)
+
+
 def label_queries(spark, sf):
     """One query per label: the mean vector of the label and the benchmark text of that number."""
     e = I.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
@@ -70,7 +81,7 @@ def strip_sql(c):
 
 def tokens_sql(c):
     low = f"lower({norm_sql(c)})"
-    words = f"list_filter(list_transform(regexp_extract_all({low}, {quote(X.TOKEN)}), lambda w: regexp_replace(w, '^[-_]+|[-_]+$', '', 'g')), lambda w: w <> '')"
+    words = f"list_filter(list_transform(regexp_extract_all({low}, '[a-z][a-z0-9_\\-]*|\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?'), lambda w: regexp_replace(w, '^[-_]+|[-_]+$', '', 'g')), lambda w: w <> '')"
     runs = f"regexp_extract_all({low}, {quote(X.CJK + '{2,}')})"
     return f"list_concat({words}, flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))))"
 
@@ -113,19 +124,23 @@ def token_stats(spark, sf):
 
 
 def index_table(spark, sf):
-    p = R.postings(chunks(spark, sf))
-    stats = R.index_statistics(chunks(spark, sf))
+    p, stats = index(spark, sf)
     d = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     return rounded(d.join(F.broadcast(stats)).select("token", "df", "cf", R.idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avg_len"), "idf", "avg_len")
 
 
 def bm25(spark, sf):
     """Scores of every query and chunk that share a token."""
+    return rounded(keyword_scores(spark, sf), "score")
+
+
+def bm25_without_index(spark, sf):
+    """The same scores straight from the texts."""
     return rounded(R.bm25(chunks(spark, sf), keyword_queries(spark, sf)), "score")
 
 
 def bm25_top(spark, sf):
-    return rounded(R.top_n(R.bm25(chunks(spark, sf), keyword_queries(spark, sf)), 40), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(R.top_n(keyword_scores(spark, sf), 40), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 def quality(spark, sf):
@@ -200,9 +215,7 @@ def pools(spark, sf):
     def build_v():
         return R.vector_pool(nearest(spark, sf, R.pool_depth(5)), chunks(spark, sf), 5, threshold=0.1)
 
-    def build_k():
-        return R.bm25(chunks(spark, sf), keyword_queries(spark, sf))
-    return I.stored(spark, sf, "vector_pool", build_v), I.stored(spark, sf, "keyword_scores", build_k)
+    return I.stored(spark, sf, "vector_pool", build_v), I.stored(spark, sf, "keyword_scores", lambda: keyword_scores(spark, sf))
 
 
 VPOOL_SQL = f"""{VEC_SQL}, {top_sql('sims', 40, 'deep')}, vpool AS (SELECT query_id, chunk_id, score, content, source_name, priority FROM deep JOIN chunks USING (chunk_id) WHERE score >= 0.1 AND NOT {low_sql('content')})"""
@@ -516,6 +529,7 @@ ENTRIES = [
     Entry("h03_tokens", token_stats, f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)"),
     Entry("h04_index", index_table, f"WITH {BM25_SQL}, p AS (SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY 1) SELECT token, df, cf, round(ln(1.0 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(avgdl, 6) AS avg_len FROM p, st"),
     Entry("h05_bm25", bm25, f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw"),
+    Entry("h05_bm25_without_index", bm25_without_index, f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw"),
     Entry("h06_bm25_top", bm25_top, f"WITH {BM25_SQL}, {top_sql('kw', 40, 'ktop')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ktop"),
     Entry("h07_quality", quality, f"SELECT doc_id AS chunk_id, length(b) + length(b) - length(regexp_replace(b, {quote(X.CJK)}, '', 'g')) AS length, round(CASE WHEN length(b) = 0 THEN 1.0 ELSE (length(b) - length(translate(b, {quote(X.PUNCTUATION)}, ''))) / length(b) END, 6)::DOUBLE AS junk, {low_sql('text')} AS low FROM (SELECT doc_id, text, {strip_sql('text')} AS b FROM documents)"),
     Entry("h08_quality_counts", quality_counts, f"SELECT count(*) FILTER (NOT low) AS kept, count(*) FILTER (low) AS dropped FROM (SELECT {low_sql('text')} AS low FROM documents)"),

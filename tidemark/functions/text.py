@@ -10,7 +10,7 @@ LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 INLINE_SPACE = r"[\t\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ANY_SPACE = INLINE_SPACE[:-1] + r"\n]"
 SPACE_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000"
-TOKEN = r"[a-z][a-z0-9_\-]*|\p{Nd}+(?:\.\p{Nd}+)?"
+TOKEN = r"[a-z](?:[a-z0-9_\-]*[a-z0-9])?|\p{Nd}+(?:\.\p{Nd}+)?"
 CJK = r"[\x{4e00}-\x{9fff}]"
 PUNCTUATION = " .,:;-–—_/\\()[]{}<>\"'`~@#$%^&*+=|\t\n"
 HEADER_SCRAPS = ["returned due to non-completion"]
@@ -34,14 +34,13 @@ def strip(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Latin identifiers and numbers, then the character pairs of every CJK run."""
+    """Latin identifiers and numbers without trailing dashes, then the character pairs of every CJK run."""
     low = F.lower(normalise_space(text))
-    words = F.transform(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)),
-                        lambda w: F.regexp_replace(w, r"\A[\-_]+|[\-_]+\z", ""))
-    runs = F.filter(F.regexp_extract_all(low, F.lit(CJK + "{2,}"), F.lit(0)), lambda r: F.length(r) > 1)
+    words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(CJK + "{2,}"), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(
         F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.concat(F.filter(words, lambda w: w != ""), pairs)
+    return F.concat(words, pairs)
 
 
 def cjk_count(text: Column) -> Column:

@@ -15,6 +15,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions.hashing import uniform
 from tidemark.operators.evaluate import evaluate
 from tidemark.operators.forest import GRID, MIN_EVAL, MIN_FIT, contamination_thresholds, sufficient
+from tidemark.session import cut_lineage
 
 # Parameter grids (thresholds start above zero) and the order in which ties are resolved.
 WEIGHTS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
@@ -300,7 +301,7 @@ def calibrated(val: DataFrame, rows: DataFrame, key: str = "segment", folds: int
     from pyspark.ml.functions import vector_to_array
 
     shape = VectorAssembler(inputCols=["hits_norm", "score_norm"], outputCol="_v")
-    base = shape.transform(fold_of(val, key, folds).withColumn("label", F.col("anomaly").cast("double")))
+    base = shape.transform(cut_lineage(fold_of(val, key, folds).withColumn("label", F.col("anomaly").cast("double"))))
 
     def model(train: DataFrame):
         n = max(train.count(), 1)

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.session import cut_lineage
 
 # Fixed values.
 K1 = 1.5
@@ -35,11 +36,13 @@ PLACES = 9
 
 # ---- keyword side -------------------------------------------------------------------------
 
-def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
-    """(token, chunk, tf, doc_len). The count per (chunk, token) is complete before the shuffle."""
+def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
+    """(token, chunk, tf, doc_len). ``only`` keeps the tokens of a small vocabulary before anything is shuffled."""
     toks = chunks.select(key, X.tokens(F.col(text)).alias("_t"))
-    return toks.select(key, F.size("_t").alias("doc_len"), F.explode("_t").alias("token")).groupBy(
-        key, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    flat = toks.select(key, F.size("_t").alias("doc_len"), F.explode("_t").alias("token"))
+    if only is not None:
+        flat = flat.join(F.broadcast(only), "token", "left_semi")
+    return flat.groupBy(key, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def index_statistics(chunks: DataFrame, text: str = "content") -> DataFrame:
@@ -74,10 +77,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, di
     """Score of every (query, chunk) that shares a token. ``posted``/``stats`` reuse stored index tables."""
     terms = query_terms(queries, distinct)
     n_terms = terms.count()
-    posted = postings(chunks) if posted is None else posted
     stats = index_statistics(chunks) if stats is None else stats
     vocabulary = terms.select("token").distinct()
-    hit = _meet(posted, vocabulary, n_terms)
+    if posted is None:
+        # read twice below: the postings of the query tokens are stored, not tokenised again
+        hit = posted = cut_lineage(postings(chunks, only=vocabulary if n_terms <= MAX_BROADCAST_TERMS else None))
+    else:
+        hit = _meet(posted, vocabulary, n_terms)
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(F.broadcast(stats)).select("token", idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avg_len")
     asked = terms.join(weights, "token")

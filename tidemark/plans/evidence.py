@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as E
+from tidemark.session import cut_lineage
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -30,7 +31,7 @@ def explain(anomalies: DataFrame, labels: DataFrame, retrieve: Step, generate: S
     named = anomalies.join(labels.select("channel", "label"), "channel", "left").withColumn("label", F.coalesce("label", "channel"))
     described = named.withColumn("description", E.describe_anomaly(
         F.col("label"), F.col("anomaly_type"), F.col("anomaly_score"), F.col("feature_summary")))
-    asked = described.withColumn("query", E.query_text(F.col("channel"), F.col("anomaly_type"), F.col("description")))
+    asked = cut_lineage(described.withColumn("query", E.query_text(F.col("channel"), F.col("anomaly_type"), F.col("description"))))
     results = retrieve(asked.select(F.col("segment").alias("query_id"), F.col("query").alias("text")))
     packed = E.pack_context(results, budget)
     joined = asked.join(packed.withColumnRenamed("query_id", "segment"), "segment", "left")
