@@ -35,8 +35,8 @@ def keyword_queries(spark, sf):
 
 def index(spark, sf):
     """Postings and statistics, built once per application like a stored index."""
-    return (I.stored(spark, sf, "postings", lambda: R.postings(chunks(spark, sf))),
-            I.stored(spark, sf, "index_statistics", lambda: R.index_statistics(chunks(spark, sf))))
+    posted = I.stored(spark, sf, "postings", lambda: R.postings(chunks(spark, sf)))
+    return posted, I.stored(spark, sf, "index_statistics", lambda: R.index_statistics(chunks(spark, sf), posted=posted))
 
 
 def keyword_scores(spark, sf):

@@ -45,8 +45,12 @@ def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", on
     return flat.groupBy(key, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_statistics(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """Number of chunks and mean length; chunks without tokens count too."""
+def index_statistics(chunks: DataFrame, text: str = "content", posted: DataFrame | None = None) -> DataFrame:
+    """Number of chunks and mean length; chunks without tokens count too. Complete postings spare a second tokenising."""
+    if posted is not None:
+        held = posted.agg(F.sum("tf").alias("_t"))
+        return chunks.agg(F.count(F.lit(1)).alias("n_chunks")).join(F.broadcast(held)).select(
+            "n_chunks", (F.coalesce("_t", F.lit(0)) / F.col("n_chunks")).alias("avg_len"))
     return chunks.select(F.size(X.tokens(F.col(text))).alias("n")).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.avg("n").alias("avg_len"))
 
