@@ -62,6 +62,8 @@ def test_auc_with_ties(spark):
     d = spark.createDataFrame([("f", 1.0, 0), ("f", 2.0, 0), ("f", 2.0, 1), ("f", 3.0, 1), ("g", 1.0, 1)], "feature string, value double, anomaly int")
     got = {r.feature: r.auc for r in E.auc(d, ["feature"]).collect()}
     assert got == {"f": 0.875, "g": 0.5}
+    wide = spark.range(3000).select(F.lit("f").alias("feature"), F.pmod(F.col("id") * 7919, F.lit(1009)).cast("double").alias("value"), (F.col("id") % 3 == 0).cast("int").alias("anomaly"))
+    assert E.auc(wide, ["feature"]).first().auc == pytest.approx(E.auc(wide, ["feature"], large=10).first().auc, abs=1e-12)
 
 
 def test_first_best_takes_the_earlier(spark):

@@ -23,6 +23,17 @@ def test_positions_equal_a_plain_window(spark):
         assert tail.count() == 60 and tail.join(want.filter("pos >= total - 20"), ["k", "seq"]).count() == 60
 
 
+def test_bursts_are_cut_by_range(spark, monkeypatch):
+    from pyspark.sql import Window as W
+
+    d = spark.range(2000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.when(F.col("id") < 1900, 5).otherwise(F.col("id"))).alias("timestamp"), F.col("id").alias("seq"))
+    want = d.select("seq", (F.row_number().over(W.partitionBy("k").orderBy("timestamp", "seq")) - 1).cast("long").alias("pos"))
+    cut = O.sliced(d, ["k"], ["timestamp", "seq"], target=50)
+    assert cut.groupBy("_slice").count().agg(F.max("count")).first()[0] < 1500
+    monkeypatch.setattr(O, "sliced", lambda df, keys, order, ts="timestamp", seconds=None: cut)
+    assert O.positions(d, ["k"], ["timestamp", "seq"]).select("seq", "pos").exceptAll(want).count() == 0
+
+
 def test_slice_width_follows_density(spark):
     d = spark.range(10_000).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("timestamp"))
     assert O.slice_seconds(d, ["k"], target=100) == 99 or O.slice_seconds(d, ["k"], target=100) == 100

@@ -20,6 +20,7 @@ from tidemark.operators import sampling as P
 from tidemark.operators import segments as G
 from tidemark.operators import ordering as O
 from tidemark.schema import META, feature_columns
+from tidemark.session import cut_lineage
 from tidemark.sinks import tables as K
 from tidemark.sources import points as N
 from tidemark.sources import results as L
@@ -378,12 +379,12 @@ def enrichment(spark, sf):
 
 
 def audit(spark, sf):
-    return rounded(D.scale_audit(J.segments(spark, sf), ["mean", "std", "skew", "kurtosis"], largest=1), "mean", "std", "p01", "p99", "scale_ratio")
+    return rounded(D.scale_audit(J.segments(spark, sf), ["mean", "std", "skew", "kurtosis"]), "mean", "std", "p01", "p99", "scale_ratio")
 
 
 def robust(spark, sf):
     d = J.segments(spark, sf)
-    return rounded(D.scaled(d, d.filter("split = 'fit'"), ["mean", "std"], largest=1).select("segment", "mean", "std"), "mean", "std")
+    return rounded(D.scaled(d, d.filter("split = 'fit'"), ["mean", "std"]).select("segment", "mean", "std"), "mean", "std")
 
 
 def standard(spark, sf):
@@ -444,8 +445,8 @@ def stream_verdicts(spark, sf):
     from tidemark.operators import fusion as U
     from tidemark.operators import rules as R
 
-    f = I.plain_features(pts).filter("len >= 3")
-    hit = R.rule_hits(f, R.thresholds(f, J.COLS, largest=1), J.COLS, "test")
+    f = cut_lineage(I.plain_features(pts).filter("len >= 3"))
+    hit = R.rule_hits(f, R.thresholds(f, J.COLS), J.COLS, "test")
     rows = hit.withColumns({"margin": F.lit(None).cast("double"), "tau95": F.lit(0.0), "score_std": F.lit(1.0)})
     return U.verdicts(rows, []).select("segment", "hits", "is_anomaly", "severity", "anomaly_score")
 

@@ -149,7 +149,7 @@ def plain_features(points: DataFrame) -> DataFrame:
     return derived(stats.join(order, ["channel", "segment"]))
 
 
-def labelled(features: DataFrame, largest: int | None = 1) -> DataFrame:
+def labelled(features: DataFrame, largest: int | None = None) -> DataFrame:
     """Synthetic label and split: top fifth of the channel; 70 % train, a fifth of it for validation."""
     cut = quantiles(features, ["channel"], "top", {"cut": 0.8}, largest)
     tagged = features.join(cut, "channel").withColumn("anomaly", (F.col("top") >= F.col("cut")).cast("int")).withColumn(
@@ -164,7 +164,7 @@ labelled AS (SELECT t.* EXCLUDE (_u), CASE WHEN train = 0 THEN 'test' WHEN _u <=
 
 
 def item_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled(plain_features(item_points(spark, sf)))
+    return labelled(cut_lineage(plain_features(item_points(spark, sf))))
 
 
 ITEM_SEGMENTS = f"{ITEM_POINTS}, {PLAIN_SQL}, {LABELLED_SQL}"

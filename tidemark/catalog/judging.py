@@ -23,7 +23,6 @@ from tidemark.operators.quantiles import quantiles
 COLS = I.RULE_COLUMNS
 STRONG = ["AF", "NF", "RF"]
 SCORE_COLUMNS = ["mean", "std", "skew"]
-SMALL = 1  # the driver's tables are small; clusters leave this out and measure
 
 
 def rounded(df, *cols, places=6):
@@ -37,7 +36,7 @@ def segments(spark, sf):
 
 
 def limits_of(rows):
-    return R.thresholds(rows.filter("split = 'fit'"), COLS, largest=SMALL)
+    return R.thresholds(rows.filter("split = 'fit'"), COLS)
 
 
 def scored(spark, sf, count_mode="feature"):
@@ -299,27 +298,27 @@ def predicted(spark, sf):
 def _predicted(rows):
     rows = rows.withColumn("rule_pred", R.rule_prediction(2))
     fit, val = rows.filter("split = 'fit'"), rows.filter("split = 'val'")
-    limits = T.contamination_thresholds(fit, largest=SMALL)
-    return U.forest_prediction(rows, limits, U.choose_contamination(fit, val, largest=SMALL))
+    limits = T.contamination_thresholds(fit)
+    return U.forest_prediction(rows, limits, U.choose_contamination(fit, val))
 
 
 def c_thresholds(spark, sf):
-    return rounded(T.contamination_thresholds(scored(spark, sf).filter("split = 'fit'"), largest=SMALL), "threshold")
+    return rounded(T.contamination_thresholds(scored(spark, sf).filter("split = 'fit'")), "threshold")
 
 
 def c_scale(spark, sf):
-    return rounded(T.display_scale(scored(spark, sf).filter("split = 'fit'"), largest=SMALL), "tau95", "score_std")
+    return rounded(T.display_scale(scored(spark, sf).filter("split = 'fit'")), "tau95", "score_std")
 
 
 def c_sweep(spark, sf):
     rows = scored(spark, sf)
-    d = U.contamination_sweep(rows.filter("split = 'fit'"), rows.filter("split = 'val'"), per_group=False, largest=SMALL)
+    d = U.contamination_sweep(rows.filter("split = 'fit'"), rows.filter("split = 'val'"), per_group=False)
     return rounded(d, *RATES)
 
 
 def c_choice(spark, sf):
     rows = scored(spark, sf)
-    return rounded(U.choose_contamination(rows.filter("split = 'fit'"), rows.filter("split = 'val'"), largest=SMALL), "f1")
+    return rounded(U.choose_contamination(rows.filter("split = 'fit'"), rows.filter("split = 'val'")), "f1")
 
 
 def combos(spark, sf):
@@ -426,7 +425,7 @@ SELECT op, round({F1_SQL.replace(' AS f1', '')}, 6) AS f1 FROM t ORDER BY {F1_SQ
 def scheme(spark, sf):
     """Strong channels by forest OR rule, weak ones by the global cut, once with three and once with all channels strong."""
     rows = predicted(spark, sf)
-    cut = quantiles(rows.filter("split = 'fit'").withColumn("one", F.lit(1)), ["one"], "score", {"cut": 0.75}, SMALL)
+    cut = quantiles(rows.filter("split = 'fit'").withColumn("one", F.lit(1)), ["one"], "score", {"cut": 0.75})
     rows = rows.join(F.broadcast(cut.select("cut"))).withColumn("global_pred", (F.col("score") > F.col("cut")).cast("int"))
     three = U.strong_weak(rows, STRONG).withColumn("scheme", F.lit("three"))
     every = U.strong_weak(rows, ["AF", "AO", "NF", "NO", "RF", "RO"]).withColumn("scheme", F.lit("every"))
@@ -441,8 +440,8 @@ v AS (SELECT 'three' AS scheme, anomaly AS y, CASE WHEN channel IN ('AF', 'NF',
 def stage2(spark, sf):
     rows = scored(spark, sf, "test").withColumn("rule_pred", R.rule_prediction(2))
     fit = rows.filter("split = 'fit'")
-    cut = T.contamination_thresholds(fit, [0.2], largest=SMALL).select("channel", "threshold")
-    scale = T.display_scale(fit.join(cut, "channel").withColumn("score", F.col("score") - F.col("threshold")), largest=SMALL)
+    cut = T.contamination_thresholds(fit, [0.2]).select("channel", "threshold")
+    scale = T.display_scale(fit.join(cut, "channel").withColumn("score", F.col("score") - F.col("threshold")))
     rows = rows.join(cut, "channel", "left").join(scale, "channel", "left").withColumn("margin", F.col("score") - F.col("threshold"))
     d = U.verdicts(rows, STRONG)
     return rounded(d.select("segment", "hits", "if_flag", "rule_flag", "is_anomaly", "severity", "raw_score", "anomaly_score"), "raw_score")
@@ -486,7 +485,7 @@ def guard(spark, sf):
     rows = scored(spark, sf)
     fit, val = rows.filter("split = 'fit'"), rows.filter("split = 'val'")
     rule = E.evaluate(val.withColumn("pred", R.rule_prediction(2)), group=["channel"])
-    return rounded(U.guard_report(rule, U.contamination_sweep(fit, val, largest=SMALL)), "rule_f1", "best_forest_f1", "advantage")
+    return rounded(U.guard_report(rule, U.contamination_sweep(fit, val)), "rule_f1", "best_forest_f1", "advantage")
 
 
 GUARD = f"""WITH {SCORED}, {SWEEP_SQL}, v AS (SELECT channel, anomaly AS y, CAST(hits >= 2 AS INTEGER) AS p FROM scored WHERE split = 'val'),
@@ -513,7 +512,7 @@ def config_matrix(spark, sf):
     rows = segments(spark, sf)
     fit = rows.filter("split = 'fit'")
     parts = None
-    for mode, limits in (("all", R.thresholds(fit, COLS, largest=SMALL)), ("net", R.net_thresholds(fit, COLS, 60))):
+    for mode, limits in (("all", R.thresholds(fit, COLS)), ("net", R.net_thresholds(fit, COLS, 60))):
         for name, cols in (("full", COLS), ("short", COLS[:5])):
             d = R.rule_hits(rows.filter("split = 'test'"), limits, cols).select(
                 F.lit(mode).alias("thresholds"), F.lit(name).alias("columns"), "anomaly", R.rule_prediction(2).alias("pred"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.functions.hashing import uniform
+from tidemark.operators.ordering import largest_group
+from tidemark.session import cut_lineage
 
 
 def evaluate(df: DataFrame, pred: str = "pred", truth: str = "anomaly", group: list[str] | None = None) -> DataFrame:
@@ -132,23 +134,32 @@ def agreement(left: DataFrame, right: DataFrame, keys: list[str], columns: list[
           for c in columns])
 
 
-def auc(tall: DataFrame, keys: list[str], value: str = "value", truth: str = "anomaly") -> DataFrame:
-    """Area under the ROC curve per key from rank sums with tied ranks averaged.
+LARGE_KEY = 2_000_000
 
-    Values are reduced to (key, value) counts first. The running count inside a key is cut at value slices taken from a
-    sketch, so a key with very many distinct values is spread over tasks.
+
+def auc(tall: DataFrame, keys: list[str], value: str = "value", truth: str = "anomaly", largest: int | None = None,
+        large: int = LARGE_KEY) -> DataFrame:
+    """Area under the ROC curve per key (feature, seed, candidate) from rank sums with tied ranks averaged.
+
+    Values are reduced to (key, value) counts first. A key with more distinct values than one task should order
+    is range-partitioned by value; the parts' totals give each part its starting rank.
     """
     cells = tall.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(truth).alias("_p"))
-    fences = cells.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_f"))
-    cut = cells.join(fences, keys).withColumn(
-        "_s", F.size(F.filter("_f", lambda x: x < F.col(value)))).drop("_f")
-    before = cut.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn")).withColumn(
-        "_before", F.sum("_sn").over(W.partitionBy(*keys).orderBy("_s")) - F.col("_sn")).drop("_sn")
-    upto = F.sum("_n").over(W.partitionBy(*keys, "_s").orderBy(value))
-    ranked = cut.withColumn("_upto", upto).join(before, [*keys, "_s"]).withColumn(
-        "_rank", F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0)
+    if largest is None:
+        cells = cut_lineage(cells)
+        largest = largest_group(cells, keys)
+    if largest <= large:
+        upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(value))
+        ranked = cells.withColumn("_rank", upto - (F.col("_n") - 1) / 2.0)
+    else:
+        parts = max(2, -(-cells.count() // large))
+        cut = cut_lineage(cells.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(value)).withColumn("_s", F.spark_partition_id()))
+        before = cut.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn")).withColumn(
+            "_before", F.sum("_sn").over(W.partitionBy(*keys).orderBy("_s")) - F.col("_sn")).drop("_sn")
+        upto = F.sum("_n").over(W.partitionBy(*keys, "_s").orderBy(value))
+        ranked = cut.withColumn("_upto", upto).join(before, [*keys, "_s"]).withColumn(
+            "_rank", F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0)
     n1, n0 = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
     area = (F.sum(F.col("_rank") * F.col("_p")) - n1 * (n1 + 1) / 2.0) / (n1 * n0)
     return ranked.groupBy(*keys).agg(

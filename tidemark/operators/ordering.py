@@ -1,8 +1,9 @@
 """Row order inside a key whose size is unknown.
 
 A window over ``partitionBy(channel)`` puts a whole channel into one task. Here each
-key is cut into time slices; windows run inside (key, slice), and one small row per slice
-carries counts and edge values across the cuts. Results equal the plain window.
+key is cut into slices of time; windows run inside (key, slice), and one small row per slice
+carries counts and edge values across the cuts. Results equal the plain window. When time slices
+come out uneven (bursts), the rows are range-partitioned by key and order instead.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 SLICE_ROWS = 1_000_000
+BURST = 8
 
 
 def _cols(names: list[str]) -> list[Column]:
@@ -45,6 +49,20 @@ def with_slice(df: DataFrame, seconds: int, ts: str = "timestamp") -> DataFrame:
     return df.withColumn("_slice", F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)))
 
 
+def sliced(df: DataFrame, keys: list[str], order: list[str], ts: str = "timestamp", seconds: int | None = None,
+           target: int = SLICE_ROWS) -> DataFrame:
+    """``_slice``: a number that grows with the order inside each key and splits large keys into bounded parts."""
+    if seconds is not None:
+        return with_slice(df, seconds, ts)
+    seconds = slice_seconds(df, keys, ts, target)
+    cut = with_slice(df, seconds, ts)
+    if largest_group(df, keys) <= target or largest_group(cut, [*keys, "_slice"]) <= BURST * target:
+        return cut
+    parts = max(2, -(-df.count() // target))
+    ranged = df.repartitionByRange(parts, *_cols(keys), *_cols(order)).withColumn("_slice", F.spark_partition_id().cast("long"))
+    return cut_lineage(ranged)  # range bounds are sampled: written once, so that all readers see the same cut
+
+
 def _slice_offsets(df: DataFrame, keys: list[str]) -> DataFrame:
     counts = df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     ordered = W.partitionBy(*keys).orderBy("_slice")
@@ -58,8 +76,7 @@ def _slice_offsets(df: DataFrame, keys: list[str]) -> DataFrame:
 def positions(df: DataFrame, keys: list[str], order: list[str], ts: str = "timestamp",
               seconds: int | None = None, pos: str = "pos", total: str = "total") -> DataFrame:
     """Exact 0-based position of every row inside its key, and the key's row count."""
-    seconds = seconds or slice_seconds(df, keys, ts)
-    cut = with_slice(df, seconds, ts)
+    cut = sliced(df, keys, order, ts, seconds)
     local = cut.withColumn(
         "_at", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*_cols(order))))
     return (
@@ -73,8 +90,7 @@ def positions(df: DataFrame, keys: list[str], order: list[str], ts: str = "times
 def tail_rows(df: DataFrame, keys: list[str], order: list[str], n: int, ts: str = "timestamp",
               seconds: int | None = None) -> DataFrame:
     """Last ``n`` rows of each key with ``rank_desc``; slices that cannot hold them are dropped first."""
-    seconds = seconds or slice_seconds(df, keys, ts)
-    cut = with_slice(df, seconds, ts)
+    cut = sliced(df, keys, order, ts, seconds)
     wanted = _slice_offsets(cut, keys).filter(
         F.col("_before") + F.col("_rows") > F.col("_total") - n).select(*keys, "_slice", "_before", "_total")
     local = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*_cols(order)))
@@ -87,9 +103,9 @@ def tail_rows(df: DataFrame, keys: list[str], order: list[str], n: int, ts: str
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], col: str, out: str,
-                  seconds: int, ts: str = "timestamp") -> DataFrame:
+                  seconds: int | None = None, ts: str = "timestamp") -> DataFrame:
     """Last known value of ``col`` before each row of its key."""
-    cut = with_slice(df, seconds, ts)
+    cut = sliced(df, keys, order, ts, seconds)
     inside = W.partitionBy(*keys, "_slice").orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, -1)
     at = F.when(F.col(col).isNotNull(), F.struct(*_cols(order)))
     across = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -111,11 +127,10 @@ def run_numbers(df: DataFrame, keys: list[str], order: list[str], carry: list[st
     ``starts(previous, current)`` gets two structs of the ``carry`` columns and says whether the
     current row opens a run; the first row of a key always does.
     """
-    seconds = seconds or slice_seconds(df, keys, ts)
     here = F.struct(*_cols(carry))
     inside = W.partitionBy(*keys, "_slice").orderBy(*_cols(order))
     flagged = (
-        with_slice(df, seconds, ts)
+        sliced(df, keys, order, ts, seconds)
         .withColumn("_cur", here)
         .withColumn("_prev", F.lag("_cur").over(inside))
         .withColumn("_open", F.when(F.col("_prev").isNull(), F.lit(0)).otherwise(

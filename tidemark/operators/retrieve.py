@@ -212,6 +212,20 @@ def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 # ---- fusion of the two sides -----------------------------------------------------------------
 
+MAX_BROADCAST_POOL = 1_000_000
+
+
+def with_content(pool: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds content, source and priority to a candidate pool.
+
+    The pool is stored and counted; while it is small it goes to the corpus as a broadcast, so the texts are
+    read in place and never shuffled.
+    """
+    held = cut_lineage(pool)
+    side = F.broadcast(held) if held.count() <= MAX_BROADCAST_POOL else held
+    return chunks.select("chunk_id", "content", "source_name", "priority").join(side, "chunk_id")
+
+
 def pool_depth(top_k: int, pool: int = POOL) -> int:
     return max(pool, 8 * top_k, top_k)
 
@@ -220,7 +234,7 @@ def vector_pool(nearest: DataFrame, chunks: DataFrame, top_k: int, threshold: fl
                 quality: bool = True) -> DataFrame:
     """Deep pool, then the score threshold, then the quality filter."""
     deep = nearest.filter((F.col("rank") <= pool_depth(top_k, pool)) & (F.col("score") >= threshold)).drop("rank")
-    joined = deep.join(chunks.select("chunk_id", "content", "source_name", "priority"), "chunk_id")
+    joined = with_content(deep, chunks)
     return joined.filter(~X.low_quality(F.col("content"))) if quality else joined
 
 
@@ -237,7 +251,7 @@ def hybrid_merge(vectors: DataFrame, keywords: DataFrame, chunks: DataFrame, boo
     merged = both.select(
         "query_id", "chunk_id", "keyword_match", F.col("_vector").isNull().alias("keyword_only"),
         F.when(F.col("_vector").isNull(), gain * keyword_only_factor).otherwise(F.col("_vector") + gain).alias("score"))
-    joined = merged.join(chunks.select("chunk_id", "content", "source_name", "priority"), "chunk_id")
+    joined = with_content(merged, chunks)
     if quality:
         joined = joined.filter(~F.col("keyword_only") | ~X.low_quality(F.col("content")))
     return joined

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
-from tidemark.operators.quantiles import quantiles
+from tidemark.operators.ordering import largest_group
+from tidemark.operators.quantiles import SMALL_GROUP, quantiles
 from tidemark.schema import FEATURES
 
 # Fixed values.
@@ -16,7 +17,6 @@ IQR_FACTOR = 1.5
 STD_FLOOR = 1e-6
 MIN_VALUES = 5
 MIN_NORMALS = 30
-BROADCAST_ROWS = 200_000
 
 
 def long_form(df: DataFrame, ids: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -27,12 +27,21 @@ def long_form(df: DataFrame, ids: list[str], columns: list[str] | None = None) -
 
 def thresholds(train: DataFrame, columns: list[str] | None = None, group: str = "channel",
                largest: int | None = None) -> DataFrame:
-    """(channel, feature, n, mean, std, q1, q3, iqr); features with fewer than five values are left out."""
+    """(channel, feature, n, mean, std, q1, q3, iqr); features with fewer than five values are left out.
+
+    ``train`` is read more than once; hand over a stored table.
+    """
     tall = long_form(train, [group], columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    base = tall.groupBy(group, "feature").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    cuts = quantiles(tall, [group, "feature"], "value", {"q1": 0.25, "q3": 0.75}, largest)
-    return base.filter(F.col("n") >= MIN_VALUES).join(cuts, [group, "feature"]).select(
+    if largest is None:
+        largest = largest_group(train, [group])
+    basics = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
+    if largest <= SMALL_GROUP:
+        both = tall.groupBy(group, "feature").agg(
+            *basics, F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    else:
+        cuts = quantiles(tall, [group, "feature"], "value", {"q1": 0.25, "q3": 0.75}, largest)
+        both = tall.groupBy(group, "feature").agg(*basics).join(cuts, [group, "feature"])
+    return both.filter(F.col("n") >= MIN_VALUES).select(
         group, "feature", "n", "mean", F.when(F.col("std") > STD_FLOOR, F.col("std")).otherwise(1.0).alias("std"),
         "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
 

@@ -18,7 +18,7 @@ def stratified_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42
     """
     drawn = df.withColumn("_u", uniform(F.col(key), seed))
     cuts = quantiles(drawn.filter("train = 1"), [label, "train"], "_u", {"_cut": share}, largest)
-    joined = drawn.join(cuts, [label, "train"], "left")
+    joined = drawn.join(F.broadcast(cuts), [label, "train"], "left")  # one row per label
     return joined.withColumn(
         "split", F.when(F.col("train") == 0, "test").when(F.col("_u") <= F.col("_cut"), "val").otherwise("fit")
     ).drop("_u", "_cut")

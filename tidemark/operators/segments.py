@@ -44,9 +44,6 @@ def segment_mixed(points: DataFrame, seconds: int | None = None) -> DataFrame:
     A declared id that differs from the open segment closes it; points without an id stay in the
     open segment, whatever its kind, until the gap rule fires. ``open`` is the declared id of the run, if any.
     """
-    from tidemark.operators.ordering import slice_seconds
-
-    seconds = seconds or slice_seconds(points, ["channel"])
     d = carry_forward(points.withColumn("_at", F.col("timestamp")), ["channel"], ORDER, "_at", "_before", seconds)
     silence = (F.unix_micros("timestamp") - F.unix_micros("_before")) / F.lit(1e6)
     quiet = F.col("_before").isNull() | (silence > gap_limit(F.col("sampling")))

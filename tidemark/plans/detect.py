@@ -23,7 +23,7 @@ def flagged_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Flagged segments of the event stream: scan, features, thresholds, hits, rule."""
     from tidemark.catalog.inputs import event_points
 
-    features = segment_features(event_points(spark, sf))
+    features = cut_lineage(segment_features(event_points(spark, sf)))
     return rule_verdicts(features).filter("rule_pred = 1").select("channel", "segment", "hits", "judged", "rule_pred")
 
 
