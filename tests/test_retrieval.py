@@ -21,8 +21,8 @@ def test_white_space(spark):
 
 
 def test_tokens(spark):
-    a, b, c, d = one(spark, X.tokens, "vote_threshold=0.25", "CADC0874通道异常", "F1 0.6281", "end- a--b _x 12.")
-    assert a == ["vote_threshold", "0.25"] and b == ["cadc0874", "通道", "道异", "异常"]
+    a, b, c, d = one(spark, X.tokens, "vote_threshold=0.25", "ABCD0874通道异常", "F1 0.6281", "end- a--b _x 12.")
+    assert a == ["vote_threshold", "0.25"] and b == ["abcd0874", "通道", "道异", "异常"]
     assert "0.6281" in c and d == ["end", "a--b", "x", "12"]
 
 

@@ -106,3 +106,13 @@ def test_poisson_weight_mean(spark):
     m = spark.range(20000).agg(F.avg(E.poisson_weight(uniform(F.col("id"), 1)))).first()[0]
     assert abs(m - 1.0) < 0.03
     assert M.SMALL_SAMPLE == 30
+
+
+def test_cell_bootstrap_agrees_with_row_bootstrap(spark):
+    d = spark.range(4000).select("id", (F.col("id") % 5 == 0).cast("int").alias("anomaly"), (F.col("id") % 4 == 0).cast("int").alias("pred"))
+    a = E.bootstrap_f1(d, "id", n_boot=150, method="rows").first()
+    b = E.bootstrap_f1(d, "id", n_boot=150, method="cells").first()
+    assert abs(a.f1_low - b.f1_low) < 0.02 and abs(a.f1_high - b.f1_high) < 0.02 and a.f1_low < a.f1_high
+    assert E.bootstrap_f1(d, "id", n_boot=150, method="cells").first() == b
+    p = E.paired_bootstrap(d.withColumn("other", F.col("anomaly")), "id", "pred", "other", n_boot=50, method="cells").first()
+    assert p.delta_low > 0 and p.p_gain == 1.0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import Entry
 from tidemark.catalog import inputs as I
 from tidemark.catalog import judging as J
+from tidemark.catalog import retrieval as H
 from tidemark.catalog import telemetry as T
 from tidemark.functions import severity as V
 from tidemark.functions.hashing import order_free_digest, ordered_set_digest, uniform
@@ -166,7 +167,6 @@ def verdict_store(spark, sf):
 
 
 def index_store(spark, sf):
-    from tidemark.catalog import retrieval as H
     from tidemark.operators import retrieve as R
 
     folder = scratch(spark) + "/index"
@@ -351,6 +351,10 @@ def digests(spark, sf):
         ordered_set_digest(F.col("segment")).alias("ids"), order_free_digest(F.col("segment"), F.col("anomaly")).alias("rows"))
 
 
+def id_digest(spark, sf):
+    return J.segments(spark, sf).groupBy("split").agg(ordered_set_digest(F.col("segment")).alias("ids"))
+
+
 def query_counters(spark, sf):
     d = J.scored(spark, sf).select((F.col("hits") < 3).alias("success"), (F.col("score") * 100).alias("retrieval_ms"))
     return rounded(D.run_counters(d), "avg_retrieval_ms", "total_retrieval_ms", places=4)
@@ -491,7 +495,7 @@ ENTRIES = [
     Entry("a11_ingest_counts", frames, "SELECT count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS rejected FROM events"),
     Entry("a12_b04_alert_store", alert_store, f"WITH {ALERTS} SELECT segment, severity, 1 AS official, 's-' || segment AS summary FROM alerts"),
     Entry("b05_verdict_store", verdict_store, f"WITH {ALERTS} SELECT segment, channel, CASE WHEN ts > 25 THEN 'updated' ELSE severity END AS severity FROM alerts"),
-    Entry("a13_b08_index_store", index_store),
+    Entry("a13_b08_index_store", index_store, f"WITH {H.BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw"),
     Entry("b10_retention", retention, f"WITH {I.EVENT_POINTS}, r AS (SELECT channel, seq, row_number() OVER (PARTITION BY channel ORDER BY timestamp DESC, seq DESC) AS rank_desc FROM pts) SELECT * FROM r WHERE rank_desc <= 50"),
     Entry("c14_compare_features", feature_compare, f"WITH {I.ITEM_SEGMENTS}, c(feature) AS (SELECT unnest({J.COLS})) SELECT feature, (SELECT count(*) FROM labelled) - (SELECT count(*) FROM labelled WHERE feature IN ('kurtosis', 'skew') AND var = 0) AS compared, CASE WHEN feature = 'mean' THEN 0.5 ELSE 0.0 END::DOUBLE AS max_diff, CASE WHEN feature = 'mean' THEN (SELECT count(*) FROM labelled WHERE channel = 'AF') ELSE 0 END AS mismatches FROM c"),
     Entry("c17_shape_enrichment", enrichment, f"""WITH {I.ITEM_SEGMENTS}, {I.PEAKS_SQL}, x AS (SELECT split, anomaly, CASE WHEN n_peaks >= 3 AND diff_peaks <= 2 THEN 'intermittent_spikes' WHEN diff_peaks >= 10 THEN 'high_freq_jitter'
@@ -531,6 +535,7 @@ ENTRIES = [
     Entry("e17_durations", duration_stats, f"WITH {J.SCORED} SELECT round(median(score), 6) AS median, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max FROM scored"),
     Entry("e18_quantiles", quantile_stats, f"WITH {J.SCORED} SELECT {', '.join(f'round(quantile_cont(score, {p}), 6) AS {n}' for n, p in (('q00', 0.0), ('q10', 0.1), ('q25', 0.25), ('q50', 0.5), ('q75', 0.75), ('q90', 0.9), ('q100', 1.0)))}, count(DISTINCT round(score, 6)) AS distinct_values, round(avg(CASE WHEN score < 0.8 - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS share_below FROM scored"),
     Entry("e19_digests", digests),
+    Entry("e19_id_digest", id_digest, f"WITH {I.ITEM_SEGMENTS} SELECT split, sha256(string_agg(segment, ',' ORDER BY segment)) AS ids FROM labelled GROUP BY 1"),
     Entry("e20_run_counters", query_counters, f"WITH {J.SCORED} SELECT count(*) AS queries, count(*) FILTER (hits >= 3) AS failures, round(avg(score * 100), 4) AS avg_retrieval_ms, round(sum(score * 100), 4) AS total_retrieval_ms FROM scored"),
     Entry("f28_choice_stability", choice_stability, f"""WITH {I.ITEM_SEGMENTS}, d AS (SELECT l.*, s FROM labelled l, (SELECT unnest(range(1, 6)) AS s) WHERE {I.u_sql_tag('segment', 'CAST(s AS VARCHAR)')} < 0.5),
      tall AS (UNPIVOT (SELECT s, anomaly, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in J.COLS)} FROM d) ON {', '.join(J.COLS)} INTO NAME feature VALUE value),

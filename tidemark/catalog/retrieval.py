@@ -426,6 +426,18 @@ def bake_off(spark, sf):
                                        F.round(F.avg("kw_recall"), 6).alias("kw_recall"), F.round(F.coalesce(F.avg(1.0 / F.col("rank_first_usable")), F.lit(0.0)), 6).alias("mrr"))
 
 
+BAKE_OFF_SQL = f"""WITH {BM25_SQL}, {VPOOL_SQL}, {top_sql('kw', 40, 'ktop')}, {SPECS_SQL}, a AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM vpool),
+b AS (SELECT query_id, chunk_id, score, rank AS r FROM ktop WHERE query_id IN (SELECT query_id FROM vpool)),
+u AS (SELECT 'vector' AS pipeline, query_id, chunk_id, score FROM vpool UNION ALL SELECT 'keyword', query_id, chunk_id, score FROM b UNION ALL
+ SELECT 'rrf', coalesce(a.query_id, b.query_id), coalesce(a.chunk_id, b.chunk_id), coalesce(1.0::DOUBLE / (60 + a.r), 0.0) + coalesce(1.0::DOUBLE / (60 + b.r), 0.0) FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pipeline, query_id ORDER BY score DESC, chunk_id) AS rank FROM u) WHERE rank <= 5),
+r AS (SELECT t.*, must, list_contains(expect, source_name) AS ok, list_filter(must, lambda x: contains(lower(content), lower(x))) AS found FROM t JOIN chunks USING (chunk_id) JOIN specs USING (query_id)),
+per AS (SELECT pipeline, query_id, min(rank) FILTER (ok AND len(found) > 0) AS fu, len(list_distinct(flatten(list(found)))) AS nf FROM r GROUP BY 1, 2),
+g AS (SELECT DISTINCT pipeline, query_id, must FROM (SELECT DISTINCT pipeline FROM u), specs),
+j AS (SELECT pipeline, fu, round(coalesce(nf / greatest(len(must), 1), 0.0), 4)::DOUBLE AS kw FROM g LEFT JOIN per USING (pipeline, query_id))
+SELECT pipeline, count(*) AS n, round(avg(CAST(fu IS NOT NULL AS INTEGER)), 6) AS usable, round(avg(kw), 6) AS kw_recall, round(coalesce(avg(1.0 / fu), 0.0), 6)::DOUBLE AS mrr FROM j GROUP BY 1"""
+
+
 # ---- answers
 
 def answers(spark, sf):
@@ -562,7 +574,7 @@ ENTRIES = [
     Entry("i03_summary", summary, SUMMARY_SQL),
     Entry("i04_source_share", shares, f"{ZONE_CTE} SELECT source_name, count(*) AS slots, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM zt GROUP BY 1"),
     Entry("i05_compare_runs", run_compare, COMPARE_SQL),
-    Entry("i06_bake_off", bake_off),
+    Entry("i06_bake_off", bake_off, BAKE_OFF_SQL),
     Entry("i07_threshold_counts", thresholds, f"WITH {CHUNKS_SQL}, {VPOOL_SQL} SELECT query_id, t::DOUBLE AS threshold, count(*) FILTER (score >= t) AS results FROM vpool, (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS t) GROUP BY ALL"),
     Entry("i08_markers", markers, "SELECT role, count(*) AS n, count(*) * 2 AS markers, count(*) AS key_markers, 0::BIGINT AS complete, 0::BIGINT AS failed FROM conversations GROUP BY 1"),
     Entry("i09_per_channel", channel_log, f"WITH {CHUNKS_SQL}, {VPOOL_SQL}, q AS (SELECT query_id, max(score) AS s, count(*) AS n, sum(length(content)) AS ms FROM vpool GROUP BY 1) SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS channel, count(*) AS n, round(avg(s), 6) AS avg_top_score, round(avg(n), 6) AS avg_results, round(avg(ms), 6) AS avg_ms FROM q GROUP BY 1"),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import metrics as M
 from tidemark.functions.hashing import uniform
@@ -36,24 +41,40 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
+ROW_WEIGHTS_UP_TO = 1_000_000
+
+
+@F.pandas_udf(T.LongType())
+def _poisson(n: pd.Series, tag: pd.Series) -> pd.Series:
+    """Poisson(n) draw per row, seeded by its tag: the sum of n Poisson(1) weights."""
+    seeds = [int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big") for t in tag]
+    return pd.Series([int(np.random.default_rng(s).poisson(k)) for s, k in zip(seeds, n)])
+
+
 def replicate_counts(df: DataFrame, key: str, preds: list[str], truth: str = "anomaly", n_boot: int = 200,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, method: str | None = None) -> DataFrame:
     """Confusion counts of every bootstrap replicate in one pass.
 
-    Each row gets a Poisson(1) weight per replicate; weights are summed map-side into (replicate, truth,
-    predictions) cells, so what is shuffled does not grow with the rows.
+    ``rows``: each row gets a Poisson(1) weight per replicate from a hash, summed map-side into (replicate, truth,
+    predictions) cells. ``cells``: rows are counted into those few cells first and each replicate draws the cell's weight,
+    which has the same distribution and costs nothing per row. Without a choice large tables take the second.
     """
-    draws = df.select(key, truth, *preds).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    tag = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"))
-    cells = draws.withColumn("_w", poisson_weight(uniform(F.col(key), tag))).groupBy("replicate", truth, *preds).agg(
-        F.sum("_w").alias("_w"))
-    out = []
-    for p in preds:
-        for c in M.weighted_counts(F.col(truth), F.col(p), F.col("_w")):
-            out.append(c)
+    if method is None:
+        method = "rows" if df.count() <= ROW_WEIGHTS_UP_TO else "cells"
+    replicate = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate")
+    if method == "rows":
+        tag = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"))
+        draws = df.select(key, truth, *preds, replicate)
+        cells = draws.withColumn("_w", poisson_weight(uniform(F.col(key), tag))).groupBy("replicate", truth, *preds).agg(
+            F.sum("_w").alias("_w"))
+    else:
+        counted = df.groupBy(truth, *preds).agg(F.count(F.lit(1)).alias("_n"))
+        names = [F.col(c).cast("string") for c in ("replicate", truth, *preds)]
+        cells = counted.select("*", replicate).withColumn("_w", _poisson("_n", F.concat_ws(":", F.lit(str(seed)), *names)))
     named = []
-    for i, p in enumerate(preds):
-        named += [out[4 * i + j].alias(f"{p}_{n}") for j, n in enumerate(("tn", "fp", "fn", "tp"))]
+    for p in preds:
+        for n, c in zip(("tn", "fp", "fn", "tp"), M.weighted_counts(F.col(truth), F.col(p), F.col("_w"))):
+            named.append(c.alias(f"{p}_{n}"))
     return cells.groupBy("replicate").agg(*named)
 
 
@@ -62,17 +83,17 @@ def _f1_of(p: str) -> Column:
 
 
 def bootstrap_f1(df: DataFrame, key: str, pred: str = "pred", truth: str = "anomaly", n_boot: int = 200,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, method: str | None = None) -> DataFrame:
     """95 % percentile interval of F1."""
-    reps = replicate_counts(df, key, [pred], truth, n_boot, seed).select(_f1_of(pred).alias("f1"))
+    reps = replicate_counts(df, key, [pred], truth, n_boot, seed, method).select(_f1_of(pred).alias("f1"))
     return reps.agg(F.percentile("f1", F.lit(0.025)).alias("f1_low"), F.percentile("f1", F.lit(0.975)).alias("f1_high"),
                     F.count("f1").alias("n_boot"))
 
 
 def paired_bootstrap(df: DataFrame, key: str, pred_a: str, pred_b: str, truth: str = "anomaly", n_boot: int = 200,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, method: str | None = None) -> DataFrame:
     """Interval of F1(b) - F1(a) on shared weights and the share of replicates where b is ahead."""
-    reps = replicate_counts(df, key, [pred_a, pred_b], truth, n_boot, seed).select(
+    reps = replicate_counts(df, key, [pred_a, pred_b], truth, n_boot, seed, method).select(
         (_f1_of(pred_b) - _f1_of(pred_a)).alias("delta"))
     return reps.agg(
         F.percentile("delta", F.lit(0.025)).alias("delta_low"), F.percentile("delta", F.lit(0.975)).alias("delta_high"),

@@ -127,11 +127,12 @@ def _similarities(matrix: np.ndarray, queries: np.ndarray, metric: str) -> np.nd
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
-                 cells: dict[int, list[int]] | None = None) -> DataFrame:
+                 cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """Exact nearest chunks of every query.
 
     Queries travel in blocks as broadcasts; each task multiplies its rows with a block and keeps a running
     top k per query, so a task emits k rows per query whatever it read. A last top k merges the tasks.
+    ``cells``: centres and how many of the closest cells to look into; the corpus then has a ``cell`` column.
     """
     corpus_type = dict(corpus.dtypes)["chunk_id"]
     query_type = dict(queries.dtypes)["query_id"]
@@ -141,9 +142,9 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "c
 
     def run(block: list) -> DataFrame:
         names = [r["query_id"] for r in block]
-        shared = corpus.sparkSession.sparkContext.broadcast(
-            np.array([np.asarray(r["embedding"], dtype=float) for r in block]))
-        wanted = [set(cells.get(n, ())) for n in names] if cells is not None else None
+        matrix = np.array([np.asarray(r["embedding"], dtype=float) for r in block])
+        shared = corpus.sparkSession.sparkContext.broadcast(matrix)
+        wanted = np.argsort(-(matrix @ cells[0].T), axis=1, kind="stable")[:, :cells[1]] if cells is not None and names else None
 
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q = shared.value
@@ -157,7 +158,7 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "c
                 for i in range(len(names)):
                     line, who = sims[i], ids
                     if wanted is not None:
-                        ok = np.isin(cell, list(wanted[i]))
+                        ok = np.isin(cell, wanted[i])
                         line, who = line[ok], who[ok]
                     best = _best(who, line, k)
                     held[i] = heapq.nsmallest(k, held[i] + [(-line[j], who[j]) for j in best])
@@ -196,11 +197,7 @@ def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: in
                       seed: int = 42) -> DataFrame:
     """Nearest chunks looked for in the ``n_probe`` closest cells of each query only."""
     placed, centres = coarse_cells(corpus, n_cells, seed)
-    probe: dict = {}
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        sims = centres @ np.asarray(r["embedding"], dtype=float)
-        probe[r["query_id"]] = [int(c) for c in np.argsort(-sims, kind="stable")[:n_probe]]
-    return vector_top_k(placed, queries, k, cells=probe)
+    return vector_top_k(placed, queries, k, cells=(centres, n_probe))
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
