@@ -35,12 +35,15 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Latin identifiers and numbers without trailing dashes, then the character pairs of every CJK run."""
-    low = F.lower(normalise_space(text))
-    words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
-    runs = F.regexp_extract_all(low, F.lit(CJK + "{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(
-        F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.concat(words, pairs)
+    def cut(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+        runs = F.regexp_extract_all(low, F.lit(CJK + "{2,}"), F.lit(0))
+        pairs = F.flatten(F.transform(runs, lambda r: F.transform(
+            F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+        return F.concat(words, pairs)
+
+    # bound as a lambda variable, so that the text is normalised once
+    return F.get(F.transform(F.array(F.lower(normalise_space(text))), cut), F.lit(0))
 
 
 def cjk_count(text: Column) -> Column:

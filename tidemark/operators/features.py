@@ -75,7 +75,9 @@ def derived(stats: DataFrame, rounding: str = "floor", guard: bool = True) -> Da
 
 def _short(points: DataFrame, keys: list[str], rounding: str) -> DataFrame:
     row = F.struct("timestamp", "seq", "value")
-    stats = moments(points, keys, [F.sort_array(F.collect_list(row)).alias("_rows")])
+    # collecting does not shrink the data, so rows are dealt out by segment first and aggregated once, after the shuffle
+    dealt = points.repartition(*[F.col(k) for k in keys])
+    stats = moments(dealt, keys, [F.sort_array(F.collect_list(row)).alias("_rows")])
     times = F.transform("_rows", lambda r: F.unix_micros(r["timestamp"]))
     return (
         stats.withColumn("_k", _kernel(rounding)(F.col("_rows.value"), times))

@@ -38,7 +38,8 @@ PLACES = 9
 
 def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
     """(token, chunk, tf, doc_len). ``only`` keeps the tokens of a small vocabulary before anything is shuffled."""
-    toks = chunks.select(key, X.tokens(F.col(text)).alias("_t"))
+    # exploding a one-element array keeps the optimiser from repeating the token expression
+    toks = chunks.select(key, F.explode(F.array(X.tokens(F.col(text)))).alias("_t"))
     flat = toks.select(key, F.size("_t").alias("doc_len"), F.explode("_t").alias("token"))
     if only is not None:
         flat = flat.join(F.broadcast(only), "token", "left_semi")
