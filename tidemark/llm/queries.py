@@ -8,8 +8,9 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash
+from tidemark.llm import language, mixing, packing, quality, secrets, simhash, urls
 from tidemark.llm.common import table
 
 
@@ -23,6 +24,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+
+    def count(rank: int):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("bigint").alias(f"n_{secrets.KINDS[rank]}")
+
+    return found.select("doc_id", *map(count, range(4)), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the label of the document of its number: bad when toxic or of low quality."""
+    bad = ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")
+    outcomes = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+    return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -31,8 +55,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 ENTRIES = [
     Entry("op1_simhash", op1_simhash),
+    Entry("op2_language", op2_language),
+    Entry("op3_secrets", op3_secrets),
+    Entry("op4_urls", op4_urls),
     Entry("op6_mixing", op6_mixing),
     Entry("op9_packing", op9_packing),
+    Entry("op10_quality", op10_quality),
 ]
