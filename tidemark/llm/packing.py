@@ -13,81 +13,18 @@ token's name in a text is read as that token, as the tokenizer file has it. Othe
 
 from __future__ import annotations
 
-import base64
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Shelf, running_total, slices_for
+from tidemark.llm.tokens import VOCABULARY, coder
 
 CAPACITY = 2048
-VOCABULARY = "byte_bpe_50k"
-#: A worker forgets the encoded words beyond so many.
-REMEMBERED = 200_000
-SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
-_JOINED_SPACE = re.compile(r"\s | \s|^ | $")
-
-
-class WordCoder:
-    """Token ids as little-endian 32-bit words: the ids of the vocabulary's .json file, by the same vocabulary's ranks.
-
-    A space between two characters that are no white space always starts a new unit of the vocabulary's word rule, so the
-    text may be cut there and every piece encoded once and remembered. Texts with other spaces are encoded whole.
-    """
-
-    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
-        import tiktoken
-
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-        self.remembered = remembered
-
-    def _whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.encode(text), dtype="<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        if not text or _JOINED_SPACE.search(text):
-            return self._whole(text)
-        first, *words = text.split(" ")
-        known, out = self.known, [self._whole(first)]
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= self.remembered:
-                    known.clear()
-                ids = self._whole(" " + w)
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def ids(self, text: str) -> bytes:
-        if SPECIAL in text:
-            return SPECIAL_ID.to_bytes(4, "little").join(map(self._plain, text.split(SPECIAL)))
-        return self._plain(text)
-
-
-def coder(vocabulary: str = VOCABULARY) -> WordCoder:
-    """One per worker process."""
-    if vocabulary not in _CODERS:
-        _CODERS[vocabulary] = WordCoder(vocabulary)
-    return _CODERS[vocabulary]
-
-
-_CODERS: dict[str, WordCoder] = {}
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and its end token 0, cut to the capacity."""
     kind = dict(docs.dtypes)["doc_id"]

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, packing, quality, secrets, simhash, urls
+from tidemark.llm import language, lengths, media, mixing, packing, quality, secrets, simhash, urls
 from tidemark.llm.common import table
 
 
@@ -47,10 +47,18 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.length_histogram(lengths.token_counts(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,9 @@ ENTRIES = [
     Entry("op2_language", op2_language),
     Entry("op3_secrets", op3_secrets),
     Entry("op4_urls", op4_urls),
+    Entry("op5_media", op5_media),
     Entry("op6_mixing", op6_mixing),
+    Entry("op7_lengths", op7_lengths),
     Entry("op9_packing", op9_packing),
     Entry("op10_quality", op10_quality),
 ]
