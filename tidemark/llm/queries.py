@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lengths, media, mixing, packing, quality, secrets, simhash, urls
+from tidemark.llm import language, lengths, media, mixing, packing, quality, secrets, simhash, substrings, urls
 from tidemark.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.token_counts(table(spark, sf_dir, "documents")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ ENTRIES = [
     Entry("op5_media", op5_media),
     Entry("op6_mixing", op6_mixing),
     Entry("op7_lengths", op7_lengths),
+    Entry("op8_substrings", op8_substrings),
     Entry("op9_packing", op9_packing),
     Entry("op10_quality", op10_quality),
 ]
