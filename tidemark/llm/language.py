@@ -72,6 +72,8 @@ def subwords(text: str, bits: int) -> np.ndarray:
 def train(passages: list[tuple[str, str]], bits: int = 15, size: int = 16, epochs: int = 4, rate: float = 0.5, min_score: float = 0.4, seed: int = 7) -> Model:
     """passages: (language, text). Every fifth passage of a language calibrates."""
     languages = sorted({lang for lang, _ in passages})
+    if not languages:
+        return Model([], [], np.zeros(0), 1.0, min_score)
     rng = np.random.default_rng(seed)
     rows = rng.uniform(-1 / size, 1 / size, (2**bits, size))
     out, bias = np.zeros((size, len(languages))), np.zeros(len(languages))
@@ -100,7 +102,7 @@ def train(passages: list[tuple[str, str]], bits: int = 15, size: int = 16, epoch
     logits = np.array([(rows[at] * (count / n)[:, None]).sum(axis=0) @ out + bias for _, at, count, n in held or examples]).reshape(-1, len(languages))
     truth = np.array([y for y, *_ in held or examples], dtype=int)
     fits = [(-np.log(np.clip(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12, 1)).mean() if len(truth) else 0.0, t) for t in np.geomspace(0.05, 20, 60).tolist()]
-    return Model(languages, list((rows @ out).T.astype(np.float32).copy()), bias, min(fits)[1] if fits else 1.0, min_score)
+    return Model(languages, list((rows @ out).T.astype(np.float32).copy()), bias, min(fits)[1] if len(truth) else 1.0, min_score)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

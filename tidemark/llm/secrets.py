@@ -40,7 +40,6 @@ BINS = 2000
 def _spans(text: Column, pattern: str, rank: int, least_value: int = 0) -> Column:
     """Matches as structs (start, rank, end, value), from the pieces between them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if least_value else hits
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
     state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
@@ -48,10 +47,12 @@ def _spans(text: Column, pattern: str, rank: int, least_value: int = 0) -> Colum
         start = s["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         this = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["hit"].alias("value"))
-        keep = F.length(x["value"]) >= least_value
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(s["found"], this)).otherwise(s["found"]).alias("found"))
+        kept = F.array_append(s["found"], this)
+        if least_value:
+            kept = F.when(F.length(F.regexp_extract(x["hit"], pattern, 1)) >= least_value, kept).otherwise(s["found"])
+        return F.struct(end.alias("at"), kept.alias("found"))
 
-    cut = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value"))
+    cut = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
     found = F.aggregate(F.filter(cut, lambda x: x["hit"].isNotNull()), state, step)["found"]
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
 
@@ -74,37 +75,61 @@ def _tail(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-x * x / 2) * poly)
 
 
-def randomness(value: Column) -> Column:
-    """The joined p-value of "uniform draws from its encoding's alphabet"."""
-    body = F.regexp_replace(F.translate(value, "_-", "/+"), "=+$", "")
-    alphabet = F.lit(ENCODINGS[-1])
-    for chars, pattern in reversed(list(zip(ENCODINGS[:-1], ["^[0-9a-f]+$", "^[0-9A-F]+$", "^[A-Z2-7]+$", "^[A-Za-z0-9]+$"]))):
-        alphabet = F.when(F.rlike(body, F.lit(pattern)), F.lit(chars)).otherwise(alphabet)
-    letters = F.filter(F.split(body, ""), lambda c: c != "")
-    places = F.transform(letters, lambda c: F.instr(alphabet, c).cast("double"))
-    n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
+def _with(array: Column, names: list[str], **fields) -> tuple[Column, list[str]]:
+    """Structs of the array with further fields, each worked out once."""
+    out = F.transform(array, lambda c: F.struct(*[c[n].alias(n) for n in names], *[make(c).alias(n) for n, make in fields.items()]))
+    return out, names + list(fields)
+
+
+def _alphabet(c: Column) -> Column:
+    chars = F.lit(ENCODINGS[-1])
+    for narrow, pattern in reversed(list(zip(ENCODINGS[:-1], ["^[0-9a-f]+$", "^[0-9A-F]+$", "^[A-Z2-7]+$", "^[A-Za-z0-9]+$"]))):
+        chars = F.when(F.rlike(c["body"], F.lit(pattern)), F.lit(narrow)).otherwise(chars)
+    return chars
+
+
+def _squares(c: Column) -> Column:
+    """Squared counts of the characters, summed. In sorted places, one seen for the r-th time adds 2r - 1."""
     start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
-    # Sorted places: a value seen for the r-th time adds 2r - 1, which sums to its count squared.
-    squares = F.aggregate(F.array_sort(places), start, lambda s, x: F.struct(
-        x.alias("last"), F.when(x == s["last"], s["run"] + 1).otherwise(1.0).alias("run"),
-        (s["squares"] + 2 * F.when(x == s["last"], s["run"] + 1).otherwise(1.0) - 1).alias("squares")))["squares"]
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    walk = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("upper"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("product"))
 
     def step(s, x):
-        high = F.when(x > k / 2, 1.0).otherwise(0.0)
-        was = F.when(s["last"] > k / 2, 1.0).otherwise(0.0)
-        begins = F.when((s["last"] == 0.0) | (high != was), 1.0).otherwise(0.0)
-        product = F.when(s["last"] == 0.0, 0.0).otherwise((s["last"] - (k + 1) / 2) * (x - (k + 1) / 2))
+        again = x == s["last"]
+        return F.struct(x.alias("last"), F.when(again, s["run"] + 1).otherwise(1.0).alias("run"), (s["squares"] + F.when(again, 2 * s["run"] + 1).otherwise(1.0)).alias("squares"))
+
+    return F.aggregate(F.array_sort(c["places"]), start, step)["squares"]
+
+
+def _walk(c: Column) -> Column:
+    """upper: characters in the upper half; runs: of one half; product: of neighbours' distances from the middle."""
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("last", "upper", "runs", "product")])
+
+    def step(s, x):
+        first, half, middle = s["last"] == 0.0, c["k"] / 2, (c["k"] + 1) / 2
+        high = (x > half).cast("double")
+        begins = (first | (high != (s["last"] > half).cast("double"))).cast("double")
+        product = F.when(first, 0.0).otherwise((s["last"] - middle) * (x - middle))
         return F.struct(x.alias("last"), (s["upper"] + high).alias("upper"), (s["runs"] + begins).alias("runs"), (s["product"] + product).alias("product"))
 
-    seen = F.aggregate(places, walk, step)
-    a, b = seen["upper"], n - seen["upper"]
-    mean = 1 + 2 * a * b / n
-    spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9)))
-    one_sided = F.when((a == 0) | (b == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(_tail((seen["runs"] - mean) / spread))
-    serial = seen["product"] / F.sqrt(n - 1) / ((k * k - 1) / 12)
-    return F.when(n < 8, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 3 * F.least(_tail(chi), one_sided, _tail(serial))))
+    return F.aggregate(c["places"], start, step)
+
+
+def tested(found: Column) -> Column:
+    """Candidates with ``p``, the joined p-value of "uniform draws from the encoding's alphabet"."""
+    at, names = _with(found, ["start", "rank", "end", "value"], body=lambda c: F.regexp_replace(F.translate(c["value"], "_-", "/+"), "=+$", ""))
+    at, names = _with(at, names, chars=_alphabet)
+    at, names = _with(at, names, n=lambda c: F.length(c["body"]).cast("double"), k=lambda c: F.length(c["chars"]).cast("double"),
+                      places=lambda c: F.transform(F.filter(F.split(c["body"], ""), lambda x: x != ""), lambda x: F.instr(c["chars"], x).cast("double")))
+    at, names = _with(at, names, squares=_squares, walk=_walk)
+    at, names = _with(at, names, a=lambda c: c["walk"]["upper"], b=lambda c: c["n"] - c["walk"]["upper"])
+    at, names = _with(at, names, expected=lambda c: 1 + 2 * c["a"] * c["b"] / c["n"])
+    at, names = _with(
+        at, names,
+        chi=lambda c: (c["squares"] * c["k"] / c["n"] - c["n"] - (c["k"] - 1)) / F.sqrt(2 * (c["k"] - 1) * (c["n"] - 1) / c["n"]),
+        runs=lambda c: (c["walk"]["runs"] - c["expected"]) / F.sqrt(F.greatest((c["expected"] - 1) * (c["expected"] - 2) / F.greatest(c["n"] - 1, F.lit(1.0)), F.lit(1e-9))),
+        serial=lambda c: c["walk"]["product"] / F.sqrt(c["n"] - 1) / ((c["k"] * c["k"] - 1) / 12))
+    joined = lambda c: F.when(c["n"] < 8, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 3 * F.least(
+        _tail(c["chi"]), F.when((c["a"] == 0) | (c["b"] == 0), F.pow(F.lit(2.0), 1 - c["n"])).otherwise(_tail(c["runs"])), _tail(c["serial"]))))
+    return F.transform(at, lambda c: F.struct(c["start"], c["rank"], c["end"], c["value"], joined(c).alias("p")))
 
 
 def _weighted(p: Column, value: Column) -> Column:
@@ -137,9 +162,9 @@ def scan(docs: DataFrame, rate: float = 0.05, keep: list[str] | None = None) ->
 
     def scored(df: DataFrame, columns: list) -> DataFrame:
         based = df.select(*columns, base_spans(text).alias("_base"), text.alias("_text"))
-        found = based.withColumn("_found", candidates(F.col("_text"), F.col("_base")))
+        found = based.withColumn("_found", tested(candidates(F.col("_text"), F.col("_base"))))
         return found.withColumn("_found", F.transform("_found", lambda c: F.struct(
-            c["start"], c["rank"], c["end"], c["value"], _bin(_weighted(randomness(c["value"]), c["value"])).alias("bin"))))
+            c["start"], c["rank"], c["end"], c["value"], _bin(_weighted(c["p"], c["value"])).alias("bin"))))
 
     bins = scored(docs.filter(F.rlike(text, F.lit(CANDIDATE))), []).select(F.explode("_found.bin").alias("bin"))
     cut = rejection_bin(bins, rate)  # one row
