@@ -192,14 +192,14 @@ def test_plan_places_every_piece(seed):
 
 # ---- substrings
 
-@pytest.mark.parametrize("window, gram, most, limit", [(35, 8, 2048, 1 << 25), (35, 8, 1, 0), (12, 4, 3, 1 << 25), (5, 5, 2048, 0)])
-def test_repeats_against_all_windows(documents, odd_rows, window, gram, most, limit):
+@pytest.mark.parametrize("window, gram, most", [(35, 8, 2048), (35, 8, 1), (12, 4, 3), (5, 5, 2048)])
+def test_repeats_against_all_windows(documents, odd_rows, window, gram, most):
     rows = list(enumerate(r[1] for r in odd_rows))
     rng = random.Random(window)
     few = ["ab", "cd", "ef"]
     rows += [(100 + i, " ".join(rng.choice(few) for _ in range(rng.randint(0, 90)))) for i in range(40)]
     docs = documents([(i, t, None, None) for i, t in rows])
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.without_repeats(docs, window, gram, most, limit).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.without_repeats(docs, window, gram, most).collect()}
     assert got == dict(zip([i for i, _ in rows], brute.without_repeats([t for _, t in rows], window)))
 
 

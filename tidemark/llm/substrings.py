@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Shelf
 
 WINDOW, GRAM = 35, 8
-#: What a broadcast of removed ranges may hold; beyond, the documents are joined with them by a shuffle.
-BROADCAST_BYTES = 32 << 20
 #: Pieces that a task remembers to have sent, to send equal ones without their words.
 REMEMBERED = 100_000
 _FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,17 +250,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     return once.select("rid", "key").join(by_text, "rid").select("key", "ranges")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = 2048, broadcast_bytes: int = BROADCAST_BYTES, texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = 2048, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256; with ``texts`` also kept_text, the kept words joined by one space.
 
     most: pieces that one automaton is built of, at most.
     """
     shelf = Shelf(docs.sparkSession, "substrings")
     kind = dict(docs.dtypes)["doc_id"]
-    removed = shelf.put(repeated_ranges(docs, window, gram, most, shelf), "ranges")
-    rows, held = removed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    removed = removed.withColumnRenamed("key", "_key")
-    noted = F.broadcast(removed) if rows * 96 + held * 24 <= broadcast_bytes else removed
+    removed = repeated_ranges(docs, window, gram, most, shelf).withColumnRenamed("key", "_key")
 
     def keep(batches):
         for batch in batches:
@@ -286,5 +281,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
                                              names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts])
 
     met = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _text_key(F.col("text")).alias("_own")).join(
-        noted, F.col("_own") == F.col("_key"), "left").select("doc_id", "text", "ranges")
+        removed, F.col("_own") == F.col("_key"), "left").select("doc_id", "text", "ranges")
     return met.mapInArrow(keep, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
