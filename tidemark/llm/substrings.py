@@ -242,7 +242,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     counted = pieces.filter("shard <> content").withColumn("n", F.lit(1))
     dealt = counted.select("shard", "content", "words", "n").repartition("shard").sortWithinPartitions("shard", "content")
     matched = dealt.mapInArrow(lambda b: _shards(b, window), "content binary, ranges array<struct<a:int,b:int>>")
-    ranges = matched.groupBy("content").agg(F.flatten(F.collect_set("ranges")).alias("ranges")).unionByName(single)
+    # Stored, so that the join below has two plain exchanges and a content that many texts have can be split.
+    ranges = shelf.put(matched.groupBy("content").agg(F.flatten(F.collect_set("ranges")).alias("ranges")).unionByName(single), "matches")
     hits = pieces.select("rid", "start", "content").join(ranges, "content").select("rid", F.transform("ranges", lambda r: F.struct(
         (F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b"))).alias("ranges"))
     whole = once.filter("copies > 1").select("rid", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + window - 1).alias("b"))).alias("ranges"))
