@@ -44,6 +44,11 @@ def keyword_scores(spark, sf):
     return R.bm25(chunks(spark, sf), keyword_queries(spark, sf), posted=posted, stats=stats)
 
 
+def term_index(spark, sf):
+    """The index by chunk, built once per application."""
+    return I.stored(spark, sf, "chunk_terms", lambda: R.chunk_terms(chunks(spark, sf)))
+
+
 def label_queries(spark, sf):
     """One query per label: the mean vector of the label and the benchmark text of that number."""
     e = I.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
@@ -140,7 +145,7 @@ def bm25_without_index(spark, sf):
 
 
 def bm25_top(spark, sf):
-    return rounded(R.top_n(keyword_scores(spark, sf), 40), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(R.keyword_top(term_index(spark, sf), keyword_queries(spark, sf), 40), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 def quality(spark, sf):
@@ -215,7 +220,8 @@ def pools(spark, sf):
     def build_v():
         return R.vector_pool(nearest(spark, sf, R.pool_depth(5)), chunks(spark, sf), 5, threshold=0.1)
 
-    return I.stored(spark, sf, "vector_pool", build_v), I.stored(spark, sf, "keyword_scores", lambda: keyword_scores(spark, sf))
+    return I.stored(spark, sf, "vector_pool", build_v), I.stored(
+        spark, sf, "keyword_pool", lambda: R.keyword_top(term_index(spark, sf), label_queries(spark, sf), R.KEYWORD_POOL).drop("rank"))
 
 
 VPOOL_SQL = f"""{VEC_SQL}, {top_sql('sims', 40, 'deep')}, vpool AS (SELECT query_id, chunk_id, score, content, source_name, priority FROM deep JOIN chunks USING (chunk_id) WHERE score >= 0.1 AND NOT {low_sql('content')})"""
@@ -269,8 +275,8 @@ UNION ALL SELECT 'decay', query_id, chunk_id, round(v + coalesce(0.05 / rank, 0.
 
 def reranked(spark, sf):
     """The keyword score stands in for a second scorer."""
-    v, k = pools(spark, sf)
-    second = k.select("query_id", "chunk_id", F.col("score").alias("score2"))
+    v, _ = pools(spark, sf)
+    second = R.keyword_scores_of(v, term_index(spark, sf), label_queries(spark, sf)).select("query_id", "chunk_id", F.col("score").alias("score2"))
     pool = v.join(second.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     out = None
     for mode in ("all", "head", "blend", "bonus"):
@@ -319,8 +325,8 @@ def selected_rows(spark, sf):
 def search(spark, sf):
     from tidemark.plans.search import search as run
 
-    return run(label_queries(spark, sf), chunks(spark, sf).join(vectors(spark, sf).drop("label"), "chunk_id"), top_k=5,
-               threshold=0.1).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "low_confidence")
+    corpus = chunks(spark, sf).join(vectors(spark, sf).drop("label"), "chunk_id", "left")
+    return run(label_queries(spark, sf), corpus, top_k=5, threshold=0.1, terms=term_index(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "low_confidence")
 
 
 def zone_top(spark, sf):

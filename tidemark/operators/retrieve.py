@@ -7,11 +7,12 @@ The batch of queries is the small side; it is broadcast only after its size was
 
 from __future__ import annotations
 
-import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ RRF_K = 60
 LOW_CONFIDENCE = 0.45
 
 MAX_BROADCAST_TERMS = 1_000_000
+TERM_BLOCK = 200_000
 QUERY_BLOCK = 4096
 TERM_SALTS = 64
 PLACES = 9
@@ -105,6 +107,111 @@ def top_n(scored: DataFrame, n: int, value: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def merge_top(found: DataFrame, n: int, parts: int = 32) -> DataFrame:
+    """Best n per query of what tasks have found, in two steps: by query and part first, so no task merges all of a query."""
+    by_part = W.partitionBy("query_id", "_part").orderBy(F.col("score").desc(), "chunk_id")
+    few = found.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn(
+        "_at", F.row_number().over(by_part)).filter(F.col("_at") <= n).drop("_part", "_at")
+    return top_n(few, n)
+
+
+def chunk_terms(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """The index by chunk: chunk_id, doc_len, its different tokens and how often each occurs."""
+    kind = dict(chunks.dtypes)["chunk_id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [Counter(t or ()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sum(c.values()) for c in tokens], pa.int64()), pa.array([list(c) for c in tokens], pa.list_(pa.string())),
+                 pa.array([list(c.values()) for c in tokens], pa.list_(pa.int32()))], names=["chunk_id", "doc_len", "tokens", "tfs"])
+
+    return chunks.select("chunk_id", X.tokens(F.col(text)).alias("tokens")).mapInArrow(
+        count, f"chunk_id {kind}, doc_len bigint, tokens array<string>, tfs array<int>")
+
+
+def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1, b: float = B, distinct: bool = True) -> DataFrame:
+    """The n best chunks of every query with score and rank, from the index by chunk.
+
+    Weights of the query tokens go to the tasks, in blocks of bounded size; a chunk is scored where it lies and a task gives n rows per
+    query, whatever it has read. Every (query, chunk) score exists only inside its task.
+    """
+    spark = terms_of.sparkSession
+    asked = cut_lineage(query_terms(queries, distinct))
+    vocabulary = asked.select("token").distinct()
+    side = F.broadcast(vocabulary) if vocabulary.count() <= MAX_BROADCAST_TERMS else vocabulary
+    df = terms_of.select(F.explode("tokens").alias("token")).join(side, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n_chunks, avg_len = terms_of.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    weighed = asked.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight"))
+    kinds = dict(terms_of.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    found, block = None, []
+
+    def run(rows: list) -> DataFrame:
+        names = sorted({r["query_id"] for r in rows})
+        place, weights = {q: i for i, q in enumerate(names)}, {}
+        for r in rows:
+            weights.setdefault(r["token"], []).append((place[r["query_id"]], r["weight"]))
+        shared = spark.sparkContext.broadcast(
+            (names, {t: (np.array([i for i, _ in w]), np.array([x for _, x in w])) for t, w in weights.items()}))
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, weights = shared.value
+            ids, scores = [[] for _ in names], [[] for _ in names]
+            for batch in batches:
+                totals = np.zeros((batch.num_rows, len(names)))
+                chunk_ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                for row, (tokens, tfs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                    size = k1 * (1.0 - b + b * lengths[row] / avg_len)
+                    for token, tf in zip(tokens, tfs):
+                        if token in weights:
+                            at, w = weights[token]
+                            totals[row, at] += w * (tf * (k1 + 1.0) / (tf + size))
+                np.round(totals, PLACES, out=totals)
+                order = np.array(chunk_ids)
+                for i in range(len(names)):
+                    hit = np.flatnonzero(totals[:, i] > 0)
+                    if len(hit):
+                        best = hit[_best(order[hit], totals[hit, i], n)]
+                        ids[i] += [chunk_ids[j] for j in best]
+                        scores[i] += totals[best, i].tolist()
+                        if len(ids[i]) > 4 * n:
+                            keep = _best(np.array(ids[i]), np.array(scores[i]), n)
+                            ids[i], scores[i] = [ids[i][j] for j in keep], [scores[i][j] for j in keep]
+            for i, name in enumerate(names):
+                if ids[i]:
+                    keep = _best(np.array(ids[i]), np.array(scores[i]), n)
+                    yield pa.RecordBatch.from_pydict({"query_id": [name] * len(keep), "chunk_id": [ids[i][j] for j in keep], "score": [scores[i][j] for j in keep]})
+
+        return terms_of.mapInArrow(local, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+
+    # Rows come query by query; a block ends between queries.
+    for r in weighed.orderBy("query_id").toLocalIterator():
+        if len(block) >= TERM_BLOCK and block[-1]["query_id"] != r["query_id"]:
+            found = run(block) if found is None else found.unionByName(run(block))
+            block = []
+        block.append(r)
+    if block or found is None:
+        found = run(block) if found is None else found.unionByName(run(block))
+    return merge_top(found, n)
+
+
+def keyword_scores_of(pairs: DataFrame, terms_of: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = True) -> DataFrame:
+    """Keyword scores of given (query_id, chunk_id) pairs only."""
+    asked = cut_lineage(query_terms(queries, distinct))
+    vocabulary = asked.select("token").distinct()
+    flat = terms_of.select("chunk_id", "doc_len", F.explode(F.arrays_zip("tokens", "tfs")).alias("_x")).select(
+        "chunk_id", "doc_len", F.col("_x.tokens").alias("token"), F.col("_x.tfs").alias("tf"))
+    df = flat.select("token").join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n_chunks, avg_len = terms_of.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    weights = asked.join(df.select("token", idf(F.lit(n_chunks), F.col("df")).alias("idf")), "token")
+    held = terms_of.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "doc_len", F.explode(F.arrays_zip("tokens", "tfs")).alias("_x")).select(
+        "chunk_id", "doc_len", F.col("_x.tokens").alias("token"), F.col("_x.tfs").alias("tf"))
+    size = k1 * (1.0 - b + b * F.col("doc_len") / F.lit(avg_len))
+    part = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + size) * F.col("times")
+    met = pairs.select("query_id", "chunk_id").distinct().join(weights, "query_id").join(held, ["chunk_id", "token"])
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), PLACES).alias("score"))
+
+
 # ---- vector side --------------------------------------------------------------------------
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -127,59 +234,62 @@ def _similarities(matrix: np.ndarray, queries: np.ndarray, metric: str) -> np.nd
     return np.round(queries @ matrix.T, PLACES)
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
-                 cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """Matrix of a list column whose lists are of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _keep_best(held: tuple | None, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best per query of a block of similarities (queries x rows), with those held so far. Ties go to the smaller id."""
+    names = np.broadcast_to(ids, sims.shape)
+    if held is not None:
+        names, sims = np.concatenate([held[0], names], axis=1), np.concatenate([held[1], sims], axis=1)
+    if sims.shape[1] > k:
+        kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
+        width = int((sims >= kth).sum(axis=1).max())  # ties at the border are all looked at
+        at = np.argsort(-sims, axis=1, kind="stable")[:, :width] if width > k else np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        names, sims = np.take_along_axis(names, at, 1), np.take_along_axis(sims, at, 1)
+    order = np.lexsort((names, -sims), axis=1)[:, :k]
+    return np.take_along_axis(names, order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _flat(names: list, held: tuple) -> pa.RecordBatch:
+    ids, sims = held
+    return pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(names), ids.shape[1]), "chunk_id": ids.ravel(), "score": sims.ravel()})
+
+
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """Exact nearest chunks of every query.
 
     Queries travel in blocks as broadcasts; each task multiplies its rows with a block and keeps a running
-    top k per query, so a task emits k rows per query whatever it read. A last top k merges the tasks.
-    ``cells``: centres and how many of the closest cells to look into; the corpus then has a ``cell`` column.
+    top k per query, so a task emits k rows per query whatever it read. What the tasks keep is merged in two steps.
     """
-    corpus_type = dict(corpus.dtypes)["chunk_id"]
-    query_type = dict(queries.dtypes)["query_id"]
-    columns = ["chunk_id", "embedding"] + (["cell"] if cells is not None else [])
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    parts, block = [], []
+    kinds = dict(corpus.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    found, block = None, []
 
     def run(block: list) -> DataFrame:
         names = [r["query_id"] for r in block]
-        matrix = np.array([np.asarray(r["embedding"], dtype=float) for r in block])
-        shared = corpus.sparkSession.sparkContext.broadcast(matrix)
-        wanted = np.argsort(-(matrix @ cells[0].T), axis=1, kind="stable")[:, :cells[1]] if cells is not None and names else None
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q = shared.value
-            held: list[list] = [[] for _ in names]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                ids = pdf["chunk_id"].to_numpy()
-                sims = _similarities(np.array([np.asarray(e, dtype=float) for e in pdf["embedding"]]), q, metric)
-                cell = pdf["cell"].to_numpy() if wanted is not None else None
-                for i in range(len(names)):
-                    line, who = sims[i], ids
-                    if wanted is not None:
-                        ok = np.isin(cell, wanted[i])
-                        line, who = line[ok], who[ok]
-                    best = _best(who, line, k)
-                    held[i] = heapq.nsmallest(k, held[i] + [(-line[j], who[j]) for j in best])
-            out = [(names[i], c, -s) for i, line in enumerate(held) for s, c in line]
-            if out:
-                yield pd.DataFrame(out, columns=["query_id", "chunk_id", "score"])
-
-        return corpus.select(*columns).mapInPandas(local, f"query_id {query_type}, chunk_id {corpus_type}, score double")
-
-    for r in rows:
+        shared = corpus.sparkSession.sparkContext.broadcast(np.array([np.asarray(r["embedding"], dtype=float) for r in block]))
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if batch.num_rows and names:
+                    held = _keep_best(held, batch.column(0).to_numpy(zero_copy_only=False), _similarities(_rows_of(batch.column(1)), shared.value, metric), k)
+            if held is not None:
+                yield _flat(names, held)
+
+        return corpus.select("chunk_id", "embedding").mapInArrow(local, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+
+    for r in queries.select("query_id", "embedding").toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
-            parts.append(run(block))
+            found = run(block) if found is None else found.unionByName(run(block))
             block = []
-    if block or not parts:
-        parts.append(run(block))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_n(found, k)
+    if block or found is None:
+        found = run(block) if found is None else found.unionByName(run(block))
+    return merge_top(found, k)
 
 
 def coarse_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42):
@@ -194,11 +304,41 @@ def coarse_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42):
     return model.transform(points).drop("_v"), np.array(model.clusterCenters())
 
 
-def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probe: int = 4,
-                      seed: int = 42) -> DataFrame:
-    """Nearest chunks looked for in the ``n_probe`` closest cells of each query only."""
+def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probe: int = 4, seed: int = 42,
+                      rows_per_task: int = 50_000) -> DataFrame:
+    """Nearest chunks looked for in the ``n_probe`` closest cells of each query only.
+
+    Every query goes to its cells and meets their rows there; rows of other cells are never compared. A cell of more than ``rows_per_task``
+    rows is cut into salts, and its queries are copied to each.
+    """
     placed, centres = coarse_cells(corpus, n_cells, seed)
-    return vector_top_k(placed, queries, k, cells=(centres, n_probe))
+    kinds = dict(corpus.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    shared = corpus.sparkSession.sparkContext.broadcast(centres)  # n_cells rows
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(-(_rows_of(batch.column(1)) @ shared.value.T), axis=1, kind="stable")[:, :n_probe]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["query_id", "embedding", "cells"])
+
+    asked = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).mapInArrow(
+        probes, f"query_id {kinds[1]}, embedding array<double>, cells array<int>").select("query_id", "embedding", F.explode("cells").alias("cell"))
+    salts = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("_salts")))  # n_cells rows
+    rows = placed.select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), "cell").join(salts, "cell").withColumn(
+        "salt", F.pmod(F.xxhash64("chunk_id"), F.col("_salts"))).drop("_salts")
+    asked = asked.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))).drop("_salts")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], right.schema.field("query_id").type), "chunk_id": pa.array([], left.schema.field("chunk_id").type), "score": pa.array([], pa.float64())})
+        held, names = None, right["query_id"].to_pylist()
+        matrix = _rows_of(right["embedding"].combine_chunks())
+        for batch in left.to_batches(4096):
+            held = _keep_best(held, batch.column("chunk_id").to_numpy(zero_copy_only=False), _similarities(_rows_of(batch.column("embedding")), matrix, "cosine"), k)
+        return pa.Table.from_batches([_flat(names, held)])
+
+    found = rows.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(meet, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+    return merge_top(found, k)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
