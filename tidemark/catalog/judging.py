@@ -187,12 +187,12 @@ def poisson_sql(u):
 
 
 def bootstrap(spark, sf):
-    d = E.bootstrap_f1(rule_rows(spark, sf), "segment", n_boot=100)
+    d = E.bootstrap_f1(rule_rows(spark, sf), "segment")
     return rounded(d, "f1_low", "f1_high")
 
 
 BOOT_ROWS = f"""draws AS (SELECT segment, anomaly AS y, hits, score, r, {poisson_sql(I.u_sql_tag('segment', "'42:' || CAST(r AS VARCHAR)"))} AS w
- FROM scored, (SELECT unnest(range(1, 101)) AS r))"""
+ FROM scored, (SELECT unnest(range(1, 1001)) AS r))"""
 
 
 def weighted_f1_sql(flag):
@@ -202,7 +202,7 @@ def weighted_f1_sql(flag):
 
 def paired(spark, sf):
     rows = scored(spark, sf).withColumn("a", R.rule_prediction(1)).withColumn("b", R.rule_prediction(2))
-    d = E.paired_bootstrap(rows, "segment", "a", "b", n_boot=100)
+    d = E.paired_bootstrap(rows, "segment", "a", "b")
     return rounded(d, "delta_low", "delta_high", "delta_mean", "p_gain")
 
 

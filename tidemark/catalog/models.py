@@ -122,10 +122,10 @@ def evidence(spark, sf):
     names = corpus.select("chunk_id", "content", F.col("source_name").alias("filename"), F.col("priority").alias("page"))
 
     def retrieve(queries):
-        return R.top_n(R.bm25(corpus, queries), 5).join(names, "chunk_id")
+        return R.keyword_top(H.term_index(spark, sf), queries, 5).join(names, "chunk_id")
 
     labels = I.table(spark, sf, "nation").select(F.substring("n_name", 1, 2).alias("channel"), F.col("n_name").alias("label")).groupBy("channel").agg(F.min("label").alias("label"))
-    return explain(found, labels, retrieve, most=50).select("segment", "query", "pieces", "prompt", "answer", "success")
+    return explain(found, labels, retrieve).select("segment", "query", "pieces", "prompt", "answer", "success")
 
 
 def descriptions(spark, sf):

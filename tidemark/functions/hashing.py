@@ -18,6 +18,11 @@ def order_free_digest(*cols: Column) -> Column:
     return F.bit_xor(F.xxhash64(*cols))
 
 
-def ordered_set_digest(col: Column) -> Column:
-    """sha256 over the sorted distinct values; for sets known to be small."""
-    return F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(col.cast("string")))), 256)
+def set_digest(col: Column) -> Column:
+    """Aggregate digest of a set of distinct values: the sums of four 32-bit parts of their md5, each cut to 32 bits, as 32 hex digits.
+
+    It needs no order and no list of the values, and any engine with md5 can compute it.
+    """
+    digest = F.md5(col.cast("string"))
+    parts = [F.sum(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")) % (1 << 32) for at in (1, 9, 17, 25)]
+    return F.concat(*[F.lpad(F.lower(F.hex(p)), 8, "0") for p in parts])

@@ -41,9 +41,6 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
-ROW_WEIGHTS_UP_TO = 1_000_000
-
-
 @F.pandas_udf(T.LongType())
 def _poisson(n: pd.Series, tag: pd.Series) -> pd.Series:
     """Poisson(n) draw per row, seeded by its tag: the sum of n Poisson(1) weights."""
@@ -51,16 +48,14 @@ def _poisson(n: pd.Series, tag: pd.Series) -> pd.Series:
     return pd.Series([int(np.random.default_rng(s).poisson(k)) for s, k in zip(seeds, n)])
 
 
-def replicate_counts(df: DataFrame, key: str, preds: list[str], truth: str = "anomaly", n_boot: int = 200,
-                     seed: int = 42, method: str | None = None) -> DataFrame:
+def replicate_counts(df: DataFrame, key: str, preds: list[str], truth: str = "anomaly", n_boot: int = 1000,
+                     seed: int = 42, method: str = "rows") -> DataFrame:
     """Confusion counts of every bootstrap replicate in one pass.
 
     ``rows``: each row gets a Poisson(1) weight per replicate from a hash, summed map-side into (replicate, truth,
     predictions) cells. ``cells``: rows are counted into those few cells first and each replicate draws the cell's weight,
-    which has the same distribution and costs nothing per row. Without a choice large tables take the second.
+    which has the same distribution and costs nothing per row, but other draws. The table's size has no say in it.
     """
-    if method is None:
-        method = "rows" if df.count() <= ROW_WEIGHTS_UP_TO else "cells"
     replicate = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate")
     if method == "rows":
         tag = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"))
@@ -82,16 +77,16 @@ def _f1_of(p: str) -> Column:
     return M.f1(F.col(f"{p}_tp"), F.col(f"{p}_fp"), F.col(f"{p}_fn"))
 
 
-def bootstrap_f1(df: DataFrame, key: str, pred: str = "pred", truth: str = "anomaly", n_boot: int = 200,
-                 seed: int = 42, method: str | None = None) -> DataFrame:
+def bootstrap_f1(df: DataFrame, key: str, pred: str = "pred", truth: str = "anomaly", n_boot: int = 1000,
+                 seed: int = 42, method: str = "rows") -> DataFrame:
     """95 % percentile interval of F1."""
     reps = replicate_counts(df, key, [pred], truth, n_boot, seed, method).select(_f1_of(pred).alias("f1"))
     return reps.agg(F.percentile("f1", F.lit(0.025)).alias("f1_low"), F.percentile("f1", F.lit(0.975)).alias("f1_high"),
                     F.count("f1").alias("n_boot"))
 
 
-def paired_bootstrap(df: DataFrame, key: str, pred_a: str, pred_b: str, truth: str = "anomaly", n_boot: int = 200,
-                     seed: int = 42, method: str | None = None) -> DataFrame:
+def paired_bootstrap(df: DataFrame, key: str, pred_a: str, pred_b: str, truth: str = "anomaly", n_boot: int = 1000,
+                     seed: int = 42, method: str = "rows") -> DataFrame:
     """Interval of F1(b) - F1(a) on shared weights and the share of replicates where b is ahead."""
     reps = replicate_counts(df, key, [pred_a, pred_b], truth, n_boot, seed, method).select(
         (_f1_of(pred_b) - _f1_of(pred_a)).alias("delta"))

@@ -174,6 +174,8 @@ def segment_features(points: DataFrame, keys: list[str] | None = None, rounding:
                      guard: bool = True, block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """Meta columns and the 18 features, one row per segment. ``longest``: known bound on points per segment."""
     keys = keys or ["channel", "segment"]
+    # A point without a number is no point, on either route below.
+    points = points.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
     if longest is None:
         longest = largest_group(points, keys)
     if longest <= block:

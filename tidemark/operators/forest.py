@@ -87,14 +87,17 @@ def fit(train: DataFrame, vector: Column, key: str = "segment", group: str | lis
     name = F.lit("*") if group is None else F.concat_ws("|", *([group] if isinstance(group, str) else group))
     rows = train.select(name.alias("grp"), F.col(key).cast("string").alias("key"), vector.alias("x"))
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_fit)
-    pool = psi * trees
-    drawn = rows.join(sizes, "grp").withColumn("u", uniform(F.col("key"), seed)).filter(
-        F.col("u") * F.col("n") <= 2.0 * pool)
-    drawn = drawn.withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("u", "key"))).filter(
-        F.col("_r") <= pool)
-    each = drawn.select("grp", "key", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    tag = F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"))
-    each = each.withColumn("u", uniform(F.col("key"), tag)).withColumn(
+
+
+    def lot(tree: Column) -> Column:
+        return uniform(F.col("key"), F.concat_ws(":", F.lit(str(seed)), tree.cast("string")))
+
+    # Every row may be drawn by every tree. A row leaves its task only for the trees in whose first lots it is: some more than
+    # psi per tree, so that the psi smallest are among them but for a chance below 1e-9.
+    enough = psi + 6.0 * math.sqrt(psi) + 20.0
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: lot(t) * F.col("n") <= enough)
+    each = rows.join(sizes, "grp").select("grp", "key", "x", F.explode(drawn).alias("tree"))
+    each = each.withColumn("u", lot(F.col("tree"))).withColumn(
         "_r", F.row_number().over(W.partitionBy("grp", "tree").orderBy("u", "key"))).filter(F.col("_r") <= psi)
     samples = each.groupBy("grp", "tree").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))
     return samples.withColumn("t", _grow_batch("grp", "tree", F.lit(str(seed)), F.col("rows.x"))).select(

@@ -15,6 +15,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions.hashing import uniform
 from tidemark.operators.evaluate import evaluate
 from tidemark.operators.forest import GRID, MIN_EVAL, MIN_FIT, contamination_thresholds, sufficient
+from tidemark.operators.quantiles import quantiles
 from tidemark.session import cut_lineage
 
 # Parameter grids (thresholds start above zero) and the order in which ties are resolved.
@@ -214,12 +215,12 @@ def tie_enumeration(val: DataFrame, test: DataFrame, cap: int = 20_000, seed: in
 
 def distribution(values: DataFrame, col: str, point: Column | None = None) -> DataFrame:
     """Min, tenths, quartiles, max, number of distinct rounded values, share below a point."""
-    aggs = [F.percentile(col, F.lit(p)).alias(n) for n, p in
-            (("q00", 0.0), ("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9), ("q100", 1.0))]
-    aggs.append(F.countDistinct(F.round(col, 6)).alias("distinct_values"))
+    probs = {"q00": 0.0, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q100": 1.0}
+    aggs = [F.countDistinct(F.round(col, 6)).alias("distinct_values")]
     if point is not None:
         aggs.append(F.avg((F.col(col) < point - 1e-12).cast("double")).alias("share_below"))
-    return values.agg(*aggs)
+    all_ = values.withColumn("_all", F.lit(1))
+    return quantiles(all_, ["_all"], col, probs).join(all_.groupBy("_all").agg(*aggs), "_all").drop("_all")
 
 
 # ---- fixed schemes --------------------------------------------------------------------------

@@ -58,8 +58,13 @@ def _bracketed(known: DataFrame, keys: list[str], value: str, probs: dict[str, f
         return F.when(F.first(rank) < F.first("_below"), F.first("_under")).when(
             F.first(rank) >= F.first("_reach"), F.first("_over")).otherwise(found)
 
+    # The sketch only promises: a rank farther outside its bracket than one place is looked for in the whole key instead.
+    missed = (F.floor(at) < F.col("_below") - 1) | (F.ceil(at) > F.col("_reach"))
     picked = ranked.groupBy(*keys, "name").agg(
         order_statistic(F.floor(at)).alias("a"), order_statistic(F.ceil(at)).alias("b"),
-        F.first(at - F.floor(at)).alias("f"))
-    return picked.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).groupBy(*keys).pivot(
+        F.first(at - F.floor(at)).alias("f"), F.max(missed).alias("_missed"))
+    wide = picked.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).groupBy(*keys).pivot(
         "name", list(probs)).agg(F.first("x"))
+    redo = picked.groupBy(*keys).agg(F.max("_missed").alias("_m"), F.count(F.lit(1)).alias("_k")).filter(F.col("_m") | (F.col("_k") < len(probs))).select(*keys)
+    again = known.join(redo, keys, "left_semi").groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+    return wide.join(redo, keys, "left_anti").unionByName(again)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import severity as V
 from tidemark.functions.text import shorten
 from tidemark.operators.ordering import positions, tail_rows
+from tidemark.operators.quantiles import quantiles
 
 TAIL = 500
 MAX_PAGE = 1000
@@ -133,7 +134,9 @@ def improvement(stages: DataFrame, order: str = "stage", value: str = "f1") -> D
 
 
 def durations(log: DataFrame, col: str) -> DataFrame:
-    return log.agg(F.percentile(col, F.lit(0.5)).alias("median"), F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
+    all_ = log.withColumn("_all", F.lit(1))
+    rest = all_.groupBy("_all").agg(F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return rest.join(quantiles(all_, ["_all"], col, {"median": 0.5}), "_all", "left").select("median", "mean", "min", "max")
 
 
 def point_lookup(table: DataFrame, segment: str, channel: str, order: str) -> DataFrame:

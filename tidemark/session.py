@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Worker processes find the package here, wherever the driver was started; a cluster gets it by --py-files or an installed wheel.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidemark") -> SparkSession:
     """A session for tests and the bench; clusters bring their own settings."""
     return (
@@ -18,6 +23,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidem
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")])))
         .getOrCreate()
     )
 

@@ -12,6 +12,7 @@ from tidemark.functions import severity as V
 from tidemark.operators import forest as T
 from tidemark.operators import fusion as U
 from tidemark.operators import rules as R
+from tidemark.operators.evidence import general_format
 from tidemark.operators.features import feature_vector, segment_features
 from tidemark.operators.reports import latest_per_key
 from tidemark.schema import FEATURES
@@ -46,8 +47,10 @@ class Judge:
         return cls(limits, strong, forest, cuts, cut_lineage(T.display_scale(margins)))
 
     def features(self, closed: DataFrame) -> DataFrame:
-        rows = segment_features(to_points(closed), rounding="round")
-        return rows.join(closed.select("channel", "segment", "official", "provisional"), ["channel", "segment"])
+        """A run is named by its first clock too: an id that comes back in a batch is a segment of its own."""
+        keys = ["channel", "segment", "run"]
+        rows = segment_features(to_points(closed), keys, rounding="round")
+        return rows.join(closed.select("channel", "segment", F.get("clocks", F.lit(0)).alias("run"), "official", "provisional"), keys)
 
     def judge(self, features: DataFrame) -> DataFrame:
         """Verdict columns for feature rows."""
@@ -79,7 +82,7 @@ def alert_rows(judged: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     forest = F.when(F.col("if_flag"), "IF:异常").when(~F.col("if_flag"), "IF:正常").otherwise("IF:—(弱通道纯规则)")
     summary = F.format_string(
         "【实时·Stage 2】%s 段%s 判定异常 · %s · 规则违例 %d 条(≥2 判异常) · len=%d mean=%s std=%s · RAG 诊断待生成",
-        "channel_label", "segment", forest, "hits", "len", F.round("mean", 4).cast("string"), F.round("std", 4).cast("string"))
+        "channel_label", "segment", forest, "hits", "len", general_format(F.col("mean")), general_format(F.col("std")))
     return rows.select(
         "segment", "channel", "channel_label", (F.unix_micros("first_ts") / 1e6).alias("first_ts"),
         (F.unix_micros("last_ts") / 1e6).alias("last_ts"), F.round("raw_score", 4).alias("raw_score"), "anomaly_score", "severity",
@@ -96,7 +99,7 @@ def preview_rows(judged: DataFrame) -> DataFrame:
 
 def judge_batch(judge: Judge, closed: DataFrame, batch_id: int, folder: str, labels: DataFrame | None = None) -> None:
     """Verdict log, alert log and latest scores of one micro-batch. Every write names the batch, so a retry replaces it."""
-    features = judge.features(closed).filter(F.col("len") >= MIN_POINTS)
+    features = judge.features(cut_lineage(closed)).filter(F.col("len") >= MIN_POINTS)
     judged = cut_lineage(judge.judge(features))
     final = judged.filter("NOT provisional")
     log_verdicts(verdict_rows(final), f"{folder}/verdicts", batch_id)

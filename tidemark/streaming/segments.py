@@ -123,5 +123,5 @@ def open_segments(points: DataFrame, preview: bool = False) -> DataFrame:
 def to_points(closed: DataFrame) -> DataFrame:
     """Closed segments back to points, for the batch operators."""
     pairs = F.posexplode(F.arrays_zip("values", "clocks")).alias("seq", "p")
-    return closed.select("channel", "segment", "sampling", pairs).select(
-        "channel", "segment", "sampling", F.timestamp_micros("p.clocks").alias("timestamp"), "seq", F.col("p.values").alias("value"))
+    return closed.select("channel", "segment", "sampling", F.get("clocks", F.lit(0)).alias("run"), pairs).select(
+        "channel", "segment", "run", "sampling", F.timestamp_micros("p.clocks").alias("timestamp"), "seq", F.col("p.values").alias("value"))
