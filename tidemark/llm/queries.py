@@ -44,7 +44,47 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcome of a page is the label of the document of its number: bad when toxic or of low quality."""
     bad = ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")
     outcomes = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+    found = urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+    return found.withColumn("bad_bound", F.round("bad_bound", 6))
+
+
+def _level_sql(name: str, source: str) -> str:
+    """Strength and posterior of one level, from rows (key, prior, n, bad)."""
+    return f"""{name}_w AS (SELECT CASE WHEN spread <= chance THEN 1000.0 ELSE least(1000.0, greatest(2.0, room / (spread - chance) - 1)) END AS worth FROM
+  (SELECT sum((bad - n * prior) * (bad - n * prior) / n) AS spread, sum(prior * (1 - prior)) AS chance, sum((n - 1) * prior * (1 - prior)) AS room FROM {source})),
+{name} AS (SELECT *, prior * worth + bad AS a, (1 - prior) * worth + n - bad AS b FROM {source}, {name}_w)"""
+
+
+def _bound_sql(level: str) -> str:
+    return f"{level}.a / ({level}.a + {level}.b) - 1.645 * sqrt({level}.a * {level}.b / (({level}.a + {level}.b) * ({level}.a + {level}.b) * ({level}.a + {level}.b + 1)))"
+
+
+def _domain_sql(host: str, names: int) -> str:
+    """The last names of a host, one more under a public suffix of two names."""
+    listed = ", ".join(f"'{x}'" for x in urls.SUFFIXES)
+    last = f"array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.')"
+    take = f"CASE WHEN {last} IN ({listed}) THEN {names + 1} ELSE {names} END"
+    return f"array_to_string(list_slice(string_split({host}, '.'), greatest(1, len(string_split({host}, '.')) - ({take}) + 1), len(string_split({host}, '.'))), '.')"
+
+
+def _rules_sql(of_verdict: bool) -> str:
+    longest = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v if of_verdict else h + p}'" for v, h, p in longest) + " END"
+
+
+URLS_SQL = f"""WITH o AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages),
+r AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1), '') AS path FROM u),
+hs AS (SELECT host, count(*) AS n, sum(bad) AS bad, {_domain_sql('host', 2)} AS domain, {_domain_sql('host', 1)} AS suffix FROM r JOIN o USING (page_id) WHERE host <> '' GROUP BY host),
+ds AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hs GROUP BY ALL), ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM ds GROUP BY ALL),
+s0 AS (SELECT ss.*, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM ss) AS prior FROM ss), {_level_sql('s', 's0')},
+d0 AS (SELECT ds.*, s.a / (s.a + s.b) AS prior FROM ds JOIN s USING (suffix)), {_level_sql('d', 'd0')},
+h0 AS (SELECT hs.*, d.a / (d.a + d.b) AS prior FROM hs JOIN d USING (domain)), {_level_sql('h', 'h0')},
+k AS (SELECT DISTINCT host, {_domain_sql('host', 2)} AS domain, {_domain_sql('host', 1)} AS suffix FROM r WHERE host <> ''),
+b AS (SELECT k.host, coalesce({_bound_sql('h')}, {_bound_sql('d')}, {_bound_sql('s')}) AS bound FROM k LEFT JOIN h ON h.host = k.host LEFT JOIN d ON d.domain = k.domain LEFT JOIN s ON s.suffix = k.suffix)
+SELECT page_id, host, path, {_rules_sql(False)} AS rule, coalesce({_rules_sql(True)}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bad_bound
+FROM r LEFT JOIN b USING (host)"""
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +115,7 @@ ENTRIES = [
     Entry("op1_simhash", op1_simhash),
     Entry("op2_language", op2_language),
     Entry("op3_secrets", op3_secrets),
-    Entry("op4_urls", op4_urls),
+    Entry("op4_urls", op4_urls, URLS_SQL),
     Entry("op5_media", op5_media),
     Entry("op6_mixing", op6_mixing),
     Entry("op7_lengths", op7_lengths),
