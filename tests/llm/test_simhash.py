@@ -10,6 +10,11 @@ from tidemark.llm.common import Shelf
 from tidemark.llm.components import components
 
 
+def test_masks_are_all_prefix_differences_within_the_budget():
+    allowed = S.depth_budget(4, [13, 13, 13, 13, 12])
+    assert S.masks(allowed, 13) == [0] and sorted(S.masks(allowed, 16)) == [0, 1, 2, 4]
+
+
 def test_fingerprints_match_the_definition(documents, odd_rows):
     got = {(r.doc_id, r.fp % 2**64) for r in S.fingerprints(documents(odd_rows)).collect()}
     assert got == {(i, brute.simhash(t)) for i, t, *_ in odd_rows}
@@ -41,7 +46,7 @@ def test_representatives_keep_one_of_each_group(documents, odd_rows):
     assert sum(i is None for i in ids) == 2
 
 
-@pytest.mark.parametrize("budget, most", [(4, 1 << 15), (4, 40), (2, 1 << 15), (7, 50)])
+@pytest.mark.parametrize("budget, most", [(4, 1 << 15), (4, 20), (4, 1), (2, 1 << 15), (7, 30), (12, 8), (12, 1 << 15)])
 def test_trie_join_against_all_pairs(spark, budget, most):
     rng = random.Random(budget + most)
     prints = {rng.getrandbits(64) for _ in range(150)}
@@ -57,16 +62,41 @@ def test_trie_join_against_all_pairs(spark, budget, most):
             y ^= 1 << b
         prints.add(y)
     prints = sorted(prints | {0, 2**64 - 1})
-    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    pairs = S.links(df, budget, most)
+    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    pairs = S.links(df, Shelf(spark, "test"), budget, most)
     rows = pairs.collect()
-    assert len(rows) <= 30 * len(prints) and all(bin((r.a ^ r.b) % 2**64).count("1") <= 64 for r in rows)
+    assert most < 1 << 15 or len(rows) <= (budget + 1) * len(prints)  # a forest per rotation, not all pairs
     roots = {r.id: r.root for r in components(pairs, Shelf(spark, "test")).collect()}
-    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
-    groups = {}
-    for p, c in zip(signed, brute.classes(prints, budget)):
-        groups.setdefault(c, []).append(p)
-    assert {p: min(g) for g in groups.values() for p in g} == {p: roots.get(p, p) for p in signed}
+    assert brute.classes(prints, budget) == [roots.get(i, i) for i in range(len(prints))]
+
+
+def test_similar_texts_are_linked_and_others_are_not(documents):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    rows, want = [], {}
+    for g in range(25):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        half = [rng.choice(vocabulary) for _ in range(150)] + words[150:]
+        for k in range(4):
+            copy = list(words)
+            for at in rng.sample(range(300), k):
+                copy[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy), "en", "a"))
+            want[len(rows) - 1] = len(rows) - 1 - k
+        rows.append((len(rows), " ".join(half), "en", "a"))  # similarity about a third
+        want[len(rows) - 1] = len(rows) - 1
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(documents(rows), shingle=5, budget=12, similarity=0.8).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 2
+    assert all(got[i] == i for i in range(4, len(rows), 5))
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """Many rows of one key that the further words tell apart, and some that they do not."""
+    rows = [(i, 5, 0, 0, -1 if i % 2 else 0) for i in range(300)]
+    pairs = S.links(spark.createDataFrame(rows, "id long, fp long, fp1 long, fp2 long, fp3 long"), Shelf(spark, "test"), 12, similarity=0.8)
+    roots = {r.id: r.root for r in components(pairs, Shelf(spark, "test")).collect()}
+    assert [roots.get(i, i) for i in range(300)] == [i % 2 for i in range(300)]
 
 
 def test_long_chain_of_components(spark):
