@@ -15,7 +15,7 @@ A task keeps its node pairs on a stack in blocks of bounded size, drops pairs of
 a spanning forest of the links that it finds, never all pairs. Components over the forests of all tasks are found by alternating large and small stars in Spark.
 
 With ``similarity`` the budget only finds candidates: a link must also agree in 256 bits, the fingerprint and three more of the
-same shingles, as often as two texts of that Jaccard similarity do on average.
+same shingles, about as often as two texts of that Jaccard similarity do.
 
 Nulls and edges: null and wordless texts have fingerprint zero and are linked like any other; a null doc_id never
 names a component unless it has no other; repeated rows are linked; an empty table gives no rows. Other columns are ignored.
@@ -124,8 +124,9 @@ def masks(allowed: np.ndarray, depth: int) -> list[int]:
 
 
 def bits_apart(similarity: float, bits: int) -> int:
-    """Bits in which SimHashes of two texts of this Jaccard similarity differ on average, the texts being of one length."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Bits in which SimHashes of two texts of this Jaccard similarity differ on average, and half a deviation; the texts being of one length."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + 0.5 * math.sqrt(bits * p * (1 - p)))
 
 
 class _Forest:
