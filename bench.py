@@ -17,7 +17,7 @@ from tidemark.session import local_session  # noqa: E402
 HEADLINE = [
     "c05_moments", "c04_features_events", "c08_features_items", "c02_gap_segments", "c03_live_labels", "f01_thresholds", "f04_rule_hits",
     "f23_strategies", "f30_tie_enumeration", "g06_bootstrap_f1", "f24_feature_auc", "f10_forest_scores", "h03_tokens", "h05_bm25",
-    "h11_top_k", "h14_hybrid", "h18_select", "h22_context", "i03_summary", "e08_alert_totals", "e09_sparkline", "e10_waveform", "j03_stream_verdicts",
+    "h11_top_k", "h14_hybrid", "h21_search", "h18_select", "h22_context", "i03_summary", "e08_alert_totals", "e09_sparkline", "e10_waveform", "j03_stream_verdicts",
 ]
 
 

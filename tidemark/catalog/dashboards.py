@@ -13,7 +13,7 @@ from tidemark.catalog import judging as J
 from tidemark.catalog import retrieval as H
 from tidemark.catalog import telemetry as T
 from tidemark.functions import severity as V
-from tidemark.functions.hashing import order_free_digest, set_digest, uniform
+from tidemark.functions.hashing import set_digest, uniform
 from tidemark.operators import evaluate as E
 from tidemark.operators import features as X
 from tidemark.operators import reports as D
@@ -348,9 +348,14 @@ def quantile_stats(spark, sf):
     return rounded(distribution(J.scored(spark, sf), "score", F.lit(0.8)), "q00", "q10", "q25", "q50", "q75", "q90", "q100", "share_below")
 
 
+def set_digest_sql(value):
+    parts = [f"printf('%08x', CAST(sum(CAST('0x' || substr(md5({value}), {at}, 8) AS BIGINT)) % 4294967296 AS BIGINT))" for at in (1, 9, 17, 25)]
+    return " || ".join(parts)
+
+
 def digests(spark, sf):
     return J.segments(spark, sf).groupBy("split").agg(
-        set_digest(F.col("segment")).alias("ids"), order_free_digest(F.col("segment"), F.col("anomaly")).alias("rows"))
+        set_digest(F.col("segment")).alias("ids"), set_digest(F.concat_ws("#", F.col("segment"), F.col("anomaly").cast("string"))).alias("rows"))
 
 
 def id_digest(spark, sf):
@@ -536,8 +541,8 @@ ENTRIES = [
     Entry("e16_f1_ranking", ranking, f"WITH {J.SCORED}, v AS (SELECT channel, anomaly AS y, CAST(hits >= 2 AS INTEGER) AS p FROM scored) SELECT channel, round(f1, 4) AS f1, round(precision, 4) AS precision, round(recall, 4) AS recall FROM {J.metrics_sql('v', 'channel')} ORDER BY f1 DESC, channel"),
     Entry("e17_durations", duration_stats, f"WITH {J.SCORED} SELECT round(median(score), 6) AS median, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max FROM scored"),
     Entry("e18_quantiles", quantile_stats, f"WITH {J.SCORED} SELECT {', '.join(f'round(quantile_cont(score, {p}), 6) AS {n}' for n, p in (('q00', 0.0), ('q10', 0.1), ('q25', 0.25), ('q50', 0.5), ('q75', 0.75), ('q90', 0.9), ('q100', 1.0)))}, count(DISTINCT round(score, 6)) AS distinct_values, round(avg(CASE WHEN score < 0.8 - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS share_below FROM scored"),
-    Entry("e19_digests", digests),
-    Entry("e19_id_digest", id_digest, f"WITH {I.ITEM_SEGMENTS} SELECT split, {' || '.join(f"printf('%08x', CAST(sum(CAST('0x' || substr(md5(segment), {at}, 8) AS BIGINT)) % 4294967296 AS BIGINT))" for at in (1, 9, 17, 25))} AS ids FROM labelled GROUP BY 1"),
+    Entry("e19_digests", digests, f"WITH {I.ITEM_SEGMENTS} SELECT split, {set_digest_sql('segment')} AS ids, {set_digest_sql("segment || '#' || CAST(anomaly AS VARCHAR)")} AS rows FROM labelled GROUP BY 1"),
+    Entry("e19_id_digest", id_digest, f"WITH {I.ITEM_SEGMENTS} SELECT split, {set_digest_sql('segment')} AS ids FROM labelled GROUP BY 1"),
     Entry("e20_run_counters", query_counters, f"WITH {J.SCORED} SELECT count(*) AS queries, count(*) FILTER (hits >= 3) AS failures, round(avg(score * 100), 4) AS avg_retrieval_ms, round(sum(score * 100), 4) AS total_retrieval_ms FROM scored"),
     Entry("f28_choice_stability", choice_stability, f"""WITH {I.ITEM_SEGMENTS}, d AS (SELECT l.*, s FROM labelled l, (SELECT unnest(range(1, 6)) AS s) WHERE {I.u_sql_tag('segment', 'CAST(s AS VARCHAR)')} < 0.5),
      tall AS (UNPIVOT (SELECT s, anomaly, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in J.COLS)} FROM d) ON {', '.join(J.COLS)} INTO NAME feature VALUE value),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Entry
@@ -49,13 +50,20 @@ def term_index(spark, sf):
     return I.stored(spark, sf, "chunk_terms", lambda: R.chunk_terms(chunks(spark, sf)))
 
 
-def label_queries(spark, sf):
-    """One query per label: the mean vector of the label and the benchmark text of that number."""
+def label_vectors(spark, sf):
+    """The mean vector of each label."""
     e = I.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vectors = means.groupBy(F.col("label").cast("long").alias("query_id")).agg(
+    return means.groupBy(F.col("label").cast("long").alias("label")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    return vectors.join(keyword_queries(spark, sf), "query_id")
+
+
+def label_queries(spark, sf):
+    """One query per benchmark text; its vector is the mean of a label, dealt out by number."""
+    means = label_vectors(spark, sf)
+    placed = means.withColumn("_at", F.row_number().over(W.orderBy("label")) - 1)  # one row per label
+    return keyword_queries(spark, sf).crossJoin(means.agg(F.count(F.lit(1)).alias("_n"))).withColumn("_at", F.pmod("query_id", F.col("_n"))).join(
+        placed.select("_at", "embedding"), "_at").select("query_id", "embedding", "text")
 
 
 def vectors(spark, sf):
@@ -112,7 +120,7 @@ def top_sql(source, n, out):
 
 VEC_SQL = """lq AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY i) AS e FROM (SELECT label, i, avg(x::DOUBLE) AS x FROM
  (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
-labq AS (SELECT query_id, e, text FROM lq JOIN (SELECT item_id AS query_id, text FROM benchmark) USING (query_id)),
+labq AS (SELECT item_id AS query_id, e, text FROM benchmark JOIN (SELECT e, row_number() OVER (ORDER BY query_id) - 1 AS place, count(*) OVER () AS n FROM lq) ON place = item_id % n),
 sims AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 9) AS score FROM labq, embeddings)"""
 
 
@@ -191,7 +199,7 @@ def unit_vectors(spark, sf):
 
 
 def pair_similarities(spark, sf):
-    d = vectors(spark, sf).join(F.broadcast(label_queries(spark, sf).withColumnRenamed("embedding", "q").withColumn("label", F.col("query_id").cast("int"))), "label")
+    d = vectors(spark, sf).join(label_vectors(spark, sf).withColumnRenamed("embedding", "q").withColumn("label", F.col("label").cast("int")), "label")
     a, b = F.col("embedding"), F.col("q")
     return d.select("chunk_id", F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.dot(a, b), 6).alias("inner"), F.round(V.distance(a, b), 6).alias("l2"))
 
@@ -319,14 +327,31 @@ def selected(spark, sf):
 
 
 def selected_rows(spark, sf):
-    return rounded(selected(spark, sf).select("query_id", "chunk_id", "source_name", "score", "rank", "reserved", "low_confidence"), "score")
+    return rounded(selected(spark, sf).select("query_id", "chunk_id", "source_name", "score", F.col("rank").cast("long").alias("rank"), "reserved", "low_confidence"), "score")
+
+
+#: The seats, then the four passes as a fold over (pass, place): what may be chosen depends on all that has been chosen so far.
+SELECT_SQL = f"""WITH RECURSIVE {HYBRID_SQL}, pr AS (SELECT query_id, chunk_id, score, coalesce(source_name, 'unknown') AS src, source_name, coalesce(priority, 99) AS prio,
+ row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place, score >= max(score) OVER (PARTITION BY query_id) - 0.12 AS zone FROM hyb),
+ps AS (SELECT *, row_number() OVER (PARTITION BY query_id, src, zone ORDER BY score DESC, place) AS nth, min(prio) OVER (PARTITION BY query_id, src, zone) AS bp, min(place) OVER (PARTITION BY query_id, src, zone) AS seen FROM pr),
+seats AS (SELECT * FROM (SELECT query_id, place, src, row_number() OVER (PARTITION BY query_id ORDER BY bp, score DESC, seen) AS seat FROM ps WHERE zone AND nth = 1 AND bp <= 2) WHERE seat <= 2),
+begin_ AS (SELECT query_id, list(place ORDER BY seat) AS places, list(src ORDER BY seat) AS srcs FROM seats GROUP BY 1),
+items AS (SELECT query_id, src, place, capped, CASE prio WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS cap, row_number() OVER (PARTITION BY query_id ORDER BY pass, place) AS step
+ FROM ps JOIN (VALUES (1, true, true), (2, true, false), (3, false, true), (4, false, false)) p(pass, z, capped) ON p.z = zone),
+fold AS (SELECT q.query_id, 0::BIGINT AS step, coalesce(places, []::BIGINT[]) AS places, coalesce(srcs, []::VARCHAR[]) AS srcs FROM (SELECT DISTINCT query_id FROM ps) q LEFT JOIN begin_ b ON b.query_id = q.query_id
+ UNION ALL SELECT f.query_id, i.step, CASE WHEN len(places) < 5 AND NOT list_contains(places, place) AND (NOT capped OR len(list_filter(srcs, lambda s: s = src)) < cap) THEN list_append(places, place) ELSE places END,
+ CASE WHEN len(places) < 5 AND NOT list_contains(places, place) AND (NOT capped OR len(list_filter(srcs, lambda s: s = src)) < cap) THEN list_append(srcs, src) ELSE srcs END
+ FROM fold f JOIN items i ON i.query_id = f.query_id AND i.step = f.step + 1),
+chosen AS (SELECT query_id, unnest(places[1:5]) AS place, unnest(range(len(places[1:5]))) AS pick FROM (SELECT query_id, arg_max(places, step) AS places FROM fold GROUP BY 1)),
+sel AS (SELECT s.query_id, s.chunk_id, s.source_name, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, pick) AS rank, t.place IS NOT NULL AS reserved, max(s.score) OVER (PARTITION BY s.query_id) < 0.45 AS low_confidence
+ FROM ps s JOIN chosen c ON c.query_id = s.query_id AND c.place = s.place LEFT JOIN seats t ON t.query_id = s.query_id AND t.place = s.place)"""
 
 
 def search(spark, sf):
     from tidemark.plans.search import search as run
 
     corpus = chunks(spark, sf).join(vectors(spark, sf).drop("label"), "chunk_id", "left")
-    return run(label_queries(spark, sf), corpus, top_k=5, threshold=0.1, terms=term_index(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "low_confidence")
+    return run(label_queries(spark, sf), corpus, top_k=5, threshold=0.1, terms=term_index(spark, sf)).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "low_confidence")
 
 
 def zone_top(spark, sf):
@@ -565,10 +590,10 @@ ENTRIES = [
     Entry("h16_blends", blends, BLEND_SQL),
     Entry("h17_rerank", reranked, RERANK_SQL),
     Entry("h18_in_zone", in_zone, ZONE_SQL),
-    Entry("h18_select", selected_rows),
+    Entry("h18_select", selected_rows, f"{SELECT_SQL} SELECT query_id, chunk_id, source_name, round(score, 6)::DOUBLE AS score, rank, reserved, low_confidence FROM sel"),
     Entry("h19_diverse", diverse, DIVERSE_SQL),
     Entry("h20_low_confidence", confidence, f"{ZONE_CTE} SELECT query_id, round(max(score), 6)::DOUBLE AS top, max(score) < 0.6 AS low_confidence FROM zt GROUP BY 1"),
-    Entry("h21_search", search),
+    Entry("h21_search", search, f"{SELECT_SQL} SELECT query_id, chunk_id, rank, round(score, 6)::DOUBLE AS score, low_confidence FROM sel"),
     Entry("h22_context", context, CONTEXT_SQL),
     Entry("h25_prompts", prompts, PROMPTS_SQL),
     Entry("h26_stored_context", stored_context, "SELECT conv_id, md5(string_agg('[片段' || r || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1"),

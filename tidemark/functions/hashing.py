@@ -13,11 +13,6 @@ def uniform(key: Column, seed: int | str | Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def order_free_digest(*cols: Column) -> Column:
-    """Aggregate digest of a set of rows that does not depend on their order."""
-    return F.bit_xor(F.xxhash64(*cols))
-
-
 def set_digest(col: Column) -> Column:
     """Aggregate digest of a set of distinct values: the sums of four 32-bit parts of their md5, each cut to 32 bits, as 32 hex digits.
 
