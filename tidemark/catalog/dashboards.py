@@ -441,6 +441,39 @@ def choice_stability(spark, sf):
     return picked.groupBy("feature").agg(F.count(F.lit(1)).alias("times"), (F.count(F.lit(1)) == 5).alias("always"))
 
 
+# ---- the stream itself
+
+def streamed_segments(spark, sf):
+    """Declared segments closed by a stream over the events, which come as three loads in time order; what is open at the end is flushed."""
+    from tidemark.streaming import judge as SJ
+    from tidemark.streaming import segments as SS
+
+    folder, setting = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    pts = I.event_points(spark, sf)
+    first, last = pts.agg(F.min("timestamp"), F.max("timestamp")).first()
+    step = (last - first) / 3
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, SS.STATE_STORE)
+    try:
+        for n in range(3):
+            upper = F.col("timestamp") < F.lit(first + step * (n + 1)) if n < 2 else F.lit(True)
+            pts.filter((F.col("timestamp") >= F.lit(first + step * n)) & upper).write.mode("append").parquet(f"{folder}/in")
+            closed = SS.open_segments(spark.readStream.schema(pts.schema).parquet(f"{folder}/in"))
+            counted = closed.select("channel", "segment", F.size("values").cast("long").alias("n_points"), F.element_at("clocks", -1).alias("last_clock"))
+            query = counted.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/closed")
+            query.awaitTermination()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    sent = spark.read.schema("channel string, segment string, n_points bigint, last_clock bigint").parquet(f"{folder}/closed")
+    batch = pts.groupBy("channel", "segment").agg(F.count(F.lit(1)).alias("n_points"), F.max(F.unix_micros("timestamp")).alias("last_clock"))
+    left = SJ.unsent_segments(batch, sent, ["channel", "segment"])
+    return sent.withColumn("flushed", F.lit(False)).unionByName(left.withColumn("flushed", F.lit(True)))
+
+
+STREAMED_SQL = f"""WITH {I.EVENT_POINTS}, s AS (SELECT channel, segment, count(*) AS n_points, max(epoch_us(timestamp)) AS last_clock FROM pts GROUP BY 1, 2)
+SELECT *, last_clock = max(last_clock) OVER (PARTITION BY channel) AS flushed FROM s"""
+
+
 # ---- batch twins of the stream
 
 def closed_segments(spark, sf):
@@ -557,6 +590,7 @@ ENTRIES = [
      m AS (SELECT max(f1) FILTER (n = 'base') AS base, max(f1) FILTER (n = 'b') AS b, max(f1) FILTER (n = 'c') AS c, max(f1) FILTER (n = 'd') AS d FROM {J.metrics_sql('v', 'n')})
      SELECT round(d - base, 6) AS joint, round((b - base) + (c - base), 6) AS sum_of_single, round((d - base) - ((b - base) + (c - base)), 6) AS interaction FROM m"""),
     Entry("g14_deviation", deviation, f"WITH {J.SCORED}, v AS (SELECT channel, anomaly AS y, CAST(hits >= 2 AS INTEGER) AS p FROM scored) SELECT channel, CASE WHEN abs(recall - 0.3) <= 0.02 THEN 'ok' WHEN abs(recall - 0.3) <= 0.05 THEN 'drift' ELSE 'off' END AS level FROM {J.metrics_sql('v', 'channel')}"),
+    Entry("j01_streamed_segments", streamed_segments, STREAMED_SQL),
     Entry("j01_closed_segments", closed_segments, f"WITH {T.GAP_SQL} SELECT channel, run, count(*) AS n_points, max(timestamp) AS last_ts FROM segs GROUP BY 1, 2 HAVING count(*) >= 3"),
     Entry("j03_stream_verdicts", stream_verdicts, STREAM_SQL),
     Entry("j04_preview_severity", provisional, f"WITH {J.scored_sql('test')}, p AS (SELECT segment, hits, CASE WHEN channel IN ('AF', 'NF') THEN score END AS s FROM scored) SELECT segment, CASE WHEN s IS NOT NULL THEN CASE WHEN s > 1.0 + 3.0 * 0.1 THEN 'critical' WHEN s > 1.0 + 1.5 * 0.1 THEN 'warning' WHEN s > 1.0 THEN 'caution' ELSE 'nominal' END WHEN hits >= 4 THEN 'critical' WHEN hits >= 3 THEN 'warning' WHEN hits >= 2 THEN 'caution' ELSE 'nominal' END AS severity FROM p"),
