@@ -2,6 +2,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import series as S
 from tidemark.operators.chunking import INDEX_SEPARATORS, split_text
 
@@ -88,3 +90,18 @@ def test_chunks_are_bounded_and_cover_the_words():
         assert all(w.rstrip(".") in joined for w in text.replace("。", " ").split() if len(w) < 20)
     assert split_text("", 512, 50) == []
     assert split_text("short", 512, 50) == ["short"]
+
+
+def test_points_without_a_number_are_no_points_on_either_route(spark):
+    from tidemark.operators.features import segment_features
+
+    rng = np.random.default_rng(4)
+    rows = [("A", f"s{s}", i, float(x)) for s in range(3) for i, x in enumerate(rng.normal(size=90))]
+    holes = [("A", "s0", 1000 + i, None) for i in range(3)] + [("A", "s1", -1, float("nan"))]
+    def table(r):
+        d = spark.createDataFrame(r, "channel string, segment string, i int, value double")
+        return d.select("channel", "segment", F.timestamp_seconds(F.col("i") + 10_000).alias("timestamp"), F.col("i").cast("long").alias("seq"), "value", F.lit(1).alias("sampling"))
+    def answers(r, block):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in row) for row in segment_features(table(r), block=block).collect())
+    want = answers(rows, 65_536)
+    assert answers(rows + holes, 65_536) == want and answers(rows + holes, 40) == want

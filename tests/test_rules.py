@@ -116,3 +116,24 @@ def test_cell_bootstrap_agrees_with_row_bootstrap(spark):
     assert E.bootstrap_f1(d, "id", n_boot=150, method="cells").first() == b
     p = E.paired_bootstrap(d.withColumn("other", F.col("anomaly")), "id", "pred", "other", n_boot=50, method="cells").first()
     assert p.delta_low > 0 and p.p_gain == 1.0
+
+
+def test_quantile_bracket_that_misses_is_redone(spark, monkeypatch):
+    from tidemark.operators import quantiles as Q
+
+    rows = [("a", float(i * i % 9973)) for i in range(3000)] + [("b", 1.0)] * 50 + [("b", None), ("b", float("nan"))]
+    d = spark.createDataFrame(rows, "k string, v double")
+    probs = {"lo": 0.013, "mid": 0.5, "hi": 0.991}
+    want = {r.k: (r.lo, r.mid, r.hi) for r in Q.quantiles(d, ["k"], "v", probs).collect()}
+    for sketch in (10_000, 20):  # a sketch of twenty places promises less than the bracket assumes
+        monkeypatch.setattr(Q, "SKETCH", sketch)
+        got = {r.k: (r.lo, r.mid, r.hi) for r in Q.quantiles(d, ["k"], "v", probs, small=10).collect()}
+        assert got == want
+
+
+def test_folds_are_even_inside_labels(spark):
+    from tidemark.operators.fusion import fold_of
+
+    d = spark.range(1000).select(F.col("id").cast("string").alias("segment"), (F.col("id") % 10 == 0).cast("int").alias("anomaly"))
+    n = {(r.anomaly, r.fold): r["count"] for r in fold_of(d).groupBy("anomaly", "fold").count().collect()}
+    assert all(n[(1, k)] == 20 and n[(0, k)] == 180 for k in range(5))

@@ -100,3 +100,18 @@ def test_segment_rules(spark):
         assert [r.open for r in mixed.orderBy("seq").collect()] == [None, None, None, "7", "7", "7", "8", None]
     runs = segment_by_id(d.filter("segment IS NOT NULL"), "run", seconds=2)
     assert [r.run for r in runs.orderBy("seq").collect()] == [1, 1, 2]
+
+
+def test_a_returning_id_is_a_segment_of_its_own(spark, folder):
+    """Two runs of one id that close in the same batch are judged apart, and numbers keep four digits."""
+    judge = judge_of(spark)
+    rows = [("A", "x", True, 1, False, [1e-5, 2e-5, 3e-5, 4e-5], [i * 1_000_000 for i in range(4)]),
+            ("A", "x", True, 1, False, [5.0, 6.0, 7.0, 8.0, 9e9], [i * 1_000_000 for i in range(100, 105)])]
+    closed = spark.createDataFrame(rows, S.CLOSED)
+    got = judge.features(closed).orderBy("len").collect()
+    assert [(r["len"], round(r["mean"], 6)) for r in got] == [(4, 2.5e-5), (5, 1800000005.2)]
+    judged = judge.judge(judge.features(closed))
+    assert J.verdict_rows(judged).count() == 2
+    from tidemark.operators.evidence import general_format
+    shown = [r[0] for r in judged.select(general_format(F.col("mean"))).collect()]
+    assert sorted(shown) == ["1.8e+09", "2.5e-05"]

@@ -370,10 +370,12 @@ def all_strategies(spark, sf):
     return U.apply_gate(rows, U.choose_gate(val), out="gate")
 
 
-def strategies(spark, sf):
-    names = {"rule_only": "pred_rule", "if_only": "pred_if", "if_and_rule": "pred_AND", "if_or_rule": "pred_OR",
+STRATEGY_NAMES = {"rule_only": "pred_rule", "if_only": "pred_if", "if_and_rule": "pred_AND", "if_or_rule": "pred_OR",
              "soft_global": "soft_all", "soft_perchannel": "soft_channel", "gate_perchannel": "gate"}
-    return rounded(U.strategy_table(all_strategies(spark, sf).filter("split <> 'fit'"), names), *RATES)
+
+
+def strategies(spark, sf):
+    return rounded(U.strategy_table(all_strategies(spark, sf).filter("split <> 'fit'"), STRATEGY_NAMES), *RATES)
 
 
 STRATEGIES = f"""WITH {SCORED}, {PREDICTED_SQL}, {NORM_SQL}, {soft_sql('')}, {soft_sql('channel').replace('softgrid', 'cgrid').replace('softbest', 'cbest')}, {GATE_SQL},

@@ -287,9 +287,13 @@ def vote_sweep(val: DataFrame, grid: list[float] | None = None) -> DataFrame:
 
 # ---- calibrated fusion ----------------------------------------------------------------------
 
-def fold_of(rows: DataFrame, key: str = "segment", folds: int = 5, seed: int = 42) -> DataFrame:
-    """Fold by hash: near-equal shares inside every label without sorting."""
-    return rows.withColumn("fold", F.floor(uniform(F.col(key), f"fold{seed}") * folds).cast("int"))
+def fold_of(rows: DataFrame, key: str = "segment", folds: int = 5, seed: int = 42, label: str = "anomaly") -> DataFrame:
+    """Folds of equal shares inside every label: the label's hashed rows are cut at their quantiles."""
+    drawn = rows.withColumn("_u", uniform(F.col(key), f"fold{seed}"))
+    names = [f"_cut{i}" for i in range(1, folds)]
+    cuts = quantiles(drawn, [label], "_u", {n: (i + 1) / folds for i, n in enumerate(names)})
+    above = sum(((F.col("_u") > F.col(n)).cast("int") for n in names), F.lit(0))
+    return drawn.join(cuts, label).withColumn("fold", above).drop("_u", *names).select(*rows.columns, "fold")
 
 
 def calibrated(val: DataFrame, rows: DataFrame, key: str = "segment", folds: int = 5) -> tuple[DataFrame, DataFrame]:
