@@ -181,10 +181,19 @@ def index_store(spark, sf):
 def extensions(spark, sf):
     from tidemark.sources.corpus import count_by_extension
 
+    """A folder with one file per source of the documents and one per language of them, in two formats."""
     folder = scratch(spark)
-    d = I.table(spark, sf, "documents").select(F.col("text").alias("value"))
-    d.write.text(folder + "/kb")
-    return count_by_extension(spark, folder + "/kb", ("txt", "md", "pdf"))
+    d = I.table(spark, sf, "documents").select("source", "lang", F.length("text").alias("n"))
+    d.repartition("source").write.partitionBy("source").json(folder + "/kb/a")
+    d.repartition("lang").write.partitionBy("lang").csv(folder + "/kb/b")
+    return count_by_extension(spark, folder + "/kb", ("json", "csv", "pdf"))
+
+
+def explanations_as_json(spark, sf):
+    folder = scratch(spark)
+    K.write_json(I.table(spark, sf, "conversations").select("conv_id", "turn", F.struct("role", F.md5("text").alias("digest")).alias("answer")), folder + "/explained")
+    back = spark.read.schema("conv_id bigint, turn bigint, answer struct<role: string, digest: string>").json(folder + "/explained")
+    return back.select("conv_id", "turn", "answer.role", "answer.digest")
 
 
 # ---- projection, joins, sets
@@ -531,7 +540,8 @@ ENTRIES = [
     Entry("a05_b03_result_store", result_store, f"WITH {J.SCORED} SELECT 'rules' AS name, '2' AS seed, count(DISTINCT channel) AS n_rows FROM scored"),
     Entry("a07_split_scan", split_scan, f"WITH {I.ITEM_SEGMENTS} SELECT split, count(*) AS ids, count(*) FILTER (channel = 'RO') AS missing FROM labelled GROUP BY 1"),
     Entry("a08_recipe", recipe, f"WITH {J.SCORED}, {J.PREDICTED_SQL}, {J.GATE_SQL} SELECT channel, op, 0.2::DOUBLE AS contamination, 2 AS best_k FROM gate"),
-    Entry("a10_extension_counts", extensions),
+    Entry("a10_extension_counts", extensions, "SELECT 'json' AS ext, count(DISTINCT source) AS n FROM documents UNION ALL SELECT 'csv', count(DISTINCT lang) FROM documents UNION ALL SELECT 'pdf', 0"),
+    Entry("b06_explanations_json", explanations_as_json, "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, md5(text) AS digest FROM conversations"),
     Entry("a11_ingest_counts", frames, "SELECT count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS rejected FROM events"),
     Entry("a12_b04_alert_store", alert_store, f"WITH {ALERTS} SELECT segment, severity, 1 AS official, 's-' || segment AS summary FROM alerts"),
     Entry("b05_verdict_store", verdict_store, f"WITH {ALERTS} SELECT segment, channel, CASE WHEN ts > 25 THEN 'updated' ELSE severity END AS severity FROM alerts"),
