@@ -492,10 +492,20 @@ UNION ALL SELECT answer_id, '紧急程度', md5(CASE WHEN role = 'assistant' THE
 
 
 def detail(spark, sf):
-    a = answers(spark, sf)
-    d = E.diagnosis_detail(a.select("answer_id"), E.parse_sections(a, "answer_id"), "answer_id")
-    return d.select("answer_id", "urgency", "urgency_level", F.size("shown_sections").cast("long").alias("n_sections"),
-                    F.get("shown_sections", F.lit(0))["section"].alias("first_section"))
+    """Every third turn is a failed answer; sources and types are missing now and then."""
+    a = answers(spark, sf).withColumn("answer", F.when(F.col("turn") % 3 == 2, F.concat(F.lit("检索失败 "), F.col("answer"))).otherwise(F.col("answer")))
+    records = a.select("answer_id", "answer", (F.col("conv_id") / 7.0).alias("anomaly_score"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("anomaly_type"),
+                       F.array(F.struct(F.when(F.col("turn") % 2 == 1, F.col("role")).alias("filename"), F.when(F.col("turn") > 0, F.col("turn")).alias("page"), F.lit(0.123456).alias("score"))).alias("sources"))
+    d = E.diagnosis_detail(records, E.parse_sections(a, "answer_id"), "answer_id")
+    return d.select("answer_id", "urgency", "urgency_level", F.size("shown_sections").cast("long").alias("n_sections"), F.get("shown_sections", F.lit(0))["section"].alias("first_section"),
+                    "garbled", F.length("raw").cast("long").alias("raw_length"), "anomaly_score", "anomaly_type", F.concat_ws("|", F.col("sources")[0]["filename"], F.col("sources")[0]["page"], F.col("sources")[0]["score"].cast("string")).alias("source"))
+
+
+DETAIL_SQL = """SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS answer_id, CASE WHEN turn % 3 = 2 THEN '中' WHEN role = 'assistant' THEN '高' ELSE '低' END AS urgency,
+ CASE WHEN turn % 3 = 2 THEN 'medium' WHEN role = 'assistant' THEN 'high' ELSE 'low' END AS urgency_level, CASE WHEN turn % 3 = 2 THEN 0 ELSE 2 END::BIGINT AS n_sections, CASE WHEN turn % 3 <> 2 THEN '可能原因' END AS first_section,
+ turn % 3 = 2 AS garbled, CASE WHEN turn % 3 = 2 THEN 0 ELSE length('intro' || chr(10) || '**【可能原因】**' || chr(10) || text || chr(10) || '# note' || chr(10) || '**建议：**' || chr(10) || '- ' || role || chr(10) || '**【紧急程度】**' || chr(10) || '高') END::BIGINT AS raw_length,
+ round(conv_id / 7.0, 4)::DOUBLE AS anomaly_score, CASE WHEN turn % 2 = 0 THEN role ELSE '未知' END AS anomaly_type,
+ CASE WHEN turn % 2 = 1 THEN role ELSE '未知文献' END || '|' || CASE WHEN turn > 0 THEN CAST(turn AS VARCHAR) ELSE '?' END || '|0.1235' AS source FROM conversations"""
 
 
 def garbled(spark, sf):
@@ -528,13 +538,15 @@ def prompts(spark, sf):
     d = I.table(spark, sf, "conversations")
     q, t = F.col("role"), F.col("text")
     return d.select("conv_id", "turn", F.md5(E.general_prompt(q, t)).alias("general"), F.md5(E.anomaly_prompt(q, F.lit("x"), t, t, F.array(F.lit("k: v")))).alias("anomaly"),
-                    F.md5(E.comparison_prompt(q, t, "evolution")).alias("compare"), E.query_text(q, F.lit("x"), F.substring(t, 1, 5)).alias("query"), E.citation(q, F.col("turn")).alias("cite"))
+                    F.md5(E.comparison_prompt(q, t, "evolution")).alias("compare"),
+                    F.md5(E.simplified_prompt(t, F.array(F.concat(F.lit("role: "), q)))).alias("simple"), E.fill("{role}/{absent}/{turn}", {"role": q, "turn": F.col("turn")}).alias("filled"), E.query_text(q, F.lit("x"), F.substring(t, 1, 5)).alias("query"), E.citation(q, F.col("turn")).alias("cite"))
 
 
 PROMPTS_SQL = """SELECT conv_id, turn, md5('请对以下遥测异常进行诊断。' || chr(10) || chr(10) || '【异常信息】' || chr(10) || role || chr(10) || chr(10) || '【参考知识片段】' || chr(10) || text || chr(10) || chr(10) || '请严格按照系统提示中的7段结构输出诊断结论。') AS general,
 md5('请对以下遥测异常进行诊断。' || chr(10) || chr(10) || '【异常信息】' || chr(10) || '- 通道: ' || role || chr(10) || '- 异常类型: x' || chr(10) || '- 异常描述: ' || text || chr(10) || chr(10) || '【补充信息】' || chr(10) || '- k: v' || chr(10) || chr(10) || chr(10)
  || '【参考知识片段】' || chr(10) || text || chr(10) || chr(10) || '请严格按照系统提示中的结构输出诊断结论。') AS anomaly,
 md5('对比分析：' || role || chr(10) || chr(10) || '参考知识:' || chr(10) || text || chr(10) || chr(10) || '要求：列出发展演变，最多3点，每点一行，每点≤30字，禁止废话。') AS compare,
+md5('请对以下遥测异常进行诊断。' || chr(10) || chr(10) || '- role: ' || role || chr(10) || chr(10) || '参考知识:' || chr(10) || text || chr(10) || chr(10) || '按【通道定位】【异常类型】【可能原因】【影响评估】【建议措施】【紧急程度】【来源】结构输出。') AS simple, role || '/未提供/' || turn AS filled,
 '通道 ' || role || ' 出现 x 异常：' || substring(text, 1, 5) AS query, '[' || role || ' p.' || turn || ']' AS cite FROM conversations"""
 
 
@@ -599,7 +611,7 @@ ENTRIES = [
     Entry("h26_stored_context", stored_context, "SELECT conv_id, md5(string_agg('[片段' || r || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1"),
     Entry("h28_sections", sections, SECTIONS_SQL),
     Entry("h29_garbled", garbled, GARBLED_SQL),
-    Entry("h30_detail", detail, "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS answer_id, CASE WHEN role = 'assistant' THEN '高' ELSE '低' END AS urgency, CASE WHEN role = 'assistant' THEN 'high' ELSE 'low' END AS urgency_level, 2::BIGINT AS n_sections, '可能原因' AS first_section FROM conversations"),
+    Entry("h30_detail", detail, DETAIL_SQL),
     Entry("h31_forbidden_claims", forbidden, FORBIDDEN_SQL),
     Entry("i01_judged_queries", judged_rows, f"{JUDGE_SQL} SELECT query_id, kind, source_hit_at_1, source_hit_at_k, rank_first_usable, usable_at_k, kw_recall, round(top1_score, 6)::DOUBLE AS top1_score, top1_source FROM judged"),
     Entry("i03_summary", summary, SUMMARY_SQL),

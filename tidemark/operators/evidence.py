@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,13 +24,45 @@ SHAPE_LABELS = {
     "unusual_shapes": "其他异常形态",
 }
 COMPARISON_LABELS = {"similar": "相似点", "different": "差异点", "evolution": "发展演变"}
-OPENING = "请对以下遥测异常进行诊断。"
-ANOMALY_HEAD = "【异常信息】"
-CONTEXT_HEAD = "【参考知识片段】"
-EXTRA_HEAD = "【补充信息】"
-ANOMALY_FIELDS = ["通道", "异常类型", "异常描述"]
-GENERAL_CLOSING = "请严格按照系统提示中的7段结构输出诊断结论。"
-ANOMALY_CLOSING = "请严格按照系统提示中的结构输出诊断结论。"
+GENERAL_PROMPT = """请对以下遥测异常进行诊断。
+
+【异常信息】
+{query}
+
+【参考知识片段】
+{context}
+
+请严格按照系统提示中的7段结构输出诊断结论。"""
+ANOMALY_PROMPT = """请对以下遥测异常进行诊断。
+
+【异常信息】
+- 通道: {channel_id}
+- 异常类型: {anomaly_type}
+- 异常描述: {anomaly_description}{extra}
+
+【参考知识片段】
+{context}
+
+请严格按照系统提示中的结构输出诊断结论。"""
+EXTRA_PART = """
+
+【补充信息】
+{lines}"""
+COMPARISON_PROMPT = """对比分析：{query}
+
+参考知识:
+{context}
+
+要求：列出{label}，最多3点，每点一行，每点≤30字，禁止废话。"""
+SIMPLIFIED_PROMPT = """请对以下遥测异常进行诊断。
+
+{lines}
+参考知识:
+{context}
+
+按【通道定位】【异常类型】【可能原因】【影响评估】【建议措施】【紧急程度】【来源】结构输出。"""
+MISSING_FIELD = "未提供"
+UNKNOWN_DOCUMENT, UNKNOWN_PAGE, UNKNOWN_TYPE = "未知文献", "?", "未知"
 SECTIONS = {
     "通道定位": ["通道定位", "传感器定位", "通道说明", "异常通道分析", "异常通道定位", "异常通道物理含义分析", "通道标识"],
     "异常类型": ["异常类型", "异常分类", "异常类型判断", "异常类型分析", "异常类型与可能原因"],
@@ -120,27 +154,34 @@ def _filled(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """A template's ``{name}`` fields from columns, NULL as an empty text; a field that nobody gives takes the fixed filler."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else _filled(values[x]) if x in values else F.lit(MISSING_FIELD) for i, x in enumerate(parts)])
+
+
+def _lines(extra: Column) -> Column:
+    return F.array_join(F.transform(extra, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")
+
+
 def general_prompt(query: Column, context: Column) -> Column:
-    return F.concat(F.lit(f"{OPENING}\n\n{ANOMALY_HEAD}\n"), _filled(query), F.lit(f"\n\n{CONTEXT_HEAD}\n"), _filled(context),
-                    F.lit(f"\n\n{GENERAL_CLOSING}"))
+    return fill(GENERAL_PROMPT, {"query": query, "context": context})
 
 
 def anomaly_prompt(channel: Column, shape: Column, description: Column, context: Column,
                    extra: Column | None = None) -> Column:
     """``extra``: array of ``name: value`` lines."""
-    head = [F.lit(f"{OPENING}\n\n{ANOMALY_HEAD}")]
-    for name, value in zip(ANOMALY_FIELDS, (channel, shape, description)):
-        head += [F.lit(f"\n- {name}: "), _filled(value)]
-    if extra is not None:
-        lines = F.concat(F.lit(f"\n\n{EXTRA_HEAD}\n"), F.array_join(F.transform(extra, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""))
-        head.append(F.when(F.size(extra) > 0, lines).otherwise(F.lit("")))
-    return F.concat(*head, F.lit(f"\n\n{CONTEXT_HEAD}\n"), _filled(context), F.lit(f"\n\n{ANOMALY_CLOSING}"))
+    more = F.lit("") if extra is None else F.when(F.size(extra) > 0, fill(EXTRA_PART, {"lines": _lines(extra)})).otherwise("")
+    return fill(ANOMALY_PROMPT, {"channel_id": channel, "anomaly_type": shape, "anomaly_description": description, "context": context, "extra": more})
+
+
+def simplified_prompt(context: Column, extra: Column) -> Column:
+    """What is asked when a template's fields are not at hand: the given ``name: value`` lines and the context."""
+    return fill(SIMPLIFIED_PROMPT, {"lines": _lines(extra), "context": context})
 
 
 def comparison_prompt(query: Column, context: Column, kind: str = "similar") -> Column:
-    label = COMPARISON_LABELS.get(kind, "分析")
-    return F.concat(F.lit("对比分析："), _filled(query), F.lit("\n\n参考知识:\n"), _filled(context),
-                    F.lit(f"\n\n要求：列出{label}，最多3点，每点一行，每点≤30字，禁止废话。"))
+    return fill(COMPARISON_PROMPT, {"query": query, "context": context, "label": F.lit(COMPARISON_LABELS.get(kind, "分析"))})
 
 
 def citation(name: Column, page: Column) -> Column:
@@ -172,20 +213,23 @@ def parse_sections(answers: DataFrame, key: str, text: str = "answer") -> DataFr
     as_map = F.try_parse_json(F.col(text))
     flat = F.from_json(F.col(text), "map<string,string>")
     is_json = as_map.isNotNull() & F.rlike(F.col(text), F.lit(r"^\s*\{")) & flat.isNotNull()
-    rows = answers.select(key, F.col(text).alias("_text"), F.when(is_json, flat).alias("_json"))
-    from_json = rows.filter(F.col("_json").isNotNull()).select(key, F.explode("_json").alias("section", "body"))
-    lines = rows.filter(F.col("_json").isNull()).select(key, F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
-    order = W.partitionBy(key).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    lines = lines.withColumn("_h", _heading(F.col("_line"))).withColumn(
-        "_run", F.max(F.when(F.col("_h").isNotNull(), F.col("_at"))).over(order)).withColumn(
-        "section", F.last("_h", ignorenulls=True).over(order))
-    body = lines.filter(F.col("_h").isNull() & F.col("section").isNotNull() & (X.strip(F.col("_line")) != "")
-                        & ~F.startswith(X.strip(F.col("_line")), F.lit("#")))
-    runs = body.groupBy(key, "section", "_run").agg(F.sort_array(F.collect_list(F.struct("_at", "_line"))).alias("_l"))
-    last = W.partitionBy(key, "section").orderBy(F.col("_run").desc())
-    runs = runs.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
-    text_body = X.strip(F.array_join(F.transform("_l", lambda x: x["_line"]), "\n"))
-    return from_json.unionByName(runs.select(key, "section", text_body.alias("body")))
+    # One fold over the lines of an answer: what a heading has gathered is kept when the next one comes, if it is not empty.
+    kind = "map<string,array<string>>"
+    begin = F.struct(F.lit(None).cast("string").alias("at"), F.array().cast("array<string>").alias("body"), F.create_map().cast(kind).alias("done"))
+
+    def close(s: Column) -> Column:
+        put = F.map_concat(F.map_filter(s["done"], lambda k, _: k != s["at"]), F.create_map(F.coalesce(s["at"], F.lit("")), s["body"]))
+        return F.when(s["at"].isNotNull() & (F.size(s["body"]) > 0), put).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        said = (X.strip(x["line"]) != "") & ~F.startswith(X.strip(x["line"]), F.lit("#"))
+        return F.when(x["heading"].isNotNull(), F.struct(x["heading"].alias("at"), F.array().cast("array<string>").alias("body"), close(s).alias("done"))).otherwise(
+            F.struct(s["at"].alias("at"), F.when(said & s["at"].isNotNull(), F.array_append(s["body"], x["line"])).otherwise(s["body"]).alias("body"), s["done"].alias("done")))
+
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _heading(x).alias("heading")))
+    found = F.transform_values(F.aggregate(lines, begin, step, close), lambda _, body: X.strip(F.array_join(body, "\n")))
+    rows = answers.select(key, F.when(is_json, flat).otherwise(found).alias("_found"))
+    return rows.select(key, F.explode("_found").alias("section", "body"))
 
 
 def garbled(text: Column) -> Column:
@@ -212,9 +256,23 @@ def garbled_strict(text: Column) -> Column:
 
 
 def diagnosis_detail(records: DataFrame, sections: DataFrame, key: str) -> DataFrame:
-    """Detail record: ordered sections, urgency and its level (medium by default)."""
+    """Detail record: ordered sections, urgency and its level (medium by default).
+
+    With ``answer``: whether it is garbled, in which case there are no sections and its raw text is empty. ``anomaly_score`` is rounded,
+    ``anomaly_type`` and the entries of ``sources`` (filename, page, score) take their fixed fillers where they are missing.
+    """
     named = sections.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "body"))).alias("_all"))
     joined = records.join(named, key, "left")
+    if "answer" in records.columns:
+        joined = joined.withColumn("garbled", F.coalesce(garbled(F.col("answer")), F.lit(False))).withColumn(
+            "_all", F.when(~F.col("garbled"), F.col("_all"))).withColumn("raw", F.when(F.col("garbled"), "").otherwise(F.coalesce("answer", F.lit("")))).drop("answer")
+    if "anomaly_score" in records.columns:
+        joined = joined.withColumn("anomaly_score", F.round("anomaly_score", 4))
+    if "anomaly_type" in records.columns:
+        joined = joined.withColumn("anomaly_type", F.coalesce("anomaly_type", F.lit(UNKNOWN_TYPE)))
+    if "sources" in records.columns:
+        joined = joined.withColumn("sources", F.transform(F.coalesce("sources", F.array()), lambda s: F.struct(
+            F.coalesce(s["filename"], F.lit(UNKNOWN_DOCUMENT)).alias("filename"), F.coalesce(s["page"].cast("string"), F.lit(UNKNOWN_PAGE)).alias("page"), F.round(s["score"], 4).alias("score"))))
     urgency = F.coalesce(F.element_at("_all", F.lit("紧急程度")), F.lit("中"))
     level = F.lit("medium")
     for k, v in URGENCY.items():
