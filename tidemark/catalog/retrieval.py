@@ -269,14 +269,15 @@ def blends(spark, sf):
     k = R.top_n(k, 40).drop("rank").join(v.select("query_id").distinct(), "query_id", "left_semi")
     out = None
     for mode, alpha in (("linear", 0.3), ("additive", 0.1), ("decay", 0.05)):
-        d = R.blend(v, k, mode, alpha).withColumn("mode", F.lit(mode))
+        d = R.blend(v, k, mode, alpha, chunks(spark, sf)).withColumn("mode", F.lit(mode))
         out = d if out is None else out.unionByName(d)
     return rounded(out, "score")
 
 
 BLEND_SQL = f"""WITH {BM25_SQL}, {VPOOL_SQL}, {top_sql('kw', 40, 'ktop')}, k AS (SELECT * FROM ktop WHERE query_id IN (SELECT query_id FROM vpool)),
-p AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, coalesce(v.score, 0.0) AS v, k.score AS k, k.rank FROM vpool v FULL JOIN k ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id),
-z AS (SELECT *, coalesce(k / max(k) OVER w, 0.0) AS s, min(v) OVER w AS lo, max(v) OVER w AS hi FROM p WINDOW w AS (PARTITION BY query_id))
+p AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.score AS vs, coalesce(v.score, 0.0) AS v, k.score AS k, k.rank FROM vpool v FULL JOIN k ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id),
+ps AS (SELECT *, coalesce(k / max(k) OVER (PARTITION BY query_id), 0.0) AS s FROM p), pq AS (SELECT ps.* FROM ps JOIN chunks USING (chunk_id) WHERE vs IS NOT NULL OR NOT {low_sql('content')}),
+z AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM pq WINDOW w AS (PARTITION BY query_id))
 SELECT 'linear' AS mode, query_id, chunk_id, round(0.7 * (v - lo) / (hi - lo) + 0.3 * s, 6)::DOUBLE AS score FROM z UNION ALL SELECT 'additive', query_id, chunk_id, round(v + 0.1 * s, 6)::DOUBLE FROM z
 UNION ALL SELECT 'decay', query_id, chunk_id, round(v + coalesce(0.05 / rank, 0.0), 6)::DOUBLE FROM z"""
 

@@ -407,15 +407,22 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int = RRF_K) -> DataFr
     return both.select("query_id", "chunk_id", (part("_ra") + part("_rb")).alias("score"))
 
 
-def blend(vectors: DataFrame, keywords: DataFrame, mode: str, alpha: float = 0.3) -> DataFrame:
-    """Other fusions: ``linear`` after min-max, ``additive`` on the raw vector score, ``decay`` by keyword rank."""
+def blend(vectors: DataFrame, keywords: DataFrame, mode: str, alpha: float = 0.3, chunks: DataFrame | None = None) -> DataFrame:
+    """Other fusions: ``linear`` after min-max, ``additive`` on the raw vector score, ``decay`` by keyword rank.
+
+    With ``chunks`` a chunk that only the keywords found must pass the quality filter; the best keyword score and the ranks are those
+    of the whole list all the same.
+    """
     per_query = W.partitionBy("query_id")
     kw = _ranked(keywords, "_rank").join(keywords.select("query_id", "chunk_id", F.col("score").alias("_k")),
                                          ["query_id", "chunk_id"])
-    pool = vectors.select("query_id", "chunk_id", F.col("score").alias("_v")).join(
-        kw, ["query_id", "chunk_id"], "full_outer").withColumn("_v", F.coalesce("_v", F.lit(0.0)))
+    pool = vectors.select("query_id", "chunk_id", F.col("score").alias("_v")).join(kw, ["query_id", "chunk_id"], "full_outer")
     best = F.max("_k").over(per_query)
-    share = F.coalesce(F.col("_k") / F.when(best > 0, best).otherwise(1.0), F.lit(0.0))
+    pool = pool.withColumn("_share", F.coalesce(F.col("_k") / F.when(best > 0, best).otherwise(1.0), F.lit(0.0)))
+    if chunks is not None:
+        poor = with_content(pool.filter("_v IS NULL").select("query_id", "chunk_id"), chunks).filter(X.low_quality(F.col("content")))
+        pool = pool.join(poor.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    pool, share = pool.withColumn("_v", F.coalesce("_v", F.lit(0.0))), F.col("_share")
     low, high = F.min("_v").over(per_query), F.max("_v").over(per_query)
     spread = F.when(high > low, high - low).otherwise(1.0)
     score = {
