@@ -42,6 +42,7 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+        self._files(self.folder).mkdirs(self._path(self.folder))  # only what exists can be marked
         self._files(self.folder).deleteOnExit(self._path(self.folder))
 
     def _path(self, folder: str):
