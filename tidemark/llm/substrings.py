@@ -228,7 +228,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     once = shelf.put(found.withColumn("rid", F.monotonically_increasing_id()), "texts")
     runs = once.select("rid", "n", "starts", F.posexplode("least").alias("i", "least")).select(
         "rid", "least", F.element_at("starts", F.col("i") + 1).alias("start"), F.coalesce(F.try_element_at("starts", F.col("i") + 2), F.col("n")).alias("end"))
-    common = runs.groupBy("least").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1")
+    # Stored, so that the join with it has two plain exchanges and a least hash that many texts have can be split.
+    common = shelf.put(runs.groupBy("least").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1"), "common")
     spots = runs.join(common, "least").groupBy("rid").agg(
         F.collect_list(F.struct("start", "end", "least", (F.col("pieces") > most).alias("hot"))).alias("spots"))
     asked = once.select("rid", "key", "writer").join(spots, "rid")
