@@ -104,3 +104,48 @@ def test_long_chain_of_components(spark):
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.id: r.root for r in components(edges, Shelf(spark, "test")).collect()}
     assert got == {i: 0 for i in range(1, n + 1)}
+
+
+def _jaccard(a, b, k=5):
+    x, y = ({tuple(t.split()[i:i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_just_above_the_similarity_are_linked(documents):
+    """Every pair lies between 0.80 and 0.85, where estimates by bits miss many."""
+    rng = random.Random(80)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        tail = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((18, 20)))]
+        copy = words[:-len(tail)] + tail
+        rows += [(2 * g, " ".join(words), "en", "a"), (2 * g + 1, " ".join(copy), "en", "a")]
+    assert all(0.8 <= _jaccard(a[1], b[1]) <= 0.85 for a, b in zip(rows[::2], rows[1::2]))
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(documents(rows), shingle=5, similarity=0.8).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
+def test_buckets_of_many_unlike_members_are_tried_in_full(documents, monkeypatch):
+    """Links that no hub has: chains of texts, each like its neighbours only, against all pairs."""
+    rng = random.Random(81)
+    rows = []
+    for g in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        for k in range(12):  # a window that moves by 18 of 200 shingles, or by 24 now and then
+            rows.append((len(rows), " ".join(words), "en", "a"))
+            step = 24 if k % 4 == 3 else 18
+            words = words[step:] + [f"w{rng.randrange(10**6)}" for _ in range(step)]
+    prints = [t for _, t, *_ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if _jaccard(prints[i], prints[j]) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    for few in (8, 0):
+        monkeypatch.setattr(S.jaccard, "FEW", few)
+        got = {r.doc_id: r.component_id for r in S.near_duplicates(documents([rows[i] for i in order]), shingle=5, similarity=0.8).collect()}
+        assert [got[i] for i in range(len(rows))] == root
+    assert 4 < len(set(root)) < len(rows)

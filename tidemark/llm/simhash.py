@@ -14,8 +14,8 @@ the budget. A pair of nodes that still has too many fingerprints is cut into blo
 A task keeps its node pairs on a stack in blocks of bounded size, drops pairs of nodes whose fingerprints are linked already, and gives
 a spanning forest of the links that it finds, never all pairs. Components over the forests of all tasks are found by alternating large and small stars in Spark.
 
-With ``similarity`` the budget only finds candidates: a link must also agree in 256 bits, the fingerprint and three more of the
-same shingles, about as often as two texts of that Jaccard similarity do.
+With ``similarity`` near_duplicates asks the texts instead: a link is an exact Jaccard similarity of two sets of shingles (see jaccard.py). links() alone
+takes it as an estimate: a link must also agree in 256 bits, the fingerprint and three more of the same shingles, about as often as two texts of that similarity do.
 
 Nulls and edges: null and wordless texts have fingerprint zero and are linked like any other; a null doc_id never
 names a component unless it has no other; repeated rows are linked; an empty table gives no rows. Other columns are ignored.
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard
 from tidemark.llm.common import DOCUMENT_COLUMNS, Shelf
 from tidemark.llm.components import components
 
@@ -296,12 +297,20 @@ def links(distinct: DataFrame, shelf: Shelf, budget: int = 4, most: int = 1 << 1
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, most: int = 1 << 15, similarity: float | None = None) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
 
-    most: fingerprints that a subtree should hold; larger ones are cut. similarity: see the module; None links by the budget alone.
+    most: fingerprints that a subtree should hold; larger ones are cut. similarity: links are exact Jaccard similarities of this or more, whatever the
+    budget; None links by the budget.
     """
-    shelf, names = Shelf(docs.sparkSession, "simhash"), _words(SKETCH if similarity else 0)
-    marked = shelf.put(fingerprints(docs, shingle, len(names) - 1), "fingerprints")
-    distinct = shelf.put(marked.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("id", F.monotonically_increasing_id()), "distinct")
-    roots = components(shelf.put(links(distinct, shelf, budget, most, similarity), "links"), shelf)
+    shelf, names = Shelf(docs.sparkSession, "simhash"), ["fp"] if similarity is None else ["digest"]
+    if similarity is None:
+        marked = shelf.put(fingerprints(docs, shingle), "fingerprints")
+    else:
+        marked = shelf.put(jaccard.marked(docs, shingle, lambda text: fingerprint(text, shingle)[0]).withColumn("row", F.monotonically_increasing_id()), "marks")
+    distinct = shelf.put(marked.groupBy(*names).agg(F.min("doc_id").alias("first_id"), *([] if similarity is None else [F.min("row").alias("id")])).withColumn(
+        "id", F.monotonically_increasing_id() if similarity is None else F.col("id")), "distinct")
+    if similarity is None:
+        roots = components(shelf.put(links(distinct, shelf, budget, most), "links"), shelf)
+    else:
+        roots = jaccard.roots(marked.withColumnRenamed("row", "id"), distinct.select("id"), shelf, shingle, similarity)
     named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = shelf.put(named.join(least, "root").select(*names, "component_id"), "classes")
