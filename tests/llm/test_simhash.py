@@ -149,3 +149,18 @@ def test_buckets_of_many_unlike_members_are_tried_in_full(documents, monkeypatch
         got = {r.doc_id: r.component_id for r in S.near_duplicates(documents([rows[i] for i in order]), shingle=5, similarity=0.8).collect()}
         assert [got[i] for i in range(len(rows))] == root
     assert 4 < len(set(root)) < len(rows)
+
+
+def test_shared_repeated_lines_link_nothing(documents):
+    """One line ten to fifteen times and different remainders: much of the counted shingles, little of the sets."""
+    rng = random.Random(82)
+    rows = []
+    for repeats, others in ((10, 120), (15, 200)):
+        line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))
+        for _ in range(15):
+            rest = " ".join(f"w{rng.randrange(10**6)}" for _ in range(others))
+            rows.append((len(rows), "\n".join([line] * repeats + [rest]), "en", "a"))
+    assert max(_jaccard(rows[i][1], rows[j][1]) for i in range(30) for j in range(i)) < 0.1
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(documents(rows), shingle=5, budget=12, similarity=0.8).collect()}
+    assert got == {i: i for i in range(30)}
+    assert S.representatives(documents(rows), shingle=5, budget=12, similarity=0.8).count() == 30
