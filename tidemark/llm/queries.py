@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lengths, media, mixing, packing, quality, secrets, simhash, substrings, urls
+from tidemark.llm import language, lengths, media, mixing, packing, postings, quality, secrets, simhash, substrings, urls, variants, whitening
 from tidemark.llm.common import table
 
 
@@ -111,6 +111,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = postings.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+DECONTAMINATE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, t FROM (SELECT doc_id, {_terms_sql('text')} AS t FROM documents)),
+b AS (SELECT item_id, t, least(len(t), 10) AS n FROM (SELECT item_id, {_terms_sql('text')} AS t FROM benchmark) WHERE len(t) > 0),
+p AS (SELECT DISTINCT item_id, n, t[i:i + n - 1] AS w FROM (SELECT *, unnest(generate_series(1, len(t) - n + 1)) AS i FROM b)),
+s AS (SELECT r, n, i, t[i:i + n - 1] AS w FROM (SELECT r, t, n, unnest(generate_series(1, len(t) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(t) >= n)),
+m AS (SELECT r, i, n, item_id FROM s JOIN p USING (n, w)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS x FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+l AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN l USING (r)"""
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 ENTRIES = [
     Entry("op1_simhash", op1_simhash),
     Entry("op2_language", op2_language),
@@ -122,4 +151,7 @@ ENTRIES = [
     Entry("op8_substrings", op8_substrings),
     Entry("op9_packing", op9_packing),
     Entry("op10_quality", op10_quality),
+    Entry("op11_whitening", op11_whitening),
+    Entry("op12_decontaminate", op12_decontaminate, DECONTAMINATE_SQL),
+    Entry("op13_variants", op13_variants),
 ]
