@@ -25,4 +25,4 @@ def entries() -> list[Entry]:
     return found
 
 
-MODULES = ["telemetry", "judging", "retrieval", "dashboards", "models"]
+MODULES = ["telemetry", "judging", "retrieval", "dashboards", "streams", "models"]

@@ -376,12 +376,6 @@ def query_counters(spark, sf):
     return rounded(D.run_counters(d), "avg_retrieval_ms", "total_retrieval_ms", places=4)
 
 
-def retention(spark, sf):
-    """Last points per channel and the newest alert per segment, as a live page keeps them."""
-    d = O.tail_rows(I.event_points(spark, sf), ["channel"], ["timestamp", "seq"], 50, seconds=86400)
-    return d.select("channel", "seq", "rank_desc")
-
-
 def severity_filter(spark, sf):
     a = alerts(spark, sf)
     return D.filter_severity(a, "warning").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("anomaly_score") > 0.3).alias("strong"))
@@ -546,7 +540,6 @@ ENTRIES = [
     Entry("a12_b04_alert_store", alert_store, f"WITH {ALERTS} SELECT segment, severity, 1 AS official, 's-' || segment AS summary FROM alerts"),
     Entry("b05_verdict_store", verdict_store, f"WITH {ALERTS} SELECT segment, channel, CASE WHEN ts > 25 THEN 'updated' ELSE severity END AS severity FROM alerts"),
     Entry("a13_b08_index_store", index_store, f"WITH {H.BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw"),
-    Entry("b10_retention", retention, f"WITH {I.EVENT_POINTS}, r AS (SELECT channel, seq, row_number() OVER (PARTITION BY channel ORDER BY timestamp DESC, seq DESC) AS rank_desc FROM pts) SELECT * FROM r WHERE rank_desc <= 50"),
     Entry("c14_compare_features", feature_compare, f"WITH {I.ITEM_SEGMENTS}, c(feature) AS (SELECT unnest({J.COLS})) SELECT feature, (SELECT count(*) FROM labelled) - (SELECT count(*) FROM labelled WHERE feature IN ('kurtosis', 'skew') AND var = 0) AS compared, CASE WHEN feature = 'mean' THEN 0.5 ELSE 0.0 END::DOUBLE AS max_diff, CASE WHEN feature = 'mean' THEN (SELECT count(*) FROM labelled WHERE channel = 'AF') ELSE 0 END AS mismatches FROM c"),
     Entry("c17_shape_enrichment", enrichment, f"""WITH {I.ITEM_SEGMENTS}, {I.PEAKS_SQL}, x AS (SELECT split, anomaly, CASE WHEN n_peaks >= 3 AND diff_peaks <= 2 THEN 'intermittent_spikes' WHEN diff_peaks >= 10 THEN 'high_freq_jitter'
      WHEN n_peaks <= 1 AND diff2_peaks <= 5 THEN 'low_activity' ELSE 'unusual_shapes' END AS shape FROM labelled JOIN peaks USING (segment)), b AS (SELECT split, avg(anomaly) AS base FROM x GROUP BY 1)
@@ -604,6 +597,6 @@ ENTRIES = [
     Entry("j01_closed_segments", closed_segments, f"WITH {T.GAP_SQL} SELECT channel, run, count(*) AS n_points, max(timestamp) AS last_ts FROM segs GROUP BY 1, 2 HAVING count(*) >= 3"),
     Entry("j03_stream_verdicts", stream_verdicts, STREAM_SQL),
     Entry("j04_preview_severity", provisional, f"WITH {J.scored_sql('test')}, p AS (SELECT segment, hits, CASE WHEN channel IN ('AF', 'NF') THEN score END AS s FROM scored) SELECT segment, CASE WHEN s IS NOT NULL THEN CASE WHEN s > 1.0 + 3.0 * 0.1 THEN 'critical' WHEN s > 1.0 + 1.5 * 0.1 THEN 'warning' WHEN s > 1.0 THEN 'caution' ELSE 'nominal' END WHEN hits >= 4 THEN 'critical' WHEN hits >= 3 THEN 'warning' WHEN hits >= 2 THEN 'caution' ELSE 'nominal' END AS severity FROM p"),
-    Entry("j05_latest_state", latest_state, "SELECT event_type AS channel, round(max(epoch_us(ts)) / 1e6, 6) AS ts, arg_max(value, ts) AS value, 'caution' AS severity, false AS provisional FROM events GROUP BY 1 UNION ALL SELECT 'silent', NULL, NULL, 'nominal', false"),
+    Entry("j05_latest_state", latest_state, "SELECT event_type AS channel, round(max(epoch_us(ts)) / 1e6, 6) AS ts, arg_max(value, ts) AS value, 'caution' AS severity, false AS provisional FROM events GROUP BY 1 UNION ALL SELECT 'silent', NULL, NULL, 'nominal', true"),
     Entry("j06_counters", counters, f"WITH {ALERTS} SELECT (SELECT count(*) FROM events) AS points, count(*) AS judged, count(*) FILTER (severity <> 'nominal') AS alerts FROM alerts"),
 ]

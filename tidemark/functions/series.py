@@ -51,6 +51,15 @@ def flat_peaks(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def running_means(x: np.ndarray, width: int) -> np.ndarray:
+    """Mean of each sample and the ``width - 1`` before it, zeros outside. Always summed in the same order, so that equal
+    windows give equal means wherever they lie."""
+    out = np.zeros(len(x) + width - 1)
+    for k in range(width):
+        out[k:k + len(x)] += x
+    return out / width
+
+
 def smooth(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int):
     """Centred moving mean with zero padding; a series shorter than ``width`` yields ``width`` values."""
     n = ends - starts
@@ -59,7 +68,7 @@ def smooth(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int):
     padded = np.zeros(int(room.sum()) if len(room) else 0)
     for s, e, a in zip(starts, ends, at):
         padded[a:a + e - s] = flat[s:e]
-    full = np.convolve(padded, np.ones(width) / width) if len(padded) else padded
+    full = running_means(padded, width) if len(padded) else padded
     begin = at + (np.minimum(n, width) - 1) // 2
     return full, begin, begin + np.maximum(n, width)
 
@@ -111,7 +120,7 @@ def block_series(x: np.ndarray, first: int, begin: int, end: int, total: int) ->
 
     out = {"raw": window(x, first, total)}
     for width in SMOOTH:
-        full = np.convolve(x, np.ones(width) / width)
+        full = running_means(x, width)
         shift = (min(total, width) - 1) // 2
         out[f"smooth{width}"] = window(full[shift:], first, total)
     out["diff"] = window(np.diff(x), first, total - 1)

@@ -161,11 +161,19 @@ def ingest_counts(frames: DataFrame, channels: DataFrame) -> DataFrame:
     return marked.agg(F.count("_k").alias("accepted"), F.count_if(F.col("_k").isNull()).alias("rejected"))
 
 
-def channel_state(latest: DataFrame, channels: DataFrame) -> DataFrame:
-    """Latest state per channel with defaults for the silent ones."""
+def channel_state(latest: DataFrame, channels: DataFrame, modelled: DataFrame | None = None) -> DataFrame:
+    """Latest state per channel; a silent one is nominal and provisional.
+
+    modelled: the channels that have a judge; given, the state says so and how long the open segment was when it was last seen.
+    """
     state = latest_per_key(latest, ["channel"], ["ts"])
-    return channels.select("channel").join(state, "channel", "left").withColumns({
-        "severity": F.coalesce("severity", F.lit("nominal")), "provisional": F.coalesce("provisional", F.lit(False))})
+    full = channels.select("channel").join(state, "channel", "left").withColumns({
+        "severity": F.coalesce("severity", F.lit("nominal")), "provisional": F.coalesce("provisional", F.lit(True))})
+    if modelled is None:
+        return full
+    known = modelled.select("channel", F.lit("ready").alias("model")).distinct()
+    return full.join(known, "channel", "left").withColumns({
+        "model": F.coalesce("model", F.lit("unavailable")), "open_len": F.coalesce("open_len", F.lit(0)).cast("long")})
 
 
 def run_counters(log: DataFrame) -> DataFrame:

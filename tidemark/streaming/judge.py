@@ -18,6 +18,7 @@ from tidemark.operators.reports import latest_per_key
 from tidemark.schema import FEATURES
 from tidemark.session import cut_lineage
 from tidemark.sinks.tables import append_alerts, log_verdicts
+from tidemark.streaming import growing
 from tidemark.streaming.segments import to_points
 
 MIN_POINTS = 3
@@ -50,7 +51,8 @@ class Judge:
         """A run is named by its first clock too: an id that comes back in a batch is a segment of its own."""
         keys = ["channel", "segment", "run"]
         rows = segment_features(to_points(closed), keys, rounding="round")
-        return rows.join(closed.select("channel", "segment", F.get("clocks", F.lit(0)).alias("run"), "official", "provisional"), keys)
+        return rows.join(closed.select("channel", "segment", F.get("clocks", F.lit(0)).alias("run"), "official", "provisional",
+                                       F.element_at("values", -1).alias("last_value")), keys)
 
     def judge(self, features: DataFrame) -> DataFrame:
         """Verdict columns for feature rows."""
@@ -89,27 +91,49 @@ def alert_rows(judged: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         "hits", F.lit("unclassified (live)").alias("anomaly_type"), summary.alias("summary"))
 
 
-def preview_rows(judged: DataFrame) -> DataFrame:
-    """Display state of growing segments; never an alert."""
-    score = F.when(F.col("if_flag").isNotNull(), F.col("margin"))
+def judged_rows(judged: DataFrame) -> DataFrame:
+    """Score, severity and last value of closed and growing segments; a growing one is shown by the forest or its hits and is never an alert."""
+    forest = F.when(F.col("if_flag").isNotNull(), F.col("margin"))
+    preview = F.coalesce(forest, F.col("hits").cast("double"))
+    shown = V.by_preview(forest, F.col("hits"), F.col("tau95"), F.col("score_std"))
+    growing_ = F.col("provisional")
     return judged.select(
-        "channel", (F.unix_micros("last_ts") / 1e6).alias("ts"), F.round(F.coalesce(score, F.col("hits").cast("double")), 4).alias("score"),
-        V.by_preview(score, F.col("hits"), F.col("tau95"), F.col("score_std")).alias("severity"), F.lit(True).alias("provisional"))
+        "channel", "segment", "run", (F.unix_micros("last_ts") / 1e6).alias("ts"), F.col("last_value").alias("value"),
+        F.round(F.when(growing_, preview).otherwise(F.col("raw_score")), 4).alias("score"), F.when(growing_, shown).otherwise(F.col("severity")).alias("severity"),
+        "provisional", (F.col("is_anomaly") & ~growing_).alias("is_anomaly"), F.when(growing_, F.col("len")).alias("open_len"))
+
+
+def _growing_features(rows: DataFrame, batch_id: int, folder: str) -> DataFrame:
+    """Features of a batch of growing-segment rows; late points and swings that were handed out go to stores of their own."""
+    log_verdicts(rows.filter("kind = 'late'").select("channel", "segment", F.timestamp_micros("first_clock").alias("timestamp"), F.col("last_value").alias("value")),
+                 f"{folder}/late", batch_id)
+    told = rows.agg(F.max((F.col("kind") == "swings").cast("int")).alias("new"), F.max(F.coalesce(F.col("handed"), F.lit(False)).cast("int")).alias("used")).first()
+    if told.new:
+        log_verdicts(rows.filter("kind = 'swings'").select("channel", "run", "series", "swings"), f"{folder}/swings", batch_id)
+    swings = rows.sparkSession.read.parquet(f"{folder}/swings").filter(F.col("batch") <= batch_id) if told.used else None
+    return growing.statistics(rows, swings)
 
 
 def judge_batch(judge: Judge, closed: DataFrame, batch_id: int, folder: str, labels: DataFrame | None = None) -> None:
-    """Verdict log, alert log and latest scores of one micro-batch. Every write names the batch, so a retry replaces it."""
-    features = judge.features(cut_lineage(closed)).filter(F.col("len") >= MIN_POINTS)
+    """Stores of one micro-batch: verdicts, alerts, judged rows, latest scores, counters, late points. Every write names the batch, so a retry replaces it.
+
+    ``closed`` has whole segments (``segments.CLOSED``) or the rows of ``growing.ROWS``.
+    """
+    rows = cut_lineage(closed)
+    online = "kind" in rows.columns
+    features = (_growing_features(rows, batch_id, folder) if online else judge.features(rows)).filter(F.col("len") >= MIN_POINTS)
     judged = cut_lineage(judge.judge(features))
     final = judged.filter("NOT provisional")
     log_verdicts(verdict_rows(final), f"{folder}/verdicts", batch_id)
     append_alerts(alert_rows(final, labels), f"{folder}/alerts", batch_id)
-    settled = final.select("channel", (F.unix_micros("last_ts") / 1e6).alias("ts"), F.round("raw_score", 4).alias("score"), "severity", "provisional")
-    latest = latest_per_key(settled.unionByName(preview_rows(judged.filter("provisional"))), ["channel"], ["ts", "provisional"])
+    shown = judged_rows(judged)
+    log_verdicts(shown, f"{folder}/judged", batch_id)
+    latest = latest_per_key(shown.select("channel", "ts", "value", "score", "severity", "provisional", "open_len"), ["channel"], ["ts", "provisional"])
     log_verdicts(latest, f"{folder}/scores", batch_id)
+    late = rows.filter("kind = 'late'") if online else rows.limit(0)
     counts = judged.agg(F.count_if(~F.col("provisional")).alias("judged"), F.count_if("provisional").alias("previews"),
                         F.count_if(F.col("is_anomaly") & ~F.col("provisional")).alias("alerts"))
-    log_verdicts(counts, f"{folder}/counters", batch_id)
+    log_verdicts(counts.crossJoin(late.agg(F.count(F.lit(1)).alias("late"))), f"{folder}/counters", batch_id)  # one row each
 
 
 def start(judge: Judge, closed: DataFrame, folder: str, checkpoint: str, labels: DataFrame | None = None,
