@@ -72,16 +72,22 @@ def by_rarity(queries: DataFrame, index: Index, shelf: Shelf, label: str) -> Dat
     return shelf.put(ranked.select("w", "off", F.xxhash64("term").alias("h"), "term", "n", "rank"), label)
 
 
+def small(df: DataFrame, most: int = 1 << 25) -> DataFrame:
+    """Broadcast where the rows' counted size permits it, else left to a shuffle join. df: stored."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8) for c, kind in df.dtypes), F.lit(32))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+
+
 def of_terms(index: Index, listed: DataFrame) -> DataFrame:
     """The postings of the terms listed."""
-    return index.postings.join(listed.select("h", "term").distinct(), ["h", "term"], "left_semi")
+    return index.postings.join(small(listed.select("h", "term").distinct()), ["h", "term"], "left_semi")
 
 
 def phrase_matches(index: Index, queries: DataFrame, shelf: Shelf) -> DataFrame:
     """(w, row, start, words): every place, from 1, where a query's words follow each other. queries: w, words."""
     ranked = by_rarity(queries, index, shelf, "ranked")
     first, second, rest = (ranked.filter(f"rank {of}") for of in ("= 1", "= 2", "> 2"))
-    starts = index.postings.join(first, ["h", "term"]).select("w", "row", (F.col("pos") - F.col("off")).alias("start")).filter("start > 0")
+    starts = index.postings.join(small(first.select("w", "off", "h", "term")), ["h", "term"]).select("w", "row", (F.col("pos") - F.col("off")).alias("start")).filter("start > 0")
     starts = shelf.put(starts, "starts-1")
     place = ["h", "term", "row", "pos"]
 
@@ -93,7 +99,7 @@ def phrase_matches(index: Index, queries: DataFrame, shelf: Shelf) -> DataFrame:
     met = wanted(starts, second).join(of_terms(index, second), place).select("w", "row", "start").join(lengths, "w")
     both = shelf.put(both.filter("words = 1").unionByName(met), "starts-2")
     open_ = both.filter("words > 2")
-    near = of_terms(index, rest).join(open_.select("row").distinct(), "row", "left_semi")
+    near = of_terms(index, rest).join(small(shelf.put(open_.select("row").distinct(), "open-rows")), "row", "left_semi")
     met = wanted(open_, rest).join(near, place).groupBy("w", "row", "start").agg(F.count(F.lit(1)).alias("met")).join(lengths, "w").filter(
         "met = words - 2")
     return both.filter("words <= 2").unionByName(met.select("w", "row", "start", "words"))
@@ -106,7 +112,7 @@ def proximity_matches(index: Index, queries: DataFrame, span: int, shelf: Shelf)
     """
     ranked = by_rarity(queries.select("w", F.array_distinct("words").alias("words")), index, shelf, "ranked-near")
     first, rest = ranked.filter("rank = 1"), ranked.filter("rank > 1")
-    at = shelf.put(index.postings.join(first, ["h", "term"]).select("w", "row", F.col("pos").alias("p"), "rank"), "anchors")
+    at = shelf.put(index.postings.join(small(first.select("w", "h", "term", "rank")), ["h", "term"]).select("w", "row", F.col("pos").alias("p"), "rank"), "anchors")
     others = at.drop("rank").withColumn("block", F.explode(F.sequence(F.floor((F.col("p") - span + 1) / span), F.floor((F.col("p") + span - 1) / span)))).join(
         rest.select("w", "h", "term", "rank"), "w")
     near = of_terms(index, rest).withColumn("block", F.floor(F.col("pos") / span))
