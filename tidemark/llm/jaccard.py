@@ -1,13 +1,22 @@
 """Links between texts by the exact Jaccard similarity of their shingle sets.
 
-A shingle set is the distinct runs of ``shingle`` lower-case words. Texts of equal sets are one class. A class has 256 least hashes of its set;
+A shingle set is the distinct runs of ``shingle`` lower-case words, held as 64-bit hashes. Texts of equal sets are one class. A class has 256 least hashes of its set;
 six of them make a band, and classes that share one of 42 bands meet in a bucket. Two sets of similarity 0.8 share a band with a
-probability of 0.999997. A pair of a bucket is tried when the sizes allow the similarity and one bit of each least hash differs in no more than six deviations above the mean;
-a link is what the sets themselves say.
+probability of 0.999997. A pair of a bucket is tried when
 
-The trials of a bucket stay near its size: its members are tried against one hub first, then what is not yet of one component against other hubs, and
-once few pairs are left, or hubs find no more, all pairs of members of different components are tried. So every pair of a bucket
-is tried or joined by others.
+* the sizes allow the similarity, and one bit of each least hash differs in no more than six deviations above the mean;
+* the parities allow it: a set has 512 parities of its hashes by their last nine bits. An element that only one of two sets has turns one parity, so
+  the parities that differ are no more than the elements that differ. This bound loses no link, and it holds back the pairs of a large group
+  whose members are all close to one text but not to each other.
+
+A link is what the sets themselves say. The trials of a bucket stay near its size: its members are tried against its most central member first (that with
+the fullest buckets), then what is not of its component against the most central of the rest, while that links one in twenty. Then all
+pairs of members of different components are tried, in cells of two parts of a bucket, each in the first bucket that the two share. So every pair
+of a bucket is tried or joined by others.
+
+Nulls and edges: null and empty texts have the empty set and are one class; a text of fewer words than a shingle has one shingle of all of them;
+equal texts, and texts that differ in case, spacing or repeated shingles only, are one class; ties go to the smaller id; empty tables give empty
+results. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,12 +35,13 @@ from tidemark.llm.components import components
 LEAST, BANDS, ROWS = 256, 42, 6
 #: The bit of a least hash that is kept; far enough down to be even in the least of many.
 BIT = np.uint64(30)
-#: Rounds of trials against hubs, and pairs a class for which all are tried at once.
-HUBS, FEW = 6, 8
+#: Parities of a set, most rounds of trials against hubs, and members of a part of a bucket.
+PARITIES, HUBS, PART = 512, 6, 4096
 _RANDOM = np.random.default_rng(64)
 _FACTORS = _RANDOM.integers(0, 2**64, LEAST, dtype=np.uint64) | np.uint64(1)
 _TERMS = _RANDOM.integers(0, 2**64, LEAST, dtype=np.uint64)
 _BITS = [f"bits{n}" for n in range(LEAST // 64)]
+_ODD = [f"odd{n}" for n in range(PARITIES // 64)]
 
 
 def shingles(text: bytes | None, shingle: int) -> set[bytes]:
@@ -48,30 +58,37 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def marks(text: bytes | None, shingle: int) -> tuple[bytes, int, np.ndarray, list[int]]:
-    """Digest and size of the shingle set, a bit of each least hash as four words, the bands' keys."""
-    hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found := shingles(text, shingle)), np.uint64, len(found)))
+def hashed(text: bytes | None, shingle: int) -> np.ndarray:
+    """The shingle set as sorted hashes."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found := shingles(text, shingle)), np.uint64, len(found)))
+
+
+def marks(text: bytes | None, shingle: int) -> tuple[bytes, int, np.ndarray, np.ndarray, list[int]]:
+    """Digest and size of the shingle set, a bit of each least hash and the parities as words, the bands' keys."""
+    hashes = hashed(text, shingle)
     least = least_hashes(hashes)
     bits = np.packbits(((least >> BIT) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    odd = np.packbits((np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
     keys = [xxhash.xxh64_intdigest(least[ROWS * n:ROWS * (n + 1)].tobytes(), n) for n in range(BANDS)]
-    return xxhash.xxh3_128_digest(hashes.tobytes()), len(found), bits, keys
+    return xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), bits, odd, keys
 
 
-def marked(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
-    """doc_id, text as bytes, fp (what ``fingerprint`` gives of the bytes), digest, size, bits0 to bits3, keys."""
-    kind = dict(docs.dtypes)["doc_id"]
+def marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``docs`` (text as bytes) and digest, size, bits0 to bits3, odd0 to odd7, keys of each text's set."""
+    given = docs.withColumn("text", F.col("text").cast("binary"))
+    at, names = given.columns.index("text"), [*given.columns, "digest", "size", *_BITS, *_ODD, "keys"]
 
     def rows(batches):
         for batch in batches:
-            found = [marks(t.as_py(), shingle) for t in batch.column(1)]
-            bits = np.array([f[2] for f in found], np.int64).reshape(-1, len(_BITS))
-            keys = np.array([f[3] for f in found], np.uint64).view(np.int64).reshape(-1)
+            found = [marks(t.as_py(), shingle) for t in batch.column(at)]
+            words = np.array([np.concatenate(f[2:4]) for f in found], np.int64).reshape(len(found), -1)
+            keys = np.array([f[4] for f in found], np.uint64).view(np.int64).reshape(-1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), *(pa.array(bits[:, n].copy()) for n in range(len(_BITS))),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys))], names=["doc_id", "text", "fp", "digest", "size", *_BITS, "keys"])
+                [*batch.columns, pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), *(pa.array(words[:, n].copy()) for n in range(len(_BITS) + len(_ODD))),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys))], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
-        rows, f"doc_id {kind}, text binary, fp bigint, digest binary, size int, " + ", ".join(f"{b} bigint" for b in _BITS) + ", keys array<bigint>")
+    given_types = ", ".join(f"{c} {kind}" for c, kind in given.dtypes)
+    return given.mapInArrow(rows, f"{given_types}, digest binary, size int, " + ", ".join(f"{b} bigint" for b in [*_BITS, *_ODD]) + ", keys array<bigint>")
 
 
 def bits_apart(similarity: float) -> int:
@@ -82,74 +99,99 @@ def bits_apart(similarity: float) -> int:
 
 def likely(similarity: float) -> Column:
     """Of rows with the facts of two sets x and y."""
-    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
-    return (F.least("x.size", "y.size") / F.greatest("x.size", "y.size") >= similarity) & (differ <= bits_apart(similarity))
+    def differ(words: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in words), F.lit(0))
+
+    apart = (F.col("x.size") + F.col("y.size")) * (1 - similarity) / (1 + similarity) + 1e-6
+    return (F.least("x.size", "y.size") / F.greatest("x.size", "y.size") >= similarity) & (differ(_BITS) <= bits_apart(similarity)) & (differ(_ODD) <= apart)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have this Jaccard similarity or more. texts: id, text."""
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity or more. sets: id, hashes (sorted)."""
     def check(batches):
-        at, own = None, set()
         for batch in batches:
             kept = []
-            for n, a in enumerate(batch.column(0).to_pylist()):
-                if a != at:  # pairs of a hub often follow each other
-                    at, own = a, shingles(batch.column(2)[n].as_py(), shingle)
-                other = shingles(batch.column(3)[n].as_py(), shingle)
-                both = len(own & other)
-                kept.append(both / (len(own) + len(other) - both) >= similarity)
+            for n in range(batch.num_rows):
+                x, y = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both / max(1, len(x) + len(y) - both) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    whole = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+    whole = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_a")), "a")
+    return whole.select("a", "b", "_a", "_b").mapInArrow(check, "a bigint, b bigint")
+
+
+def hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of (id, text)."""
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(t.as_py(), shingle).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(rows, "id bigint, hashes array<bigint>")
 
 
 def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, similarity: float) -> DataFrame:
-    """(id, root) of every class of more than itself but the roots. sets: id, text, size, bits, keys; classes: ids of one row of each class; both stored."""
-    placed = sets.select("id", "keys").join(classes, "id").select("id", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1").drop("n")
-    buckets = shelf.put(placed.join(shared, "key"), "buckets")
-    facts, few = sets.select("id", "size", *_BITS), FEW * classes.count()
-    texts = shelf.put(sets.select("id", "text").join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
-    tried: list[DataFrame] = []
-    linked: list[DataFrame] = []
-
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def tries(pairs: DataFrame) -> int:
-        """Pairs (a, b) that are likely; gives the number of links."""
-        n = len(tried)
-        new = pairs.join(union(tried), ["a", "b"], "left_anti") if tried else pairs
-        tried.append(shelf.put(new, f"tried-{n}"))
-        linked.append(shelf.put(similar(tried[-1], texts, shingle, similarity), f"linked-{n}"))
-        return linked[-1].count()
-
-    def against_hubs(rows: DataFrame) -> DataFrame:
-        pairs = rows.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        x, y = (facts.select(F.col("id").alias(k), *(F.col(c).alias(f"{t}_{c}") for c in facts.columns[1:])) for k, t in (("a", "x"), ("b", "y")))
-        named = pairs.join(x, "a").join(y, "b").select("a", "b", *(F.struct(*(F.col(f"{t}_{c}").alias(c) for c in facts.columns[1:])).alias(t) for t in "xy"))
-        return named.filter(likely(similarity)).select("a", "b")
-
-    found = tries(against_hubs(buckets))
-    for n in range(HUBS + 1):
-        within = buckets.select("key", "id").join(components(union(linked), shelf), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        sizes = within.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select(
-            "key", F.col("most.root").alias("main"), ((F.col("n") - F.col("most.n")) * F.col("n")).alias("pairs"))
-        open_ = shelf.put(within.join(mixed, "key"), f"open-{n}")
-        left = open_.groupBy("key").agg(F.max("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if left <= few or not found or n == HUBS:
+    """(id, root) of every class of more than itself but the roots. sets: id, text, size, bits, parities, keys; classes: ids of one row of each class; both stored."""
+    placed = sets.select("id", "keys").join(classes, "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = shelf.put(placed.join(shared, "key"), "met")
+    buckets = shelf.put(met.join(met.groupBy("id").agg(F.sum("n").alias("central")), "id").select("key", "id", "central"), "buckets")
+    own = shelf.put(sets.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "text", "size", "keys", *_BITS, *_ODD), "own")
+    facts, names = own.drop("text"), ["size", *_BITS, *_ODD]
+    hashes = shelf.put(hash_sets(own, shingle), "hashes")
+    known = None  # (id, root) by the links so far
+
+    def tries(pairs: DataFrame, n: int) -> int:
+        """Tries pairs (a, b) and joins the components of those that link; gives the number of links."""
+        nonlocal known
+        links = shelf.put(similar(shelf.put(pairs, f"pairs-{n}"), hashes, similarity), f"links-{n}")
+        found = links.count()
+        if found and known is None:
+            known = shelf.put(components(links, shelf), f"known-{n}")
+        elif found:  # only the new links are worked on, between components
+            def renamed(df: DataFrame, c: str) -> DataFrame:
+                return df.join(known.select(F.col("id").alias(c), F.col("root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+            moved = shelf.put(components(renamed(renamed(links, "a"), "b"), shelf), f"moved-{n}")
+            further = known.join(moved.select(F.col("id").alias("root"), F.col("root").alias("_r")), "root", "left").select("id", F.coalesce("_r", "root").alias("root"))
+            known = shelf.put(further.unionByName(moved.select("id", "root")), f"known-{n}")  # what moves was a root, so no id comes twice
+        return found
+
+    def with_roots(rows: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with their root and the bucket's largest one."""
+        if known is not None:
+            rows = rows.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        else:
+            rows = rows.withColumn("root", F.col("id"))
+        several = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+        return rows.join(several, "key")
+
+    for n in range(HUBS):
+        open_ = shelf.put(with_roots(buckets), f"open-{n}")
+        rest = open_ if n == 0 else open_.filter("root <> main")
+        left = rest.select("id").distinct().count()
+        if not left:
+            return known if known is not None else _none(sets)
+        hubs = rest.groupBy("key").agg(F.max_by(F.struct("id", "root"), F.struct("central", -F.col("id"))).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.root").alias("its"))
+        pairs = rest.join(hubs, "key").filter("root <> its").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        x, y = (facts.select(F.col("id").alias(c), F.struct(*names).alias(t)) for c, t in (("a", "x"), ("b", "y")))
+        found = tries(pairs.join(x, "a").join(y, "b").filter(likely(similarity)).select("a", "b"), n)
+        if 20 * found < left:
             break
-        hubs = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("u"), "id", "root")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.root").alias("its"))
-        found = tries(against_hubs(open_.join(hubs, "key").filter("root <> its")))
-    if left:
-        every = shelf.put(open_.join(facts, "id"), "every")
-        across = every.filter("root <> main").alias("x").join(every.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (
-            (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & likely(similarity))
-        tries(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    return components(union(linked), shelf)
+    open_ = shelf.put(with_roots(buckets), "open")
+    if open_.isEmpty():
+        return known if known is not None else _none(sets)
+    every = open_.join(facts, "id").withColumn("parts", F.ceil(F.col("members") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = shelf.put(every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "every")
+    x = every.filter("root <> main").withColumn("cell", F.col("part") * F.col("parts") + F.col("other")).alias("x")
+    y = every.withColumn("cell", F.col("other") * F.col("parts") + F.col("part")).alias("y")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # the first bucket that both share
+    order = (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root")) & order & likely(similarity))
+    pairs = across.filter(once).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    tries(pairs.distinct(), HUBS)
+    return known if known is not None else _none(sets)
+
+
+def _none(sets: DataFrame) -> DataFrame:
+    return sets.select("id", F.col("id").alias("root")).limit(0)

@@ -300,27 +300,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, most: in
     most: fingerprints that a subtree should hold; larger ones are cut. similarity: links are exact Jaccard similarities of this or more, whatever the
     budget; None links by the budget.
     """
-    shelf, names = Shelf(docs.sparkSession, "simhash"), ["fp"] if similarity is None else ["digest"]
+    shelf = Shelf(docs.sparkSession, "simhash")
     if similarity is None:
         marked = shelf.put(fingerprints(docs, shingle), "fingerprints")
-    else:
-        marked = shelf.put(jaccard.marked(docs, shingle, lambda text: fingerprint(text, shingle)[0]).withColumn("row", F.monotonically_increasing_id()), "marks")
-    distinct = shelf.put(marked.groupBy(*names).agg(F.min("doc_id").alias("first_id"), *([] if similarity is None else [F.min("row").alias("id")])).withColumn(
-        "id", F.monotonically_increasing_id() if similarity is None else F.col("id")), "distinct")
-    if similarity is None:
+        distinct = shelf.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("id", F.monotonically_increasing_id()), "distinct")
         roots = components(shelf.put(links(distinct, shelf, budget, most), "links"), shelf)
+        named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        of = shelf.put(named.join(least, "root").select("fp", "component_id"), "classes")
     else:
-        roots = jaccard.roots(marked.withColumnRenamed("row", "id"), distinct.select("id"), shelf, shingle, similarity)
-    named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = shelf.put(named.join(least, "root").select(*names, "component_id"), "classes")
-    return marked.join(of, names).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; documents without an id are one group per equal text."""
-    plain = docs.select(*DOCUMENT_COLUMNS)
-    found = near_duplicates(plain, **options)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = plain.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*DOCUMENT_COLUMNS).unionByName(plain.filter("doc_id IS NULL").dropDuplicates(["text"]))
+        rows, of = similar_groups(docs.select("doc_id", "text"), shingle, similarity, shelf)
+        least = of.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+        of = of.join(least, "root").select("digest", "component_id")
+        marked = fingerprints(rows.select(F.struct("doc_id", "digest").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle).select("doc_id.*", "fp")
+    return marked.join(of, of.columns[0]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with their class (digest) and a number of their own (row), and per class its component (root) and least row.
+
+    The least row is that of the smallest doc_id, rows without one last, then that of the smallest number.
+    """
+    marked = shelf.put(jaccard.marked(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "marks")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = shelf.put(marked.groupBy("digest").agg(F.min("row").alias("id"), F.min(rank).alias("least")), "distinct")
+    roots = jaccard.roots(marked.withColumnRenamed("row", "id"), distinct.select("id"), shelf, shingle, similarity)
+    return marked, shelf.put(distinct.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("root"), "least"), "classes")
+
+
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group, that with the smallest doc_id: rows without an id come last, rows of one id by their order in the table.
+
+    Every row is compared by its text, whatever its id, so unlike texts of one id stay, one row of each group.
+    """
+    shelf = Shelf(docs.sparkSession, "simhash")
+    rows, of = similar_groups(docs.select(*DOCUMENT_COLUMNS), shingle, similarity, shelf)
+    first = shelf.put(of.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "first")
+    return rows.join(first, "row", "left_semi").withColumn("text", F.col("text").cast("string")).select(*DOCUMENT_COLUMNS)
