@@ -388,8 +388,7 @@ def feature_compare(spark, sf):
 
 
 def enrichment(spark, sf):
-    full = X.segment_features(I.item_points(spark, sf)).select("segment", *I.PEAK_FEATURES)
-    return rounded(X.shape_enrichment(J.segments(spark, sf).join(full, "segment")), "rate", "enrichment")
+    return rounded(X.shape_enrichment(J.segments(spark, sf)), "rate", "enrichment")
 
 
 def audit(spark, sf):
@@ -492,7 +491,7 @@ def stream_verdicts(spark, sf):
     from tidemark.operators import fusion as U
     from tidemark.operators import rules as R
 
-    f = cut_lineage(I.plain_features(pts).filter("len >= 3"))
+    f = cut_lineage(X.segment_features(pts).filter("len >= 3"))
     hit = R.rule_hits(f, R.thresholds(f, J.COLS), J.COLS, "test")
     rows = hit.withColumns({"margin": F.lit(None).cast("double"), "tau95": F.lit(0.0), "score_std": F.lit(1.0)})
     return U.verdicts(rows, []).select("segment", "hits", "is_anomaly", "severity", "anomaly_score")
@@ -501,7 +500,7 @@ def stream_verdicts(spark, sf):
 STREAM_SQL = f"""WITH {I.USER_POINTS.replace('pts AS', 'p0 AS')}, g AS (SELECT *, CASE WHEN lag(timestamp) OVER w IS NULL OR
   (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1e6 > greatest(3 * sampling, 5) THEN 1 ELSE 0 END AS opens FROM p0 WINDOW w AS (PARTITION BY channel ORDER BY timestamp, seq)),
 pts AS (SELECT 'all' AS channel, channel || '-' || CAST(sum(opens) OVER (PARTITION BY channel ORDER BY timestamp, seq) AS BIGINT) AS segment, timestamp, seq, value, sampling FROM g),
-{I.PLAIN_SQL}, f AS (SELECT * FROM plain WHERE len >= 3), {I.thresholds_sql('f', 'lim', J.COLS)}, {I.hits_sql('f', 'lim', 'h', J.COLS, 'test')}
+{I.WHOLE_SQL}, f AS (SELECT * FROM whole WHERE len >= 3), {I.thresholds_sql('f', 'lim', J.COLS)}, {I.hits_sql('f', 'lim', 'h', J.COLS, 'test')}
 SELECT segment, hits, hits >= 2 AS is_anomaly, CASE WHEN hits < 2 THEN 'nominal' WHEN hits >= 4 THEN 'critical' WHEN hits = 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(hits / 6.0, 1.0), 4)::DOUBLE AS anomaly_score FROM h"""
 
 
@@ -541,8 +540,8 @@ ENTRIES = [
     Entry("b05_verdict_store", verdict_store, f"WITH {ALERTS} SELECT segment, channel, CASE WHEN ts > 25 THEN 'updated' ELSE severity END AS severity FROM alerts"),
     Entry("a13_b08_index_store", index_store, f"WITH {H.BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM kw"),
     Entry("c14_compare_features", feature_compare, f"WITH {I.ITEM_SEGMENTS}, c(feature) AS (SELECT unnest({J.COLS})) SELECT feature, (SELECT count(*) FROM labelled) - (SELECT count(*) FROM labelled WHERE feature IN ('kurtosis', 'skew') AND var = 0) AS compared, CASE WHEN feature = 'mean' THEN 0.5 ELSE 0.0 END::DOUBLE AS max_diff, CASE WHEN feature = 'mean' THEN (SELECT count(*) FROM labelled WHERE channel = 'AF') ELSE 0 END AS mismatches FROM c"),
-    Entry("c17_shape_enrichment", enrichment, f"""WITH {I.ITEM_SEGMENTS}, {I.PEAKS_SQL}, x AS (SELECT split, anomaly, CASE WHEN n_peaks >= 3 AND diff_peaks <= 2 THEN 'intermittent_spikes' WHEN diff_peaks >= 10 THEN 'high_freq_jitter'
-     WHEN n_peaks <= 1 AND diff2_peaks <= 5 THEN 'low_activity' ELSE 'unusual_shapes' END AS shape FROM labelled JOIN peaks USING (segment)), b AS (SELECT split, avg(anomaly) AS base FROM x GROUP BY 1)
+    Entry("c17_shape_enrichment", enrichment, f"""WITH {I.ITEM_SEGMENTS}, x AS (SELECT split, anomaly, CASE WHEN n_peaks >= 3 AND diff_peaks <= 2 THEN 'intermittent_spikes' WHEN diff_peaks >= 10 THEN 'high_freq_jitter'
+     WHEN n_peaks <= 1 AND diff2_peaks <= 5 THEN 'low_activity' ELSE 'unusual_shapes' END AS shape FROM labelled), b AS (SELECT split, avg(anomaly) AS base FROM x GROUP BY 1)
      SELECT split, shape, count(*) AS n, round(avg(anomaly), 6) AS rate, round(avg(anomaly) / any_value(base), 6) AS enrichment FROM x JOIN b USING (split) GROUP BY 1, 2"""),
     Entry("c18_baseline_band", band, f"WITH {I.ITEM_POINTS} SELECT channel, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(avg(value) + 3 * stddev_samp(value), 6) AS upper_3sigma, round(avg(value) - 3 * stddev_samp(value), 6) AS lower_3sigma FROM pts GROUP BY 1"),
     Entry("c19_scale_audit", audit, f"""WITH {I.ITEM_SEGMENTS}, t AS (UNPIVOT (SELECT mean, std, skew, kurtosis FROM labelled) ON mean, std, skew, kurtosis INTO NAME feature VALUE value),
@@ -550,7 +549,7 @@ ENTRIES = [
      SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std, round(p01, 6) AS p01, round(p99, 6) AS p99, round(std / (SELECT min(std) FROM s), 6) AS scale_ratio FROM s"""),
     Entry("c20_robust_scaling", robust, f"WITH {I.ITEM_SEGMENTS}, p AS (SELECT quantile_cont(mean, [0.25, 0.5, 0.75]) AS m, quantile_cont(std, [0.25, 0.5, 0.75]) AS s FROM labelled WHERE split = 'fit') SELECT segment, round((mean - m[2]) / (m[3] - m[1]), 6) AS mean, round((std - s[2]) / (s[3] - s[1]), 6) AS std FROM labelled, p"),
     Entry("c20_standard_scaling", standard, f"WITH {I.ITEM_SEGMENTS}, p AS (SELECT avg(mean) AS m, stddev_pop(mean) AS ms, avg(std) AS s, stddev_pop(std) AS ss FROM labelled WHERE split = 'fit') SELECT segment, round((mean - m) / ms, 6) AS mean, round((std - s) / ss, 6) AS std FROM labelled, p"),
-    Entry("d01_d03_projection", projection, f"WITH {I.ITEM_SEGMENTS} SELECT {', '.join(f'round({c}::DOUBLE, 6) AS {c}' if c != 'len' else 'len' for c in J.COLS)} FROM labelled WHERE train = 1 AND channel = 'AF'"),
+    Entry("d01_d03_projection", projection, f"WITH {I.ITEM_SEGMENTS} SELECT {', '.join(c if c in ('len', *I.PEAK_FEATURES) else f'round({c}::DOUBLE, 6) AS {c}' for c in J.COLS)} FROM labelled WHERE train = 1 AND channel = 'AF'"),
     Entry("d04_semi_join", semi_join, f"WITH {J.SCORED} SELECT channel, count(*) AS n FROM scored WHERE hits >= 1 GROUP BY 1"),
     Entry("d07_label_lookup", lookup, f"WITH {J.SCORED}, l AS (SELECT upper(substring(n_name, 1, 2)) AS channel, min(n_name) AS label FROM nation GROUP BY 1) SELECT segment, s.channel, coalesce(label, s.channel) AS channel_label FROM scored s LEFT JOIN l ON l.channel = s.channel"),
     Entry("d08_point_lookup", point_lookup, f"WITH {ALERTS} SELECT segment, channel, anomaly_score FROM alerts WHERE segment = 'AF-7' AND channel = 'AF' ORDER BY anomaly_score LIMIT 1"),

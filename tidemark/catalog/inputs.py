@@ -17,8 +17,6 @@ from tidemark.schema import FEATURES, PEAK_FEATURES
 from tidemark.session import cut_lineage
 
 PLAIN = [f for f in FEATURES if f not in PEAK_FEATURES]
-RULE_COLUMNS = ["mean", "var", "std", "kurtosis", "skew", "diff_var", "diff2_var", "var_div_len", "len", "duration",
-                "gaps_squared", "len_weighted", "var_div_duration"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -158,16 +156,20 @@ def labelled(features: DataFrame, largest: int | None = None) -> DataFrame:
 
 
 LABELLED_SQL = f"""tagged AS (SELECT p.*, CAST(top >= cut AS INTEGER) AS anomaly, CAST({u_sql('segment', 'train')} < 0.7 AS INTEGER) AS train,
-  {u_sql('segment', 42)} AS _u FROM plain p JOIN (SELECT channel, quantile_cont(top, 0.8) AS cut FROM plain GROUP BY 1) USING (channel)),
+  {u_sql('segment', 42)} AS _u FROM whole p JOIN (SELECT channel, quantile_cont(top, 0.8) AS cut FROM whole GROUP BY 1) USING (channel)),
 labelled AS (SELECT t.* EXCLUDE (_u), CASE WHEN train = 0 THEN 'test' WHEN _u <= vcut THEN 'val' ELSE 'fit' END AS split
   FROM tagged t LEFT JOIN (SELECT anomaly, train, quantile_cont(_u, 0.2) AS vcut FROM tagged WHERE train = 1 GROUP BY 1, 2) USING (anomaly, train))"""
 
 
 def item_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled(cut_lineage(plain_features(item_points(spark, sf))))
+    """Item segments with all 18 features, label and split."""
+    points = item_points(spark, sf)
+    peaks = segment_features(points).select("channel", "segment", *PEAK_FEATURES)
+    return labelled(cut_lineage(plain_features(points).join(peaks, ["channel", "segment"])))
 
 
-ITEM_SEGMENTS = f"{ITEM_POINTS}, {PLAIN_SQL}, {LABELLED_SQL}"
+WHOLE_SQL = f"{PLAIN_SQL}, {PEAKS_SQL}, whole AS (SELECT * FROM plain JOIN peaks USING (segment))"
+ITEM_SEGMENTS = f"{ITEM_POINTS}, {WHOLE_SQL}, {LABELLED_SQL}"
 
 
 def thresholds_sql(source: str, out: str, columns: list[str]) -> str:

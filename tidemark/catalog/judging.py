@@ -19,8 +19,9 @@ from tidemark.operators import fusion as U
 from tidemark.operators import rules as R
 from tidemark.operators import sampling as P
 from tidemark.operators.quantiles import quantiles
+from tidemark.schema import FEATURES
 
-COLS = I.RULE_COLUMNS
+COLS = list(FEATURES)
 STRONG = ["AF", "NF", "RF"]
 SCORE_COLUMNS = ["mean", "std", "skew"]
 

@@ -20,16 +20,8 @@ from tidemark.plans.evidence import explain
 COLS = J.COLS
 
 
-def full_segments(spark, sf):
-    """Item segments with all 18 features."""
-    def build():
-        peaks = X.segment_features(I.item_points(spark, sf)).select("segment", *I.PEAK_FEATURES)
-        return J.segments(spark, sf).join(peaks, "segment")
-    return I.stored(spark, sf, "full_segments", build)
-
-
 def fit_forest(spark, sf, group="channel", trees=50):
-    rows = full_segments(spark, sf)
+    rows = J.segments(spark, sf)
     return rows, T.fit(rows.filter("split = 'fit'"), X.feature_vector(), group=group, trees=trees)
 
 
@@ -61,7 +53,7 @@ def importance(spark, sf):
 
 
 def permutation(spark, sf):
-    rows = full_segments(spark, sf)
+    rows = J.segments(spark, sf)
     fit, test = rows.filter("split = 'fit'"), rows.filter("split <> 'fit'")
     cols = ["mean", "std", "skew", "n_peaks"]
     vector = X.feature_vector(cols)
@@ -75,12 +67,12 @@ def permutation(spark, sf):
 
 
 def forward(spark, sf):
-    rows = full_segments(spark, sf)
+    rows = J.segments(spark, sf)
     return E.forward_choice(rows.filter("split = 'fit'"), rows.filter("split = 'val'"), ["mean", "std", "skew", "kurtosis", "n_peaks"], 3, 20)
 
 
 def sweep(spark, sf):
-    rows = full_segments(spark, sf)
+    rows = J.segments(spark, sf)
     fit = rows.filter("split = 'fit'")
     wide = E.largest_scale(D.scale_audit(fit, X.FEATURES))
     settings = {"trees20": {"trees": 20}, "psi32": {"trees": 20, "psi": 32},
@@ -89,7 +81,7 @@ def sweep(spark, sf):
 
 
 def coefficients(spark, sf):
-    return E.coefficient_whitelist(full_segments(spark, sf).filter("split = 'val'"), COLS, 6)
+    return E.coefficient_whitelist(J.segments(spark, sf).filter("split = 'val'"), COLS, 6)
 
 
 def calibrated(spark, sf):
@@ -118,7 +110,7 @@ def nested_outcomes(spark, sf):
 
 def detection(spark, sf):
     """Whole batch plan with a recipe: every channel by OR, two channels left to the forest over all."""
-    rows = full_segments(spark, sf)
+    rows = J.segments(spark, sf)
     recipe = rows.select("channel").distinct().filter("channel NOT IN ('RO', 'NO')").select(
         "channel", F.lit("OR").alias("op"), F.lit(0.2).alias("contamination"), F.lit(2).alias("best_k"))
     return P.detect(rows.select("channel", "segment", "anomaly", "train", "sampling", *X.FEATURES), recipe, excluded=["RF"], trees=20)
@@ -140,7 +132,7 @@ def evidence(spark, sf):
 def descriptions(spark, sf):
     from tidemark.operators.evidence import describe_anomaly
 
-    rows = full_segments(spark, sf)
+    rows = J.segments(spark, sf)
     return rows.select("segment", describe_anomaly(F.col("channel"), X.shape_class(), F.lit(0.75), X.feature_summary()).alias("text"))
 
 
@@ -159,8 +151,8 @@ ENTRIES = [
     Entry("f39_nested_validation", nested),
     Entry("f39_nested_outcomes", nested_outcomes),
     Entry("d06_detection", detection),
-    Entry("h24_descriptions", descriptions, f"""WITH {I.ITEM_SEGMENTS}, {I.PEAKS_SQL}, x AS (SELECT l.*, p.* EXCLUDE (segment), CASE WHEN n_peaks >= 3 AND diff_peaks <= 2 THEN 'intermittent_spikes' WHEN diff_peaks >= 10 THEN 'high_freq_jitter'
-     WHEN n_peaks <= 1 AND diff2_peaks <= 5 THEN 'low_activity' ELSE 'unusual_shapes' END AS shape FROM labelled l JOIN peaks p ON p.segment = l.segment)
+    Entry("h24_descriptions", descriptions, f"""WITH {I.ITEM_SEGMENTS}, x AS (SELECT l.*, CASE WHEN n_peaks >= 3 AND diff_peaks <= 2 THEN 'intermittent_spikes' WHEN diff_peaks >= 10 THEN 'high_freq_jitter'
+     WHEN n_peaks <= 1 AND diff2_peaks <= 5 THEN 'low_activity' ELSE 'unusual_shapes' END AS shape FROM labelled l)
      SELECT segment, '检测到' || channel || '通道异常; 异常类型: ' || shape || '（' || CASE shape WHEN 'intermittent_spikes' THEN '间歇性尖峰（孤立脉冲）' WHEN 'high_freq_jitter' THEN '持续高频抖动' WHEN 'low_activity' THEN '低活动/近静止' ELSE '其他异常形态' END
      || '）; 异常得分: 0.75 (阈值0.25); 标准差: ' || format('{{:.4g}}', std) || '; 峰度: ' || printf('%.3f', kurtosis) || '; 峰值数: ' || printf('%.1f', n_peaks::DOUBLE) || '; 一阶差分峰数: ' || printf('%.1f', diff_peaks::DOUBLE) AS text FROM x"""),
     Entry("h27_evidence", evidence),
