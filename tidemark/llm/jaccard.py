@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Shelf
+from tidemark.llm.common import Shelf, small
 from tidemark.llm.components import components
 
 LEAST, BANDS, ROWS = 256, 42, 6
@@ -136,7 +136,8 @@ def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, simil
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = shelf.put(placed.join(shared, "key"), "met")
     buckets = shelf.put(met.join(met.groupBy("id").agg(F.sum("n").alias("central")), "id").select("key", "id", "central"), "buckets")
-    own = shelf.put(sets.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "text", "size", "keys", *_BITS, *_ODD), "own")
+    held = shelf.put(buckets.select("id").distinct(), "held")
+    own = shelf.put(sets.join(small(held), "id", "left_semi").select("id", "text", "size", "keys", *_BITS, *_ODD), "own")
     facts, names = own.drop("text"), ["size", *_BITS, *_ODD]
     hashes = shelf.put(hash_sets(own, shingle), "hashes")
     known = None  # (id, root) by the links so far

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Shelf
+from tidemark.llm.common import Shelf, small
 
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -72,12 +72,6 @@ def by_rarity(queries: DataFrame, index: Index, shelf: Shelf, label: str) -> Dat
     return shelf.put(ranked.select("w", "off", F.xxhash64("term").alias("h"), "term", "n", "rank"), label)
 
 
-def small(df: DataFrame, most: int = 1 << 25) -> DataFrame:
-    """Broadcast where the rows' counted size permits it, else left to a shuffle join. df: stored."""
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8) for c, kind in df.dtypes), F.lit(32))
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
-
-
 def of_terms(index: Index, listed: DataFrame) -> DataFrame:
     """The postings of the terms listed."""
     return index.postings.join(small(listed.select("h", "term").distinct()), ["h", "term"], "left_semi")

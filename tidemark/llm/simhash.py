@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard
-from tidemark.llm.common import DOCUMENT_COLUMNS, Shelf
+from tidemark.llm.common import DOCUMENT_COLUMNS, Shelf, small
 from tidemark.llm.components import components
 
 BITS = 64
@@ -335,5 +335,6 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """
     shelf = Shelf(docs.sparkSession, "simhash")
     rows, of = similar_groups(docs.select(*DOCUMENT_COLUMNS), shingle, similarity, shelf)
-    first = shelf.put(of.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "first")
-    return rows.join(first, "row", "left_semi").withColumn("text", F.col("text").cast("string")).select(*DOCUMENT_COLUMNS)
+    first = of.join(of.groupBy("root").agg(F.min("least").alias("first")), "root").select("digest", F.col("first.row").alias("first"))
+    gone = shelf.put(rows.select("row", "digest").join(first, "digest").filter("row <> first").select("row"), "gone")  # mostly fewer than what stays
+    return rows.join(small(gone), "row", "left_anti").withColumn("text", F.col("text").cast("string")).select(*DOCUMENT_COLUMNS)
