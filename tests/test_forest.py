@@ -64,3 +64,92 @@ def test_importance_finds_the_informative_feature(spark):
 def test_average_path():
     assert T.average_path(1) == 0.0 and T.average_path(2) == 1.0
     assert abs(T.average_path(256) - 10.2448) < 1e-3
+
+
+def test_a_larger_forest_holds_the_smaller_ones(spark):
+    """One fit with sizes and subsamples as keys, one descent for all sizes, against forests fitted apart."""
+    d = planted(spark)
+    vector = feature_vector(COLS)
+    keyed = d.select("segment", "anomaly", F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(t).alias("trees"), F.lit(p).alias("psi")) for s, t, p in (("big", 30, 32), ("small", 10, 16))])).alias("s"),
+                     *COLS).select("segment", "anomaly", "s.*", *COLS)
+    forest = T.fit(keyed, vector, "segment", "setting", F.col("trees"), F.col("psi")).cache()
+    assert {(r.grp, r["count"]) for r in forest.groupBy("grp").count().collect()} == {("big", 30), ("small", 10)}
+    got = T.scores_by_size(keyed.drop("trees", "psi").withColumn("x", vector), forest, F.col("x"), "setting", [10, 30], salts=3)
+    assert got.groupBy("setting", "trees").count().count() == 3
+    for setting, trees in (("big", 10), ("big", 30), ("small", 10)):
+        one = forest.filter((F.col("grp") == setting) & (F.col("tree") < trees)).withColumn("grp", F.lit("*"))
+        want = T.score(d, one, vector, None).select("segment", F.round("score", 12).alias("s"))
+        have = got.filter((F.col("setting") == setting) & (F.col("trees") == trees)).select("segment", F.round("score", 12).alias("s"))
+        assert have.exceptAll(want).count() == 0 and have.count() == 600
+
+
+def test_sweep_and_forward_choice_find_the_planted_columns(spark):
+    d = planted(spark).withColumn("noise", F.sin(F.col("segment") * 17.1)).withColumn("split", F.when(F.col("segment") % 4 < 2, "fit").when(F.col("segment") % 4 == 2, "val").otherwise("test"))
+    fit, held = d.filter("split = 'fit'"), d.filter("split <> 'fit'")
+    got = X.forest_sweep(fit, held, {"all": {"trees": 40, "psi": 64}, "noise": {"trees": 10, "columns": ["noise"]}}, ["a", "b", "noise"], [10, 40])
+    rows = {(r.setting, r.trees, r.split): r.auc for r in got.collect()}
+    assert set(rows) == {("all", n, s) for n in (10, 40) for s in ("val", "test")} | {("noise", 10, s) for s in ("val", "test")}
+    assert all(a > 0.85 for (s, *_), a in rows.items() if s == "all") and rows[("noise", 10, "val")] < rows[("all", 40, "val")] - 0.1
+    path = X.forward_choice(fit, d.filter("split = 'val'"), ["noise", "a", "b"], steps=3, trees=20, psi=64).collect()
+    assert path[0].feature in ("a", "b") and path[0].auc > 0.95 and path[0].f1 > 0.5 and path[0].contamination in T.GRID
+
+
+def test_nested_validation_against_plain_loops(spark):
+    """Every pick of every repeat, recomputed row by row from forests of the same names."""
+    from tidemark.functions.hashing import uniform
+    from tidemark.operators import rules as R
+
+    cols, repeats, trees, psi = ["a", "b", "noise"], 3, 4, 32
+    d = planted(spark).withColumn("noise", F.sin(F.col("segment") * 17.1)).withColumn("a", F.col("a") + F.cos(F.col("segment") * 1.7) * 3)
+    fit, val = d.filter("segment % 5 < 2"), d.filter("segment % 5 = 3")
+    got = {r.repeat: r for r in X.nested_validation(fit, val, cols, repeats, 3, trees, psi).collect()}
+    rows = val.select("segment", "channel", "anomaly", *[uniform(F.col("segment"), f"half{r}").alias(f"u{r}") for r in range(1, repeats + 1)]).collect()
+    scores = {}
+
+    def score_of(subset):
+        if subset not in scores:
+            v = feature_vector(list(subset))
+            name = "+".join(subset)
+            whole = T.score(val, T.fit(fit.withColumn("s", F.lit(name)), v, group="s", trees=trees, psi=psi).withColumn("grp", F.lit("*")), v, None)
+            cell = F.concat_ws("|", F.lit(name), "channel")
+            own = T.fit(fit.withColumn("cell", cell), v, group="cell", trees=trees, psi=psi).cache()
+            cuts = {(r.cell, r.c): r.threshold for r in T.contamination_thresholds(T.score(fit.withColumn("cell", cell), own, v, "cell"), group="cell").collect()}
+            by = {r.segment: r.score for r in T.score(val.withColumn("cell", cell), own, v, "cell").collect()}
+            hits = {r.segment: r.hits for r in R.rule_hits(val, R.thresholds(fit, list(subset)), list(subset)).collect()}
+            scores[subset] = ({r.segment: r.score for r in whole.collect()}, by, {(c.split("|")[1], x): t for (c, x), t in cuts.items()}, hits)
+        return scores[subset]
+
+    def area(part, s):
+        pos, neg = ([s[r.segment] for r in part if r.anomaly == y] for y in (1, 0))
+        return round(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)), 9) if pos and neg else 0.5
+
+    def f1(y, p):
+        tp, miss = sum(a and b for a, b in zip(y, p)), sum(a != b for a, b in zip(y, p))
+        return 2 * tp / (2 * tp + miss) if tp + miss else 0.0
+
+    for r in range(1, repeats + 1):
+        a, b = ([x for x in rows if (x[f"u{r}"] < 0.5) == first] for first in (False, True))
+        chosen, best = [], -1.0
+        while len(chosen) < 3:
+            tried = [(-area(a, score_of(tuple(sorted([*chosen, c], key=cols.index)))[0]), c) for c in cols if c not in chosen]
+            top = min(tried)
+            if chosen and -top[0] <= best + 1e-6:
+                break
+            best, chosen = -top[0], [*chosen, top[1]]
+        subset = tuple(sorted(chosen, key=cols.index))
+        assert got[r].subset == "+".join(subset)
+        _, by, cuts, hits = score_of(subset)
+        k = max((1, 2, 3, 4), key=lambda k: (f1([x.anomaly for x in a], [hits[x.segment] >= k for x in a]), -k))
+        assert got[r].k == k
+
+        def ops(x, c):
+            rule, strange = hits[x.segment] >= k, by[x.segment] > cuts[x.channel, c]
+            return [rule, strange, rule and strange, rule or strange]
+        y, p = [], []
+        for channel in "AB":
+            own = [x for x in a if x.channel == channel]
+            c, o = max(((c, o) for c in T.GRID for o in range(4)), key=lambda t: (f1([x.anomaly for x in own], [ops(x, t[0])[t[1]] for x in own]), -t[0], -t[1]))
+            y += [x.anomaly for x in b if x.channel == channel]
+            p += [ops(x, c)[o] for x in b if x.channel == channel]
+        assert abs(got[r].gate_f1 - f1(y, p)) < 1e-12
+        assert abs(got[r].rule_f1 - f1([x.anomaly for x in b], [hits[x.segment] >= k for x in b])) < 1e-12

@@ -10,6 +10,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions.hashing import uniform
 from tidemark.operators import forest as T
 from tidemark.operators import fusion as U
+from tidemark.operators import rules as R
 from tidemark.operators.evaluate import auc
 from tidemark.operators.features import feature_vector
 from tidemark.operators.ordering import positions
@@ -18,9 +19,12 @@ from tidemark.session import cut_lineage
 MIN_GAIN = 1e-6
 
 
-def forward_choice(fit: DataFrame, val: DataFrame, columns: list[str], steps: int = 8, trees: int = 50, psi: int = 128,
+def forward_choice(fit: DataFrame, val: DataFrame, columns: list[str], steps: int = 8, trees: int = 100, psi: int = 128,
                    key: str = "segment") -> DataFrame:
-    """Greedy forward choice by validation AUC of a forest; stops when nothing gains. Each step is one job over all candidates."""
+    """Greedy forward choice by validation AUC of a forest; stops when nothing gains. Each step is one job over all candidates.
+
+    With every step go the contamination that its forest would be given (first best validation F1 of its cuts) and that F1.
+    """
     spark = fit.sparkSession
     chosen: list[str] = []
     path, best = [], 0.0
@@ -30,26 +34,33 @@ def forward_choice(fit: DataFrame, val: DataFrame, columns: list[str], steps: in
             F.struct(F.lit(c).alias("candidate"), feature_vector(chosen + [c]).alias("x")) for c in left])).alias("t")
         a = fit.select(key, tries).select(key, "t.*")
         b = val.select(key, "anomaly", tries).select(key, "anomaly", "t.*")
-        forest = T.fit(a, F.col("x"), key, "candidate", trees, psi, seed=42)
-        scored = T.score(b, forest, F.col("x"), "candidate")
-        top = auc(scored, ["candidate"], "score").orderBy(F.desc(F.round("auc", 9)), "candidate").first()
+        forest = cut_lineage(T.fit(a, F.col("x"), key, "candidate", trees, psi, seed=42))
+        scored = cut_lineage(T.score(a.withColumn("anomaly", F.lit(None).cast("int")).unionByName(b), forest, F.col("x"), "candidate").drop("x"))
+        seen, held = scored.filter("anomaly IS NULL"), scored.filter("anomaly IS NOT NULL")
+        cuts = U.first_best(U.contamination_sweep(seen, held, group="candidate"), ["candidate"], ["c"]).select("candidate", "c", "f1")
+        top = auc(held, ["candidate"], "score").join(cuts, "candidate", "left").orderBy(F.desc(F.round("auc", 9)), "candidate").first()
         if top is None or top["auc"] <= best + MIN_GAIN:
             break
         best = top["auc"]
         chosen.append(top["candidate"])
-        path.append((step + 1, top["candidate"], float(best)))
-    return spark.createDataFrame(path, "step int, feature string, auc double")
+        path.append((step + 1, top["candidate"], float(best), top["c"], top["f1"]))
+    return spark.createDataFrame(path, "step int, feature string, auc double, contamination double, f1 double")
 
 
-def forest_sweep(fit: DataFrame, val: DataFrame, settings: dict[str, dict], columns: list[str]) -> DataFrame:
-    """AUC of a forest over all channels for each setting (trees, psi, columns)."""
-    out = None
-    for name, s in settings.items():
-        vector = feature_vector(s.get("columns", columns))
-        forest = T.fit(fit, vector, group=None, trees=s.get("trees", 100), psi=s.get("psi", 128))
-        d = auc(T.score(val, forest, vector, None).withColumn("setting", F.lit(name)), ["setting"], "score")
-        out = d if out is None else out.unionByName(d)
-    return out
+def forest_sweep(fit: DataFrame, held: DataFrame, settings: dict[str, dict], columns: list[str], counts: list[int], key: str = "segment") -> DataFrame:
+    """AUC per setting, forest size and split of forests over all channels.
+
+    A setting (trees, psi, columns) is a key of one fit and one scoring; every forest size up to its trees is read off one descent.
+    """
+    entry = [F.struct(F.lit(name).alias("setting"), F.lit(s.get("trees", 100)).alias("trees"), F.lit(s.get("psi", 128)).alias("psi"),
+                      feature_vector(s.get("columns", columns)).alias("x")) for name, s in settings.items()]
+
+    def tried(rows: DataFrame, *keep: str) -> DataFrame:
+        return rows.select(key, *keep, F.explode(F.array(*entry)).alias("s")).select(key, *keep, "s.*")
+
+    forest = cut_lineage(T.fit(tried(fit), F.col("x"), key, "setting", F.col("trees"), F.col("psi")))
+    scored = T.scores_by_size(tried(held, "split", "anomaly").drop("trees", "psi"), forest, F.col("x"), "setting", counts)
+    return auc(cut_lineage(scored.select("setting", "trees", "split", "anomaly", F.round("score", 9).alias("score"))), ["setting", "trees", "split"], "score")
 
 
 def largest_scale(audit: DataFrame, n: int = 5) -> list[str]:
@@ -98,18 +109,79 @@ def coefficient_whitelist(rows: DataFrame, columns: list[str], n: int | None = N
     return (ranked if n is None else ranked.filter(F.col("rank") <= n)).orderBy("place")
 
 
-def nested_validation(val: DataFrame, repeats: int = 20, key: str = "segment", group: str = "channel") -> DataFrame:
-    """Per repeat: the gate picked on one hash half, judged on the other, against rules alone on the same half."""
-    draws = val.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
-        "half", (uniform(F.col(key), F.concat(F.lit("half"), F.col("repeat").cast("string"))) < 0.5).cast("int"))
-    table = cut_lineage(U.operator_counts(draws, group, ["repeat", "half"]))
-    best = U.first_best(table.filter("half = 0"), [group, "repeat"], ["pos"]).select(group, "repeat", "op")
+def half_of(key: str, repeat: Column) -> Column:
+    return (uniform(F.col(key), F.concat(F.lit("half"), repeat.cast("string"))) < 0.5).cast("int")
+
+
+def nested_subsets(fit: DataFrame, val: DataFrame, columns: list[str], repeats: int = 20, steps: int = 5, trees: int = 100, psi: int = 128,
+                   key: str = "segment") -> dict[int, list[str]]:
+    """Per repeat the columns that a greedy choice by forest AUC takes on half 0 of the validation rows.
+
+    A subset is a key: one fit and one scoring a step serve all candidates of all repeats, as forests do not depend on the halves.
+    """
+    halves = cut_lineage(val.select(key, "anomaly", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).withColumn("half", half_of(key, F.col("repeat"))).filter("half = 0"))
+    chosen: dict[int, list[str]] = {r: [] for r in range(1, repeats + 1)}
+    best, open_ = dict.fromkeys(chosen, -1.0), set(chosen)
+    for _ in range(min(steps, len(columns))):
+        tries = [(r, c, sorted([*chosen[r], c], key=columns.index)) for r in open_ for c in columns if c not in chosen[r]]
+        if not tries:
+            break
+        named = {"+".join(x): x for *_, x in tries}
+        entry = F.explode(F.array(*[F.struct(F.lit(n).alias("subset"), feature_vector(x).alias("x")) for n, x in named.items()])).alias("s")
+        forest = cut_lineage(T.fit(fit.select(key, entry).select(key, "s.*"), F.col("x"), key, "subset", trees, psi))
+        scored = cut_lineage(T.score(val.select(key, entry).select(key, "s.*"), forest, F.col("x"), "subset", max_broadcast=len(named) * trees).select(key, "subset", "score"))
+        table = fit.sparkSession.createDataFrame([(r, c, "+".join(x)) for r, c, x in tries], "repeat int, candidate string, subset string")
+        cells = halves.join(F.broadcast(table), "repeat").join(scored, [key, "subset"])
+        areas = auc(cells, ["repeat", "candidate"], "score").withColumn("auc", F.round("auc", 9))
+        top = areas.withColumn("_r", F.row_number().over(W.partitionBy("repeat").orderBy(F.desc("auc"), "candidate"))).filter("_r = 1")
+        for r in top.collect():  # one row a repeat
+            if chosen[r.repeat] and r.auc <= best[r.repeat] + MIN_GAIN:
+                open_.discard(r.repeat)
+            else:
+                chosen[r.repeat].append(r.candidate)
+                best[r.repeat] = r.auc
+    return {r: sorted(x, key=columns.index) for r, x in chosen.items()}
+
+
+def nested_validation(fit: DataFrame, val: DataFrame, columns: list[str], repeats: int = 20, steps: int = 5, trees: int = 100, psi: int = 128,
+                      ks: tuple[int, ...] = (1, 2, 3, 4), key: str = "segment", group: str = "channel") -> DataFrame:
+    """Per repeat: subset of columns, k, and per channel contamination and operator, all picked on one hash half; judged on the other against rules alone.
+
+    The picks are windows over one table of counts by (repeat, half, channel, contamination, operator).
+    """
+    spark = fit.sparkSession
+    chosen = nested_subsets(fit, val, columns, repeats, steps, trees, psi, key)
+    picks = spark.createDataFrame([(r, "+".join(x)) for r, x in chosen.items()], "repeat int, subset string")
+    members = spark.createDataFrame(sorted({("+".join(x), c) for x in chosen.values() for c in x}), "subset string, feature string")
+    named = {"+".join(x): x for x in chosen.values()}
+    entry = F.explode(F.array(*[F.struct(F.lit(n).alias("subset"), feature_vector(x).alias("x")) for n, x in named.items()])).alias("s")
+
+    def tried(rows: DataFrame) -> DataFrame:
+        return rows.select(key, group, "anomaly", entry).select(key, group, "anomaly", "s.*").withColumn("cell", F.concat_ws("|", "subset", group))
+
+    fit_rows, val_rows = tried(fit), tried(val)
+    forest = cut_lineage(T.fit(fit_rows, F.col("x"), key, "cell", trees, psi))
+    limits = T.contamination_thresholds(T.score(fit_rows, forest, F.col("x"), "cell").filter("score IS NOT NULL"), group="cell")
+    fired = R.violations(val, R.thresholds(fit, columns), [key, group], columns).filter("sigma_hit OR iqr_hit")
+    hits = fired.join(F.broadcast(members), "feature").groupBy("subset", key).agg(F.count(F.lit(1)).alias("hits"))
+    scored = T.score(val_rows, forest, F.col("x"), "cell").drop("x").join(hits, ["subset", key], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    rows = cut_lineage(scored.join(F.broadcast(picks), "subset").withColumn("half", half_of(key, F.col("repeat"))))
+    k = R.choose_k(rows.filter("half = 0"), ["repeat"], ks).select("repeat", "k")
+    judged = rows.join(F.broadcast(k), "repeat").withColumn("rule_pred", (F.col("hits") >= F.col("k")).cast("int")).join(cut_lineage(limits), "cell", "left")
+    judged = judged.withColumns({"c": F.coalesce("c", F.lit(0.0)), "if_pred": F.coalesce((F.col("score") > F.col("threshold")).cast("int"), F.lit(0))})
+    table = cut_lineage(U.operator_counts(judged, group, ["repeat", "half", "c"]))
+    best = U.first_best(table.filter("half = 0"), [group, "repeat"], ["c", "pos"]).select(group, "repeat", "c", "op")
     held = table.filter("half = 1")
     total = [F.sum(c).alias(c) for c in ("fp", "fn", "tp")]
-    gate = held.join(best, [group, "repeat", "op"]).groupBy("repeat").agg(*total).select("repeat", M.f1().alias("gate_f1"))
-    rule = held.filter("op = 'rule'").groupBy("repeat").agg(*total).select("repeat", M.f1().alias("rule_f1"))
+    # A channel that half 0 has not goes by the rules.
+    gate = held.join(best.withColumnRenamed("op", "_op").withColumnRenamed("c", "_c"), [group, "repeat"], "left")
+    first_c = F.min("c").over(W.partitionBy(group, "repeat"))
+    gate = gate.withColumn("_first", first_c).filter((F.col("op") == F.coalesce("_op", F.lit("rule"))) & (F.col("c") == F.coalesce("_c", "_first")))
+    gate = gate.groupBy("repeat").agg(*total).select("repeat", M.f1().alias("gate_f1"))
+    alone = judged.filter("half = 1").select("repeat", key, "anomaly", "rule_pred").distinct().groupBy("repeat").agg(*M.counts(F.col("anomaly"), F.col("rule_pred")))
+    rule = alone.select("repeat", M.f1().alias("rule_f1"))
     delta = F.col("gate_f1") - F.col("rule_f1")
-    return gate.join(rule, "repeat").withColumn(
+    return gate.join(rule, "repeat").join(picks, "repeat").join(k, "repeat").withColumn(
         "outcome", F.when(delta > 1e-12, "win").when(delta < -1e-12, "loss").otherwise("draw"))
 
 

@@ -43,12 +43,17 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
-    """One tree as parallel arrays; leaves have feature -1 and carry their path length."""
+def draw(tree: str, node: int, what: str) -> float:
+    """Uniform number of a node: what a tree does depends on its name and its rows only, on any engine with md5."""
+    return int(hashlib.md5(f"{tree}#{node}#{what}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def grow(rows: np.ndarray, name: str, limit: int) -> dict[str, list]:
+    """One tree as parallel arrays; leaves have feature -1 and carry their path length. Node 1 is the root, 2k and 2k + 1 are the sides of k."""
     tree: dict[str, list] = {"feature": [], "split": [], "left": [], "right": [], "length": []}
-    todo = [(rows, 0, -1, "")]
+    todo = [(rows, 1, 0, -1, "")]
     while todo:
-        part, depth, parent, side = todo.pop()
+        part, node, depth, parent, side = todo.pop()
         me = len(tree["feature"])
         if parent >= 0:
             tree[side][parent] = me
@@ -57,13 +62,13 @@ def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, li
         if len(usable) == 0:
             values = (-1, 0.0, -1, -1, depth + average_path(len(part)))
         else:
-            f = int(usable[rng.integers(len(usable))])
-            cut = float(low[f] + rng.random() * (high[f] - low[f]))
+            f = int(usable[int(draw(name, node, "f") * len(usable))])
+            cut = float(low[f] + draw(name, node, "c") * (high[f] - low[f]))
             goes = part[:, f] <= cut
             values = (f, cut, -1, -1, 0.0)
-            todo += [(part[~goes], depth + 1, me, "right"), (part[goes], depth + 1, me, "left")]
-        for name, v in zip(tree, values):
-            tree[name].append(v)
+            todo += [(part[~goes], 2 * node + 1, depth + 1, me, "right"), (part[goes], 2 * node, depth + 1, me, "left")]
+        for column, v in zip(tree, values):
+            tree[column].append(v)
     return tree
 
 
@@ -72,43 +77,44 @@ def _grow_batch(group: pd.Series, tree: pd.Series, seed: pd.Series, rows: pd.Ser
     out = []
     for g, t, s, sample in zip(group, tree, seed, rows):
         matrix = np.stack([np.asarray(r, dtype=float) for r in sample])
-        key = int.from_bytes(hashlib.md5(f"{g}#{t}#{s}".encode()).digest()[:8], "big")
-        built = grow(matrix, np.random.default_rng(key), max(1, math.ceil(math.log2(max(len(matrix), 2)))))
+        built = grow(matrix, f"{g}#{t}#{s}", max(1, math.ceil(math.log2(max(len(matrix), 2)))))
         out.append({**built, "psi": len(matrix)})
     return pd.DataFrame(out)
 
 
 def fit(train: DataFrame, vector: Column, key: str = "segment", group: str | list[str] | None = "channel",
-        trees: int = 100, psi: int = 128, seed: int = 42, min_fit: int = MIN_FIT) -> DataFrame:
+        trees: int | Column = 100, psi: int | Column = 128, seed: int = 42, min_fit: int = MIN_FIT) -> DataFrame:
     """Forest table (group, tree, arrays). ``group=None`` is one forest over everything.
 
-    Groups with fewer than ``min_fit`` rows get no forest.
+    Groups with fewer than ``min_fit`` rows get no forest. ``trees`` and ``psi`` may be columns that are constant in a group. Tree t is the
+    same in a forest of any size, so a larger forest holds the smaller ones.
     """
     name = F.lit("*") if group is None else F.concat_ws("|", *([group] if isinstance(group, str) else group))
-    rows = train.select(name.alias("grp"), F.col(key).cast("string").alias("key"), vector.alias("x"))
+    trees, psi = (F.lit(v) if isinstance(v, int) else v for v in (trees, psi))
+    rows = train.select(name.alias("grp"), F.col(key).cast("string").alias("key"), vector.alias("x"), trees.alias("trees"), psi.alias("psi"))
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_fit)
 
-
     def lot(tree: Column) -> Column:
         return uniform(F.col("key"), F.concat_ws(":", F.lit(str(seed)), tree.cast("string")))
 
     # Every row may be drawn by every tree. A row leaves its task only for the trees in whose first lots it is: some more than
     # psi per tree, so that the psi smallest are among them but for a chance below 1e-9.
-    enough = psi + 6.0 * math.sqrt(psi) + 20.0
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: lot(t) * F.col("n") <= enough)
-    each = rows.join(sizes, "grp").select("grp", "key", "x", F.explode(drawn).alias("tree"))
+    enough = F.col("psi") + 6.0 * F.sqrt("psi") + 20.0
+    drawn = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: lot(t) * F.col("n") <= enough)
+    each = rows.join(sizes, "grp").select("grp", "key", "x", "psi", F.explode(drawn).alias("tree"))
     each = each.withColumn("u", lot(F.col("tree"))).withColumn(
-        "_r", F.row_number().over(W.partitionBy("grp", "tree").orderBy("u", "key"))).filter(F.col("_r") <= psi)
+        "_r", F.row_number().over(W.partitionBy("grp", "tree").orderBy("u", "key"))).filter(F.col("_r") <= F.col("psi"))
     samples = each.groupBy("grp", "tree").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))
     return samples.withColumn("t", _grow_batch("grp", "tree", F.lit(str(seed)), F.col("rows.x"))).select(
         "grp", "tree", "t.*")
 
 
-def _descend(matrix: np.ndarray, forest: list) -> np.ndarray:
-    """Mean path length of each row, normalised by the expected one: the score in (0, 1)."""
-    total = np.zeros(len(matrix))
+def _descend(matrix: np.ndarray, forest: list, counts: list[int] | None = None) -> np.ndarray:
+    """Mean path length of each row, normalised by the expected one: the score in (0, 1). counts: a column for each forest of the first so many trees."""
+    norm = average_path(forest[0][5])
+    total, out = np.zeros(len(matrix)), {}
     at_row = np.arange(len(matrix))
-    for feature, split, left, right, length, _ in forest:
+    for n, (feature, split, left, right, length, _) in enumerate(forest, 1):
         at = np.zeros(len(matrix), dtype=np.int64)
         while True:
             f = feature[at]
@@ -118,8 +124,9 @@ def _descend(matrix: np.ndarray, forest: list) -> np.ndarray:
             goes = matrix[at_row, np.maximum(f, 0)] <= split[at]
             at = np.where(inner, np.where(goes, left[at], right[at]), at)
         total += length[at]
-    norm = average_path(forest[0][5])
-    return np.power(2.0, -(total / len(forest)) / norm) if norm > 0 else np.full(len(matrix), 0.5)
+        if n == len(forest) or n in (counts or ()):
+            out[n] = np.power(2.0, -(total / n) / norm) if norm > 0 else np.full(len(matrix), 0.5)
+    return out[len(forest)] if counts is None else np.stack([out.get(c, np.full(len(matrix), np.nan)) for c in counts], axis=1)
 
 
 def _unpack(row) -> tuple:
@@ -172,6 +179,30 @@ def score(df: DataFrame, forest: DataFrame, vector: Column, group: str | list[st
         copies.withColumnRenamed("grp", "_grp").groupBy("_grp", "_salt")).applyInArrow(meet, schema)
 
 
+def scores_by_size(df: DataFrame, forest: DataFrame, vector: Column, group: str, counts: list[int], salts: int = 8) -> DataFrame:
+    """Per row and forest size: the plain columns of ``df``, trees, score. One descent answers every size; sizes that a group's forest has not are left out.
+
+    Every group meets its trees in ``salts`` tasks.
+    """
+    rows = df.withColumn("_x", vector).withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(salts)).cast("int"))
+    copies = forest.withColumnRenamed("grp", group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    plain = [(n, t) for n, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    names = [n for n, _ in plain]
+    schema = ", ".join(f"`{n}` {t}" for n, t in plain) + ", _scores array<double>"
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        kept = {n: left.column(n) for n in names}
+        trees = [_unpack(r) for r in sorted(right.to_pylist(), key=lambda r: r["tree"])]
+        if left.num_rows and trees:
+            found = _descend(np.stack([np.asarray(x) for x in left.column("_x").to_pylist()]), trees, counts)
+            return pa.table(kept | {"_scores": pa.array(list(found), pa.list_(pa.float64()))})
+        return pa.table(kept | {"_scores": pa.nulls(left.num_rows, pa.list_(pa.float64()))})
+
+    met = rows.groupBy(group, "_salt").cogroup(copies.groupBy(group, "_salt")).applyInArrow(meet, schema)
+    sizes = F.explode(F.arrays_zip(F.array(*map(F.lit, counts)).alias("trees"), F.col("_scores").alias("score"))).alias("_s")
+    return met.filter("_scores IS NOT NULL").select(*names, sizes).select(*names, "_s.trees", "_s.score").filter("NOT isnan(score)")
+
+
 def nodes(forest: DataFrame) -> DataFrame:
     """Long node table: group, tree, node, feature index (-1 for a leaf), split."""
     return forest.select("grp", "tree", F.posexplode(F.arrays_zip("feature", "split", "length")).alias("node", "n")).select(
