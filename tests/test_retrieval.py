@@ -218,3 +218,13 @@ def test_encoder_plug_in(spark):
     d = corpus(spark, [(0, "aab", "s", 1), (1, "", "s", 1)])
     got = with_embeddings(d, lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts])).orderBy("chunk_id").collect()
     assert got[0].embedding == pytest.approx([2 / 5 ** 0.5, 1 / 5 ** 0.5]) and got[1].embedding == [0.0, 0.0]
+
+
+def test_raw_sections_keep_their_headings(spark):
+    from tidemark.operators.evidence import raw_sections
+    text = "before\n\n**1. 异常通道分析**\nx\n**异常类型与可能原因**：\n- y\n【建议】\nfirst\n**建议措施**\n second \n**其他**\n"
+    d = spark.createDataFrame([(1, text), (2, "no heading"), (3, ""), (4, None), (5, "**总结**"), (6, "")], "id long, answer string")
+    got = {(r.id, r.section): (r.body, r.metric) for r in raw_sections(d, "id").collect()}
+    assert got == {
+        (1, "_header"): ("before", "before"), (1, "通道定位"): ("**1. 异常通道分析**\nx", "x"), (1, "异常类型"): ("", ""),
+        (1, "可能原因"): ("**异常类型与可能原因**：\n- y", "- y"), (1, "建议措施"): ("**建议措施**\n second \n**其他**", "second"), (5, "结论"): ("**总结**", "")}

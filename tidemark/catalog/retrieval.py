@@ -492,6 +492,36 @@ SELECT answer_id, '可能原因' AS section, md5({strip_sql('body')}) AS digest
 UNION ALL SELECT answer_id, '紧急程度', md5(CASE WHEN role = 'assistant' THEN '高' ELSE '低' END) FROM a"""
 
 
+#: Answers whose headings SQL detects as well: numbered, bold, in brackets, naming two sections, coming twice, none.
+RAW_PARTS = {0: ("intro\n\n**1. 异常通道分析**\n", "\n**异常类型与可能原因**：\n- a\n\n**2 b**\n", "\n**【来源】**"), 1: ("", "\n【建议】\nfirst\n  **建议措施**  \n second \n**其他**\nrest ", "\n- **结论**\nno"), 2: ("", " ", "")}
+
+
+def raw_sections(spark, sf):
+    a = I.table(spark, sf, "conversations")
+    piece = lambda n: F.element_at(F.array(*[F.lit(RAW_PARTS[k][n]) for k in range(3)]), (F.col("turn") % 3 + 1).cast("int"))
+    a = a.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id"), F.concat(piece(0), "text", piece(1), "role", piece(2)).alias("answer"))
+    return E.raw_sections(a, "answer_id").select("answer_id", "section", F.md5("body").alias("body"), F.md5("metric").alias("metric"))
+
+
+def _raw_sql():
+    def piece(n):
+        return "CASE turn % 3 " + " ".join(f"WHEN {k} THEN {quote(v[n])}" for k, v in RAW_PARTS.items()) + " END"
+    rows = ", ".join(f"({i}, {quote(c)}, {quote(a)})" for i, (c, aliases) in enumerate(E.SECTIONS.items()) for a in aliases)
+    bare = strip_sql("line")
+    return rf"""WITH a AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS answer_id, {piece(0)} || text || {piece(1)} || role || {piece(2)} AS answer FROM conversations),
+l AS (SELECT answer_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT answer_id, string_split(answer, chr(10)) AS x FROM a WHERE length(answer) > 0)),
+names(o, section, alias) AS (VALUES {rows}),
+h AS (SELECT DISTINCT answer_id, i, o, section FROM (SELECT *, {bare} AS b FROM l) JOIN names ON contains(replace(b, '**', ''), alias)
+  WHERE (contains(b, '【') AND contains(b, '】')) OR regexp_matches(b, '^\*\*\d+\.\s') OR (regexp_matches(b, '^\*\*[^*]+\*\*\s*[:：]?') AND NOT starts_with(b, '- ') AND NOT starts_with(b, '* '))),
+s AS (SELECT *, coalesce(lead(i) OVER w, 1000000000) AS until FROM h WINDOW w AS (PARTITION BY answer_id ORDER BY i, o)),
+z AS (SELECT answer_id, section, i AS since, until FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, section ORDER BY i DESC, o DESC) AS r FROM s) WHERE r = 1
+  UNION ALL SELECT answer_id, '_header', 0, min(i) FROM s GROUP BY answer_id),
+y AS (SELECT z.answer_id, section, {strip_sql("coalesce(string_agg(line, chr(10) ORDER BY i), '')")} AS body FROM z LEFT JOIN l ON l.answer_id = z.answer_id AND i >= since AND i < until GROUP BY z.answer_id, section, since),
+m AS (SELECT answer_id, section, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT answer_id, section, string_split(body, chr(10)) AS x FROM y)),
+g AS (SELECT answer_id, section, coalesce(string_agg({bare}, chr(10) ORDER BY i) FILTER ({bare} <> '' AND NOT regexp_matches({bare}, '^\*\*\d*\.?\s*[^*]+\*\*\s*[:：]?$')), '') AS metric FROM m GROUP BY 1, 2)
+SELECT answer_id, section, md5(body) AS body, md5(coalesce(metric, '')) AS metric FROM y LEFT JOIN g USING (answer_id, section) WHERE section <> '_header' OR body <> ''"""
+
+
 def detail(spark, sf):
     """Every third turn is a failed answer; sources and types are missing now and then."""
     a = answers(spark, sf).withColumn("answer", F.when(F.col("turn") % 3 == 2, F.concat(F.lit("检索失败 "), F.col("answer"))).otherwise(F.col("answer")))
@@ -519,12 +549,27 @@ GARBLED_SQL = """SELECT conv_id, turn, (contains(text, '检索失败') OR contai
  (contains(text, '检索失败') OR contains(text, '生成失败') OR (2 * (length(text) - length(replace(text, '�', ''))) + (length(text) - length(replace(text, '��', ''))) / 2) / length(text) > 0.05) AS strict FROM conversations"""
 
 
+#: What an answer starts with, by turn: all markers, the key markers, two kinds of failure, one marker, none.
+MARKED_PARTS = {0: "".join(E.MARKERS), 1: "".join(E.KEY_MARKERS), 2: "RAG ", 3: "生成失败 ", 4: E.MARKERS[0] + E.MARKERS[0], 5: ""}
+
+
 def markers(spark, sf):
-    d = answers(spark, sf).select("role", *E.marker_hits(F.col("answer")))
+    a = I.table(spark, sf, "conversations").withColumn("part", ((F.col("conv_id") + F.col("turn")) % len(MARKED_PARTS) + 1).cast("int"))
+    a = a.withColumn("answer", F.concat(F.element_at(F.array(*map(F.lit, MARKED_PARTS.values())), F.col("part")), "text"))
+    d = a.select("role", *E.marker_hits(F.col("answer")))
     return d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("n_markers").cast("long").alias("markers"), F.sum("n_key_markers").cast("long").alias("key_markers"),
                                  F.count_if("all_markers").alias("complete"), F.count_if("failed").alias("failed"))
 
 
+def _markers_sql():
+    has = {m: f"CAST(contains(answer, {quote(m)}) AS BIGINT)" for m in E.MARKERS}
+    every, key = " + ".join(has.values()), " + ".join(has[m] for m in E.KEY_MARKERS)
+    parts = " ".join(f"WHEN {k} THEN {quote(v)}" for k, v in MARKED_PARTS.items())
+    return f"""WITH a AS (SELECT role, CASE (conv_id + turn) % {len(MARKED_PARTS)} {parts} END || text AS answer FROM conversations)
+SELECT role, count(*) AS n, sum({every})::BIGINT AS markers, sum({key})::BIGINT AS key_markers, count(*) FILTER ({every} = {len(E.MARKERS)}) AS complete,
+ count(*) FILTER (starts_with(answer, 'RAG') OR contains(answer, '生成失败')) AS failed FROM a GROUP BY 1"""
+
+
 def forbidden(spark, sf):
     d = E.forbidden_claims(I.table(spark, sf, "documents"), "doc_id", "text", {"digits": r"[0-9]{4,}", "mail": r"[a-z0-9.]+@[a-z0-9.]+"}, ["license", "License"])
     return d.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "reason").distinct()
@@ -611,6 +656,7 @@ ENTRIES = [
     Entry("h25_prompts", prompts, PROMPTS_SQL),
     Entry("h26_stored_context", stored_context, "SELECT conv_id, md5(string_agg('[片段' || r || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1"),
     Entry("h28_sections", sections, SECTIONS_SQL),
+    Entry("h28_raw_sections", raw_sections, _raw_sql()),
     Entry("h29_garbled", garbled, GARBLED_SQL),
     Entry("h30_detail", detail, DETAIL_SQL),
     Entry("h31_forbidden_claims", forbidden, FORBIDDEN_SQL),
@@ -620,7 +666,7 @@ ENTRIES = [
     Entry("i05_compare_runs", run_compare, COMPARE_SQL),
     Entry("i06_bake_off", bake_off, BAKE_OFF_SQL),
     Entry("i07_threshold_counts", thresholds, f"WITH {CHUNKS_SQL}, {VPOOL_SQL} SELECT query_id, t::DOUBLE AS threshold, count(*) FILTER (score >= t) AS results FROM vpool, (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS t) GROUP BY ALL"),
-    Entry("i08_markers", markers, "SELECT role, count(*) AS n, count(*) * 2 AS markers, count(*) AS key_markers, 0::BIGINT AS complete, 0::BIGINT AS failed FROM conversations GROUP BY 1"),
+    Entry("i08_markers", markers, _markers_sql()),
     Entry("i09_per_channel", channel_log, f"WITH {CHUNKS_SQL}, {VPOOL_SQL}, q AS (SELECT query_id, max(score) AS s, count(*) AS n, sum(length(content)) AS ms FROM vpool GROUP BY 1) SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS channel, count(*) AS n, round(avg(s), 6) AS avg_top_score, round(avg(n), 6) AS avg_results, round(avg(ms), 6) AS avg_ms FROM q GROUP BY 1"),
     Entry("i10_coverage", coverage, "WITH d AS (SELECT conv_id, count(DISTINCT role) AS c FROM conversations GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (c > 0) AS n_with_sources, min(c) AS sources_min, max(c) AS sources_max, round(avg(c), 6) AS sources_mean, count(*) FILTER (c >= 2) AS n_full FROM d"),
     Entry("e22_corpus_stats", corpus_stats, "SELECT count(d.doc_id) AS chunks, count(e.vec_id) AS vectors, max(len(embedding)) AS dimension, count(*) FILTER (e.vec_id IS NULL) AS without_vector, count(*) FILTER (d.doc_id IS NULL) AS without_chunk FROM documents d FULL JOIN embeddings e ON doc_id = vec_id"),

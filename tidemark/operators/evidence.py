@@ -190,19 +190,49 @@ def citation(name: Column, page: Column) -> Column:
 
 # ---- answers ------------------------------------------------------------------------------------
 
-def _heading(line: Column) -> Column:
-    """Canonical section name when the line is a heading, else NULL."""
+METRIC_HEADING = r"^\*\*\d*\.?\s*[^*]+\*\*\s*[:：]?$"
+
+
+def _headings(line: Column) -> Column:
+    """Canonical section names of a line, in order; none where it is no heading."""
     bare = X.strip(line)
     clean = F.replace(bare, F.lit("**"), F.lit(""))
     bold = F.rlike(bare, F.lit(r"^\*\*[^*]+\*\*\s*[:：]?")) & ~F.startswith(bare, F.lit("- ")) & ~F.startswith(bare, F.lit("* "))
     looks = (F.contains(bare, F.lit("【")) & F.contains(bare, F.lit("】"))) | F.rlike(bare, F.lit(r"^\*\*\d+\.\s")) | bold
-    name = F.lit(None).cast("string")
-    for canonical, aliases in reversed(list(SECTIONS.items())):
+    named = []
+    for canonical, aliases in SECTIONS.items():
         hit = F.lit(False)
         for a in aliases:
             hit = hit | F.contains(clean, F.lit(a))
-        name = F.when(hit, canonical).otherwise(name)
-    return F.when(looks, name)
+        named.append(F.when(hit, canonical))
+    return F.when(looks, F.array_compact(F.array(*named))).otherwise(F.array().cast("array<string>"))
+
+
+def _heading(line: Column) -> Column:
+    """Canonical section name when the line is a heading, else NULL."""
+    return F.get(_headings(line), F.lit(0))
+
+
+def raw_sections(answers: DataFrame, key: str, text: str = "answer") -> DataFrame:
+    """(key, section, body, metric): whole sections as they are written, headings included, and what stands before the first one as ``_header``.
+
+    A heading line that names several sections gives its lines to the last of them and nothing to the others; a section that comes again
+    replaces the earlier one. ``metric`` has the section's lines without empty ones and bold headings.
+    """
+    lines = F.split(text, "\n", -1)
+    starts = F.flatten(F.transform(lines, lambda x, i: F.transform(_headings(x), lambda c: F.struct(i.alias("at"), c.alias("section")))))
+    cut = answers.filter(F.length(text) > 0).select(key, lines.alias("_lines"), starts.alias("_starts"))
+    first = F.coalesce(F.get("_starts", F.lit(0))["at"], F.lit(0))
+    until = lambda k: F.coalesce(F.get("_starts", k + 1)["at"], F.size("_lines"))
+    whole = F.transform("_starts", lambda s, k: F.struct(
+        s["section"].alias("section"), X.strip(F.array_join(F.slice("_lines", s["at"] + 1, until(k) - s["at"]), "\n")).alias("body")))
+    kept = F.filter(whole, lambda s, k: ~F.exists(F.slice("_starts", k + 2, F.size("_starts")), lambda t: t["section"] == s["section"]))
+    header = X.strip(F.array_join(F.slice("_lines", F.lit(1), first), "\n"))
+    every = F.concat(F.when(header != "", F.array(F.struct(F.lit("_header").alias("section"), header.alias("body")))).otherwise(
+        F.array().cast("array<struct<section:string,body:string>>")), kept)
+    found = cut.select(key, F.explode(every).alias("_s")).select(key, "_s.*")
+    said = F.filter(F.transform(F.split("body", "\n", -1), X.strip), lambda x: (x != "") & ~F.rlike(x, F.lit(METRIC_HEADING)))
+    return found.withColumn("metric", F.array_join(said, "\n"))
 
 
 def parse_sections(answers: DataFrame, key: str, text: str = "answer") -> DataFrame:
