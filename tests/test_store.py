@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordering as O
@@ -149,3 +151,16 @@ def test_entry_points(spark):
     out = entry.entry(spark)
     assert out.columns == ["channel", "segment", "hits", "judged", "rule_pred"] and out.count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_results_are_rows_beside_their_provenance(spark, folder):
+    from tidemark.sinks.tables import save_result
+    from tidemark.sources.results import latest_result, result_runs
+    a, b = (spark.createDataFrame([(i, i * 0.5) for i in range(n)], "id long, value double") for n in (3, 1))
+    save_result(a, folder, "one", {"seed": "1"})
+    run = save_result(b, folder, "one", {"seed": "2", "note": "é"})
+    save_result(a.limit(0), folder, "two", {})
+    told, rows = latest_result(spark, folder, "one")
+    assert told.first().run == run and json.loads(told.first().meta) == {"seed": "2", "note": "é"} and rows.collect() == b.collect()
+    assert result_runs(spark, folder, "one").count() == 2
+    assert latest_result(spark, folder, "two")[1].count() == 0 and latest_result(spark, folder, "three") is None

@@ -120,8 +120,9 @@ def result_store(spark, sf):
     e = E.evaluate(J.rule_rows(spark, sf), group=["channel"])
     K.save_result(e.limit(1), folder, "rules", {"seed": "1"})
     K.save_result(e, folder, "rules", {"seed": "2"})
-    newest = L.latest_result(spark, folder, "rules")
-    return newest.select("name", F.get_json_object("meta", "$.seed").alias("seed"), F.size(F.from_json("results", "array<struct<n:long>>")).cast("long").alias("n_rows"))
+    newest, rows = L.latest_result(spark, folder, "rules")
+    counted = rows.agg(F.count(F.lit(1)).alias("n_rows"))
+    return newest.crossJoin(counted).select("name", F.get_json_object("meta", "$.seed").alias("seed"), "n_rows")  # one row each
 
 
 def recipe(spark, sf):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +32,14 @@ def cached_table(spark: SparkSession, path: str, compute) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_result(results: DataFrame, folder: str, name: str, meta: dict[str, str]) -> None:
-    """One row per run: name, provenance, result as JSON. Earlier runs stay."""
-    body = results.agg(F.to_json(F.collect_list(F.struct(*results.columns))).alias("results"))
-    stamped = body.select(
-        F.lit(name).alias("name"), F.to_json(F.create_map(*[F.lit(x) for kv in meta.items() for x in kv])).alias("meta"),
-        "results", F.current_timestamp().alias("saved_at"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("run_ts"))
-    stamped.write.mode("append").partitionBy("run_ts").parquet(folder)
+def save_result(results: DataFrame, folder: str, name: str, meta: dict[str, str]) -> str:
+    """A run's rows as a table of their own and, once they are there, one provenance row. Earlier runs stay; gives the run's name."""
+    now = datetime.now(timezone.utc)
+    run = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    results.write.mode("errorifexists").parquet(f"{folder}/rows/{name}/{run}")
+    row = (name, run, json.dumps(meta, ensure_ascii=False, sort_keys=True), now.replace(tzinfo=None).isoformat())
+    results.sparkSession.createDataFrame([row], "name string, run string, meta string, saved_at string").write.mode("append").json(f"{folder}/runs")
+    return run
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -21,7 +21,13 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def latest_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Newest stored run of a result."""
-    runs = spark.read.parquet(folder).filter(F.col("name") == name)
-    return runs.orderBy(F.desc("run_ts")).limit(1)
+def result_runs(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Provenance of a result's runs: name, run, meta, saved_at."""
+    return spark.read.schema("name string, run string, meta string, saved_at string").json(f"{folder}/runs").filter(F.col("name") == name)
+
+
+def latest_result(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame] | None:
+    """Provenance row and rows of the newest run of a result; None where there is none."""
+    runs = result_runs(spark, folder, name)
+    newest = runs.agg(F.max("run")).first()[0]
+    return (runs.filter(F.col("run") == newest), spark.read.parquet(f"{folder}/rows/{name}/{newest}")) if newest else None
