@@ -71,6 +71,7 @@ def test_keyword_top_equals_all_scores(spark, monkeypatch):
     terms = R.chunk_terms(c)
     for block in (200_000, 3):
         monkeypatch.setattr(R, "TERM_BLOCK", block)
+        monkeypatch.setattr(R, "PART_CHUNKS", 3)
         got = sorted(tuple(r) for r in R.keyword_top(terms, q, 4).select("query_id", "rank", "chunk_id", "score").collect())
         assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
     pairs = spark.createDataFrame([(0, 3), (1, 7), (1, 7), (90, 1)] + [(i, i) for i in range(12)], "query_id long, chunk_id long")
@@ -228,3 +229,30 @@ def test_raw_sections_keep_their_headings(spark):
     assert got == {
         (1, "_header"): ("before", "before"), (1, "通道定位"): ("**1. 异常通道分析**\nx", "x"), (1, "异常类型"): ("", ""),
         (1, "可能原因"): ("**异常类型与可能原因**：\n- y", "- y"), (1, "建议措施"): ("**建议措施**\n second \n**其他**", "second"), (5, "结论"): ("**总结**", "")}
+
+
+def test_many_queries_are_scored_in_bounded_slices(monkeypatch):
+    """20,000 queries against a batch of 300 chunks: never more than CELLS scores at once, same result."""
+    import numpy as np
+    import pyarrow as pa
+    from tidemark.operators import retrieve as R
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    tokens = [list(dict.fromkeys(rng.choice(words, 12).tolist())) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([len(t) for t in tokens], pa.int64()), pa.array(tokens), pa.array([[1] * len(t) for t in tokens], pa.list_(pa.int32()))],
+                                       names=["chunk_id", "doc_len", "tokens", "tfs"])
+    asked = [(q, w, float(1 + q % 3)) for q in range(20_000) for w in rng.choice(words, 2, replace=False).tolist()]
+    names, weights = R._by_token(*map(list, zip(*asked)))
+    sizes, real = [], np.zeros
+
+    def zeros(shape, *a):
+        sizes.append(shape)
+        return real(shape, *a)
+    results = []
+    for cells in (200_000, 10**9):
+        monkeypatch.setattr(R, "CELLS", cells)
+        monkeypatch.setattr(R.np, "zeros", zeros)
+        sizes.clear()
+        results.append(sorted(tuple(r.values()) for b in R._best_chunks(iter([batch]), weights, names, 11.5, 2, 1.2, 0.75) for r in b.to_pylist()))
+        assert max(a * b for a, b in sizes) <= max(cells, 20_000)
+    assert results[0] == results[1] and len(results[0]) > 20_000

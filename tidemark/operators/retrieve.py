@@ -31,6 +31,8 @@ LOW_CONFIDENCE = 0.45
 
 MAX_BROADCAST_TERMS = 1_000_000
 TERM_BLOCK = 200_000
+#: Scores held at once, and chunks of a part of the index.
+CELLS, PART_CHUNKS = 4_000_000, 20_000
 QUERY_BLOCK = 4096
 TERM_SALTS = 64
 PLACES = 9
@@ -130,11 +132,56 @@ def chunk_terms(chunks: DataFrame, text: str = "content") -> DataFrame:
         count, f"chunk_id {kind}, doc_len bigint, tokens array<string>, tfs array<int>")
 
 
+def _best_chunks(batches: Iterator[pa.RecordBatch], weights: dict, names: list, avg_len: float, n: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """The best n chunks of every query among those that come by; weights: token to places of queries and their weights.
+
+    Scores of a slice of chunks are held for all queries at once, in at most ``CELLS`` cells (or one chunk); only queries that a slice touches are ranked.
+    """
+    ids, scores = {}, {}
+    rows = max(1, CELLS // max(1, len(names)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            totals = np.zeros((batch.num_rows, len(names)))
+            chunk_ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for row, (tokens, tfs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                size = k1 * (1.0 - b + b * lengths[row] / avg_len)
+                for token, tf in zip(tokens, tfs):
+                    if token in weights:
+                        place, w = weights[token]
+                        totals[row, place] += w * (tf * (k1 + 1.0) / (tf + size))
+            np.round(totals, PLACES, out=totals)
+            order = np.array(chunk_ids)
+            for i in np.flatnonzero((totals > 0).any(axis=0)).tolist():
+                hit = np.flatnonzero(totals[:, i] > 0)
+                best = hit[_best(order[hit], totals[hit, i], n)]
+                ids.setdefault(i, []).extend(chunk_ids[j] for j in best)
+                scores.setdefault(i, []).extend(totals[best, i].tolist())
+                if len(ids[i]) > 4 * n:
+                    keep = _best(np.array(ids[i]), np.array(scores[i]), n)
+                    ids[i], scores[i] = [ids[i][j] for j in keep], [scores[i][j] for j in keep]
+    for i in sorted(ids):
+        keep = _best(np.array(ids[i]), np.array(scores[i]), n)
+        yield pa.RecordBatch.from_pydict({"query_id": [names[i]] * len(keep), "chunk_id": [ids[i][j] for j in keep], "score": [scores[i][j] for j in keep]})
+
+
+def _by_token(queries: list, tokens: list, weights: list) -> tuple[list, dict]:
+    """Query names in order, and per token the places of its queries and their weights."""
+    names = sorted(set(queries))
+    place, found = {q: i for i, q in enumerate(names)}, {}
+    for q, t, w in zip(queries, tokens, weights):
+        at = found.setdefault(t, ([], []))
+        at[0].append(place[q])
+        at[1].append(w)
+    return names, {t: (np.array(i), np.array(w)) for t, (i, w) in found.items()}
+
+
 def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1, b: float = B, distinct: bool = True) -> DataFrame:
     """The n best chunks of every query with score and rank, from the index by chunk.
 
-    Weights of the query tokens go to the tasks, in blocks of bounded size; a chunk is scored where it lies and a task gives n rows per
-    query, whatever it has read. Every (query, chunk) score exists only inside its task.
+    Up to ``TERM_BLOCK`` weights of query tokens are broadcast, and a chunk is scored where it lies. More are never brought to the driver: queries are dealt to
+    blocks by hash, the index to parts, and every part meets every block in a task. A task gives n rows per query, whatever it
+    has read. Every (query, chunk) score exists only inside its task.
     """
     spark = terms_of.sparkSession
     asked = cut_lineage(query_terms(queries, distinct))
@@ -142,57 +189,34 @@ def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1,
     side = F.broadcast(vocabulary) if vocabulary.count() <= MAX_BROADCAST_TERMS else vocabulary
     df = terms_of.select(F.explode("tokens").alias("token")).join(side, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_chunks, avg_len = terms_of.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
-    weighed = asked.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight"))
+    weighed = cut_lineage(asked.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight")))
     kinds = dict(terms_of.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
-    found, block = None, []
-
-    def run(rows: list) -> DataFrame:
-        names = sorted({r["query_id"] for r in rows})
-        place, weights = {q: i for i, q in enumerate(names)}, {}
-        for r in rows:
-            weights.setdefault(r["token"], []).append((place[r["query_id"]], r["weight"]))
-        shared = spark.sparkContext.broadcast(
-            (names, {t: (np.array([i for i, _ in w]), np.array([x for _, x in w])) for t, w in weights.items()}))
+    schema, count = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double", weighed.count()
+    index = terms_of.select("chunk_id", "doc_len", "tokens", "tfs")
+    if count <= TERM_BLOCK:
+        rows = weighed.collect()
+        shared = spark.sparkContext.broadcast(_by_token([r.query_id for r in rows], [r.token for r in rows], [r.weight for r in rows]))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, weights = shared.value
-            ids, scores = [[] for _ in names], [[] for _ in names]
-            for batch in batches:
-                totals = np.zeros((batch.num_rows, len(names)))
-                chunk_ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                for row, (tokens, tfs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                    size = k1 * (1.0 - b + b * lengths[row] / avg_len)
-                    for token, tf in zip(tokens, tfs):
-                        if token in weights:
-                            at, w = weights[token]
-                            totals[row, at] += w * (tf * (k1 + 1.0) / (tf + size))
-                np.round(totals, PLACES, out=totals)
-                order = np.array(chunk_ids)
-                for i in range(len(names)):
-                    hit = np.flatnonzero(totals[:, i] > 0)
-                    if len(hit):
-                        best = hit[_best(order[hit], totals[hit, i], n)]
-                        ids[i] += [chunk_ids[j] for j in best]
-                        scores[i] += totals[best, i].tolist()
-                        if len(ids[i]) > 4 * n:
-                            keep = _best(np.array(ids[i]), np.array(scores[i]), n)
-                            ids[i], scores[i] = [ids[i][j] for j in keep], [scores[i][j] for j in keep]
-            for i, name in enumerate(names):
-                if ids[i]:
-                    keep = _best(np.array(ids[i]), np.array(scores[i]), n)
-                    yield pa.RecordBatch.from_pydict({"query_id": [name] * len(keep), "chunk_id": [ids[i][j] for j in keep], "score": [scores[i][j] for j in keep]})
+            yield from _best_chunks(batches, weights, names, avg_len, n, k1, b)
 
-        return terms_of.mapInArrow(local, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+        return merge_top(index.mapInArrow(local, schema), n)
 
-    # Rows come query by query; a block ends between queries.
-    for r in weighed.orderBy("query_id").toLocalIterator():
-        if len(block) >= TERM_BLOCK and block[-1]["query_id"] != r["query_id"]:
-            found = run(block) if found is None else found.unionByName(run(block))
-            block = []
-        block.append(r)
-    if block or found is None:
-        found = run(block) if found is None else found.unionByName(run(block))
-    return merge_top(found, n)
+    blocks, parts = -(-count // TERM_BLOCK), max(1, -(-n_chunks // PART_CHUNKS))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, weights = _by_token(right["query_id"].to_pylist(), right["token"].to_pylist(), right["weight"].to_pylist())
+        found = list(_best_chunks(left.select(["chunk_id", "doc_len", "tokens", "tfs"]).to_batches(), weights, names, avg_len, n, k1, b))
+        none = pa.table({"query_id": right["query_id"].slice(0, 0), "chunk_id": left["chunk_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.Table.from_batches([x.cast(none.schema) for x in found]) if found else none
+
+    def numbered(most: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("block", numbered(blocks))
+    told = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", numbered(parts))
+    return merge_top(dealt.groupBy("block", "part").cogroup(told.groupBy("block", "part")).applyInArrow(meet, schema), n)
 
 
 def keyword_scores_of(pairs: DataFrame, terms_of: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = True) -> DataFrame:
