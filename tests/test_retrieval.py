@@ -71,7 +71,7 @@ def test_keyword_top_equals_all_scores(spark, monkeypatch):
     terms = R.chunk_terms(c)
     for block in (200_000, 3):
         monkeypatch.setattr(R, "TERM_BLOCK", block)
-        monkeypatch.setattr(R, "PART_CHUNKS", 3)
+        monkeypatch.setattr(R, "PART_CHUNKS", 60)
         got = sorted(tuple(r) for r in R.keyword_top(terms, q, 4).select("query_id", "rank", "chunk_id", "score").collect())
         assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
     pairs = spark.createDataFrame([(0, 3), (1, 7), (1, 7), (90, 1)] + [(i, i) for i in range(12)], "query_id long, chunk_id long")

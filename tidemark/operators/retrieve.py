@@ -189,12 +189,12 @@ def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1,
     side = F.broadcast(vocabulary) if vocabulary.count() <= MAX_BROADCAST_TERMS else vocabulary
     df = terms_of.select(F.explode("tokens").alias("token")).join(side, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_chunks, avg_len = terms_of.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
-    weighed = cut_lineage(asked.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight")))
+    weighed = asked.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight"))
     kinds = dict(terms_of.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
-    schema, count = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double", weighed.count()
+    schema = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double"
     index = terms_of.select("chunk_id", "doc_len", "tokens", "tfs")
-    if count <= TERM_BLOCK:
-        rows = weighed.collect()
+    rows = weighed.limit(TERM_BLOCK + 1).collect()
+    if len(rows) <= TERM_BLOCK:
         shared = spark.sparkContext.broadcast(_by_token([r.query_id for r in rows], [r.token for r in rows], [r.weight for r in rows]))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,8 @@ def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1,
 
         return merge_top(index.mapInArrow(local, schema), n)
 
-    blocks, parts = -(-count // TERM_BLOCK), max(1, -(-n_chunks // PART_CHUNKS))
+    weighed = cut_lineage(weighed)
+    blocks, parts = -(-weighed.count() // TERM_BLOCK), max(1, -(-n_chunks // PART_CHUNKS))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names, weights = _by_token(right["query_id"].to_pylist(), right["token"].to_pylist(), right["weight"].to_pylist())
