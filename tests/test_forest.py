@@ -84,7 +84,7 @@ def test_a_larger_forest_holds_the_smaller_ones(spark):
 
 
 def test_sweep_and_forward_choice_find_the_planted_columns(spark):
-    d = planted(spark).withColumn("noise", F.sin(F.col("segment") * 17.1)).withColumn("split", F.when(F.col("segment") % 4 < 2, "fit").when(F.col("segment") % 4 == 2, "val").otherwise("test"))
+    d = planted(spark).withColumn("noise", F.sin(F.col("segment") * 17.1)).withColumn("split", F.when(F.floor(F.col("segment") / 60) % 2 == 0, "fit").when(F.col("segment") % 2 == 0, "val").otherwise("test"))
     fit, held = d.filter("split = 'fit'"), d.filter("split <> 'fit'")
     got = X.forest_sweep(fit, held, {"all": {"trees": 40, "psi": 64}, "noise": {"trees": 10, "columns": ["noise"]}}, ["a", "b", "noise"], [10, 40])
     rows = {(r.setting, r.trees, r.split): r.auc for r in got.collect()}
