@@ -134,7 +134,8 @@ def test_mix(documents, odd_rows, block):
 def test_mix_edges(documents):
     assert mixing.mix(documents([])).collect() == []
     only = mixing.mix(documents([(1, None, None, None), (2, "", None, "a")])).collect()
-    assert [(r.size, r.target, r.taken) for r in only] == [(0, 0.0, 0)] * 2
+    assert [(r.size, r.target, r.taken, r.first_slot, r.last_slot) for r in only] == [(0, 0.0, 0, None, None)] * 2
+    assert mixing.mix_rows(documents([(1, None, None, None), (2, "", None, "a")])).collect() == []
 
 
 def test_schedule_keeps_every_stretch_near_the_weights(spark):
@@ -144,6 +145,61 @@ def test_schedule_keeps_every_stretch_near_the_weights(spark):
     assert [order.count(i) / 3000 for i in (1, 2, 3)] == pytest.approx([1 / 2, 1 / 3, 1 / 6], abs=0.003)
 
 
+def _off(rows, shares, m, end):
+    """How far any stretch of m slots before ``end`` is from holding m times a source's share, over all sources."""
+    at = {}
+    for slot, source in rows:
+        at.setdefault(source, [0] * (end + 1))[slot + 1] += 1
+    worst = 0.0
+    for source, share in shares.items():
+        total = [0] * (end + 1)
+        for i, x in enumerate(at.get(source, [0] * (end + 1))[1:]):
+            total[i + 1] = total[i] + x
+        worst = max(worst, max(abs(total[i + m] - total[i] - m * share) for i in range(end - m + 1)))
+    return worst
+
+
+@pytest.mark.parametrize("scheduled", [True, False])
+def test_mix_rows_hold_the_sources_in_every_stretch(documents, monkeypatch, scheduled):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{i}.{j}" for j in range(rng.randint(0, 90))), None, rng.choice("aabbbc")) for i in range(150)]
+    if not scheduled:  # without the points every block is a late one: the order is that of turns
+        plain = mixing.schedule
+        monkeypatch.setattr(mixing, "schedule", lambda targets, slots: plain(targets, slots).limit(0))
+    docs = documents(rows)
+    got, by_doc = mixing.mix_rows(docs, block=10, slots=1).collect(), {r.doc_id: r for r in mixing.mix(docs, block=10, slots=1).collect()}
+    place, words = {}, {}
+    for r in got:
+        place.setdefault(r.slot, (r.source, r.block))
+        assert place[r.slot] == (r.source, r.block)
+        assert 0 <= r.first < r.last <= by_doc[r.doc_id].size
+        words.setdefault(r.doc_id, []).append((r.slot, r.last - r.first))
+    assert len(set(place.values())) == len(place)
+    for i, r in by_doc.items():
+        own = words.get(i, [])
+        assert r.taken == sum(n for _, n in own)
+        assert (r.first_slot, r.last_slot) == ((min(own)[0], max(own)[0]) if own else (None, None))
+    whole = sum(r.target for r in {r.source: r for r in by_doc.values()}.values())
+    shares = {r.source: r.target / whole for r in by_doc.values()}
+    slots = sorted((slot, source) for slot, (source, _) in place.items())
+    if not scheduled:
+        slots = [(i, source) for i, (_, source) in enumerate(slots)]
+    end = int(whole // 10) - 5  # the last blocks of a source may be cut or late
+    worst = max(_off([x for x in slots if x[0] < end], shares, m, end) for m in (10, 50, 200))
+    assert worst < 3 if scheduled else worst > 5
+
+
+def test_copies_come_in_the_order_of_the_schedule(documents):
+    rows = [(i, f"d{i} " * 20, None, "ab"[i % 2]) for i in range(80)]
+    docs = documents(rows)
+    first = {r.doc_id: r.first_slot for r in mixing.mix(docs, block=20, slots=1).collect()}
+    kept = [r.doc_id for r in mixing.mixed_documents(docs, block=20, slots=1).collect()]
+    seen = list(dict.fromkeys(kept))
+    assert [first[i] for i in seen] == sorted(first[i] for i in seen)
+    loose = [r.doc_id for r in mixing.mixed_documents(docs, ordered=False, block=20, slots=1).collect()]
+    assert sorted(loose) == sorted(kept)
+
+
 def test_mixed_documents(documents, odd_rows):
     rows = [(2000 + i, "w " * (5 + i % 40), "en", "abc"[i % 3]) for i in range(90)] + odd_rows
     kept = mixing.mixed_documents(documents(rows))

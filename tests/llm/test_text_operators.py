@@ -32,6 +32,9 @@ def test_language_without_labels_or_rows(documents):
     empty = documents([])
     model = language.fit(empty)
     assert language.identify(empty, model).collect() == []
+    clashing = empty.selectExpr("*", "1 AS score", "'x' AS Lang_Pred", "true AS accepted")
+    assert language.identify(clashing, model).columns == [*empty.columns, "lang_pred", "score", "accepted"]
+    assert language.identify(clashing, model).collect() == []
     got = language.identify(documents([(1, "some words", None, None)]), model).first()
     assert (got.lang_pred, got.score) == ("und", 0.0)
 

@@ -152,7 +152,8 @@ def judge(model: Model, text: str | None) -> tuple[str, float]:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The given columns (text among them) with lang_pred, score and accepted."""
+    """The given columns (text among them) with lang_pred, score and accepted; given columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "accepted")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits rows: its size is a parameter
 
     def predict(batches):

@@ -68,13 +68,12 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return running_total(named, ["sid"], (F.col("slot") / F.lit(max(1, -(-slots // n)))).cast("bigint"), [F.col("slot")], F.lit(1), "rank")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, slots: int = 65_536,
-        keys: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken.
+def _placed(docs: DataFrame, weights, share: float, most: float, block: int, slots: int, keys: list[str]) -> DataFrame:
+    """Every stretch of a document in a block of its source's stream, with the block's slot; slot is null where the mix leaves it out.
 
-    block: words in a slot, fewer when the mix would not fill ``slots`` of them. keys: further columns to carry.
+    Columns: row, doc_id, source, size, source_size, target, the keys, block, slot, at and words (the stretch of the document).
     """
-    spark, keys = docs.sparkSession, keys or []
+    spark = docs.sparkSession
     shelf = Shelf(spark, "mix")
     sizes = shelf.put(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
                                   *keys, F.monotonically_increasing_id().alias("row")), "sizes")
@@ -84,12 +83,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     quota = F.round("target").cast("bigint")
     targets = shelf.put(targets.withColumn("quota", quota).withColumn("ranks", -F.floor(-F.col("quota") / F.lit(b))), "targets")
 
-    planned = schedule(targets, -(-int(share * words) // b))
+    points = -(-int(share * words) // b)
+    planned = schedule(targets, points)
     scheduled = planned.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    # The few blocks that a source's points lack follow the last point, the sources in turns.
+    turn = targets.agg(F.count(F.lit(1))).first()[0]
     short = targets.join(scheduled, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("ranks > n").select(
-        "sid", F.explode(F.sequence(F.col("n"), F.col("ranks") - 1)).alias("rank"))
-    taken_blocks = planned.select("sid", "rank").unionByName(short).join(targets.select("sid", "quota", "ranks"), "sid").filter("rank < ranks").select(
-        "sid", F.col("rank").alias("block"), F.least(F.lit(b), F.col("quota") - F.col("rank") * b).alias("words"))
+        "sid", F.explode(F.sequence(F.col("n"), F.col("ranks") - 1)).alias("rank"), "n").select(
+        "sid", "rank", (F.lit(points) + (F.col("rank") - F.col("n")) * F.lit(turn) + F.col("sid") - 1).alias("slot"))
+    taken_blocks = planned.select("sid", "rank", "slot").unionByName(short).join(targets.select("sid", "quota", "ranks"), "sid").filter("rank < ranks").select(
+        "sid", F.col("rank").alias("block"), "slot", F.least(F.lit(b), F.col("quota") - F.col("rank") * b).alias("held"))
 
     named = sizes.join(targets.select("sid", F.col("source").alias("_source"), "source_size", "target", "quota"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     passes = named.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), -F.floor(-F.col("quota") / F.greatest("source_size", F.lit(1))) - 1).cast("int"))))
@@ -99,21 +102,49 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     streamed = streamed.withColumn("start", F.col("start") + F.col("pass") * F.col("source_size"))
     pieces = streamed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(
         F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))))
-    met = pieces.join(taken_blocks, ["sid", "block"], "left")
-    overlap = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words")) - F.greatest(F.col("start"), F.col("block") * b)
-    return met.groupBy("row", "doc_id", "source", "size", "source_size", "target", *keys).agg(
-        F.coalesce(F.sum(F.when(F.col("words").isNotNull(), F.greatest(overlap, F.lit(0)))), F.lit(0)).cast("bigint").alias("taken")).drop("row")
+    low = F.greatest(F.col("start"), F.col("block") * b)
+    high = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("held"))
+    return pieces.join(taken_blocks, ["sid", "block"], "left").withColumn("words", F.greatest(high - low, F.lit(0))).select(
+        "row", "doc_id", "source", "size", "source_size", "target", *keys, "block", F.when(F.col("words") > 0, F.col("slot")).alias("slot"),
+        (low - F.col("start")).alias("at"), "words")
+
+
+def mix_rows(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, slots: int = 65_536) -> DataFrame:
+    """The mix: slot, source, block, doc_id, first and last word (end exclusive, from 0) of the document that stand there.
+
+    Read by slot, and by doc_id within it, it is the interleaved corpus; a slot holds consecutive words of one source's stream.
+    """
+    return _placed(docs, weights, share, most, block, slots, []).filter("slot IS NOT NULL").select(
+        "slot", "source", "block", "doc_id", F.col("at").alias("first"), (F.col("at") + F.col("words")).alias("last"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, slots: int = 65_536,
+        keys: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken, first_slot, last_slot (null where nothing is taken).
+
+    block: words in a slot, fewer when the mix would not fill ``slots`` of them. keys: further columns to carry.
+    """
+    keys = keys or []
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("bigint")
+    return _placed(docs, weights, share, most, block, slots, keys).groupBy("row", "doc_id", "source", "size", "source_size", "target", *keys).agg(
+        taken.alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")).drop("row")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, ordered: bool = True, **options) -> DataFrame:
     """The documents of the mix: as many copies as ``taken`` has of the document's size, rounded (half up).
 
     Only the last document of a source is taken in part, so rounding moves a source by one document at most. Identical rows share
-    their words evenly. Keeps the columns of documents.
+    their words evenly. Keeps the columns of documents. The copies come in the order of the schedule: a document's copies are
+    spread evenly from its first slot to its last. ordered: False spares that shuffle where the reader does not care.
     """
     plain = docs.select(*DOCUMENT_COLUMNS).withColumn("_text_key", F.xxhash64("text"))
     taken = mix(plain, keys=["_text_key"], **options).groupBy("doc_id", "source", "_text_key").agg(
-        F.floor(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)) + 0.5).cast("int").alias("_copies")).filter("_copies > 0").select(
-        *[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "source", "_text_key")], "_copies")
+        F.floor(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)) + 0.5).cast("int").alias("_copies"),
+        F.min("first_slot").alias("_first"), F.max("last_slot").alias("_last")).filter("_copies > 0").select(
+        *[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "source", "_text_key")], "_copies", "_first", "_last")
     on = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in ("doc_id", "source", "_text_key")]
-    return plain.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*DOCUMENT_COLUMNS)
+    copies = plain.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    if ordered:
+        step = (F.col("_last") - F.col("_first")) / F.greatest(F.col("_copies") - 1, F.lit(1))
+        copies = copies.orderBy(F.col("_first") + F.col("_copy") * step, "source", "doc_id", "_text_key")
+    return copies.select(*DOCUMENT_COLUMNS)
