@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
+from tidemark.llm import jaccard
 from tidemark.llm import simhash as S
 from tidemark.llm.common import Shelf
 from tidemark.llm.components import components
@@ -210,3 +212,10 @@ def test_representatives_by_row(documents):
         got = S.representatives(documents(rows).repartition(3)).collect()
         assert sorted([(r.doc_id, (r.text or "").lower().replace("  ", " ")) for r in got], key=repr) == sorted([(1, a), (1, b), (2, c), (None, d), (4, ""), (6, "one two")], key=repr)
     assert S.representatives(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("text", [None, b"", b" \n", b"one", b"a b a b a b a b a b a b", b"A  b\tc d e f g a B c d e", b"x " * 3000])
+def test_shingle_sets_are_sorted_distinct_hashes(text):
+    words = (text or b"").lower().split()
+    runs = {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    assert jaccard.hashed(text, 5).tolist() == sorted(xxhash.xxh64_intdigest(r) for r in runs)

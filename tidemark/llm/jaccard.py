@@ -37,6 +37,8 @@ LEAST, BANDS, ROWS = 256, 42, 6
 BIT = np.uint64(30)
 #: Parities of a set, most rounds of trials against hubs, and members of a part of a bucket.
 PARITIES, HUBS, PART = 512, 6, 4096
+#: Rows that a worker holds the facts of at once.
+SLICE = 512
 _RANDOM = np.random.default_rng(64)
 _FACTORS = _RANDOM.integers(0, 2**64, LEAST, dtype=np.uint64) | np.uint64(1)
 _TERMS = _RANDOM.integers(0, 2**64, LEAST, dtype=np.uint64)
@@ -44,12 +46,6 @@ _BITS = [f"bits{n}" for n in range(LEAST // 64)]
 _ODD = [f"odd{n}" for n in range(PARITIES // 64)]
 
 
-def shingles(text: bytes | None, shingle: int) -> set[bytes]:
-    words = (text or b"").lower().split()
-    k = min(shingle, len(words))
-    return {b" ".join(words[i:i + k]) for i in range(len(words) - k + 1)} if words else set()
-
-
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
     """Of each of 256 hash functions the least value over a set."""
     least = np.full(LEAST, 2**64 - 1, np.uint64)
@@ -59,8 +55,11 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: bytes | None, shingle: int) -> np.ndarray:
-    """The shingle set as sorted hashes."""
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found := shingles(text, shingle)), np.uint64, len(found)))
+    """The shingle set as sorted hashes; the shingles themselves are never held together."""
+    words = (text or b"").lower().split()
+    k = min(shingle, len(words))
+    n = len(words) - k + 1 if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i:i + k])) for i in range(n)), np.uint64, n))
 
 
 def marks(text: bytes | None, shingle: int) -> tuple[bytes, int, np.ndarray, np.ndarray, list[int]]:
@@ -79,7 +78,7 @@ def marked(docs: DataFrame, shingle: int) -> DataFrame:
     at, names = given.columns.index("text"), [*given.columns, "digest", "size", *_BITS, *_ODD, "keys"]
 
     def rows(batches):
-        for batch in batches:
+        for batch in (whole.slice(n, SLICE) for whole in batches for n in range(0, whole.num_rows, SLICE)):
             found = [marks(t.as_py(), shingle) for t in batch.column(at)]
             words = np.array([np.concatenate(f[2:4]) for f in found], np.int64).reshape(len(found), -1)
             keys = np.array([f[4] for f in found], np.uint64).view(np.int64).reshape(-1)
@@ -124,7 +123,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(id, hashes) of (id, text)."""
     def rows(batches):
-        for batch in batches:
+        for batch in (whole.slice(n, SLICE) for whole in batches for n in range(0, whole.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(t.as_py(), shingle).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "hashes"])
 
     return texts.select("id", "text").mapInArrow(rows, "id bigint, hashes array<bigint>")

@@ -25,8 +25,11 @@ from tidemark.llm.common import Shelf, running_total, slices_for
 from tidemark.llm.tokens import VOCABULARY, coder
 
 CAPACITY = 2048
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every document's ids and its end token 0, cut to the capacity."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, forget: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: every document's ids and its end token 0, cut to the capacity.
+
+    forget: a worker lets go of the words that it remembers when its task ends, for jobs whose other stages need the memory.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches):
@@ -43,6 +46,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()),
                  *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            code.known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -152,11 +157,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, forget: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. forget: as in pieces."""
     spark = docs.sparkSession
     shelf = Shelf(spark, "pack")
-    cut = shelf.put(pieces(docs, capacity, vocabulary), "pieces")
+    cut = shelf.put(pieces(docs, capacity, vocabulary, forget), "pieces")
     counts = dict(cut.groupBy("length").count().collect())  # at most ``capacity`` rows
     # A length's ranks are cut into as many cells as the plan has rows for it, so a piece meets a few rows, not all of its length.
     # The plan's size is bounded by the capacity, not by the corpus: some thousands of rows.
