@@ -117,7 +117,7 @@ def nested_subsets(fit: DataFrame, val: DataFrame, columns: list[str], repeats:
                    key: str = "segment") -> dict[int, list[str]]:
     """Per repeat the columns that a greedy choice by forest AUC takes on half 0 of the validation rows.
 
-    A subset is a key: one fit and one scoring a step serve all candidates of all repeats, as forests do not depend on the halves.
+    One fit and one scoring a step serve all candidates of all repeats, as forests do not depend on the halves.
     """
     halves = cut_lineage(val.select(key, "anomaly", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).withColumn("half", half_of(key, F.col("repeat"))).filter("half = 0"))
     chosen: dict[int, list[str]] = {r: [] for r in range(1, repeats + 1)}
@@ -126,10 +126,9 @@ def nested_subsets(fit: DataFrame, val: DataFrame, columns: list[str], repeats:
         tries = [(r, c, sorted([*chosen[r], c], key=columns.index)) for r in open_ for c in columns if c not in chosen[r]]
         if not tries:
             break
-        named = {"+".join(x): x for *_, x in tries}
-        entry = F.explode(F.array(*[F.struct(F.lit(n).alias("subset"), feature_vector(x).alias("x")) for n, x in named.items()])).alias("s")
-        forest = cut_lineage(T.fit(fit.select(key, entry).select(key, "s.*"), F.col("x"), key, "subset", trees, psi))
-        scored = cut_lineage(T.score(val.select(key, entry).select(key, "s.*"), forest, F.col("x"), "subset", max_broadcast=len(named) * trees).select(key, "subset", "score"))
+        places = {"+".join(x): [columns.index(c) for c in x] for *_, x in tries}
+        forest = cut_lineage(T.fit_subsets(fit, feature_vector(columns), places, key, trees=trees, psi=psi))
+        scored = cut_lineage(T.score_subsets(val, forest, feature_vector(columns), places, key))
         table = fit.sparkSession.createDataFrame([(r, c, "+".join(x)) for r, c, x in tries], "repeat int, candidate string, subset string")
         cells = halves.join(F.broadcast(table), "repeat").join(scored, [key, "subset"])
         areas = auc(cells, ["repeat", "candidate"], "score").withColumn("auc", F.round("auc", 9))
@@ -160,7 +159,8 @@ def nested_validation(fit: DataFrame, val: DataFrame, columns: list[str], repeat
         return rows.select(key, group, "anomaly", entry).select(key, group, "anomaly", "s.*").withColumn("cell", F.concat_ws("|", "subset", group))
 
     fit_rows, val_rows = tried(fit), tried(val)
-    forest = cut_lineage(T.fit(fit_rows, F.col("x"), key, "cell", trees, psi))
+    places = {s: [columns.index(c) for c in x] for s, x in named.items()}
+    forest = cut_lineage(T.fit_subsets(fit, feature_vector(columns), places, key, group, trees, psi))
     limits = T.contamination_thresholds(T.score(fit_rows, forest, F.col("x"), "cell").filter("score IS NOT NULL"), group="cell")
     fired = R.violations(val, R.thresholds(fit, columns), [key, group], columns).filter("sigma_hit OR iqr_hit")
     hits = fired.join(F.broadcast(members), "feature").groupBy("subset", key).agg(F.count(F.lit(1)).alias("hits"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.hashing import uniform
 from tidemark.operators.quantiles import quantiles
@@ -90,6 +91,12 @@ def fit(train: DataFrame, vector: Column, key: str = "segment", group: str | lis
     same in a forest of any size, so a larger forest holds the smaller ones.
     """
     name = F.lit("*") if group is None else F.concat_ws("|", *([group] if isinstance(group, str) else group))
+    return _samples(train, name, vector, key, trees, psi, seed, min_fit).withColumn("t", _grow_batch("grp", "tree", F.lit(str(seed)), F.col("rows.x"))).select(
+        "grp", "tree", "t.*")
+
+
+def _samples(train: DataFrame, name: Column, vector: Column, key: str, trees: int | Column, psi: int | Column, seed: int, min_fit: int) -> DataFrame:
+    """(grp, tree, rows): the rows that each tree of a group is grown from, as sorted structs (key, x)."""
     trees, psi = (F.lit(v) if isinstance(v, int) else v for v in (trees, psi))
     rows = train.select(name.alias("grp"), F.col(key).cast("string").alias("key"), vector.alias("x"), trees.alias("trees"), psi.alias("psi"))
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_fit)
@@ -104,9 +111,29 @@ def fit(train: DataFrame, vector: Column, key: str = "segment", group: str | lis
     each = rows.join(sizes, "grp").select("grp", "key", "x", "psi", F.explode(drawn).alias("tree"))
     each = each.withColumn("u", lot(F.col("tree"))).withColumn(
         "_r", F.row_number().over(W.partitionBy("grp", "tree").orderBy("u", "key"))).filter(F.col("_r") <= F.col("psi"))
-    samples = each.groupBy("grp", "tree").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))
-    return samples.withColumn("t", _grow_batch("grp", "tree", F.lit(str(seed)), F.col("rows.x"))).select(
-        "grp", "tree", "t.*")
+    return each.groupBy("grp", "tree").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))
+
+
+def fit_subsets(train: DataFrame, vector: Column, subsets: dict[str, list[int]], key: str = "segment", group: str | None = None,
+                trees: int = 100, psi: int = 128, seed: int = 42, min_fit: int = MIN_FIT) -> DataFrame:
+    """The forests that fit() gives rows repeated for every subset, named by subset, or by subset and group; subsets: name to places in the vector.
+
+    What a tree draws does not depend on its columns, so rows are drawn once for all subsets, and a task grows the trees of all subsets from a sample.
+    """
+    name = F.lit("") if group is None else F.coalesce(F.concat(F.lit("|"), F.col(group)), F.lit(""))
+    drawn = _samples(train, name, vector, key, trees, psi, seed, min_fit).select("grp", "tree", F.col("rows.x").alias("x"))
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(schema)
+        for batch in batches:
+            for g, t, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                matrix = np.array(rows.as_py(), dtype=float)
+                limit = max(1, math.ceil(math.log2(max(len(matrix), 2))))
+                yield pa.RecordBatch.from_pylist(
+                    [{"grp": s + g, "tree": t, **grow(matrix[:, places], f"{s}{g}#{t}#{seed}", limit), "psi": len(matrix)} for s, places in subsets.items()], kind)
+
+    schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("tree", T.IntegerType()), *TREE_TYPE.fields])
+    return drawn.repartition(max(trees, 1), "grp", "tree").mapInArrow(grown, schema)
 
 
 def _descend(matrix: np.ndarray, forest: list, counts: list[int] | None = None) -> np.ndarray:
@@ -129,9 +156,15 @@ def _descend(matrix: np.ndarray, forest: list, counts: list[int] | None = None)
     return out[len(forest)] if counts is None else np.stack([out.get(c, np.full(len(matrix), np.nan)) for c in counts], axis=1)
 
 
-def _unpack(row) -> tuple:
-    return (np.asarray(row["feature"]), np.asarray(row["split"]), np.asarray(row["left"]), np.asarray(row["right"]),
-            np.asarray(row["length"]), int(row["psi"]))
+def _unpack(forest: pa.Table) -> list[tuple]:
+    """(group, tree, arrays, psi) of the rows of a forest table, in this order."""
+    if not forest.num_rows:
+        return []
+    forest = forest.combine_chunks()
+    cut = forest["feature"].chunk(0).offsets.to_numpy()
+    flat = [forest[n].chunk(0).values.to_numpy() for n in ("feature", "split", "left", "right", "length")]
+    names = zip(forest.column(0).to_pylist(), forest["tree"].to_pylist(), forest["psi"].to_pylist(), cut[:-1], cut[1:])
+    return sorted(((g, t, (*(f[a:b] for f in flat), psi)) for g, t, psi, a, b in names), key=lambda r: r[:2])
 
 
 def score(df: DataFrame, forest: DataFrame, vector: Column, group: str | list[str] | None = "channel",
@@ -143,11 +176,11 @@ def score(df: DataFrame, forest: DataFrame, vector: Column, group: str | list[st
     """
     name = F.lit("*") if group is None else F.concat_ws("|", *([group] if isinstance(group, str) else group))
     rows = df.withColumn("_grp", name).withColumn("_x", vector)
-    held = forest.limit(max_broadcast + 1).collect()
-    if len(held) <= max_broadcast:
+    held = forest.limit(max_broadcast + 1).toArrow()
+    if held.num_rows <= max_broadcast:
         by_group: dict[str, list] = {}
-        for r in sorted(held, key=lambda r: (r["grp"], r["tree"])):
-            by_group.setdefault(r["grp"], []).append(_unpack(r))
+        for g, _, tree in _unpack(held):
+            by_group.setdefault(g, []).append(tree)
         shared = df.sparkSession.sparkContext.broadcast(by_group)
 
         @F.pandas_udf("double")
@@ -168,7 +201,7 @@ def score(df: DataFrame, forest: DataFrame, vector: Column, group: str | list[st
     types = [(n, t) for n, t in df.dtypes]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        trees = [_unpack(r) for r in sorted(right.to_pylist(), key=lambda r: r["tree"])]
+        trees = [tree for *_, tree in _unpack(right)]
         kept = {n: left.column(n) for n, _ in types}
         if left.num_rows and trees:
             xs = np.stack([np.asarray(x) for x in left.column("_x").to_pylist()])
@@ -179,6 +212,35 @@ def score(df: DataFrame, forest: DataFrame, vector: Column, group: str | list[st
         copies.withColumnRenamed("grp", "_grp").groupBy("_grp", "_salt")).applyInArrow(meet, schema)
 
 
+def score_subsets(df: DataFrame, forest: DataFrame, vector: Column, subsets: dict[str, list[int]], key: str = "segment",
+                  block: int = 8, part: int = 20_000) -> DataFrame:
+    """(key, subset, score) of every row by every subset's forest of fit_subsets without a group; NULL where there is no forest.
+
+    Subsets are dealt to blocks and rows to parts; every part meets the trees of every block in a task.
+    """
+    places = {s: (n // block, places) for n, (s, places) in enumerate(subsets.items())}
+    blocks = -(-len(subsets) // block)
+    rows = df.select(key, vector.alias("_x"))
+    parts = max(1, -(-rows.count() // part))
+    named = F.create_map(*[F.lit(v) for s, (n, _) in places.items() for v in (s, n)])
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    told = forest.withColumn("_block", named[F.col("grp")]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kind = dict(df.dtypes)[key]
+
+    def meet(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        by_name: dict[str, list] = {}
+        for g, _, tree in _unpack(right):
+            by_name.setdefault(g, []).append(tree)
+        matrix, found = np.array(left["_x"].to_pylist(), dtype=float).reshape(left.num_rows, -1), []
+        for s, (n, columns) in places.items():
+            if n == at[0].as_py() and left.num_rows:
+                scores = pa.array(_descend(matrix[:, columns], by_name[s]), pa.float64()) if s in by_name else pa.nulls(left.num_rows, pa.float64())
+                found.append(pa.table({key: left[key], "subset": pa.array([s] * left.num_rows), "score": scores}))
+        return pa.concat_tables(found) if found else pa.table({key: left[key].slice(0, 0), "subset": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+    return dealt.groupBy("_block", "_part").cogroup(told.groupBy("_block", "_part")).applyInArrow(meet, f"`{key}` {kind}, subset string, score double")
+
+
 def scores_by_size(df: DataFrame, forest: DataFrame, vector: Column, group: str, counts: list[int], salts: int = 8) -> DataFrame:
     """Per row and forest size: the plain columns of ``df``, trees, score. One descent answers every size; sizes that a group's forest has not are left out.
 
@@ -192,7 +254,7 @@ def scores_by_size(df: DataFrame, forest: DataFrame, vector: Column, group: str,
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         kept = {n: left.column(n) for n in names}
-        trees = [_unpack(r) for r in sorted(right.to_pylist(), key=lambda r: r["tree"])]
+        trees = [tree for *_, tree in _unpack(right)]
         if left.num_rows and trees:
             found = _descend(np.stack([np.asarray(x) for x in left.column("_x").to_pylist()]), trees, counts)
             return pa.table(kept | {"_scores": pa.array(list(found), pa.list_(pa.float64()))})
