@@ -256,3 +256,42 @@ def test_many_queries_are_scored_in_bounded_slices(monkeypatch):
         results.append(sorted(tuple(r.values()) for b in R._best_chunks(iter([batch]), weights, names, 11.5, 2, 1.2, 0.75) for r in b.to_pylist()))
         assert max(a * b for a, b in sizes) <= max(cells, 20_000)
     assert results[0] == results[1] and len(results[0]) > 20_000
+
+
+def test_best_of_slices_equals_a_full_sort():
+    """Ties, missing ids and missing scores; slices of any size give the same rows, by ids in order with missing ones first."""
+    rng = np.random.default_rng(5)
+    ids = np.array([None, *range(299)], dtype=object)
+    scores = np.round(rng.random((7, 300)), 1)
+    scores[3, :295] = np.nan
+    want = [(q, ids[i], scores[q, i]) for q in range(7) for i in sorted(range(300), key=lambda i: (-np.nan_to_num(scores[q, i], nan=-1.0), i))[:6]]
+    for step in (1, 13, 300):
+        best = R._Best(7, 6)
+        for at in range(0, 300, step):
+            best.add(ids[at:at + step], scores[:, at:at + step])
+        got = [tuple(r.values()) for b in best.rows(list(range(7))) for r in b.to_pylist()]
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], nan_ok=True)
+
+
+def test_scores_of_repeated_chunks_add_up_in_bounded_slices():
+    """A chunk that has a token by two lengths gets both parts; no slice is larger than the cells allow."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3]), pa.array([[4, 9, 4], [5], []], pa.list_(pa.int64())), pa.array([["x", "x", "y"], ["z"], []], pa.list_(pa.string())),
+                                        pa.array([[1, 2, 1], [1], []], pa.list_(pa.int64()))], names=["chunk_id", "doc_len", "tokens", "tfs"])
+    names, weights = R._by_token([7, 7, 8], ["x", "y", "x"], [1.0, 2.0, 0.5])
+
+    def part(tf, n):
+        return tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 5.0))
+    for cells in (2, 100):
+        slices = list(R._totals(iter([batch]), weights, 2, 5.0, 1.5, 0.75, cells))
+        assert max(t.size for _, t in slices) <= max(cells, 2)
+        totals = np.concatenate([t for _, t in slices])
+        x = part(1, 4) + part(2, 9)
+        assert totals == pytest.approx(np.array([[x + 2 * part(1, 4), x / 2], [0, 0], [0, 0]]))
+
+
+def test_bm25_shuffles_no_scores(spark):
+    c = corpus(spark, [(i, f"the pump number {i} and word{i % 3}", "a", 1) for i in range(30)])
+    plan = R.bm25(c, spark.createDataFrame([(1, "the pump word1")], "query_id long, text string"))._jdf.queryExecution().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "query_id" in line]

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ TERM_BLOCK = 200_000
 #: Scores held at once, and chunks of a part of the index.
 CELLS, PART_CHUNKS = 4_000_000, 20_000
 QUERY_BLOCK = 4096
+#: Chunks whose tokens a worker counts at once.
+SLICE = 512
 TERM_SALTS = 64
 PLACES = 9
 
@@ -83,24 +86,30 @@ def _meet(posted: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = True,
          posted: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Score of every (query, chunk) that shares a token. ``posted``/``stats`` reuse stored index tables."""
-    terms = query_terms(queries, distinct)
+    """Score of every (query, chunk) that shares a token. ``posted``/``stats`` reuse stored index tables.
+
+    The postings of a chunk are gathered, and a task adds up its scores: the postings are shuffled, the scores are not.
+    """
+    terms = cut_lineage(query_terms(queries, distinct))
     n_terms = terms.count()
-    stats = index_statistics(chunks) if stats is None else stats
     vocabulary = terms.select("token").distinct()
     if posted is None:
         # read twice below: the postings of the query tokens are stored, not tokenised again
-        hit = posted = cut_lineage(postings(chunks, only=vocabulary if n_terms <= MAX_BROADCAST_TERMS else None))
+        hit = cut_lineage(postings(chunks, only=vocabulary if n_terms <= MAX_BROADCAST_TERMS else None))
     else:
         hit = _meet(posted, vocabulary, n_terms)
+    n_chunks, avg_len = (index_statistics(chunks) if stats is None else stats).select("n_chunks", "avg_len").first()
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.join(F.broadcast(stats)).select("token", idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avg_len")
-    asked = terms.join(weights, "token")
-    tf = F.col("tf")
-    size = k1 * (1.0 - b + b * F.col("doc_len") / F.col("avg_len"))
-    part = F.col("idf") * tf * (k1 + 1.0) / (tf + size) * F.col("times")
-    return _meet(posted, asked, n_terms).groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(part), PLACES).alias("score"))
+    weighed = terms.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight"))
+    held = hit.groupBy("chunk_id").agg(F.collect_list(F.struct("doc_len", "token", "tf")).alias("_p")).select(
+        "chunk_id", F.col("_p.doc_len").alias("doc_len"), F.col("_p.token").alias("tokens"), F.col("_p.tf").alias("tfs"))
+
+    def every(batches: Iterator[pa.RecordBatch], weights: dict, names: list) -> Iterator[pa.RecordBatch]:
+        for ids, totals in _totals(batches, weights, len(names), avg_len, k1, b, CELLS // 8):
+            rows, places = np.nonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(places)), ids.take(pa.array(rows)), pa.array(np.round(totals[rows, places], PLACES))], names=["query_id", "chunk_id", "score"])
+
+    return _in_tasks(held, weighed, n_chunks, every)
 
 
 def top_n(scored: DataFrame, n: int, value: str = "score") -> DataFrame:
@@ -122,7 +131,7 @@ def chunk_terms(chunks: DataFrame, text: str = "content") -> DataFrame:
     kind = dict(chunks.dtypes)["chunk_id"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             tokens = [Counter(t or ()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([sum(c.values()) for c in tokens], pa.int64()), pa.array([list(c) for c in tokens], pa.list_(pa.string())),
@@ -132,37 +141,102 @@ def chunk_terms(chunks: DataFrame, text: str = "content") -> DataFrame:
         count, f"chunk_id {kind}, doc_len bigint, tokens array<string>, tfs array<int>")
 
 
+class _Best:
+    """The n best (score desc, id) per query of the scores that come by. Scores that can't be among them are left out at once."""
+
+    def __init__(self, queries: int, n: int, least: float = -np.inf):
+        self.n, self.queries = n, queries
+        self.low = np.full(queries, least)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: queries x rows."""
+        if np.isnan(scores).any():
+            scores = np.where(np.isnan(scores), -np.inf, scores)  # comes last, and out as it came in
+        fits = scores >= self.low[:, None]
+        if scores.shape[1] > self.n and np.count_nonzero(fits) > 4 * self.n * self.queries:
+            at = scores.shape[1] - self.n
+            self.low = np.maximum(self.low, np.partition(scores, at, axis=1)[:, at])
+            fits = scores >= self.low[:, None]
+        query, row = np.nonzero(fits)
+        self.held.append((query, ids[row], scores[query, row]))
+        self.size += len(query)
+        if self.size > 8 * self.n * max(1, self.queries):
+            self._cut()
+
+    def _cut(self) -> None:
+        query, ids, scores = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((_id_ranks(ids), -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        starts = np.searchsorted(query, np.arange(self.queries))
+        nth = np.arange(len(query)) - starts[query]
+        last = nth == self.n - 1
+        self.low[query[last]] = np.maximum(self.low[query[last]], scores[last])
+        keep = nth < self.n
+        self.held, self.size = [(query[keep], ids[keep], scores[keep])], int(keep.sum())
+
+    def rows(self, names: list) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._cut()
+            query, ids, scores = self.held[0]
+            for at in range(0, len(query), 65_536):
+                q, i, v = (c[at:at + 65_536] for c in (query, ids, scores))
+                yield pa.RecordBatch.from_pydict({"query_id": [names[j] for j in q.tolist()], "chunk_id": i.tolist(), "score": np.where(np.isneginf(v), np.nan, v)})
+
+
+def _id_ranks(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids, missing ones first."""
+    if ids.dtype != object:
+        return ids
+    order = {v: n for n, v in enumerate(sorted(set(ids.tolist()), key=lambda v: (v is not None, v)))}
+    return np.array([order[v] for v in ids.tolist()], dtype=np.int64)
+
+
+def _totals(batches: Iterator[pa.RecordBatch], weights: dict, queries: int, avg_len: float, k1: float, b: float, cells: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Slices of the chunks that come by as ids and scores (rows x queries, at most ``cells`` or one row). Batches: id, length or lengths by token, tokens, tfs.
+
+    A token adds to all its chunks of a slice and all its queries at once; tokens come in their order, so a score does not depend on the slice.
+    """
+    known = sorted(weights)
+    rows = max(1, cells // max(1, queries))
+    for batch in batches:
+        ids, lengths, tokens, tfs = batch.columns[:4]
+        of = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        token = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(known, pa.string())), -1).to_numpy(zero_copy_only=False)
+        met = np.flatnonzero(token >= 0)
+        of, token, tf = of[met], token[met], tfs.flatten().to_numpy(zero_copy_only=False)[met]
+        length = lengths.flatten().to_numpy(zero_copy_only=False)[met] if pa.types.is_list(lengths.type) else lengths.to_numpy(zero_copy_only=False)[of]
+        part = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / avg_len)) if len(met) else np.empty(0)
+        for at in range(0, len(ids), rows):
+            lo, hi = np.searchsorted(of, [at, at + rows])
+            totals = np.zeros((min(rows, len(ids) - at), queries))
+            order = lo + np.argsort(token[lo:hi], kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0, True]) if hi > lo else [0]
+            for x, y in zip(edges[:-1], edges[1:]):
+                places, w = weights[known[token[order[x]]]]
+                here, share = of[order[x:y]] - at, part[order[x:y]]
+                if len(set(here.tolist())) == y - x:
+                    totals[here[:, None], places] += share[:, None] * w
+                else:  # a chunk that has the token more than once, by different lengths
+                    np.add.at(totals, (here[:, None], places), share[:, None] * w)
+            yield ids.slice(at, rows), totals
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as they are, missing ones as None."""
+    return np.array(column.to_pylist(), dtype=object if column.null_count else None)
+
+
 def _best_chunks(batches: Iterator[pa.RecordBatch], weights: dict, names: list, avg_len: float, n: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """The best n chunks of every query among those that come by; weights: token to places of queries and their weights.
 
-    Scores of a slice of chunks are held for all queries at once, in at most ``CELLS`` cells (or one chunk); only queries that a slice touches are ranked.
+    Scores of a slice of chunks are held for all queries at once, in at most ``CELLS`` cells (or one chunk); only scores that may be among the best are ranked.
     """
-    ids, scores = {}, {}
-    rows = max(1, CELLS // max(1, len(names)))
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            batch = whole.slice(at, rows)
-            totals = np.zeros((batch.num_rows, len(names)))
-            chunk_ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for row, (tokens, tfs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                size = k1 * (1.0 - b + b * lengths[row] / avg_len)
-                for token, tf in zip(tokens, tfs):
-                    if token in weights:
-                        place, w = weights[token]
-                        totals[row, place] += w * (tf * (k1 + 1.0) / (tf + size))
-            np.round(totals, PLACES, out=totals)
-            order = np.array(chunk_ids)
-            for i in np.flatnonzero((totals > 0).any(axis=0)).tolist():
-                hit = np.flatnonzero(totals[:, i] > 0)
-                best = hit[_best(order[hit], totals[hit, i], n)]
-                ids.setdefault(i, []).extend(chunk_ids[j] for j in best)
-                scores.setdefault(i, []).extend(totals[best, i].tolist())
-                if len(ids[i]) > 4 * n:
-                    keep = _best(np.array(ids[i]), np.array(scores[i]), n)
-                    ids[i], scores[i] = [ids[i][j] for j in keep], [scores[i][j] for j in keep]
-    for i in sorted(ids):
-        keep = _best(np.array(ids[i]), np.array(scores[i]), n)
-        yield pa.RecordBatch.from_pydict({"query_id": [names[i]] * len(keep), "chunk_id": [ids[i][j] for j in keep], "score": [scores[i][j] for j in keep]})
+    best = _Best(len(names), n, 10.0 ** -PLACES)
+    for ids, totals in _totals(batches, weights, len(names), avg_len, k1, b, CELLS):
+        best.add(_ids(ids), np.round(totals, PLACES, out=totals).T)
+    yield from best.rows(names)
 
 
 def _by_token(queries: list, tokens: list, weights: list) -> tuple[list, dict]:
@@ -183,32 +257,37 @@ def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1,
     blocks by hash, the index to parts, and every part meets every block in a task. A task gives n rows per query, whatever it
     has read. Every (query, chunk) score exists only inside its task.
     """
-    spark = terms_of.sparkSession
     asked = cut_lineage(query_terms(queries, distinct))
     vocabulary = asked.select("token").distinct()
     side = F.broadcast(vocabulary) if vocabulary.count() <= MAX_BROADCAST_TERMS else vocabulary
     df = terms_of.select(F.explode("tokens").alias("token")).join(side, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_chunks, avg_len = terms_of.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     weighed = asked.join(df, "token").select("query_id", "token", (idf(F.lit(n_chunks), F.col("df")) * F.col("times")).alias("weight"))
-    kinds = dict(terms_of.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
-    schema = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double"
     index = terms_of.select("chunk_id", "doc_len", "tokens", "tfs")
+    return merge_top(_in_tasks(index, weighed, n_chunks, lambda batches, weights, names: _best_chunks(batches, weights, names, avg_len, n, k1, b)), n)
+
+
+def _in_tasks(index: DataFrame, weighed: DataFrame, n_chunks: int, work) -> DataFrame:
+    """(query_id, chunk_id, score) that ``work`` finds for chunks (id, length, tokens, tfs) and the weights of query tokens, by broadcast or block by block."""
+    kinds = dict(index.dtypes)["chunk_id"], dict(weighed.dtypes)["query_id"]
+    schema = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double"
     rows = weighed.limit(TERM_BLOCK + 1).collect()
     if len(rows) <= TERM_BLOCK:
-        shared = spark.sparkContext.broadcast(_by_token([r.query_id for r in rows], [r.token for r in rows], [r.weight for r in rows]))
+        shared = index.sparkSession.sparkContext.broadcast(_by_token([r.query_id for r in rows], [r.token for r in rows], [r.weight for r in rows]))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, weights = shared.value
-            yield from _best_chunks(batches, weights, names, avg_len, n, k1, b)
+            if names:
+                yield from work(batches, weights, names)
 
-        return merge_top(index.mapInArrow(local, schema), n)
+        return index.mapInArrow(local, schema)
 
     weighed = cut_lineage(weighed)
     blocks, parts = -(-weighed.count() // TERM_BLOCK), max(1, -(-n_chunks // PART_CHUNKS))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names, weights = _by_token(right["query_id"].to_pylist(), right["token"].to_pylist(), right["weight"].to_pylist())
-        found = list(_best_chunks(left.select(["chunk_id", "doc_len", "tokens", "tfs"]).to_batches(), weights, names, avg_len, n, k1, b))
+        found = list(work(left.select(["chunk_id", "doc_len", "tokens", "tfs"]).to_batches(), weights, names)) if names else []
         none = pa.table({"query_id": right["query_id"].slice(0, 0), "chunk_id": left["chunk_id"].slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.Table.from_batches([x.cast(none.schema) for x in found]) if found else none
 
@@ -217,7 +296,7 @@ def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1,
 
     dealt = index.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("block", numbered(blocks))
     told = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", numbered(parts))
-    return merge_top(dealt.groupBy("block", "part").cogroup(told.groupBy("block", "part")).applyInArrow(meet, schema), n)
+    return dealt.groupBy("block", "part").cogroup(told.groupBy("block", "part")).applyInArrow(meet, schema)
 
 
 def keyword_scores_of(pairs: DataFrame, terms_of: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = True) -> DataFrame:
@@ -239,16 +318,6 @@ def keyword_scores_of(pairs: DataFrame, terms_of: DataFrame, queries: DataFrame,
 
 # ---- vector side --------------------------------------------------------------------------
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best by (similarity desc, id): ties at the border are all looked at."""
-    if len(sims) > k:
-        kth = np.partition(sims, len(sims) - k)[len(sims) - k]
-        keep = np.flatnonzero(sims >= kth)
-    else:
-        keep = np.arange(len(sims))
-    return keep[np.lexsort((ids[keep], -sims[keep]))][:k]
-
-
 def _similarities(matrix: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         sq = (matrix ** 2).sum(1)[None, :] + (queries ** 2).sum(1)[:, None] - 2.0 * queries @ matrix.T
@@ -265,30 +334,11 @@ def _rows_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _keep_best(held: tuple | None, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best per query of a block of similarities (queries x rows), with those held so far. Ties go to the smaller id."""
-    names = np.broadcast_to(ids, sims.shape)
-    if held is not None:
-        names, sims = np.concatenate([held[0], names], axis=1), np.concatenate([held[1], sims], axis=1)
-    if sims.shape[1] > k:
-        kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
-        width = int((sims >= kth).sum(axis=1).max())  # ties at the border are all looked at
-        at = np.argsort(-sims, axis=1, kind="stable")[:, :width] if width > k else np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        names, sims = np.take_along_axis(names, at, 1), np.take_along_axis(sims, at, 1)
-    order = np.lexsort((names, -sims), axis=1)[:, :k]
-    return np.take_along_axis(names, order, 1), np.take_along_axis(sims, order, 1)
-
-
-def _flat(names: list, held: tuple) -> pa.RecordBatch:
-    ids, sims = held
-    return pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(names), ids.shape[1]), "chunk_id": ids.ravel(), "score": sims.ravel()})
-
-
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """Exact nearest chunks of every query.
 
-    Queries travel in blocks as broadcasts; each task multiplies its rows with a block and keeps a running
-    top k per query, so a task emits k rows per query whatever it read. What the tasks keep is merged in two steps.
+    Queries travel in blocks as broadcasts; each task multiplies slices of its rows with a block, at most ``CELLS`` similarities at once, and keeps a
+    running top k per query, so a task emits k rows per query whatever it read. What the tasks keep is merged in two steps.
     """
     kinds = dict(corpus.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
     found, block = None, []
@@ -298,12 +348,11 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "c
         shared = corpus.sparkSession.sparkContext.broadcast(np.array([np.asarray(r["embedding"], dtype=float) for r in block]))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for batch in batches:
-                if batch.num_rows and names:
-                    held = _keep_best(held, batch.column(0).to_numpy(zero_copy_only=False), _similarities(_rows_of(batch.column(1)), shared.value, metric), k)
-            if held is not None:
-                yield _flat(names, held)
+            best, rows = _Best(len(names), k), max(1, CELLS // max(1, len(names)))
+            for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
+                if names:
+                    best.add(_ids(batch.column(0)), _similarities(_rows_of(batch.column(1)), shared.value, metric))
+            yield from best.rows(names)
 
         return corpus.select("chunk_id", "embedding").mapInArrow(local, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
 
@@ -356,11 +405,11 @@ def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: in
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], right.schema.field("query_id").type), "chunk_id": pa.array([], left.schema.field("chunk_id").type), "score": pa.array([], pa.float64())})
-        held, names = None, right["query_id"].to_pylist()
-        matrix = _rows_of(right["embedding"].combine_chunks())
-        for batch in left.to_batches(4096):
-            held = _keep_best(held, batch.column("chunk_id").to_numpy(zero_copy_only=False), _similarities(_rows_of(batch.column("embedding")), matrix, "cosine"), k)
-        return pa.Table.from_batches([_flat(names, held)])
+        names = right["query_id"].to_pylist()
+        matrix, best = _rows_of(right["embedding"].combine_chunks()), _Best(len(names), k)
+        for batch in left.to_batches(max(1, min(4096, CELLS // len(names)))):
+            best.add(_ids(batch.column("chunk_id")), _similarities(_rows_of(batch.column("embedding")), matrix, "cosine"))
+        return pa.Table.from_batches(list(best.rows(names)))
 
     found = rows.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(meet, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
     return merge_top(found, k)
