@@ -20,7 +20,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, exact Jaccard similarity of 0.8 or more."""
+    """One document of each group stays: five-word shingles, pairs by the SimHash trie join and by least hashes, exact Jaccard similarity of 0.8 or more."""
     return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 

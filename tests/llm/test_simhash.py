@@ -219,3 +219,12 @@ def test_shingle_sets_are_sorted_distinct_hashes(text):
     words = (text or b"").lower().split()
     runs = {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
     assert jaccard.hashed(text, 5).tolist() == sorted(xxhash.xxh64_intdigest(r) for r in runs)
+
+
+def test_direct_links_are_pairs_within_the_budget(spark):
+    """A chain of fingerprints one bit apart: members and roots differ in many bits, direct links in no more than the budget, and they span the chain."""
+    prints = [(1 << n) - 1 for n in range(0, 60, 3)]
+    distinct = spark.createDataFrame(list(enumerate(prints)), "id bigint, fp bigint")
+    found = {(r.a, r.b) for r in S.links(distinct, Shelf(spark, "direct"), 4, direct=True).collect()}
+    assert all((prints[a] ^ prints[b]).bit_count() <= 4 for a, b in found)
+    assert {tuple(sorted(p)) for p in found} == {(n, n + 1) for n in range(19)}

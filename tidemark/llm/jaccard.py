@@ -129,19 +129,23 @@ def hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "id bigint, hashes array<bigint>")
 
 
-def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, similarity: float) -> DataFrame:
-    """(id, root) of every class of more than itself but the roots. sets: id, text, size, bits, parities, keys; classes: ids of one row of each class; both stored."""
+def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, similarity: float, given: DataFrame | None = None) -> DataFrame:
+    """(id, root) of every class of more than itself but the roots. sets: id, text, size, bits, parities, keys; classes: ids of one row of each class; given: pairs (a, b) of
+    classes to try first; all stored."""
     placed = sets.select("id", "keys").join(classes, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = shelf.put(placed.join(shared, "key"), "met")
     buckets = shelf.put(met.join(met.groupBy("id").agg(F.sum("n").alias("central")), "id").select("key", "id", "central"), "buckets")
-    held = shelf.put(buckets.select("id").distinct(), "held")
+    ids = buckets.select("id")
+    if given is not None:
+        ids = ids.unionByName(given.select(F.col("a").alias("id"))).unionByName(given.select(F.col("b").alias("id")))
+    held = shelf.put(ids.distinct(), "held")
     own = shelf.put(sets.join(small(held), "id", "left_semi").select("id", "text", "size", "keys", *_BITS, *_ODD), "own")
     facts, names = own.drop("text"), ["size", *_BITS, *_ODD]
     hashes = shelf.put(hash_sets(own, shingle), "hashes")
     known = None  # (id, root) by the links so far
 
-    def tries(pairs: DataFrame, n: int) -> int:
+    def tries(pairs: DataFrame, n: int | str) -> int:
         """Tries pairs (a, b) and joins the components of those that link; gives the number of links."""
         nonlocal known
         links = shelf.put(similar(shelf.put(pairs, f"pairs-{n}"), hashes, similarity), f"links-{n}")
@@ -166,6 +170,12 @@ def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, simil
             F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
         return rows.join(several, "key")
 
+    def allowed(pairs: DataFrame) -> DataFrame:
+        x, y = (facts.select(F.col("id").alias(c), F.struct(*names).alias(t)) for c, t in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").filter(likely(similarity)).select("a", "b")
+
+    if given is not None:
+        tries(allowed(given), "given")
     for n in range(HUBS):
         open_ = shelf.put(with_roots(buckets), f"open-{n}")
         rest = open_ if n == 0 else open_.filter("root <> main")
@@ -174,8 +184,7 @@ def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, simil
             return known if known is not None else _none(sets)
         hubs = rest.groupBy("key").agg(F.max_by(F.struct("id", "root"), F.struct("central", -F.col("id"))).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.root").alias("its"))
         pairs = rest.join(hubs, "key").filter("root <> its").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        x, y = (facts.select(F.col("id").alias(c), F.struct(*names).alias(t)) for c, t in (("a", "x"), ("b", "y")))
-        found = tries(pairs.join(x, "a").join(y, "b").filter(likely(similarity)).select("a", "b"), n)
+        found = tries(allowed(pairs), n)
         if 20 * found < left:
             break
     open_ = shelf.put(with_roots(buckets), "open")

@@ -14,8 +14,8 @@ the budget. A pair of nodes that still has too many fingerprints is cut into blo
 A task keeps its node pairs on a stack in blocks of bounded size, drops pairs of nodes whose fingerprints are linked already, and gives
 a spanning forest of the links that it finds, never all pairs. Components over the forests of all tasks are found by alternating large and small stars in Spark.
 
-With ``similarity`` near_duplicates asks the texts instead: a link is an exact Jaccard similarity of two sets of shingles (see jaccard.py). links() alone
-takes it as an estimate: a link must also agree in 256 bits, the fingerprint and three more of the same shingles, about as often as two texts of that similarity do.
+With ``similarity`` near_duplicates and representatives ask the texts too: the trie join proposes pairs, and a link is an exact Jaccard similarity of two sets of
+shingles; least hashes find those that differ in more bits (see jaccard.py). links() alone takes it as an estimate: a link must also agree in 256 bits, the fingerprint and three more of the same shingles, about as often as two texts of that similarity do.
 
 Nulls and edges: null and wordless texts have fingerprint zero and are linked like any other; a null doc_id never
 names a component unless it has no other; repeated rows are linked; an empty table gives no rows. Other columns are ignored.
@@ -136,6 +136,7 @@ class _Forest:
     def __init__(self, n: int):
         self.parent = np.arange(n)
         self.changes = np.arange(n)
+        self.links = [np.empty((0, 2), dtype=np.int64)]  # those that joined two trees
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         parent = self.parent
@@ -145,7 +146,11 @@ class _Forest:
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(parent, high, low)
+            hooked = np.flatnonzero(parent[high] == low)
+            first = hooked[np.unique(high[hooked], return_index=True)[1]]
+            self.links.append(np.stack([i[first], j[first]], axis=1))
             while not np.array_equal(above := parent[parent], parent):
                 parent[:] = above
             self.changes = np.concatenate(([0], np.cumsum(parent[1:] != parent[:-1])))
@@ -212,7 +217,7 @@ def _rotate(fp: np.ndarray, by: int) -> np.ndarray:
     return fp if by == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by))
 
 
-def _walk(batches, budget: int, depths: list[int], apart: int | None):
+def _walk(batches, budget: int, depths: list[int], apart: int | None, direct: bool = False):
     """Columns turn, node, mask, pair, side, id, key, further words; sorted by the first four. Whole groups are walked, many at once."""
     turns = rotations(budget)
     held: list[np.ndarray] = []
@@ -241,8 +246,12 @@ def _walk(batches, budget: int, depths: list[int], apart: int | None):
 
             forest = _Forest(len(keys))
             _join(keys, heads, depth_budget(budget, turns[turn][1]), linked, forest)
-            child = np.flatnonzero(forest.parent != np.arange(len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[child, 5]), pa.array(own[forest.parent[child], 5])], names=["a", "b"])
+            if direct:
+                a, b = np.concatenate(forest.links).T
+            else:
+                a = np.flatnonzero(forest.parent != np.arange(len(keys)))
+                b = forest.parent[a]
+            yield pa.RecordBatch.from_arrays([pa.array(own[a, 5]), pa.array(own[b, 5])], names=["a", "b"])
 
     for batch in batches:
         held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1))
@@ -257,8 +266,8 @@ def _walk(batches, budget: int, depths: list[int], apart: int | None):
         yield from links_of(np.concatenate(held))
 
 
-def links(distinct: DataFrame, shelf: Shelf, budget: int = 4, most: int = 1 << 15, similarity: float | None = None) -> DataFrame:
-    """(a, b): of all pairs of ids whose fingerprints link, a spanning forest per task. distinct: id, fp, further words; stored."""
+def links(distinct: DataFrame, shelf: Shelf, budget: int = 4, most: int = 1 << 15, similarity: float | None = None, direct: bool = False) -> DataFrame:
+    """(a, b): of all pairs of ids whose fingerprints link, a spanning forest per task, of roots and members or (direct) of pairs that link. distinct: id, fp, further words; stored."""
     turns, names = rotations(budget), _words(SKETCH if similarity else 0)
     deeper = max(1, distinct.count() // most).bit_length() - 1
     depths = [min(BITS, max(widths[0], deeper)) for _, widths in turns]
@@ -291,7 +300,7 @@ def links(distinct: DataFrame, shelf: Shelf, budget: int = 4, most: int = 1 << 1
         last = F.when(alone, F.greatest("own", "other")).otherwise(F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
         work = cut.withColumn("pair", first * F.col("blocks") + last).withColumn("side", F.when(alone, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")))
     dealt = work.select("turn", "node", "mask", "pair", "side", "id", "key", *names[1:]).repartition("turn", "node", "mask", "pair")
-    return dealt.sortWithinPartitions("turn", "node", "mask", "pair").mapInArrow(lambda batches: _walk(batches, budget, depths, apart), "a bigint, b bigint")
+    return dealt.sortWithinPartitions("turn", "node", "mask", "pair").mapInArrow(lambda batches: _walk(batches, budget, depths, apart, direct), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, most: int = 1 << 15, similarity: float | None = None) -> DataFrame:
@@ -316,15 +325,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, most: in
     return marked.join(of, of.columns[0]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, shingle: int, similarity: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+def similar_groups(docs: DataFrame, shingle: int, similarity: float, shelf: Shelf, budget: int = 4) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` with their class (digest) and a number of their own (row), and per class its component (root) and least row.
 
+    The trie join of the fingerprints proposes first; its pairs link if the sets have the similarity. What lies beyond the budget of bits is then
+    looked for by least hashes.
+
     The least row is that of the smallest doc_id, rows without one last, then that of the smallest number.
     """
     marked = shelf.put(jaccard.marked(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "marks")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = shelf.put(marked.groupBy("digest").agg(F.min("row").alias("id"), F.min(rank).alias("least")), "distinct")
-    roots = jaccard.roots(marked.withColumnRenamed("row", "id"), distinct.select("id"), shelf, shingle, similarity)
+    texts = marked.withColumnRenamed("row", "id")
+    firsts = texts.join(distinct.select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = shelf.put(fingerprints(firsts, shingle).withColumnRenamed("doc_id", "id"), "fingerprints")
+    joined = shelf.put(links(prints, shelf, budget, direct=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "joined")
+    roots = jaccard.roots(texts, distinct.select("id"), shelf, shingle, similarity, joined)
     return marked, shelf.put(distinct.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("root"), "least"), "classes")
 
 
