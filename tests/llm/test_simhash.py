@@ -228,3 +228,20 @@ def test_direct_links_are_pairs_within_the_budget(spark):
     found = {(r.a, r.b) for r in S.links(distinct, Shelf(spark, "direct"), 4, direct=True).collect()}
     assert all((prints[a] ^ prints[b]).bit_count() <= 4 for a, b in found)
     assert {tuple(sorted(p)) for p in found} == {(n, n + 1) for n in range(19)}
+
+
+def test_near_copies_go_through_the_trie_join(documents, monkeypatch):
+    """What the trie join proposes is what is tried first; texts that differ in more bits are still found."""
+    words = [f"word{n}" for n in range(300)]
+    near, far = [*words], [*words]
+    near[0] = "x"
+    far[::70] = ["y"] * len(far[::70])
+    rows = documents([(n, " ".join(w), "en", "s") for n, w in enumerate((words, near, far, words[::-1]))])
+    given, real = [], jaccard.roots
+
+    def roots(*args):
+        given.extend(tuple(r) for r in args[5].collect())
+        return real(*args)
+    monkeypatch.setattr(jaccard, "roots", roots)
+    kept = {r.doc_id for r in S.representatives(rows, 5, 0.8).collect()}
+    assert len(given) == 1 and kept == {0, 3}
