@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -245,3 +246,37 @@ def test_near_copies_go_through_the_trie_join(documents, monkeypatch):
     monkeypatch.setattr(jaccard, "roots", roots)
     kept = {r.doc_id for r in S.representatives(rows, 5, 0.8).collect()}
     assert len(given) == 1 and kept == {0, 3}
+
+
+def test_no_text_is_shuffled_for_near_copies(documents, odd_rows, monkeypatch):
+    """Fingerprints are made where the texts are read: no stored table of the run has a text in a shuffle."""
+    shuffled, real = [], Shelf.put
+
+    def put(self, df, label, *rest):
+        plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        shuffled.extend((label, given) for given in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan))
+        return real(self, df, label, *rest)
+    monkeypatch.setattr(Shelf, "put", put)
+    rows = documents([r for r in odd_rows if r[0] is not None])
+    conf, name = rows.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        assert S.representatives(rows, 5, 0.8).count() > 0
+    finally:
+        conf.set(name, before)
+    assert shuffled and not [x for x in shuffled if "text#" in x[1]]
+
+
+def test_sets_meet_in_pairs_with_and_without_a_broadcast(spark, monkeypatch):
+    """Both routes give the same pairs; with a broadcast only the sets of pairs are shuffled."""
+    sets = spark.createDataFrame([(n, list(range(n, n + 40 + n % 3))) for n in range(30)], "id bigint, hashes array<bigint>")
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(a + 1, min(30, a + 9))], "a bigint, b bigint")
+    told = {(a, b) for a, b in ((r.a, r.b) for r in pairs.collect()) if _jaccard_of(set(range(a, a + 40 + a % 3)), set(range(b, b + 40 + b % 3))) >= 0.8}
+    near = {(r.a, r.b) for r in jaccard.similar(pairs, sets, 0.8).collect()}
+    monkeypatch.setattr(jaccard, "small", lambda df: df)
+    assert near == told == {(r.a, r.b) for r in jaccard.similar(pairs, sets, 0.8).collect()} and told
+
+
+def _jaccard_of(x, y):
+    return len(x & y) / len(x | y)

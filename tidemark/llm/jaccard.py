@@ -22,6 +22,7 @@ results. Long texts are read whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -72,22 +73,22 @@ def marks(text: bytes | None, shingle: int) -> tuple[bytes, int, np.ndarray, np.
     return xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), bits, odd, keys
 
 
-def marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """The columns of ``docs`` (text as bytes) and digest, size, bits0 to bits3, odd0 to odd7, keys of each text's set."""
+def marked(docs: DataFrame, shingle: int, fingerprint: Callable[[bytes | None], int]) -> DataFrame:
+    """The columns of ``docs`` (text as bytes) and digest, size, bits0 to bits3, odd0 to odd7, keys of each text's set and fp, its unsigned ``fingerprint`` as a signed number."""
     given = docs.withColumn("text", F.col("text").cast("binary"))
-    at, names = given.columns.index("text"), [*given.columns, "digest", "size", *_BITS, *_ODD, "keys"]
+    at, names = given.columns.index("text"), [*given.columns, "digest", "size", *_BITS, *_ODD, "keys", "fp"]
 
     def rows(batches):
         for batch in (whole.slice(n, SLICE) for whole in batches for n in range(0, whole.num_rows, SLICE)):
-            found = [marks(t.as_py(), shingle) for t in batch.column(at)]
+            found = [(*marks(t.as_py(), shingle), fingerprint(t.as_py())) for t in batch.column(at)]
             words = np.array([np.concatenate(f[2:4]) for f in found], np.int64).reshape(len(found), -1)
             keys = np.array([f[4] for f in found], np.uint64).view(np.int64).reshape(-1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), *(pa.array(words[:, n].copy()) for n in range(len(_BITS) + len(_ODD))),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys))], names=names)
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys)), pa.array(np.array([f[5] for f in found], np.uint64).view(np.int64))], names=names)
 
     given_types = ", ".join(f"{c} {kind}" for c, kind in given.dtypes)
-    return given.mapInArrow(rows, f"{given_types}, digest binary, size int, " + ", ".join(f"{b} bigint" for b in [*_BITS, *_ODD]) + ", keys array<bigint>")
+    return given.mapInArrow(rows, f"{given_types}, digest binary, size int, " + ", ".join(f"{b} bigint" for b in [*_BITS, *_ODD]) + ", keys array<bigint>, fp bigint")
 
 
 def bits_apart(similarity: float) -> int:
@@ -106,7 +107,10 @@ def likely(similarity: float) -> Column:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have this Jaccard similarity or more. sets: id, hashes (sorted)."""
+    """The pairs (a, b) whose sets have this Jaccard similarity or more. pairs: distinct; sets: id, hashes (sorted); both stored.
+
+    While the pairs' counted size permits, they are broadcast to the sets: then only the sets of pairs are shuffled.
+    """
     def check(batches):
         for batch in batches:
             kept = []
@@ -116,7 +120,9 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 kept.append(both / max(1, len(x) + len(y) - both) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    whole = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_a")), "a")
+    told = small(pairs)
+    x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"_{c}")) for c in ("a", "b"))
+    whole = pairs.join(y, "b").join(x, "a") if told is pairs else x.join(told, "a").join(y.join(told, "b"), ["a", "b"])
     return whole.select("a", "b", "_a", "_b").mapInArrow(check, "a bigint, b bigint")
 
 
@@ -149,6 +155,7 @@ def roots(sets: DataFrame, classes: DataFrame, shelf: Shelf, shingle: int, simil
         """Tries pairs (a, b) and joins the components of those that link; gives the number of links."""
         nonlocal known
         links = shelf.put(similar(shelf.put(pairs, f"pairs-{n}"), hashes, similarity), f"links-{n}")
+        shelf.drop(f"pairs-{n}")
         found = links.count()
         if found and known is None:
             known = shelf.put(components(links, shelf), f"known-{n}")

@@ -321,27 +321,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, most: in
         rows, of = similar_groups(docs.select("doc_id", "text"), shingle, similarity, shelf)
         least = of.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
         of = of.join(least, "root").select("digest", "component_id")
-        marked = fingerprints(rows.select(F.struct("doc_id", "digest").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle).select("doc_id.*", "fp")
+        marked = rows.select("doc_id", "digest", "fp")
     return marked.join(of, of.columns[0]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def similar_groups(docs: DataFrame, shingle: int, similarity: float, shelf: Shelf, budget: int = 4) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` with their class (digest) and a number of their own (row), and per class its component (root) and least row.
 
-    The trie join of the fingerprints proposes first; its pairs link if the sets have the similarity. What lies beyond the budget of bits is then
-    looked for by least hashes.
+    The fingerprints are made where the texts are read, so no text is shuffled for them. The trie join of the fingerprints proposes first; its pairs link if
+    the sets have the similarity. What lies beyond the budget of bits is then looked for by least hashes.
 
     The least row is that of the smallest doc_id, rows without one last, then that of the smallest number.
     """
-    marked = shelf.put(jaccard.marked(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "marks")
+    marked = shelf.put(jaccard.marked(docs, shingle, lambda text: fingerprint(text, shingle)[0]).withColumn("row", F.monotonically_increasing_id()), "marks")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    distinct = shelf.put(marked.groupBy("digest").agg(F.min("row").alias("id"), F.min(rank).alias("least")), "distinct")
-    texts = marked.withColumnRenamed("row", "id")
-    firsts = texts.join(distinct.select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = shelf.put(fingerprints(firsts, shingle).withColumnRenamed("doc_id", "id"), "fingerprints")
-    joined = shelf.put(links(prints, shelf, budget, direct=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "joined")
-    roots = jaccard.roots(texts, distinct.select("id"), shelf, shingle, similarity, joined)
-    return marked, shelf.put(distinct.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("root"), "least"), "classes")
+    distinct = shelf.put(marked.groupBy("digest").agg(F.min("row").alias("id"), F.min(rank).alias("least"), F.min_by("fp", "row").alias("fp")), "distinct")
+    joined = shelf.put(links(distinct.select("id", "fp"), shelf, budget, direct=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "joined")
+    own = Shelf(docs.sparkSession, "jaccard")
+    roots = jaccard.roots(marked.withColumnRenamed("row", "id"), distinct.select("id"), own, shingle, similarity, joined)
+    classes = shelf.put(distinct.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("root"), "least"), "classes")
+    own.drop("")  # what the trials stored; the rows themselves are read on
+    return marked, classes
 
 
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
