@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import metrics as M
-from tidemark.functions.hashing import uniform
 from tidemark.operators.ordering import largest_group
 from tidemark.session import cut_lineage
 
@@ -41,6 +41,22 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
+def poisson_draw(key: Column, tag: Column) -> tuple[Column, Column]:
+    """The draw of ``poisson_weight`` of a uniform number in two columns: the digest's first eight digits, to be kept as ``_digits``, and the weight read from them.
+
+    A digest is made once and its digits are compared with the bounds as they are: u < bound is digits < ceil(bound * 2^32).
+    """
+    total, term, out = 0.0, 0.36787944117144233, F.lit(9)
+    bounds = []
+    for k in range(9):
+        total += term
+        bounds.append((k, f"{math.ceil(total * 4294967296.0):08x}"))
+        term /= k + 1
+    for k, bound in reversed(bounds):
+        out = F.when(F.col("_digits") < bound, k).otherwise(out)
+    return F.substring(F.md5(F.concat_ws("#", key.cast("string"), tag)), 1, 8), out
+
+
 @F.pandas_udf(T.LongType())
 def _poisson(n: pd.Series, tag: pd.Series) -> pd.Series:
     """Poisson(n) draw per row, seeded by its tag: the sum of n Poisson(1) weights."""
@@ -59,8 +75,11 @@ def replicate_counts(df: DataFrame, key: str, preds: list[str], truth: str = "an
     replicate = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate")
     if method == "rows":
         tag = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"))
-        draws = df.select(key, truth, *preds, replicate)
-        cells = draws.withColumn("_w", poisson_weight(uniform(F.col(key), tag))).groupBy("replicate", truth, *preds).agg(
+        digits, weight = poisson_draw(F.col(key), tag)
+        # a row makes n_boot draws: a table in a few files is dealt to all cores before that
+        dealt = df.select(key, truth, *preds).repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+        draws = dealt.select(key, truth, *preds, replicate)
+        cells = draws.withColumn("_digits", digits).withColumn("_w", weight).groupBy("replicate", truth, *preds).agg(
             F.sum("_w").alias("_w"))
     else:
         counted = df.groupBy(truth, *preds).agg(F.count(F.lit(1)).alias("_n"))
