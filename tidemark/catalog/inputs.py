@@ -7,10 +7,11 @@ of its channel; such labels check the plumbing, not detection quality.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
-from tidemark.operators.features import derived, moments, segment_features, window_features
+from tidemark.operators.features import derived, moments, segment_features, step_features, with_steps
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.sampling import stratified_split
 from tidemark.schema import FEATURES, PEAK_FEATURES
@@ -141,10 +142,13 @@ peaks AS (SELECT segment, coalesce(sum(c) FILTER (s = 'n_peaks'), 0)::BIGINT AS
 
 
 def plain_features(points: DataFrame) -> DataFrame:
-    """Features without peak counts: one moment aggregate and one window pass over bounded segments."""
-    stats = moments(points, ["channel", "segment"], [F.max("value").alias("top")])
-    order = window_features(points, ["channel", "segment"])
-    return derived(stats.join(order, ["channel", "segment"]))
+    """Features without peak counts: the points are dealt out and ordered once for the window pass, and the moments are taken where they then lie."""
+    keys = ["channel", "segment"]
+    named = points.filter(F.col("channel").isNotNull() & F.col("segment").isNotNull())
+    first = F.row_number().over(W.partitionBy(*keys).orderBy("timestamp", "seq")) == 1
+    # read from the first point as it lies: the least (timestamp, seq) by an aggregate would keep rows from being hashed
+    stepped = with_steps(named, keys).withColumn("_sampling", F.when(first, F.col("sampling"))).drop("sampling")
+    return derived(moments(stepped, keys, [F.max("_sampling").alias("sampling"), F.max("value").alias("top"), *step_features()]))
 
 
 def labelled(features: DataFrame, largest: int | None = None) -> DataFrame:
@@ -164,8 +168,10 @@ labelled AS (SELECT t.* EXCLUDE (_u), CASE WHEN train = 0 THEN 'test' WHEN _u <=
 def item_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Item segments with all 18 features, label and split."""
     points = item_points(spark, sf)
-    peaks = segment_features(points).select("channel", "segment", *PEAK_FEATURES)
-    return labelled(cut_lineage(plain_features(points).join(peaks, ["channel", "segment"])))
+    plain = cut_lineage(plain_features(points))
+    longest = plain.agg(F.max("len")).first()[0] or 0
+    peaks = segment_features(points, longest=longest).select("channel", "segment", *PEAK_FEATURES)
+    return labelled(cut_lineage(plain.join(peaks, ["channel", "segment"])))
 
 
 WHOLE_SQL = f"{PLAIN_SQL}, {PEAKS_SQL}, whole AS (SELECT * FROM plain JOIN peaks USING (segment))"

@@ -195,8 +195,8 @@ def feature_vector(columns: list[str] | None = None) -> Column:
     return F.array(*[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns or FEATURES])
 
 
-def window_features(points: DataFrame, keys: list[str]) -> DataFrame:
-    """gaps_squared, diff_var and diff2_var by window functions only; for bounded segments and as a cross-check."""
+def with_steps(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points with the gap to the one before (``_gap``) and the first and second differences (``_d1``, ``_d2``), by window functions only."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy(*keys).orderBy("timestamp", "seq")
@@ -205,12 +205,20 @@ def window_features(points: DataFrame, keys: list[str]) -> DataFrame:
         points.withColumn("_gap", gap)
         .withColumn("_d1", F.col("value") - F.lag("value").over(w))
         .withColumn("_d2", F.col("_d1") - F.lag("_d1").over(w))
-        .groupBy(*keys)
-        .agg(F.coalesce(F.sum(F.pow(seconds_of_day(F.col("_gap")), 2)), F.lit(0.0)).alias("gaps_squared"),
-             F.var_pop("_d1").alias("diff_var"), F.var_pop("_d2").alias("diff2_var"))
     )
 
 
+def step_features() -> list[Column]:
+    """gaps_squared, diff_var and diff2_var as aggregates over ``with_steps``."""
+    return [F.coalesce(F.sum(F.pow(seconds_of_day(F.col("_gap")), 2)), F.lit(0.0)).alias("gaps_squared"),
+            F.var_pop("_d1").alias("diff_var"), F.var_pop("_d2").alias("diff2_var")]
+
+
+def window_features(points: DataFrame, keys: list[str]) -> DataFrame:
+    """gaps_squared, diff_var and diff2_var by window functions only; for bounded segments and as a cross-check."""
+    return with_steps(points, keys).groupBy(*keys).agg(*step_features())
+
+
 # Features kept in a summary, and the limits of the shape classes.
 SUMMARY_KEYS = ["n_peaks", "smooth10_n_peaks", "kurtosis", "skew", "diff_peaks", "diff2_peaks", "std", "var", "len"]
 SPIKES_MIN_PEAKS = 3
