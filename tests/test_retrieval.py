@@ -295,3 +295,30 @@ def test_bm25_shuffles_no_scores(spark):
     c = corpus(spark, [(i, f"the pump number {i} and word{i % 3}", "a", 1) for i in range(30)])
     plan = R.bm25(c, spark.createDataFrame([(1, "the pump word1")], "query_id long, text string"))._jdf.queryExecution().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "query_id" in line]
+
+
+def test_best_chunks_of_query_blocks_equal_all_scores(monkeypatch):
+    """Common tokens by matrix, others pair by pair, chunks that are alike: the best of the exact scores, whatever the blocks and slices; no more is held than the best."""
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    words, share = [f"w{i}" for i in range(300)], 1.0 / np.arange(1, 301)
+    docs = [sorted(set(rng.choice(words, 25, p=share / share.sum()).tolist())) for _ in range(260)]
+    docs[200:230] = docs[:30]
+    tfs = [[1 + len(t) * i % 3 for i, _ in enumerate(t)] for t in docs]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, at + 130)), pa.array([sum(t) for t in tfs[at:at + 130]], pa.int64()), pa.array(docs[at:at + 130], pa.list_(pa.string())),
+                                           pa.array(tfs[at:at + 130], pa.list_(pa.int32()))], names=["chunk_id", "doc_len", "tokens", "tfs"]) for at in (0, 130)]
+    asked = [(q, w, 0.3 + len(w) * 0.17 + words.index(w) / 90) for q in range(40) for w in rng.choice(words, 9, replace=False, p=share / share.sum()).tolist()]
+    names, weights = R._by_token(*map(list, zip(*asked)))
+    totals = np.round(np.concatenate([t for _, t in R._totals(iter(batches), weights, len(names), 40.0, 1.5, 0.75, 10**6)]), 9)
+    want = [(q, int(i)) for j, q in enumerate(names) for i in np.lexsort((np.arange(260), -totals[:, j]))[:5] if totals[i, j] > 0]
+    held, real = [], R._Best.take
+    monkeypatch.setattr(R._Best, "take", lambda self, *a: (real(self, *a), held.append(self.queries)))
+    for block, cells, common in ((7, 700, 1024), (4096, 4_000_000, 1024), (40, 4000, 0), (40, 10**6, 3)):
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        monkeypatch.setattr(R, "CELLS", cells)
+        monkeypatch.setattr(R, "COMMON", common)
+        got = [r for b in R._best_chunks(iter(batches), weights, names, 40.0, 5, 1.5, 0.75) for r in b.to_pylist()]
+        assert [(r["query_id"], r["chunk_id"]) for r in got] == want
+        assert [r["score"] for r in got] == pytest.approx([totals[i, names.index(q)] for q, i in want])
+        assert max(held) <= block
+        held.clear()

@@ -65,7 +65,9 @@ def low_quality(text: Column, min_chars: int = MIN_CHARS, max_junk: float = MAX_
     scraps = F.lit(False)
     for s in HEADER_SCRAPS:
         scraps = scraps | F.contains(F.lower(bare), F.lit(s))
-    return (F.length(bare) == 0) | (effective_length(bare) < min_chars) | (junk_ratio(bare) > max_junk) | scraps
+    # characters are counted by kind only where their number leaves it open
+    short = (F.length(bare) < min_chars) & (effective_length(bare) < min_chars)
+    return (F.length(bare) == 0) | short | (junk_ratio(bare) > max_junk) | scraps
 
 
 def token_cost(text: Column) -> Column:

@@ -7,7 +7,6 @@ The batch of queries is the small side; it is broadcast only after its size was
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,14 @@ RRF_K = 60
 LOW_CONFIDENCE = 0.45
 
 MAX_BROADCAST_TERMS = 1_000_000
-TERM_BLOCK = 200_000
+#: Weights of query tokens in a broadcast (16 bytes each).
+TERM_BLOCK = 4_000_000
 #: Scores held at once, and chunks of a part of the index.
 CELLS, PART_CHUNKS = 4_000_000, 20_000
 QUERY_BLOCK = 4096
+#: Tokens multiplied as a matrix at most, the share of (chunk, query) pairs from which a token is, and the relative error allowed to such sums
+#: (single precision over that many tokens stays below it).
+COMMON, COMMON_SHARE, MARGIN = 1024, 0.002, 2e-4
 #: Chunks whose tokens a worker counts at once.
 SLICE = 512
 TERM_SALTS = 64
@@ -132,10 +135,14 @@ def chunk_terms(chunks: DataFrame, text: str = "content") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
-            tokens = [Counter(t or ()) for t in batch.column(1).to_pylist()]
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(1).flatten().dictionary_encode()
+            kinds = max(1, len(flat.dictionary))
+            found, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * kinds + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            edges = pa.array(np.searchsorted(found, np.arange(len(lengths) + 1) * kinds), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([sum(c.values()) for c in tokens], pa.int64()), pa.array([list(c) for c in tokens], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in tokens], pa.list_(pa.int32()))], names=["chunk_id", "doc_len", "tokens", "tfs"])
+                [batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(edges, flat.dictionary.take(pa.array(found % kinds)).cast(pa.string())),
+                 pa.ListArray.from_arrays(edges, pa.array(times, pa.int32()))], names=["chunk_id", "doc_len", "tokens", "tfs"])
 
     return chunks.select("chunk_id", X.tokens(F.col(text)).alias("tokens")).mapInArrow(
         count, f"chunk_id {kind}, doc_len bigint, tokens array<string>, tfs array<int>")
@@ -160,7 +167,11 @@ class _Best:
             self.low = np.maximum(self.low, np.partition(scores, at, axis=1)[:, at])
             fits = scores >= self.low[:, None]
         query, row = np.nonzero(fits)
-        self.held.append((query, ids[row], scores[query, row]))
+        self.take(query, ids[row], scores[query, row])
+
+    def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Some scores, each with its query and id."""
+        self.held.append((query, ids, scores))
         self.size += len(query)
         if self.size > 8 * self.n * max(1, self.queries):
             self._cut()
@@ -193,6 +204,17 @@ def _id_ranks(ids: np.ndarray) -> np.ndarray:
     return np.array([order[v] for v in ids.tolist()], dtype=np.int64)
 
 
+def _entries(batch: pa.RecordBatch, known: pa.Array, avg_len: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the token and share of its weight, for the known tokens of the chunks of a batch: id, length or lengths by token, tokens, tfs."""
+    ids, lengths, tokens, tfs = batch.columns[:4]
+    of = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    token = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+    met = np.flatnonzero(token >= 0)
+    of, token, tf = of[met], token[met], tfs.flatten().to_numpy(zero_copy_only=False)[met]
+    length = lengths.flatten().to_numpy(zero_copy_only=False)[met] if pa.types.is_list(lengths.type) else lengths.to_numpy(zero_copy_only=False)[of]
+    return of, token, tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / avg_len)) if len(met) else np.empty(0)
+
+
 def _totals(batches: Iterator[pa.RecordBatch], weights: dict, queries: int, avg_len: float, k1: float, b: float, cells: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Slices of the chunks that come by as ids and scores (rows x queries, at most ``cells`` or one row). Batches: id, length or lengths by token, tokens, tfs.
 
@@ -201,13 +223,8 @@ def _totals(batches: Iterator[pa.RecordBatch], weights: dict, queries: int, avg_
     known = sorted(weights)
     rows = max(1, cells // max(1, queries))
     for batch in batches:
-        ids, lengths, tokens, tfs = batch.columns[:4]
-        of = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        token = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(known, pa.string())), -1).to_numpy(zero_copy_only=False)
-        met = np.flatnonzero(token >= 0)
-        of, token, tf = of[met], token[met], tfs.flatten().to_numpy(zero_copy_only=False)[met]
-        length = lengths.flatten().to_numpy(zero_copy_only=False)[met] if pa.types.is_list(lengths.type) else lengths.to_numpy(zero_copy_only=False)[of]
-        part = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / avg_len)) if len(met) else np.empty(0)
+        ids = batch.column(0)
+        of, token, part = _entries(batch, pa.array(known, pa.string()), avg_len, k1, b)
         for at in range(0, len(ids), rows):
             lo, hi = np.searchsorted(of, [at, at + rows])
             totals = np.zeros((min(rows, len(ids) - at), queries))
@@ -223,6 +240,104 @@ def _totals(batches: Iterator[pa.RecordBatch], weights: dict, queries: int, avg_
             yield ids.slice(at, rows), totals
 
 
+class _Block:
+    """The best n chunks of a block of queries (places ``lo`` to ``hi``) among the batches that come by.
+
+    All pairs are scored in single precision, common tokens as a matrix product and the others pair by pair. That sum only says which pairs may be
+    among the best n, with a margin for its error; those are scored again in double precision, in the order of the tokens.
+    """
+
+    def __init__(self, lo: int, hi: int, token: np.ndarray, place: np.ndarray, weight: np.ndarray, tokens: int, n: int):
+        here = np.flatnonzero((place >= lo) & (place < hi))
+        token, self.place, self.weight = token[here], place[here] - lo, weight[here]
+        self.lo, self.queries, self.tokens, self.n = lo, hi - lo, tokens, n
+        self.starts = np.searchsorted(token, np.arange(tokens + 1))
+        order = np.argsort(self.place, kind="stable")
+        self.own, self.own_weight = token[order], self.weight[order]
+        self.own_starts = np.searchsorted(self.place[order], np.arange(self.queries + 1))
+        self.best = _Best(self.queries, n, 10.0 ** -PLACES)
+
+    def read(self, ids: pa.Array, of: np.ndarray, token: np.ndarray, part: np.ndarray) -> None:
+        asked = np.diff(self.starts)
+        use = np.flatnonzero(asked[token])
+        of, token, part = of[use], token[use], part[use]
+        met = np.bincount(token, minlength=self.tokens) * asked
+        common = np.flatnonzero(met > COMMON_SHARE * len(ids) * self.queries)
+        common = common[np.argsort(-met[common], kind="stable")][:max(0, min(COMMON, CELLS // self.queries))]
+        column = np.full(self.tokens, -1)
+        column[common] = np.arange(len(common))
+        of_weight = np.repeat(column, asked)
+        inside = of_weight >= 0
+        matrix = np.zeros((len(common), self.queries), np.float32)
+        np.add.at(matrix, (of_weight[inside], self.place[inside]), self.weight[inside].astype(np.float32))
+        rows = max(1, min(CELLS // self.queries, CELLS // max(1, len(common))))
+        held = []
+        for at in range(0, len(ids), rows):
+            lo, hi = np.searchsorted(of, [at, at + rows])
+            held.append(self._near(at, self._sums(min(rows, len(ids) - at), of[lo:hi] - at, token[lo:hi], part[lo:hi], column, matrix, asked)))
+        row, query, near = (np.concatenate(c) for c in zip(*held))
+        keep = self._first(query, near)
+        self._exact(ids, row[keep], query[keep], of, token, part)
+
+    def _sums(self, rows: int, of: np.ndarray, token: np.ndarray, part: np.ndarray, column: np.ndarray, matrix: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        at = column[token]
+        shares = np.zeros((rows, len(matrix)), np.float32)
+        np.add.at(shares, (of[at >= 0], at[at >= 0]), part[at >= 0].astype(np.float32))
+        totals = shares @ matrix if len(matrix) else np.zeros((rows, self.queries), np.float32)
+        of, token, part = of[at < 0], token[at < 0], part[at < 0].astype(np.float32)
+        ends, flat = np.cumsum(asked[token]), totals.reshape(-1)
+        x = 0
+        while x < len(of):  # as many pairs at once as there may be scores
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + CELLS, "right")))
+            times = asked[token[x:y]]
+            entry = np.repeat(np.arange(x, y), times)
+            of_query = np.arange(len(entry)) + np.repeat(self.starts[token[x:y]] - (np.cumsum(times) - times), times)
+            np.add.at(flat, of[entry] * self.queries + self.place[of_query], part[entry] * self.weight[of_query].astype(np.float32))
+            x = y
+        return totals
+
+    def _near(self, at: int, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, queries and sums that may be among the best."""
+        fits = totals >= (self.best.low * (1.0 - MARGIN)).astype(np.float32)
+        if len(totals) > self.n and np.count_nonzero(fits) > 2 * self.n * self.queries:
+            last = np.partition(totals, len(totals) - self.n, axis=0)[len(totals) - self.n]
+            self._raise(np.arange(self.queries), last)
+            fits = totals >= (self.best.low * (1.0 - MARGIN)).astype(np.float32)
+        row, query = np.nonzero(fits)
+        return row + at, query, totals[row, query]
+
+    def _raise(self, query: np.ndarray, nth: np.ndarray) -> None:
+        """n scores of these queries are at least so high, but for the margin and the rounding."""
+        self.best.low[query] = np.maximum(self.best.low[query], nth.astype(float) * (1.0 - MARGIN) - 10.0 ** -PLACES)
+
+    def _first(self, query: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Of all that was held, what may still be among the best n."""
+        order = np.lexsort((-near, query))
+        starts = np.searchsorted(query[order], np.arange(self.queries))
+        last = order[np.arange(len(query)) - starts[query[order]] == self.n - 1]
+        self._raise(query[last], near[last])
+        return np.flatnonzero(near >= (self.best.low * (1.0 - MARGIN)).astype(np.float32)[query])
+
+    def _exact(self, ids: pa.Array, row: np.ndarray, query: np.ndarray, of: np.ndarray, token: np.ndarray, part: np.ndarray) -> None:
+        order = np.argsort(row, kind="stable")
+        row, query = row[order], query[order]
+        scores, shares = np.empty(len(row)), np.full(self.tokens, 0.0)
+        here, edges = np.unique(row, return_index=True)
+        los, his = np.searchsorted(of, here), np.searchsorted(of, here, "right")
+        for lo, hi, x, y in zip(los.tolist(), his.tolist(), edges.tolist(), [*edges[1:].tolist(), len(row)]):
+            np.add.at(shares, token[lo:hi], part[lo:hi])
+            first, times = self.own_starts[query[x:y]], self.own_starts[query[x:y] + 1] - self.own_starts[query[x:y]]
+            begins = np.cumsum(times) - times
+            at = np.arange(times.sum()) + np.repeat(first - begins, times)
+            scores[x:y] = np.add.reduceat(shares[self.own[at]] * self.own_weight[at], begins)
+            shares[token[lo:hi]] = 0.0
+        scores = np.round(scores, PLACES)
+        keep = np.flatnonzero(scores >= self.best.low[query])
+        if len(keep):
+            self.best.take(query[keep], _ids(ids.take(pa.array(row[keep]))), scores[keep])
+            self.best._cut()
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     """Ids as they are, missing ones as None."""
     return np.array(column.to_pylist(), dtype=object if column.null_count else None)
@@ -231,29 +346,39 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _best_chunks(batches: Iterator[pa.RecordBatch], weights: dict, names: list, avg_len: float, n: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """The best n chunks of every query among those that come by; weights: token to places of queries and their weights.
 
-    Scores of a slice of chunks are held for all queries at once, in at most ``CELLS`` cells (or one chunk); only scores that may be among the best are ranked.
+    Queries are met block by block, and scores of a slice of chunks are held for a block in at most ``CELLS`` cells (or one chunk).
     """
-    best = _Best(len(names), n, 10.0 ** -PLACES)
-    for ids, totals in _totals(batches, weights, len(names), avg_len, k1, b, CELLS):
-        best.add(_ids(ids), np.round(totals, PLACES, out=totals).T)
-    yield from best.rows(names)
+    known = sorted(weights)
+    token = np.repeat(np.arange(len(known)), [len(weights[t][0]) for t in known]) if known else np.empty(0, int)
+    place, weight = (np.concatenate([weights[t][i] for t in known]) if known else np.empty(0, int) for i in (0, 1))
+    blocks = [_Block(at, min(at + QUERY_BLOCK, len(names)), token, place, weight, len(known), n) for at in range(0, len(names), QUERY_BLOCK)]
+    known = pa.array(known, pa.string())
+    for batch in batches:
+        if batch.num_rows:
+            entries = _entries(batch, known, avg_len, k1, b)
+            for block in blocks:
+                block.read(batch.column(0), *entries)
+    for block in blocks:
+        yield from block.best.rows(names[block.lo:block.lo + block.queries])
 
 
-def _by_token(queries: list, tokens: list, weights: list) -> tuple[list, dict]:
+def _by_token(queries: list | pa.Array, tokens: list | pa.Array, weights: list | pa.Array) -> tuple[list, dict]:
     """Query names in order, and per token the places of its queries and their weights."""
-    names = sorted(set(queries))
-    place, found = {q: i for i, q in enumerate(names)}, {}
-    for q, t, w in zip(queries, tokens, weights):
-        at = found.setdefault(t, ([], []))
-        at[0].append(place[q])
-        at[1].append(w)
-    return names, {t: (np.array(i), np.array(w)) for t, (i, w) in found.items()}
+    if not len(queries):
+        return [], {}
+    queries, tokens, weights = (c if isinstance(c, pa.Array) else pa.array(c) for c in (queries, tokens, weights))
+    names, known = sorted(queries.unique().to_pylist()), sorted(tokens.unique().to_pylist())
+    place = pc.index_in(queries, value_set=pa.array(names, queries.type)).to_numpy(zero_copy_only=False).astype(np.int64)
+    token = pc.index_in(tokens, value_set=pa.array(known, tokens.type)).to_numpy(zero_copy_only=False)
+    order = np.argsort(token, kind="stable")
+    edges, weight = np.searchsorted(token[order], np.arange(len(known) + 1)), weights.to_numpy(zero_copy_only=False)
+    return names, {t: (place[order[x:y]], weight[order[x:y]]) for t, x, y in zip(known, edges[:-1], edges[1:])}
 
 
 def keyword_top(terms_of: DataFrame, queries: DataFrame, n: int, k1: float = K1, b: float = B, distinct: bool = True) -> DataFrame:
     """The n best chunks of every query with score and rank, from the index by chunk.
 
-    Up to ``TERM_BLOCK`` weights of query tokens are broadcast, and a chunk is scored where it lies. More are never brought to the driver: queries are dealt to
+    Up to ``TERM_BLOCK`` weights of query tokens are broadcast as arrays, and a chunk is scored where it lies. More are never brought to the driver: queries are dealt to
     blocks by hash, the index to parts, and every part meets every block in a task. A task gives n rows per query, whatever it
     has read. Every (query, chunk) score exists only inside its task.
     """
@@ -271,9 +396,11 @@ def _in_tasks(index: DataFrame, weighed: DataFrame, n_chunks: int, work) -> Data
     """(query_id, chunk_id, score) that ``work`` finds for chunks (id, length, tokens, tfs) and the weights of query tokens, by broadcast or block by block."""
     kinds = dict(index.dtypes)["chunk_id"], dict(weighed.dtypes)["query_id"]
     schema = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double"
-    rows = weighed.limit(TERM_BLOCK + 1).collect()
-    if len(rows) <= TERM_BLOCK:
-        shared = index.sparkSession.sparkContext.broadcast(_by_token([r.query_id for r in rows], [r.token for r in rows], [r.weight for r in rows]))
+    weighed = cut_lineage(weighed)
+    n_weights = weighed.count()
+    if n_weights <= TERM_BLOCK:
+        rows = weighed.toArrow()
+        shared = index.sparkSession.sparkContext.broadcast(_by_token(*(rows[c].combine_chunks() for c in ("query_id", "token", "weight"))))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, weights = shared.value
@@ -282,11 +409,10 @@ def _in_tasks(index: DataFrame, weighed: DataFrame, n_chunks: int, work) -> Data
 
         return index.mapInArrow(local, schema)
 
-    weighed = cut_lineage(weighed)
-    blocks, parts = -(-weighed.count() // TERM_BLOCK), max(1, -(-n_chunks // PART_CHUNKS))
+    blocks, parts = -(-n_weights // TERM_BLOCK), max(1, -(-n_chunks // PART_CHUNKS))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, weights = _by_token(right["query_id"].to_pylist(), right["token"].to_pylist(), right["weight"].to_pylist())
+        names, weights = _by_token(*(right[c].combine_chunks() for c in ("query_id", "token", "weight")))
         found = list(work(left.select(["chunk_id", "doc_len", "tokens", "tfs"]).to_batches(), weights, names)) if names else []
         none = pa.table({"query_id": right["query_id"].slice(0, 0), "chunk_id": left["chunk_id"].slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.Table.from_batches([x.cast(none.schema) for x in found]) if found else none
