@@ -39,6 +39,16 @@ def corpus(spark, rows):
     return spark.createDataFrame(rows, "chunk_id long, content string, source_name string, priority int")
 
 
+def test_tokens_need_no_white_space_settled(spark):
+    """Tokens of a text as it is are those of the normalised text."""
+    texts = ["a\u3000b \u00a0 c\n\n\n\n d", "  ﬁne-ﬂow \t x_1 \n 3 . 5 3.5", "泵轴 \n 泵\u2003轴承", "\x1c\x85", "", None, "İx Ⅷ 9\u205f8"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = d.select("i", X.tokens(F.col("t")).alias("a"), X.tokens(X.normalise_space(F.col("t"))).alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    plan = d.select(X.tokens(F.col("t")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
 TEXTS = ["bearings of the feed pump are greased every forty hours and their play is written down by the crew on shift",
          "valve lift and valve seat wear decide how long the compressor can run before its next overhaul in the workshop"]
 

@@ -18,12 +18,17 @@ MIN_CHARS = 80
 MAX_JUNK = 0.55
 
 
-def normalise_space(text: Column) -> Column:
-    """Ligatures spelled out, runs of inline white space to one space, at most one empty line; NULL reads as empty."""
+def spelled_out(text: Column) -> Column:
+    """Without ligatures; NULL reads as empty."""
     out = F.coalesce(text, F.lit(""))
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, INLINE_SPACE + "+", " ")
+    return out
+
+
+def normalise_space(text: Column) -> Column:
+    """Ligatures spelled out, runs of inline white space to one space, at most one empty line; NULL reads as empty."""
+    out = F.regexp_replace(spelled_out(text), INLINE_SPACE + "+", " ")
     out = F.regexp_replace(out, " *\n *", "\n")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return F.btrim(out, F.lit(" \n"))
@@ -34,7 +39,10 @@ def strip(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Latin identifiers and numbers without trailing dashes, then the character pairs of every CJK run."""
+    """Latin identifiers and numbers without trailing dashes, then the character pairs of every CJK run.
+
+    Those of the normalised text: no token reaches over white space, so its kind and number need not be settled first.
+    """
     def cut(low: Column) -> Column:
         words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
         runs = F.regexp_extract_all(low, F.lit(CJK + "{2,}"), F.lit(0))
@@ -42,8 +50,8 @@ def tokens(text: Column) -> Column:
             F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
         return F.concat(words, pairs)
 
-    # bound as a lambda variable, so that the text is normalised once
-    return F.get(F.transform(F.array(F.lower(normalise_space(text))), cut), F.lit(0))
+    # bound as a lambda variable, so that the text is spelled out once
+    return F.get(F.transform(F.array(F.lower(spelled_out(text))), cut), F.lit(0))
 
 
 def cjk_count(text: Column) -> Column:
