@@ -49,6 +49,18 @@ def test_tokens_need_no_white_space_settled(spark):
     assert "regexp_replace" not in plan
 
 
+def test_diverse_makes_its_pool_once(spark):
+    from tidemark.operators.selection import select_diverse
+    pool = spark.createDataFrame([(q, i, 1.0 - i / 50, None if i == 7 else f"s{i % (q + 1)}") for q in range(3) for i in range(9)] + [(None, 1, 0.3, "s")],
+                                 "query_id long, chunk_id long, score double, source_name string")
+    got = {}
+    for r in select_diverse(pool, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r["rank"]))
+    assert got == {0: [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)], 1: [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)], 2: [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]}
+    plan = select_diverse(pool, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 TEXTS = ["bearings of the feed pump are greased every forty hours and their play is written down by the crew on shift",
          "valve lift and valve seat wear decide how long the compressor can run before its next overhaul in the workshop"]
 

@@ -89,10 +89,11 @@ def select_in_zone(pool: DataFrame, top_k: int = 5, rel_delta: float = REL_DELTA
 def select_diverse(pool: DataFrame, top_k: int = 5) -> DataFrame:
     """Older policy: at most max(2, k div sources + 1) per source, then the best k."""
     q = W.partitionBy("query_id")
-    sources = pool.groupBy("query_id").agg(F.countDistinct("source_name").alias("_sources"), F.count(F.lit(1)).alias("_n"))
+    # over the query's window, so that the pool is not made a second time
+    counted = pool.filter("query_id IS NOT NULL").withColumn("_sources", F.size(F.collect_set("source_name").over(q))).withColumn("_n", F.count(F.lit(1)).over(q))
     nth = F.row_number().over(W.partitionBy("query_id", "source_name").orderBy(F.col("score").desc(), "chunk_id"))
     cap = F.greatest(F.lit(2), F.floor(F.lit(top_k) / F.col("_sources")) + 1)
-    rows = pool.join(sources, "query_id").withColumn("_nth", nth).filter(
+    rows = counted.withColumn("_nth", nth).filter(
         (F.col("_n") <= top_k) | (F.col("_nth") <= cap))
     return rows.withColumn("rank", F.row_number().over(q.orderBy(F.col("score").desc(), "chunk_id"))).filter(
         F.col("rank") <= top_k).drop("_nth", "_sources", "_n")
