@@ -26,6 +26,7 @@ from tidemark.operators.quantiles import quantiles
 MIN_FIT = 10
 MIN_EVAL = 5
 MAX_BROADCAST_TREES = 20_000
+TABLE_ROWS, TABLE_WIDTH, TABLE_CELLS = 4096, 4, 1 << 17
 EULER = 0.5772156649015329
 TREE_TYPE = T.StructType([
     T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("split", T.ArrayType(T.DoubleType())),
@@ -107,22 +108,22 @@ def _samples(train: DataFrame, name: Column, vector: Column, key: str, trees: in
     # Every row may be drawn by every tree. A row leaves its task only for the trees in whose first lots it is: some more than
     # psi per tree, so that the psi smallest are among them but for a chance below 1e-9.
     enough = F.col("psi") + 6.0 * F.sqrt("psi") + 20.0
-    drawn = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: lot(t) * F.col("n") <= enough)
-    each = rows.join(sizes, "grp").select("grp", "key", "x", "psi", F.explode(drawn).alias("tree"))
-    each = each.withColumn("u", lot(F.col("tree"))).withColumn(
+    # The numbers are exploded before the lots are drawn: compiled code draws them, a lambda over an array is interpreted.
+    each = rows.join(sizes, "grp").select("grp", "key", "x", "psi", "n", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
+    each = each.filter(lot(F.col("tree")) * F.col("n") <= enough).drop("n").withColumn("u", lot(F.col("tree"))).withColumn(
         "_r", F.row_number().over(W.partitionBy("grp", "tree").orderBy("u", "key"))).filter(F.col("_r") <= F.col("psi"))
     return each.groupBy("grp", "tree").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))
 
 
-def fit_subsets(train: DataFrame, vector: Column, subsets: dict[str, list[int]], key: str = "segment", group: str | None = None,
-                trees: int = 100, psi: int = 128, seed: int = 42, min_fit: int = MIN_FIT) -> DataFrame:
-    """The forests that fit() gives rows repeated for every subset, named by subset, or by subset and group; subsets: name to places in the vector.
-
-    What a tree draws does not depend on its columns, so rows are drawn once for all subsets, and a task grows the trees of all subsets from a sample.
-    """
+def draws(train: DataFrame, vector: Column, key: str = "segment", group: str | None = None, trees: int = 100, psi: int = 128, seed: int = 42,
+          min_fit: int = MIN_FIT) -> DataFrame:
+    """(grp, tree, x): the vectors that tree t of every subset of columns is grown from; what a tree draws does not depend on its columns."""
     name = F.lit("") if group is None else F.coalesce(F.concat(F.lit("|"), F.col(group)), F.lit(""))
-    drawn = _samples(train, name, vector, key, trees, psi, seed, min_fit).select("grp", "tree", F.col("rows.x").alias("x"))
+    return _samples(train, name, vector, key, trees, psi, seed, min_fit).select("grp", "tree", F.col("rows.x").alias("x"))
+
 
+def grow_subsets(drawn: DataFrame, subsets: dict[str, list[int]], trees: int = 100, seed: int = 42) -> DataFrame:
+    """Forest table of every subset from the rows of draws(); a task grows the trees of all subsets from a sample."""
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_schema(schema)
         for batch in batches:
@@ -136,21 +137,90 @@ def fit_subsets(train: DataFrame, vector: Column, subsets: dict[str, list[int]],
     return drawn.repartition(max(trees, 1), "grp", "tree").mapInArrow(grown, schema)
 
 
+def fit_subsets(train: DataFrame, vector: Column, subsets: dict[str, list[int]], key: str = "segment", group: str | None = None,
+                trees: int = 100, psi: int = 128, seed: int = 42, min_fit: int = MIN_FIT) -> DataFrame:
+    """The forests that fit() gives rows repeated for every subset, named by subset, or by subset and group; subsets: name to places in the vector.
+
+    Rows are drawn once for all subsets.
+    """
+    return grow_subsets(draws(train, vector, key, group, trees, psi, seed, min_fit), subsets, trees, seed)
+
+
+def _walk(matrix: np.ndarray, tree: tuple, block: int = 8192) -> np.ndarray:
+    """Path length of each row in a tree, level by level; a leaf is its own child."""
+    feature, split, left, right, length, _ = tree
+    inner, own = feature >= 0, np.arange(len(feature))
+    asked = np.where(inner, feature, 0).astype(np.intp)
+    kids = np.stack([np.where(inner, right, own), np.where(inner, left, own)], axis=1).astype(np.intp).ravel()
+    level, depth = own[:1][inner[:1]], 0
+    while level.size:
+        level, depth = kids.reshape(-1, 2)[level].ravel(), depth + 1
+        level = level[inner[level]]
+    out = np.empty(len(matrix))
+    for first in range(0, len(matrix), block):  # a block stays in the processor's cache
+        part = matrix[first:first + block]
+        flat, start, at = part.ravel(), np.arange(len(part)) * part.shape[1], np.zeros(len(part), dtype=np.intp)
+        for _ in range(depth):
+            at = kids.take(2 * at + (flat.take(start + asked.take(at)) <= split.take(at)))
+        out[first:first + block] = length.take(at)
+    return out
+
+
+def _cells(tree: tuple, cuts: list[np.ndarray]) -> np.ndarray:
+    """Path lengths by bins of the features: bin i of a feature lies above i of the tree's cuts, a node fills the box of bins that come to it."""
+    feature, split, left, right, length, _ = (a.tolist() if isinstance(a, np.ndarray) else a for a in tree)
+    table = np.empty([len(c) + 1 for c in cuts])
+    places = [{c: i + 1 for i, c in enumerate(own.tolist())} for own in cuts]
+    todo = [(0, tuple(slice(0, len(c) + 1) for c in cuts))]
+    while todo:
+        node, box = todo.pop()
+        f = feature[node]
+        if f < 0:
+            table[box] = length[node]
+        else:
+            at, (a, b) = places[f][split[node]], (box[f].start, box[f].stop)
+            todo += [(left[node], (*box[:f], slice(a, min(b, at)), *box[f + 1:])), (right[node], (*box[:f], slice(max(a, at), b), *box[f + 1:]))]
+    return table
+
+
+def _path_lengths(matrix: np.ndarray, forest: list) -> Iterator[np.ndarray]:
+    """Path length of each row in one tree after the other.
+
+    Where rows are many and features few, a tree is laid out as a table over the bins that its cuts make of the features, and rows are looked
+    up: the features' ranks among all cuts of the forest are found once, and give the bins of every tree.
+    """
+    matrix = np.ascontiguousarray(matrix)
+    wide = matrix.shape[1]
+    tabled = len(matrix) >= TABLE_ROWS and wide <= TABLE_WIDTH
+    if tabled:
+        cuts = [np.unique(np.concatenate([tree[1][tree[0] == f] for tree in forest])) for f in range(wide)]
+        ranks = [np.searchsorted(c, matrix[:, f]) for f, c in enumerate(cuts)]  # cuts below the value
+    for tree in forest:
+        own = [np.unique(tree[1][tree[0] == f]) for f in range(wide)] if tabled else []
+        if not tabled or math.prod(len(c) + 1 for c in own) > TABLE_CELLS:
+            yield _walk(matrix, tree)
+            continue
+        table = _cells(tree, own)
+        cell = np.zeros(len(matrix), dtype=np.intp)
+        for f, c in enumerate(own):
+            if len(c):
+                above = np.zeros(len(cuts[f]) + 1, dtype=np.intp)
+                above[np.searchsorted(cuts[f], c) + 1] = table.strides[f] // table.itemsize
+                cell += np.cumsum(above).take(ranks[f])
+        yield table.ravel().take(cell)
+
+
 def _descend(matrix: np.ndarray, forest: list, counts: list[int] | None = None) -> np.ndarray:
     """Mean path length of each row, normalised by the expected one: the score in (0, 1). counts: a column for each forest of the first so many trees."""
+    if matrix.ndim == 2 and matrix.shape[1] == 1:
+        # values between two neighbouring cuts of the forest go the same way in every tree
+        cuts = np.unique(np.concatenate([tree[1][tree[0] >= 0] for tree in forest]))
+        if len(matrix) > len(cuts) + 1:
+            return _descend(np.append(cuts, np.inf)[:, None], forest, counts)[np.searchsorted(cuts, matrix[:, 0])]
     norm = average_path(forest[0][5])
     total, out = np.zeros(len(matrix)), {}
-    at_row = np.arange(len(matrix))
-    for n, (feature, split, left, right, length, _) in enumerate(forest, 1):
-        at = np.zeros(len(matrix), dtype=np.int64)
-        while True:
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            goes = matrix[at_row, np.maximum(f, 0)] <= split[at]
-            at = np.where(inner, np.where(goes, left[at], right[at]), at)
-        total += length[at]
+    for n, lengths in enumerate(_path_lengths(matrix, forest), 1):
+        total += lengths
         if n == len(forest) or n in (counts or ()):
             out[n] = np.power(2.0, -(total / n) / norm) if norm > 0 else np.full(len(matrix), 0.5)
     return out[len(forest)] if counts is None else np.stack([out.get(c, np.full(len(matrix), np.nan)) for c in counts], axis=1)
@@ -241,6 +311,46 @@ def score_subsets(df: DataFrame, forest: DataFrame, vector: Column, subsets: dic
     return dealt.groupBy("_block", "_part").cogroup(told.groupBy("_block", "_part")).applyInArrow(meet, f"`{key}` {kind}, subset string, score double")
 
 
+def subset_scores(df: DataFrame, forest: DataFrame, vector: Column, subsets: dict[str, list[int]], keep: list[str], trees: int = 100,
+                  max_broadcast: int = MAX_BROADCAST_TREES, chunk: int = 65_536) -> DataFrame:
+    """``keep`` and scores: per row an array with the score of every subset's forest of grow_subsets, in their order; NULL where there is none.
+
+    Rows are scored in place, ``chunk`` of a task at a time. Forests travel as broadcasts of up to ``max_broadcast`` trees (one forest at least).
+    """
+    rows, names, block = df.select(*keep, vector.alias("_x"), F.array().cast("array<double>").alias("scores")), list(subsets), max(1, max_broadcast // max(1, trees))
+    for first in range(0, len(names), block):
+        some = names[first:first + block]
+        by_name: dict[str, list] = {}
+        for g, _, tree in _unpack(forest.filter(F.col("grp").isin(some)).toArrow()):
+            by_name.setdefault(g, []).append(tree)
+        rows = rows.mapInArrow(_scoring(df.sparkSession.sparkContext.broadcast(by_name), {s: subsets[s] for s in some}, chunk), rows.schema)
+    return rows.drop("_x")
+
+
+def _scoring(shared, subsets: dict[str, list[int]], chunk: int):
+    """Appends the scores of the subsets to the array ``scores``."""
+    def scored(table: pa.Table) -> pa.RecordBatch:
+        held = table.combine_chunks().to_batches()[0]
+        xs, before = (held.column(held.schema.get_field_index(n)).flatten().to_numpy().reshape(held.num_rows, -1) for n in ("_x", "scores"))
+        found = [_descend(xs[:, places], shared.value[s]) if s in shared.value else np.full(len(xs), np.nan) for s, places in subsets.items()]
+        every = np.column_stack([before, *found])
+        ends = pa.array(np.arange(0, every.size + 1, every.shape[1], dtype=np.int32))
+        scores = pa.ListArray.from_arrays(ends, pa.array(every.ravel(), pa.float64(), from_pandas=True))
+        return held.set_column(held.schema.get_field_index("scores"), held.schema.field("scores"), scores.cast(held.schema.field("scores").type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            waiting, n = [*waiting, batch], n + batch.num_rows
+            if n >= chunk:
+                yield scored(pa.Table.from_batches(waiting))
+                waiting, n = [], 0
+        if n:
+            yield scored(pa.Table.from_batches(waiting))
+
+    return run
+
+
 def scores_by_size(df: DataFrame, forest: DataFrame, vector: Column, group: str, counts: list[int], salts: int = 8) -> DataFrame:
     """Per row and forest size: the plain columns of ``df``, trees, score. One descent answers every size; sizes that a group's forest has not are left out.
 

@@ -24,10 +24,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     if largest is None:
         largest = largest_group(known, keys)
     if largest <= small:
-        return known.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+        return _gathered(known, keys, value, probs)
     return _bracketed(known.withColumn(value, F.col(value).cast("double")), keys, value, probs)
 
 
+def _gathered(known: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """All quantiles of a key from one set of its values: a ``percentile`` each would hold, send and sort a set each."""
+    found = known.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+    return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+
+
 def _bracketed(known: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     slack = 4.0 / SKETCH
     bounds = []
@@ -66,5 +72,5 @@ def _bracketed(known: DataFrame, keys: list[str], value: str, probs: dict[str, f
     wide = picked.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).groupBy(*keys).pivot(
         "name", list(probs)).agg(F.first("x"))
     redo = picked.groupBy(*keys).agg(F.max("_missed").alias("_m"), F.count(F.lit(1)).alias("_k")).filter(F.col("_m") | (F.col("_k") < len(probs))).select(*keys)
-    again = known.join(redo, keys, "left_semi").groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+    again = _gathered(known.join(redo, keys, "left_semi"), keys, value, probs)
     return wide.join(redo, keys, "left_anti").unionByName(again)
